@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, quality, secrets, toxicity
+from . import media, packing, quality, secrets, toxicity, url_filter
 from .common import id_and_text, table
 from .labelled import crc_mod
 
@@ -13,6 +13,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.with_clusters(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
+def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_and_read(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = id_and_text(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", secrets.spans_column(F.col("text")).alias("s")).select("doc_id", "s.*")
@@ -25,6 +29,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = id_and_text(table(spark, sf_dir, "documents"))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -32,5 +40,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("toxic", (F.col("p_toxic") >= 0.5).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_secret_scan, op6_quality_classifier, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_jpeg_media, op4_secret_scan, op6_quality_classifier, op7_url_filter, op9_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
