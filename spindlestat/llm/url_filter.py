@@ -28,33 +28,29 @@ def after_scheme(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise("")
 
 
-def host(url: Column) -> Column:
-    return F.translate(F.regexp_extract(after_scheme(url), "^[^/?#]*", 0), UPPER, LOWER)
+def with_node(rows: DataFrame, url: str, name: str) -> DataFrame:
+    """Adds columns `name` and, for it, `name`_host and `name`_path.
 
-
-def path(url: Column) -> Column:
-    return F.regexp_extract(after_scheme(url), "^[^/?#]*([^?#]*)", 1)
-
-
-def node(url: Column) -> Column:
-    """The url as a node: host, path (at least /) and query, without scheme and fragment; null without a host."""
-    query = F.regexp_extract(after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
-    p = path(url)
-    return F.when(host(url) != "", F.concat(host(url), F.when(p == "", "/").otherwise(p), query))
+    A node is the url's host, path (at least /) and query, without scheme and fragment; null without a host. Steps are
+    columns of their own, so that the plan doesn't repeat one inside the other.
+    """
+    rows = rows.withColumn("_rest", after_scheme(F.col(url)))
+    rows = rows.withColumns({f"{name}_host": F.translate(F.regexp_extract("_rest", "^[^/?#]*", 0), UPPER, LOWER), f"{name}_path": F.regexp_extract("_rest", "^[^/?#]*([^?#]*)", 1), "_query": F.regexp_extract("_rest", r"^[^?#]*(\?[^#]*)", 1)})
+    h, p = F.col(f"{name}_host"), F.col(f"{name}_path")
+    return rows.withColumn(name, F.when(h != "", F.concat(h, F.when(p == "", "/").otherwise(p), "_query"))).drop("_rest", "_query")
 
 
-def resolved(href: Column, base: Column) -> Column:
-    """An href of the page at `base` as an absolute url; null if empty or of another scheme than http."""
-    h = F.trim(F.replace(href, F.lit("&amp;"), F.lit("&")))
-    top = F.concat(F.lit("http://"), host(base))
-    folder = F.regexp_extract(path(base), "^(.*/)[^/]*$", 1)
+def resolved(href: Column, base_host: Column, base_path: Column) -> Column:
+    """An href of the page with this host and path as an absolute url; null if empty or of another scheme than http."""
+    top = F.concat(F.lit("http://"), base_host)
+    folder = F.regexp_extract(base_path, "^(.*/)[^/]*$", 1)
     return (
-        F.when(h.rlike("(?i)^https?://"), h)
-        .when(h.startswith("//"), F.concat(F.lit("http:"), h))
-        .when((h == "") | h.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None)
-        .when(h.startswith("/"), F.concat(top, h))
-        .when(h.startswith("?"), F.concat(top, path(base), h))
-        .otherwise(F.concat(top, F.when(folder == "", "/").otherwise(folder), h))
+        F.when(href.rlike("(?i)^https?://"), href)
+        .when(href.startswith("//"), F.concat(F.lit("http:"), href))
+        .when((href == "") | href.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None)
+        .when(href.startswith("/"), F.concat(top, href))
+        .when(href.startswith("?"), F.concat(top, base_path, href))
+        .otherwise(F.concat(top, F.when(folder == "", "/").otherwise(folder), href))
     )
 
 
@@ -85,7 +81,9 @@ def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         F.transform(metas, lambda t: F.regexp_extract(bare(attr(t, "content")), r"(?is)url\s*=\s*['\"]?([^'\"]*)", 1)),
     )
     rows = pages.filter(html.rlike("(?i)canonical|http-equiv")).select(url.alias("url"), F.explode(targets).alias("href"))
-    return rows.select(node(F.col("url")).alias("a"), node(resolved(F.col("href"), F.col("url"))).alias("b")).filter("a != b")
+    rows = with_node(rows, "url", "a").withColumn("href", F.trim(F.replace("href", F.lit("&amp;"), F.lit("&"))))
+    rows = rows.withColumn("target", resolved(F.col("href"), F.col("a_host"), F.col("a_path")))
+    return with_node(rows, "target", "b").select("a", "b")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
@@ -93,18 +91,17 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redir
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), *([F.col(html_col).alias("html")] if html_col else []))
     edges = [page_edges(pages)] if html_col else []
     if redirects is not None:
-        edges.append(redirects.select(node(F.col("source")).alias("a"), node(F.col("target")).alias("b")).filter("a != b"))
-    u = F.col("url")
-    rows = pages.select("page_id", host(u).alias("host"), path(u).alias("path"), node(u).alias("node"))
+        edges.append(with_node(with_node(redirects.select("source", "target"), "source", "a"), "target", "b").select("a", "b"))
+    rows = with_node(pages.select("page_id", "url"), "url", "node").select("page_id", F.col("node_host").alias("host"), F.col("node_path").alias("path"), "node")
     rows = rows.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
     links = edges[0] if len(edges) == 1 else edges[0].union(edges[1]) if edges else None
-    links = cut_lineage(links.distinct()) if links is not None else None
+    links = cut_lineage(links.distinct()).filter("a != b") if links is not None else None
     if links is None or links.isEmpty():
         return rows.select("page_id", "host", "path", "own.rule", F.coalesce("own.verdict", F.lit("allow")).alias("verdict"))
     members = components(links)
     # a component's targets count too, whether or not they are pages here
-    name = F.concat(F.lit("x://"), F.col("node"))
-    ruled = members.select("component", rule_of(host(name), path(name), rules).alias("own"))
+    named = with_node(members.withColumn("url", F.concat(F.lit("x://"), "node")), "url", "n")
+    ruled = named.select("component", rule_of(F.col("n_host"), F.col("n_path"), rules).alias("own"))
     decided = ruled.groupBy("component").agg(F.max(F.col("own.verdict") == "allow").alias("allowed"), F.max(F.col("own.verdict") == "block").alias("blocked"))
     carried = members.join(decided, "component").select("node", F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow").alias("carried"))
     return rows.join(carried, "node", "left").select("page_id", "host", "path", "own.rule", F.coalesce("own.verdict", "carried", F.lit("allow")).alias("verdict"))
