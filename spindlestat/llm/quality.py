@@ -94,7 +94,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: in
     return QualityModel(bits, weight(z, n).astype(np.float32), float(-zb / ((beta + np.sqrt(nb)) / alpha + 1e-9)), scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 6000, keep: Column | None = None, bits: int = 18, scale: float = 20.0, **params) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 3000, keep: Column | None = None, bits: int = 18, scale: float = 20.0, **params) -> QualityModel:
     """Learns from at most `most` labelled documents (a documented bound: the model doesn't need more, whatever the corpus).
 
     The executors hash the chosen texts; only (bucket, share) arrays reach the driver. Without any labelled row, every
