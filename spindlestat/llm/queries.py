@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import media, packing, quality, secrets, toxicity, url_filter
+from . import bpe, media, packing, quality, secrets, toxicity, url_filter
 from .common import id_and_text, table
 from .labelled import crc_mod
 
@@ -22,6 +22,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", secrets.spans_column(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = id_and_text(table(spark, sf_dir, "documents"))
     model = quality.fit(docs, table(spark, sf_dir, "labels"), keep=crc_mod("doc_id", 5) != 0)
@@ -40,5 +46,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("toxic", (F.col("p_toxic") >= 0.5).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_jpeg_media, op4_secret_scan, op6_quality_classifier, op7_url_filter, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_jpeg_media, op4_secret_scan, op5_bpe, op6_quality_classifier, op7_url_filter, op9_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
