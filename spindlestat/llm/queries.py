@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, media, packing, quality, secrets, toxicity, url_filter
+from . import bpe, media, minhash, packing, quality, secrets, toxicity, url_filter
 from .common import id_and_text, table
 from .labelled import crc_mod
 
@@ -39,6 +39,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = id_and_text(table(spark, sf_dir, "documents"))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -46,5 +50,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("toxic", (F.col("p_toxic") >= 0.5).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_jpeg_media, op4_secret_scan, op5_bpe, op6_quality_classifier, op7_url_filter, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_jpeg_media, op4_secret_scan, op5_bpe, op6_quality_classifier, op7_url_filter, op8_minhash_neardup, op9_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
