@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, media, minhash, packing, quality, secrets, toxicity, url_filter
+from . import bpe, imatch, media, minhash, packing, quality, secrets, toxicity, url_filter
 from .common import id_and_text, table
 from .labelled import crc_mod
 
@@ -50,5 +50,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("toxic", (F.col("p_toxic") >= 0.5).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_jpeg_media, op4_secret_scan, op5_bpe, op6_quality_classifier, op7_url_filter, op8_minhash_neardup, op9_toxicity)}
+def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_jpeg_media, op4_secret_scan, op5_bpe, op6_quality_classifier, op7_url_filter, op8_minhash_neardup, op9_toxicity, op10_imatch_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
