@@ -109,37 +109,39 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: f
     return {int(f): float(v) for f, v in zip(names, w0, strict=True) if v}, tuple(map(float, thresholds(p0)))
 
 
-def evidence(rows: list[np.ndarray], toxic: np.ndarray, least: int = 3, odds: float = 1.5) -> set[int]:
-    """Features of at least `least` toxic rows whose rate there is exp(odds) times that in other rows."""
-    size = lambda part: np.unique(np.concatenate(part), return_counts=True) if part else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    bad, n_bad = size([r for r, t in zip(rows, toxic, strict=True) if t])
-    fine = dict(zip(*(x.tolist() for x in size([r for r, t in zip(rows, toxic, strict=True) if not t])), strict=True))
-    n, m = max(1, int(toxic.sum())), max(1, int(len(toxic) - toxic.sum()))
-    return {int(f) for f, c in zip(bad.tolist(), n_bad.tolist(), strict=True) if c >= least and np.log(c / n) - np.log((fine.get(f, 0) + 0.5) / m) > odds}
+def evidence(counts: DataFrame, n: int, m: int, least: int = 3, odds: float = 1.5, most: int = 20_000) -> list[int]:
+    """Features (of `counts`: feature, bad, fine) of at least `least` of n toxic rows whose rate there is exp(odds) times that in the m others; the `most` frequent ones, ties by feature."""
+    lift = F.log(F.col("bad") / n) - F.log((F.col("fine") + 0.5) / m)
+    return [r[0] for r in counts.filter((F.col("bad") >= least) & (lift > odds)).orderBy(F.desc("bad"), "feature").limit(most).select("feature").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 8000, keep: Column | None = None, bits: int = 22) -> ToxicityModel:
     """Learns from at most `most` labelled documents (a documented bound). Without labelled or toxic rows, nothing is toxic."""
 
-    @F.pandas_udf("array<int>")
-    def hashed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = Memo(lambda w: word_features(w, bits), 100_000)
-        for part in parts:
-            out = []
-            for t in part:
-                out.append(np.array(sorted({f for fs in map(of.__getitem__, set(WORD.findall(t.lower()))) for f in fs}), np.int32))
-                of.trim()
-            yield pd.Series(out)
-
-    got = sample(docs, labels, label, most, keep).select("doc_id", "label", hashed("text").alias("idx")).toPandas()
-    toxic = got.label.to_numpy(np.int64) > 0
-    if not toxic.any():
+    def hashed(wanted: frozenset[int] | None):
+        """The features of each text, or those of them that are wanted."""
+
+        @F.pandas_udf("array<int>")
+        def hashed_features(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            of = Memo(lambda w: tuple(f for f in word_features(w, bits) if wanted is None or f in wanted), 100_000)
+            for part in parts:
+                out = []
+                for t in part:
+                    out.append(np.array(sorted({f for fs in map(of.__getitem__, set(WORD.findall(t.lower()))) for f in fs}), np.int32))
+                    of.trim()
+                yield pd.Series(out)
+
+        return hashed_features("text")
+
+    rows = sample(docs, labels, label, most, keep)
+    per = rows.select(F.col("label"), F.explode(hashed(None)).alias("feature")).groupBy("feature").agg(F.sum((F.col("label") > 0).cast("int")).alias("bad"), F.sum((F.col("label") <= 0).cast("int")).alias("fine"))
+    n, m = (x or 0 for x in rows.agg(F.sum((F.col("label") > 0).cast("int")), F.sum((F.col("label") <= 0).cast("int"))).first())
+    if not n:
         return ToxicityModel(bits, {}, (35.0,) * 3)
+    kept = frozenset(evidence(per, n, max(1, m)))
+    got = rows.select("doc_id", "label", hashed(kept).alias("idx")).toPandas()
     got = got.assign(size=got.idx.map(len)).sort_values(["doc_id", "size"], kind="stable")
     toxic, rows = got.label.to_numpy(np.int64) > 0, [np.asarray(r, np.int64) for r in got.idx]
-    marks = evidence(rows, toxic)
-    kept = np.array(sorted(marks), np.int64)
-    rows = [r[np.isin(r, kept)] for r in rows]
     grades = np.where(toxic, 1 + np.searchsorted(GRADE_EDGES, [len(r) for r in rows], side="left"), 0)
     weights, thresholds = fit_ordinal(rows, grades, 2 + len(GRADE_EDGES))
     return ToxicityModel(bits, weights, thresholds)
