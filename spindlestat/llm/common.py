@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a Python worker turns into Python objects at a time.
@@ -27,7 +28,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             continue
         i = batch.schema.get_field_index(column)
         lengths = batch.column(i)
-        lengths = pa.compute.binary_length(lengths).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(lengths).fill_null(0).to_numpy(zero_copy_only=False)
         start, size = 0, 0
         for row, n in enumerate(lengths.tolist()):
             if size and size + n > most:
