@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, imatch, media, minhash, packing, quality, secrets, toxicity, url_filter
+from . import backoff_lm, bpe, imatch, media, minhash, packing, quality, secrets, toxicity, url_filter
 from .common import id_and_text, table
 from .labelled import crc_mod
 
@@ -13,6 +13,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.with_clusters(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
+def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
+
+
 def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_and_read(table(spark, sf_dir, "documents"))
 
@@ -54,5 +58,5 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_jpeg_media, op4_secret_scan, op5_bpe, op6_quality_classifier, op7_url_filter, op8_minhash_neardup, op9_toxicity, op10_imatch_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_backoff_lm, op3_jpeg_media, op4_secret_scan, op5_bpe, op6_quality_classifier, op7_url_filter, op8_minhash_neardup, op9_toxicity, op10_imatch_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
