@@ -1,4 +1,387 @@
-"""All queries over the driver's tables, by name, with their SQL counterparts."""
+"""Queries over the driver's tables, one or more for each operator, with the same in SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import constants as k
+from ..functions.special import quantile_sql, upper_tail_sql
+from ..operators import capability as cap, charts, msa, quality
+from ..operators.roles import Roles
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+TYPE = ["event_type"]
+USL, LSL, TARGET = 45.0, 5.0, 25.0
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def tidy(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
+    """The columns, doubles rounded: sums depend on the order of rows in the last places."""
+    kinds = dict(df.dtypes)
+    return df.select(*[F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c) for c in columns])
+
+
+def rounded(columns: str, digits: int = 6) -> str:
+    return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns.split())
+
+
+# Control charts
+
+IMR = f"""
+ranged AS (SELECT event_type, event_id, value, row_number() OVER w AS seq, abs(value - lag(value) OVER w) AS mr FROM events WHERE event_type IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
+limits AS (SELECT event_type, count(value) AS n, avg(value) AS x_bar, avg(mr) AS mr_bar FROM ranged GROUP BY event_type),
+lines AS (SELECT *, x_bar + {k.INDIVIDUALS} * mr_bar AS ucl, x_bar AS cl, x_bar - {k.INDIVIDUALS} * mr_bar AS lcl, {k.MOVING_RANGE} * mr_bar AS mr_ucl, 0e0 AS mr_lcl FROM limits)
+"""
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts", "value")
+
+
+@query(f"WITH {IMR} SELECT event_type, n, {rounded('x_bar mr_bar ucl lcl mr_ucl mr_lcl')} FROM lines")
+def imr_limits(spark, sf_dir):
+    rows = charts.moving_range(events(spark, sf_dir), "value", ["event_id"], TYPE)
+    return tidy(charts.imr_limits(rows, "value", TYPE), ["event_type", "n", "x_bar", "mr_bar", "ucl", "lcl", "mr_ucl", "mr_lcl"])
+
+
+@query(f"WITH {IMR} SELECT event_type, seq, value, {rounded('mr')}, CASE WHEN value > ucl THEN 'Above UCL' WHEN value < lcl THEN 'Below LCL' END AS reason, CASE WHEN mr > mr_ucl THEN 'Above UCL' END AS mr_reason FROM ranged JOIN lines USING (event_type) WHERE value > ucl OR value < lcl OR mr > mr_ucl")
+def imr_violations(spark, sf_dir):
+    out = charts.imr_points(events(spark, sf_dir), "value", ["event_id"], TYPE).filter("reason IS NOT NULL OR mr_reason IS NOT NULL")
+    return tidy(out, ["event_type", "seq", "value", "mr", "reason", "mr_reason"])
+
+
+@query(f"WITH {IMR} SELECT event_type, count(*) AS n_points, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(avg(value) + 3 * stddev_pop(value), 6) AS plot_ucl, count(*) FILTER (WHERE value > ucl OR value < lcl) AS n_out, CASE WHEN count(*) FILTER (WHERE value > ucl OR value < lcl) = 0 THEN 'IN CONTROL' ELSE 'OUT OF CONTROL' END AS status FROM ranged JOIN lines USING (event_type) GROUP BY event_type")
+def imr_summary(spark, sf_dir):
+    points = charts.imr_points(events(spark, sf_dir), "value", ["event_id"], TYPE)
+    return tidy(charts.summary(points, "value", TYPE), ["event_type", "n_points", "mean", "sd", "plot_ucl", "n_out", "status"])
+
+
+@query("WITH r AS (SELECT value, abs(value - lag(value) OVER (ORDER BY event_id)) AS mr FROM events) SELECT count(value) AS n, round(avg(value), 6) AS x_bar, round(avg(mr), 6) AS mr_bar FROM r")
+def imr_one_series(spark, sf_dir):
+    """All events as one series: no task sees them all."""
+    rows = charts.moving_range(events(spark, sf_dir).select("event_id", "value"), "value", ["event_id"])
+    return tidy(charts.imr_limits(rows, "value"), ["n", "x_bar", "mr_bar"])
+
+
+ZONES = "sum(CASE WHEN z {test} THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY seq ROWS BETWEEN {back} PRECEDING AND CURRENT ROW) >= {least}"
+
+
+def _zone(pairs, back, least):
+    return "(" + " OR ".join(ZONES.format(test=t, back=back, least=least) for t in pairs) + ")"
+
+
+@query(f"WITH {IMR}, z AS (SELECT event_type, seq, (value - cl) / ((ucl - cl) / 3) AS z FROM ranged JOIN lines USING (event_type)), r AS (SELECT event_type, {_zone(('> 2', '< -2'), 2, 2)} AS a, {_zone(('> 1', '< -1'), 4, 4)} AS b, {_zone(('> 0', '< 0'), 7, 8)} AS c FROM z) SELECT event_type, count(*) FILTER (WHERE a) AS n_2of3, count(*) FILTER (WHERE b) AS n_4of5, count(*) FILTER (WHERE c) AS n_8run FROM r GROUP BY event_type")
+def run_rules(spark, sf_dir):
+    out = charts.run_rules(charts.imr_points(events(spark, sf_dir), "value", ["event_id"], TYPE), "value", "seq", TYPE)
+    return out.groupBy("event_type").agg(F.count_if("rule_2of3").alias("n_2of3"), F.count_if("rule_4of5").alias("n_4of5"), F.count_if("rule_8run").alias("n_8run"))
+
+
+def fives(spark: SparkSession, sf_dir: str, size: int = 5) -> DataFrame:
+    """Events in complete subgroups of `size`, by type and time."""
+    rows = charts.with_previous(events(spark, sf_dir), "value", ["event_id"], TYPE)
+    rows = rows.select("event_type", "value", F.floor((F.col("seq") - 1) / size).alias("block"))
+    full = rows.groupBy("event_type", "block").count().filter(F.col("count") == size).drop("count")
+    return rows.join(full, ["event_type", "block"])
+
+
+def fives_sql(size: int = 5) -> str:
+    return f"""rows_ AS (SELECT event_type, value, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // {size} AS block FROM events),
+subs AS (SELECT event_type, block, avg(value) AS mean, max(value) - min(value) AS spread_r, stddev_samp(value) AS spread_s, count(*) AS size FROM rows_ GROUP BY ALL HAVING count(*) = {size})"""
+
+
+def _xbar_sql(kind: str, size: int) -> str:
+    n = size
+    if kind == "R":
+        a, low, high = k.A2.get(n, k.A2_ELSE), k.D3.get(n, k.D3_ELSE), k.D4.get(n, k.D4_ELSE)
+    else:
+        a, low, high = k.s_factors(n)
+    s = f"spread_{kind.lower()}"
+    return f"{fives_sql(size)}, lines AS (SELECT event_type, count(*) AS n_subgroups, avg(mean) AS x_bar, avg({s}) AS spread_bar, avg(mean) + {a!r}::double * avg({s}) AS ucl, avg(mean) - {a!r}::double * avg({s}) AS lcl, {high!r}::double * avg({s}) AS spread_ucl, {low!r}::double * avg({s}) AS spread_lcl FROM subs GROUP BY event_type)"
+
+
+def _xbar(spark, sf_dir, kind, size):
+    return charts.xbar_points(fives(spark, sf_dir, size), "value", "block", TYPE, kind)
+
+
+LINES = ["event_type", "n_subgroups", "x_bar", "spread_bar", "ucl", "lcl", "spread_ucl", "spread_lcl"]
+
+
+@query(f"WITH {_xbar_sql('R', 5)} SELECT event_type, n_subgroups, {rounded(' '.join(LINES[2:]))} FROM lines")
+def xbar_r_limits(spark, sf_dir):
+    rows = fives(spark, sf_dir)
+    return tidy(charts.xbar_limits(charts.subgroups(rows, "value", "block", TYPE), "block", TYPE), LINES)
+
+
+@query(f"WITH {_xbar_sql('R', 5)} SELECT event_type, block, round(mean, 6) AS mean, CASE WHEN mean > ucl THEN 'Above UCL' WHEN mean < lcl THEN 'Below LCL' END AS reason, CASE WHEN spread_r > spread_ucl THEN 'Above UCL' WHEN spread_r < spread_lcl THEN 'Below LCL' END AS spread_reason FROM subs JOIN lines USING (event_type) WHERE mean > ucl OR mean < lcl OR spread_r > spread_ucl OR spread_r < spread_lcl")
+def xbar_r_violations(spark, sf_dir):
+    return tidy(_xbar(spark, sf_dir, "R", 5).filter("reason IS NOT NULL OR spread_reason IS NOT NULL"), ["event_type", "block", "mean", "reason", "spread_reason"])
+
+
+@query(f"WITH {_xbar_sql('S', 12)} SELECT event_type, n_subgroups, {rounded(' '.join(LINES[2:]))} FROM lines")
+def xbar_s_limits(spark, sf_dir):
+    return tidy(charts.xbar_limits(charts.subgroups(fives(spark, sf_dir, 12), "value", "block", TYPE), "block", TYPE, "S"), LINES)
+
+
+def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("defectives"), F.count(F.lit(1)).alias("n"))
+
+
+MONTHLY = "m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) FILTER (WHERE o_orderstatus = 'F') AS defectives, count(*) AS n FROM orders GROUP BY 1)"
+OUT = "CASE WHEN plotted > ucl THEN 'Above UCL' WHEN plotted < lcl THEN 'Below LCL' END AS reason"
+
+
+def attribute_sql(center: str, plotted: str, spread: str, source: str, key: str) -> str:
+    return f"c AS (SELECT {center} FROM {source}), p AS (SELECT {key}, {plotted} AS plotted, center AS cl, center + 3 * sqrt({spread}) AS ucl, greatest(center - 3 * sqrt({spread}), 0) AS lcl FROM {source}, c) SELECT {key}, {rounded('plotted cl ucl lcl')}, {OUT} FROM p"
+
+
+@query(f"WITH {MONTHLY}, {attribute_sql('sum(defectives)::double / sum(n) AS center', 'defectives::double / n', 'center * (1 - center) / n', 'm', 'month')}")
+def p_chart(spark, sf_dir):
+    return tidy(charts.p_points(monthly(spark, sf_dir), "defectives", "n"), ["month", "plotted", "cl", "ucl", "lcl", "reason"])
+
+
+def hundreds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.floor(F.col("event_id") / 100).alias("block")).agg(F.count_if(F.col("event_type") == "error").alias("defectives"), F.count(F.lit(1)).alias("n"))
+
+
+HUNDREDS = "m AS (SELECT event_id // 100 AS block, count(*) FILTER (WHERE event_type = 'error') AS defectives, count(*) AS n FROM events GROUP BY 1)"
+
+
+@query(f"WITH {HUNDREDS}, {attribute_sql('avg(defectives) AS center, min_by(n, block) AS size', 'defectives::double', 'center * (1 - center / size)', 'm', 'block')}")
+def np_chart(spark, sf_dir):
+    return tidy(charts.np_points(hundreds(spark, sf_dir), "defectives", "n", ["block"]), ["block", "plotted", "cl", "ucl", "lcl", "reason"])
+
+
+@query(f"WITH m AS (SELECT strftime(ts, '%Y-%m-%d %H') AS hour, count(*) FILTER (WHERE event_type = 'error') AS defects FROM events GROUP BY 1), {attribute_sql('avg(defects) AS center', 'defects::double', 'center', 'm', 'hour')}")
+def c_chart(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).agg(F.count_if(F.col("event_type") == "error").alias("defects"))
+    return tidy(charts.c_points(e, "defects"), ["hour", "plotted", "cl", "ucl", "lcl", "reason"])
+
+
+@query(f"WITH m AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS defects, count(*) AS units FROM events GROUP BY 1), {attribute_sql('sum(defects)::double / sum(units) AS center', 'defects::double / units', 'center / units', 'm', 'user_id')}")
+def u_chart(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("defects"), F.count(F.lit(1)).alias("units"))
+    return tidy(charts.u_points(e, "defects", "units"), ["user_id", "plotted", "cl", "ucl", "lcl", "reason"])
+
+
+# Checks and the choice of a chart
+
+DIRTY = "SELECT event_type, CAST(value AS VARCHAR) AS v FROM events UNION ALL SELECT 'dirty', x FROM (VALUES ('999'), ('-1'), ('abc'), (NULL), ('5')) AS t(x) UNION ALL SELECT 'constant', '7' FROM range(30)"
+
+
+def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = spark.createDataFrame([("dirty", x) for x in ("999", "-1", "abc", None, "5")] + [("constant", "7")] * 30, "event_type string, v string")
+    return table(spark, sf_dir, "events").select("event_type", F.col("value").cast("string").alias("v")).union(more)
+
+
+_FOUND = [("'WARNING'", "missing_values", "n_missing", "n_missing > 0"), ("'ERROR'", "non_numeric", "n_text", "n_text > 0"), ("'WARNING'", "error_codes", "n_codes", "n_codes > 0"), ("'WARNING'", "negative_values", "n_negative", "n_negative > 0"), ("'WARNING'", "small_sample", "n", "n < 25"), ("'WARNING'", "no_variation", "n", "least = most"), ("'WARNING'", "high_variation", "n", "mean <> 0 AND sd / abs(mean) > 1")]
+
+
+@query(f"WITH d AS ({DIRTY}), x AS (SELECT event_type, v, try_cast(v AS DOUBLE) AS x FROM d), p AS (SELECT event_type, count(x) AS n, count(*) FILTER (WHERE v IS NULL) AS n_missing, count(*) FILTER (WHERE v IS NOT NULL AND x IS NULL) AS n_text, count(*) FILTER (WHERE x IN (999, 9999, -999, -9999)) AS n_codes, count(*) FILTER (WHERE x < 0) AS n_negative, min(x) AS least, max(x) AS most, avg(x) AS mean, stddev_samp(x) AS sd FROM x GROUP BY 1) " + " UNION ALL ".join(f"SELECT event_type, {s} AS severity, '{c}' AS code, {n} AS n FROM p WHERE {t}" for s, c, n, t in _FOUND))
+def quality_issues(spark, sf_dir):
+    return quality.issues(dirty(spark, sf_dir), "v", "chart", TYPE).select("event_type", "severity", "code", "n")
+
+
+def _choice_sql(source: str, value: str, group: str) -> str:
+    return f"WITH p AS (SELECT {group} AS g, count(*) AS n, count(DISTINCT x) AS d, bool_and(x IN (0, 1)) AS b, bool_and(x = floor(x)) AS w, min(x) AS least, max(x) AS most FROM (SELECT {group}, CAST({value} AS DOUBLE) AS x FROM {source}) GROUP BY 1), t AS (SELECT g, b, CASE WHEN b OR (w AND least >= 0 AND most < 50) THEN 'attribute' WHEN NOT w THEN 'continuous' WHEN d::double / n > 0.3 THEN 'continuous' ELSE 'attribute' END AS data_type FROM p) SELECT g AS {group}, data_type, CASE WHEN data_type = 'attribute' THEN CASE WHEN b THEN 'defectives' ELSE 'defects' END END AS attribute_type, CASE WHEN data_type = 'continuous' THEN 'I-MR' WHEN b THEN 'NP' ELSE 'C' END AS chart FROM t"
+
+
+@query(_choice_sql("events", "value", "event_type"))
+def chart_choice_continuous(spark, sf_dir):
+    return quality.chart_choice(events(spark, sf_dir), Roles(value="value"), TYPE).select("event_type", "data_type", "attribute_type", "chart")
+
+
+@query(_choice_sql("lineitem", "l_linenumber", "l_returnflag"))
+def chart_choice_counts(spark, sf_dir):
+    return quality.chart_choice(table(spark, sf_dir, "lineitem"), Roles(value="l_linenumber"), ["l_returnflag"]).select("l_returnflag", "data_type", "attribute_type", "chart")
+
+
+@query("WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), s AS (SELECT min(n) AS a, max(n) AS b, count(DISTINCT l_suppkey) AS p, count(DISTINCT l_returnflag) AS o FROM c) SELECT 'WARNING' AS severity, 'unbalanced' AS code, b AS n FROM s WHERE a <> b UNION ALL SELECT 'WARNING', 'few_parts', p FROM s WHERE p < 10 UNION ALL SELECT 'WARNING', 'few_operators', o FROM s WHERE o < 2")
+def gage_design(spark, sf_dir):
+    return quality.gage_issues(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_returnflag")
+
+
+# Measurement systems
+
+GAGE = "g AS (SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS trial FROM events WHERE user_id IN (SELECT DISTINCT user_id FROM events ORDER BY 1 LIMIT 10)) WHERE trial <= 2)"
+
+
+def gage_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A balanced study: the first ten users are parts, event types operators, the first two events of each pair trials."""
+    e = events(spark, sf_dir)
+    users = e.select("user_id").distinct().orderBy("user_id").limit(10)
+    rows = charts.with_previous(e.join(F.broadcast(users), "user_id"), "value", ["event_id"], ["user_id", "event_type"])
+    return rows.filter("seq <= 2").select("user_id", "event_type", "value")
+
+
+ANOVA = f"""WITH {GAGE}, n AS (SELECT count(DISTINCT user_id)::double AS p, count(DISTINCT event_type)::double AS o, count(*) // (count(DISTINCT user_id) * count(DISTINCT event_type)) AS t, avg(value) AS m, var_pop(value) * count(*) AS ss_total FROM g),
+a AS (SELECT sum((x - m) * (x - m)) AS d FROM (SELECT avg(value) AS x FROM g GROUP BY user_id), n), b AS (SELECT sum((x - m) * (x - m)) AS d FROM (SELECT avg(value) AS x FROM g GROUP BY event_type), n), c AS (SELECT sum((x - m) * (x - m)) AS d FROM (SELECT avg(value) AS x FROM g GROUP BY user_id, event_type), n),
+ss AS (SELECT n.*, o * t * a.d AS ss_part, p * t * b.d AS ss_operator, t * c.d - o * t * a.d - p * t * b.d AS ss_interaction, ss_total - t * c.d AS ss_equipment FROM n, a, b, c),
+ms AS (SELECT *, ss_part / (p - 1) AS mp, ss_operator / (o - 1) AS mo, ss_interaction / ((p - 1) * (o - 1)) AS mi, ss_equipment / (p * o * (t - 1)) AS me FROM ss),
+v AS (SELECT *, me AS var_repeatability, greatest((mo - mi) / (p * t), 0) + greatest((mi - me) / t, 0) AS var_reproducibility, greatest((mp - mi) / (o * t), 0) AS var_part FROM ms),
+w AS (SELECT *, var_repeatability + var_reproducibility AS var_grr, var_repeatability + var_reproducibility + var_part AS var_total FROM v),
+z AS (SELECT *, 100 * sqrt(var_grr / var_total) AS percent_grr, 100 * var_grr / var_total AS contribution_grr, 600 * sqrt(var_grr) / 500 AS tolerance_grr, CASE WHEN var_grr = 0 THEN 0 ELSE floor(sqrt(2) * sqrt(var_part / var_grr)) END::bigint AS ndc FROM w)
+SELECT {rounded('ss_total ss_part ss_operator ss_interaction ss_equipment var_repeatability var_reproducibility var_part var_total percent_grr contribution_grr tolerance_grr', 4)}, ndc, CASE WHEN percent_grr < 10 THEN 'Excellent' WHEN percent_grr < 30 THEN 'Acceptable' ELSE 'Unacceptable' END AS verdict FROM z"""
+
+
+@query(ANOVA)
+def gage_rr_anova(spark, sf_dir):
+    names = "ss_total ss_part ss_operator ss_interaction ss_equipment var_repeatability var_reproducibility var_part var_total percent_grr contribution_grr tolerance_grr ndc verdict".split()
+    return tidy(msa.gage_rr(gage_data(spark, sf_dir), "value", "user_id", "event_type", tolerance=500.0), names, 4)
+
+
+@query(f"""WITH {GAGE}, c AS (SELECT avg(r) AS r_bar FROM (SELECT max(value) - min(value) AS r FROM g GROUP BY user_id, event_type HAVING count(*) > 1)), o AS (SELECT max(m) - min(m) AS r FROM (SELECT avg(value) AS m FROM g GROUP BY event_type)), p AS (SELECT max(m) - min(m) AS r FROM (SELECT avg(value) AS m FROM g GROUP BY user_id)), n AS (SELECT count(DISTINCT user_id) * 2 AS pt FROM g),
+x AS (SELECT r_bar / 1.128 AS ev, sqrt(greatest((o.r / 1.128) * (o.r / 1.128) - (r_bar / 1.128) * (r_bar / 1.128) / pt, 0)) AS av, p.r / 1.128 AS pv FROM c, o, p, n), y AS (SELECT *, sqrt(ev * ev + av * av) AS grr, sqrt(ev * ev + av * av + pv * pv) AS tv FROM x) SELECT {rounded('ev av pv grr tv')}, round(100 * grr / tv, 6) AS percent_grr FROM y""")
+def gage_rr_range(spark, sf_dir):
+    return tidy(msa.gage_rr_range(gage_data(spark, sf_dir), "value", "user_id", "event_type"), ["ev", "av", "pv", "grr", "tv", "percent_grr"])
+
+
+@query(f"WITH {GAGE} SELECT event_type, user_id, round(max(value) - min(value), 6) AS range FROM g GROUP BY ALL")
+def range_by_operator(spark, sf_dir):
+    return tidy(msa.range_by_operator(gage_data(spark, sf_dir), "value", "user_id", "event_type"), ["event_type", "user_id", "range"])
+
+
+PRICED = "r AS (SELECT l_returnflag, l_quantity, l_extendedprice AS x, l_quantity * p_retailprice AS ref FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_quantity", "l_extendedprice")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    return li.join(p, li.l_partkey == p.p_partkey).select("l_returnflag", "l_quantity", F.col("l_extendedprice").alias("x"), (F.col("l_quantity") * F.col("p_retailprice")).alias("ref"))
+
+
+@query(f"WITH {PRICED}, b AS (SELECT l_returnflag, count(x - ref) AS n, avg(x - ref) AS bias, stddev_samp(x - ref) AS sd, avg(ref) AS mr FROM r GROUP BY 1) SELECT l_returnflag, n, round(bias, 4) AS bias, round(sd, 4) AS sd, round(100 * abs(bias) / abs(mr), 4) AS percent_bias, round(bias / (sd / sqrt(n)), 4) AS t FROM b")
+def bias_study(spark, sf_dir):
+    return tidy(msa.bias(priced(spark, sf_dir), "x", "ref", ["l_returnflag"], p_values=False), ["l_returnflag", "n", "bias", "sd", "percent_bias", "t"], 4)
+
+
+@query(f"WITH {PRICED}, b AS (SELECT l_returnflag, regr_count(x - ref, ref) AS n, regr_slope(x - ref, ref) AS slope, regr_intercept(x - ref, ref) AS intercept, regr_r2(x - ref, ref) AS r2, regr_sxx(x - ref, ref) AS sxx, regr_syy(x - ref, ref) AS syy FROM r GROUP BY 1) SELECT l_returnflag, n::bigint AS n, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(r2, 4) AS r2, round(sqrt((1 - r2) * syy / sxx / (n - 2)), 4) AS std_error, abs(slope) < 0.1 AS small_slope FROM b")
+def linearity_study(spark, sf_dir):
+    return tidy(msa.linearity(priced(spark, sf_dir), "x", "ref", ["l_returnflag"], p_values=False), ["l_returnflag", "n", "slope", "intercept", "r2", "std_error", "small_slope"], 4)
+
+
+@query()
+def study_p_values(spark, sf_dir):
+    """p-values of bias and linearity: Student's t isn't in SQL."""
+    rows = priced(spark, sf_dir)
+    a = msa.bias(rows, "x", "ref", ["l_returnflag"]).select("l_returnflag", F.lit("bias").alias("study"), "t", "p_value", "significant")
+    return a.union(msa.linearity(rows, "x", "ref", ["l_returnflag"]).select("l_returnflag", F.lit("linearity"), "t", "p_value", "significant"))
+
+
+@query(f"WITH {PRICED} SELECT l_quantity, round(avg(x - ref), 4) AS bias, count(x) AS n FROM r GROUP BY 1")
+def bias_by_reference(spark, sf_dir):
+    return tidy(msa.bias_by_reference(priced(spark, sf_dir).withColumn("level", F.col("l_quantity")).withColumn("ref", F.col("ref")), "x", "ref", ["level"]).groupBy("level").agg((F.sum(F.col("bias") * F.col("n")) / F.sum("n")).alias("bias"), F.sum("n").alias("n")).withColumnRenamed("level", "l_quantity"), ["l_quantity", "bias", "n"], 4)
+
+
+PRICES = "m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice) AS price FROM orders GROUP BY 1)"
+
+
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.avg("o_totalprice").alias("price"))
+
+
+TREND = "s AS (SELECT sum(sign(b.price - a.price))::bigint AS s FROM m a JOIN m b ON a.month < b.month)"
+
+
+@query(f"WITH {PRICES}, {TREND}, r AS (SELECT price, abs(price - lag(price) OVER (ORDER BY month)) AS mr FROM m), l AS (SELECT count(*) AS n, avg(price) AS mean, stddev_samp(price) AS sd, avg(price) + 2.66 * avg(mr) AS ucl, avg(price) - 2.66 * avg(mr) AS lcl FROM r), o AS (SELECT count(*) AS n_out FROM m, l WHERE price > ucl OR price < lcl) SELECT n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(ucl, 4) AS ucl, round(lcl, 4) AS lcl, n_out, s, abs(s) > n * (n - 1) / 4 AS has_trend, n_out = 0 AS in_limits, n_out = 0 AND NOT abs(s) > n * (n - 1) / 4 AS stable FROM l, o, s")
+def stability_study(spark, sf_dir):
+    return tidy(msa.stability(prices(spark, sf_dir), "price", ["month"]), ["n", "mean", "sd", "ucl", "lcl", "n_out", "s", "has_trend", "in_limits", "stable"], 4)
+
+
+@query(f"WITH {PRICES}, {TREND} SELECT s FROM s")
+def trend_pairs(spark, sf_dir):
+    return msa.trend_pairs(prices(spark, sf_dir), "price", "month")
+
+
+# Capability
+
+CAP = ["n", "mean", "sigma_overall", "sigma_within", "cp", "cpu", "cpl", "cpk", "cpm", "pp", "ppk", "ppm", "n_above", "n_below", "yield_percent", "dpmo", "z_bench", "expected_dpmo", "sigma_level", "offset", "offset_percent", "centered", "centered_by_gap", "tool_rating", "report_rating"]
+
+
+def cap_sql(base: str, group: str) -> str:
+    """Over base AS (group, n, mean, so, sw, n_above, n_below)."""
+    index = lambda s, p: f"CASE WHEN {s} > 0 THEN ({USL} - {LSL}) / (6 * {s}) ELSE 0 END AS {p}, CASE WHEN {s} > 0 THEN ({USL} - mean) / (3 * {s}) ELSE 0 END AS {p}u, CASE WHEN {s} > 0 THEN (mean - {LSL}) / (3 * {s}) ELSE 0 END AS {p}l, CASE WHEN {s} > 0 THEN least({USL} - mean, mean - {LSL}) / (3 * {s}) ELSE 0 END AS {p}k, ({USL} - {LSL}) / (6 * sqrt({s} * {s} + (mean - {TARGET}) * (mean - {TARGET}))) AS {p}m"
+    steps = " ".join(f"WHEN dpmo >= {a} THEN {b}" for a, b in cap.STEPS)
+    rate = lambda names: f"CASE WHEN cpk >= 1.67 THEN '{names[0]}' WHEN cpk >= 1.33 THEN '{names[1]}' WHEN cpk >= 1.0 THEN '{names[2]}' ELSE '{names[3]}' END"
+    return f"""{base}, i AS (SELECT *, {index('sw', 'cp')}, {index('so', 'pp')}, 100 * (1 - (n_above + n_below)::double / n) AS yield_percent, 1e6 * (n_above + n_below)::double / n AS dpmo, least(({USL} - mean) / so, (mean - {LSL}) / so) AS z_bench, mean - ({USL} + {LSL}) / 2 AS off FROM base)
+SELECT {group}, n, {', '.join(f'round({a}, 6) AS {b}' for a, b in [('mean', 'mean'), ('so', 'sigma_overall'), ('sw', 'sigma_within'), *[(c, c) for c in 'cp cpu cpl cpk cpm pp ppk ppm'.split()]])}, n_above, n_below, {rounded('yield_percent dpmo z_bench')}, CASE WHEN z_bench > 0 THEN round(1e6 * {upper_tail_sql('z_bench')}, 6) END AS expected_dpmo, CASE WHEN dpmo = 0 THEN 6 {steps} ELSE 6 END AS sigma_level, round(off, 6) AS "offset", round(100 * abs(off) / (({USL} - {LSL}) / 2), 6) AS offset_percent, 100 * abs(off) / (({USL} - {LSL}) / 2) < 25 AS centered, abs(cp - cpk) < 0.1 AS centered_by_gap, {rate(('World-class', 'Excellent', 'Adequate', 'Unacceptable'))} AS tool_rating, {rate(('Excellent', 'Excellent', 'Adequate', 'Poor'))} AS report_rating FROM i"""
+
+
+SIDES = f"count(*) FILTER (WHERE x > {USL}) AS n_above, count(*) FILTER (WHERE x < {LSL}) AS n_below"
+
+
+@query("WITH " + cap_sql(f"base AS (SELECT l_returnflag, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS so, stddev_samp(x) AS sw, {SIDES} FROM (SELECT l_returnflag, l_quantity AS x FROM lineitem) GROUP BY 1)", "l_returnflag"))
+def capability(spark, sf_dir):
+    return tidy(cap.capability(table(spark, sf_dir, "lineitem"), "l_quantity", USL, LSL, TARGET, groups=["l_returnflag"]), ["l_returnflag", *CAP])
+
+
+@query("WITH " + cap_sql(f"{fives_sql()}, w AS (SELECT event_type, avg(spread_r) / 2.326 AS sw FROM subs GROUP BY 1), base AS (SELECT event_type, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS so, any_value(sw) AS sw, {SIDES} FROM (SELECT event_type, block, value AS x FROM rows_) JOIN subs USING (event_type, block) JOIN w USING (event_type) GROUP BY 1)", "event_type"))
+def capability_subgroups(spark, sf_dir):
+    return tidy(cap.capability(fives(spark, sf_dir), "value", USL, LSL, TARGET, "block", TYPE), ["event_type", *CAP])
+
+
+@query()
+def capability_assessment(spark, sf_dir):
+    return cap.capability(table(spark, sf_dir, "lineitem"), "l_quantity", USL, LSL, groups=["l_returnflag"]).select("l_returnflag", "rating", "long_term_rating", "assessment")
+
+
+@query("WITH m AS (SELECT event_type, avg(value) AS mean FROM events GROUP BY 1), d AS (SELECT event_type, value - mean AS d, mean FROM events JOIN m USING (event_type)) SELECT event_type, count(*) AS n, round(any_value(mean), 6) AS mean, round(sqrt(sum(d * d) / (count(*) - 1)), 6) AS sd, round(avg(d * d * d) / pow(avg(d * d), 1.5), 6) AS skew, round(avg(d * d * d * d) / (avg(d * d) * avg(d * d)) - 3, 6) AS kurt FROM d GROUP BY 1")
+def moments(spark, sf_dir):
+    return tidy(cap.moments(events(spark, sf_dir), "value", TYPE), ["event_type", "n", "mean", "sd", "skew", "kurt"])
+
+
+SCORES = "m AS (SELECT event_type, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd FROM events GROUP BY 1), z AS (SELECT event_type, value, n, mean, sd, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, (value - mean) / sd AS z FROM events JOIN m USING (event_type))"
+
+
+@query(f"WITH {SCORES}, t AS (SELECT *, -z AS minus_z FROM z), u AS (SELECT *, {upper_tail_sql('z')} AS above, {upper_tail_sql('minus_z')} AS below FROM t) SELECT event_type, round(-any_value(n) - sum((2 * i - 1) * ln(below) + (2 * n + 1 - 2 * i) * ln(above)) / any_value(n), 4) AS a2, round(max(greatest(i::double / n - below, below - (i - 1)::double / n)), 6) AS ks_d FROM u GROUP BY 1")
+def fit_statistics(spark, sf_dir):
+    out = cap.fit_statistics(events(spark, sf_dir), "value", TYPE)
+    return out.select("event_type", F.round("a2", 4).alias("a2"), F.round("ks_d", 6).alias("ks_d"))
+
+
+@query(f"WITH {SCORES}, p AS (SELECT *, i::double / (n + 1) AS p FROM z) SELECT event_type, i, round({quantile_sql('p')}, 6) AS quantile, value, round(mean + sd * {quantile_sql('p')}, 6) AS line FROM p")
+def qq_points(spark, sf_dir):
+    return tidy(cap.qq(events(spark, sf_dir), "value", TYPE), ["event_type", "i", "quantile", "value", "line"])
+
+
+@query()
+def normality(spark, sf_dir):
+    """The vote of five tests, of which Shapiro-Wilk's and the p-value of Kolmogorov and Smirnov aren't in SQL."""
+    return cap.normality(events(spark, sf_dir), "value", TYPE)
+
+
+@query()
+def box_cox(spark, sf_dir):
+    return cap.box_cox(events(spark, sf_dir), "value", TYPE)
+
+
+@query("WITH e AS (SELECT event_type, min(value) AS a, max(value) AS b FROM events GROUP BY 1), h AS (SELECT event_type, a, b, least(floor((value - a) / ((b - a) / 30)), 29)::int AS bin FROM events JOIN e USING (event_type)) SELECT event_type, bin, round(any_value(a) + bin * (any_value(b) - any_value(a)) / 30, 6) AS low, round(any_value(a) + (bin + 1) * (any_value(b) - any_value(a)) / 30, 6) AS high, count(*) AS n FROM h GROUP BY event_type, bin")
+def histogram(spark, sf_dir):
+    return tidy(cap.histogram(events(spark, sf_dir), "value", TYPE), ["event_type", "bin", "low", "high", "n"])
+
+
+@query("WITH t AS (SELECT event_type, min(value) AS a, max(value) AS b, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY 1), x AS (SELECT event_type, r.range::int AS i, a + r.range * (b - a) / 199 AS x, m, s FROM t, range(200) r) SELECT event_type, i, round(x, 6) AS x, round(exp(-(x - m) * (x - m) / (2 * s * s)) / (s * sqrt(2 * pi())), 6) AS density FROM x")
+def normal_curve(spark, sf_dir):
+    return tidy(cap.normal_curve(events(spark, sf_dir), "value", TYPE), ["event_type", "i", "x", "density"])
+
+
+@query("SELECT event_type, min(value) AS least, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS most, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM events GROUP BY 1")
+def box_plot(spark, sf_dir):
+    return tidy(cap.box_plot(events(spark, sf_dir), "value", TYPE), ["event_type", "least", "q1", "median", "q3", "most", "mean", "sd"])
