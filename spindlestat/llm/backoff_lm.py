@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import Memo, raw, record, shuffle_parts, slices
 from .shingles import mix
 
-ORDER, PRIOR, BLOCK_BYTES = 2, 200.0, 12 << 20
+ORDER, PRIOR, BLOCK_BYTES = 2, 200.0, 8 << 20
 U = np.uint64
 END = b" "  # no word holds a space
 MESSAGE = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
