@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import constants as k
 from ..functions.special import quantile_sql, upper_tail_sql
-from ..operators import capability as cap, charts, msa, quality
+from ..operators import capability as cap, charts, msa, quality, roles
 from ..operators.roles import Roles
+from ..sources.files import as_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -213,6 +214,67 @@ def chart_choice_counts(spark, sf_dir):
     return quality.chart_choice(table(spark, sf_dir, "lineitem"), Roles(value="l_linenumber"), ["l_returnflag"]).select("l_returnflag", "data_type", "attribute_type", "chart")
 
 
+PROFILE = f"WITH d AS ({DIRTY}), x AS (SELECT event_type, v, try_cast(v AS DOUBLE) AS x FROM d), p AS (SELECT event_type, count(x) AS n, count(*) FILTER (WHERE v IS NULL) AS n_missing, count(*) FILTER (WHERE v IS NOT NULL AND x IS NULL) AS n_text, count(*) FILTER (WHERE x IN (999, 9999, -999, -9999)) AS n_codes, count(*) FILTER (WHERE x < 0) AS n_negative, count(*) FILTER (WHERE x > {USL} OR x < {LSL}) AS n_outside, min(x) AS least, max(x) AS most FROM x GROUP BY 1) "
+_CAPABILITY_FOUND = [*_FOUND[:4], ("'WARNING'", "small_sample", "n", "n < 30"), ("'ERROR'", "no_variation", "n", "least = most"), ("'WARNING'", "mostly_outside", "n_outside", "n > 0 AND n_outside::double / n > 0.5")]
+_MSA_FOUND = [("'ERROR'", "missing_values", "n_missing", "n_missing > 0"), ("'ERROR'", "no_variation", "n", "least = most")]
+
+
+@query(PROFILE + " UNION ALL ".join(f"SELECT event_type, {s} AS severity, '{c}' AS code, {n} AS n FROM p WHERE {t}" for s, c, n, t in _CAPABILITY_FOUND))
+def capability_issues(spark, sf_dir):
+    return quality.issues(dirty(spark, sf_dir), "v", "capability", TYPE, USL, LSL).select("event_type", "severity", "code", "n")
+
+
+@query(PROFILE + " UNION ALL ".join(f"SELECT event_type, {s} AS severity, '{c}' AS code, {n} AS n FROM p WHERE {t}" for s, c, n, t in _MSA_FOUND))
+def msa_issues(spark, sf_dir):
+    return quality.issues(dirty(spark, sf_dir), "v", "msa", TYPE).select("event_type", "severity", "code", "n")
+
+
+@query("SELECT 'ERROR' AS severity, 'missing_references' AS code, count(*) AS n FROM events WHERE event_id % 100 = 7")
+def missing_references(spark, sf_dir):
+    """Every hundredth reference is made null, so that there is something to find."""
+    rows = events(spark, sf_dir).withColumn("reference", F.when(F.col("event_id") % 100 != 7, F.col("value")))
+    return quality.missing_references(rows, "reference")
+
+
+@query("SELECT event_id, value FROM events WHERE value > 250 ORDER BY event_id LIMIT 10")
+def first_rows(spark, sf_dir):
+    return quality.first_rows(events(spark, sf_dir).select("event_id", "value"), "value", F.col("value") > 250, ["event_id"])
+
+
+@query(f"WITH {MONTHLY}, {HUNDREDS.replace('m AS', 'h AS')} SELECT 'month' AS rows, CASE WHEN min(n) <> max(n) THEN 'P' ELSE 'NP' END AS chart FROM m UNION ALL SELECT 'hundreds', CASE WHEN min(n) <> max(n) THEN 'U' ELSE 'C' END FROM h")
+def chart_choice_sizes(spark, sf_dir):
+    """Sample sizes that vary call for P, opportunities that do not for C."""
+    a = quality.chart_choice(monthly(spark, sf_dir), Roles(value="defectives", sample_size="n")).select(F.lit("month").alias("rows"), "chart")
+    return a.union(quality.chart_choice(hundreds(spark, sf_dir), Roles(value="defectives", opportunity="n")).select(F.lit("hundreds"), "chart"))
+
+
+@query(f"WITH {fives_sql()} SELECT event_type, 5::bigint AS subgroup_size, false AS variable_subgroups, 'Xbar-R' AS chart FROM subs GROUP BY 1")
+def chart_choice_subgroups(spark, sf_dir):
+    return quality.chart_choice(fives(spark, sf_dir), Roles(value="value", subgroup="block"), TYPE).select("event_type", "subgroup_size", "variable_subgroups", "chart")
+
+
+@query("SELECT * FROM (VALUES ('chart', 'value'), ('msa', 'value'), ('capability', 'value'), ('msa_first', 'event_id')) AS t(analysis, chosen)")
+def value_columns(spark, sf_dir):
+    """The value column that each analysis picks by name, from the schema of events."""
+    schema = table(spark, sf_dir, "events").schema
+    found = [("chart", roles.chart_value(schema)), ("msa", roles.msa_value(schema)), ("capability", roles.capability_value(schema)), ("msa_first", roles.msa_value(schema, parity=True))]
+    return spark.createDataFrame(found, "analysis string, chosen string")
+
+
+@query("SELECT * FROM (VALUES ('part', 'p_partkey'), ('operator', NULL), ('trial', NULL), ('reference', NULL), ('date', NULL), ('study', 'gage_rr')) AS t(role, chosen)")
+def role_columns(spark, sf_dir):
+    """Roles of a measurement study by name, from the schema of part, and the study that they call for."""
+    df = table(spark, sf_dir, "part")
+    found = roles.msa_roles(df.schema)
+    chosen = [(r, getattr(found, r)) for r in roles.MSA_ROLES] + [("study", msa.study_for(df, found))]
+    return spark.createDataFrame(chosen, "role string, chosen string")
+
+
+@query("SELECT to_json({n_nationkey: n_nationkey, n_name: n_name})::VARCHAR AS json FROM nation")
+def json_rows(spark, sf_dir):
+    return as_json(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+
+
 @query("WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), s AS (SELECT min(n) AS a, max(n) AS b, count(DISTINCT l_suppkey) AS p, count(DISTINCT l_returnflag) AS o FROM c) SELECT 'WARNING' AS severity, 'unbalanced' AS code, b AS n FROM s WHERE a <> b UNION ALL SELECT 'WARNING', 'few_parts', p FROM s WHERE p < 10 UNION ALL SELECT 'WARNING', 'few_operators', o FROM s WHERE o < 2")
 def gage_design(spark, sf_dir):
     return quality.gage_issues(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_returnflag")
@@ -285,9 +347,10 @@ def study_p_values(spark, sf_dir):
     return a.union(msa.linearity(rows, "x", "ref", ["l_returnflag"]).select("l_returnflag", F.lit("linearity"), "t", "p_value", "significant"))
 
 
-@query(f"WITH {PRICED} SELECT l_quantity, round(avg(x - ref), 4) AS bias, count(x) AS n FROM r GROUP BY 1")
+@query("SELECT l_linenumber::double AS l_linenumber, round(avg(l_quantity - l_linenumber), 6) AS bias, count(l_quantity) AS n FROM lineitem GROUP BY 1")
 def bias_by_reference(spark, sf_dir):
-    return tidy(msa.bias_by_reference(priced(spark, sf_dir).withColumn("level", F.col("l_quantity")).withColumn("ref", F.col("ref")), "x", "ref", ["level"]).groupBy("level").agg((F.sum(F.col("bias") * F.col("n")) / F.sum("n")).alias("bias"), F.sum("n").alias("n")).withColumnRenamed("level", "l_quantity"), ["l_quantity", "bias", "n"], 4)
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", F.col("l_linenumber").cast("double").alias("l_linenumber"))
+    return tidy(msa.bias_by_reference(rows, "l_quantity", "l_linenumber"), ["l_linenumber", "bias", "n"])
 
 
 PRICES = "m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice) AS price FROM orders GROUP BY 1)"
