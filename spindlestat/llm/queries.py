@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import backoff_lm, bpe, imatch, media, minhash, packing, quality, secrets, toxicity, url_filter
+from . import backoff_lm, bpe, imatch, media, minhash, packing, quality, secrets, sql, toxicity, url_filter
 from .common import id_and_text, table
 from .labelled import crc_mod
 
@@ -59,4 +59,4 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_backoff_lm, op3_jpeg_media, op4_secret_scan, op5_bpe, op6_quality_classifier, op7_url_filter, op8_minhash_neardup, op9_toxicity, op10_imatch_fingerprints)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_url_filter": sql.URL_FILTER}

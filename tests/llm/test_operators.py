@@ -8,12 +8,13 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from spindlestat.llm import backoff_lm, bpe, components, imatch, jpeg, media, minhash, packing, quality, secrets, shingles, toxicity, url_filter
+from spindlestat.llm import backoff_lm, bpe, components, imatch, jpeg, media, minhash, packing, quality, secrets, shingles, sql, toxicity, url_filter
 from spindlestat.llm.labelled import crc_mod
 
 random.seed(11)
@@ -398,6 +399,11 @@ def test_url_filter(spark):
     assert collections.Counter((r.page_id, r.verdict) for r in got.collect()) == collections.Counter((r[0], r[3]) for r in rows)
     assert by_page(got)[1].rule == "example.com/de/" and by_page(got)[2].path == "/q" and by_page(got)[7].path == ""
     assert url_filter.judge(pages.filter("1 = 0")).count() == 0
+    con = duckdb.connect()
+    frame = pages.toPandas()
+    con.register("pages", frame)
+    want = con.sql(sql.URL_FILTER).fetchall()
+    assert collections.Counter(want) == collections.Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.collect())
     more = spark.createDataFrame([("http://lone.com/a", "http://x.net/1"), (None, "http://x.net/1")], "source string, target string")
     assert by_page(url_filter.judge(pages, redirects=more))[10].verdict == "block"
 
