@@ -51,7 +51,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = id_and_text(table(spark, sf_dir, "documents"))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", model.column(F.col("text")).alias("s")).select("doc_id", "s.*")
-    return scored.withColumn("toxic", (F.col("p_toxic") >= 0.5).cast("int"))
+    return scored.withColumn("toxic", (F.col("p_toxic") >= model.cut).cast("int"))
 
 
 def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ from .labelled import sample
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 9)
 GRADE_EDGES = (3, 9)
+#: The cut lies at twice the probability that so large a share of the clean training rows stays below, within these limits.
+CLEAN, CUTS = 0.998, (0.05, 0.5)
 
 
 def word_features(word: str, bits: int) -> tuple[int, ...]:
@@ -39,6 +41,7 @@ class ToxicityModel:
     bits: int
     weights: dict[int, float]
     thresholds: tuple[float, ...]
+    cut: float = 0.5  # from this P(grade > 0) on, a text counts as toxic
 
     def probabilities(self, z: float | np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(np.asarray(z)[..., None] - np.asarray(self.thresholds), -35, 35)))
@@ -63,7 +66,7 @@ class ToxicityModel:
         return toxicity(text)
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 4e-4, steps: int = 400) -> tuple[dict[int, float], tuple[float, ...]]:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 5e-5, steps: int = 400) -> tuple[dict[int, float], tuple[float, ...]]:
     """Weights by feature, and the thresholds, that minimise the mean negative log likelihood plus l1 * |w|: accelerated proximal gradient steps with restarts.
 
     Thresholds are kept in order by optimising the first one and the logarithms of the gaps.
@@ -144,4 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 80
     toxic, rows = got.label.to_numpy(np.int64) > 0, [np.asarray(r, np.int64) for r in got.idx]
     grades = np.where(toxic, 1 + np.searchsorted(GRADE_EDGES, [len(r) for r in rows], side="left"), 0)
     weights, thresholds = fit_ordinal(rows, grades, 2 + len(GRADE_EDGES))
-    return ToxicityModel(bits, weights, thresholds)
+    model = ToxicityModel(bits, weights, thresholds)
+    clean = model.probabilities(np.array([sum(weights.get(f, 0.0) for f in r.tolist()) for r, t in zip(rows, toxic, strict=True) if not t] or [0.0]))[:, 0]
+    model.cut = float(np.clip(2 * np.quantile(clean, CLEAN), *CUTS))
+    return model
