@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spindlestat.llm import minhash, packing, quality, secrets, toxicity as toxic
 from spindlestat.llm.common import cut_lineage, table
 
-#: A document is rejected from this probability of being toxic on, or below this quality score.
-MOST_TOXIC, LEAST_QUALITY = 0.5, 0.3
+#: A document is rejected below this quality score.
+LEAST_QUALITY = 0.3
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that are more likely toxic than not."""
+    """Rejects documents that the model counts as toxic."""
     model = toxic.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return docs.filter(model.column(F.col("text"))["p_toxic"] < MOST_TOXIC)
+    return docs.filter(model.column(F.col("text"))["p_toxic"] < model.cut)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
