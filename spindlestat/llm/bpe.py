@@ -24,11 +24,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Memo, id_and_text, raw, record, slices, strings
+from .common import Memo, cut_lineage, id_and_text, raw, record, slices, strings
 
 #: Letters and numbers that the library knows and Python's tables lack: those that came with Unicode 16. Fixed values.
 NEW_LETTERS = "Ᲊ-ᲊꟋ-ꟍꟚ-Ƛ\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1\U000113d3\U00011bc0-\U00011be0\U00013460-\U000143fa\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff\U0001e5d0-\U0001e5ed\U0001e5f0"
 NEW_NUMBERS = "\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139\U00016d70-\U00016d79\U0001ccf0-\U0001ccf9\U0001e5f1-\U0001e5fa"
+#: Ids take so many bits in a pair of them.
+BITS = 20
+MASK, NONE = (1 << BITS) - 1, 1 << 62
+ONE = [bytes([b]) for b in range(256)]
 SPACES = "\x09-\x0d\x20\x85\xa0  -     　"
 
 
@@ -82,10 +86,11 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes |= {i: s.encode() for s, i in self.special.items()}
         self.single = [ids[next(c for c, b in signs.items() if b == x)] for x in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # left << BITS | right -> rank << BITS | result
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[ids[a], ids[b]] = rank, ids[a + b]
+            self.merges[ids[a] << BITS | ids[b]] = rank << BITS | ids[a + b]
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """The ids of a word: the pair of lowest rank is merged first, from the left, until none is left."""
@@ -93,39 +98,42 @@ class Vocabulary:
         return self._merge_long(ids) if len(ids) > 48 else self._merge_short(ids)
 
     def _merge_short(self, ids: list[int]) -> tuple[int, ...]:
-        none = (1 << 60, -1)
         get = self.merges.get
-        pairs = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        pairs = [get(a << BITS | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
         while pairs:
             best = min(pairs)
-            if best is none:
+            if best == NONE:
                 break
             i = pairs.index(best)
-            ids[i : i + 2] = [best[1]]
-            del pairs[i]
+            new = ids[i] = best & MASK
+            del ids[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = get((ids[i - 1], ids[i]), none)
+                pairs[i - 1] = get(ids[i - 1] << BITS | new, NONE)
             if i < len(pairs):
-                pairs[i] = get((ids[i], ids[i + 1]), none)
+                pairs[i] = get(new << BITS | ids[i + 1], NONE)
         return tuple(ids)
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
+        """The same in n log n steps: a heap of pairs by rank, then place; entries of pairs that are gone are skipped."""
         n, get = len(ids), self.merges.get
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(*m, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (m := get((a, b)))]
+        heap = [(m, i, p) for i, p in enumerate(a << BITS | b for a, b in zip(ids, ids[1:], strict=False)) if (m := get(p))]
         heapq.heapify(heap)
         while heap:
-            _, new, i, a, b = heapq.heappop(heap)
+            m, i, p = heapq.heappop(heap)
             j = after[i]
-            if not alive[i] or ids[i] != a or j >= n or ids[j] != b:
+            if not alive[i] or j >= n or ids[i] << BITS | ids[j] != p:
                 continue
-            ids[i], alive[j], after[i] = new, False, after[j]
+            ids[i], alive[j], after[i] = m & MASK, False, after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if m := get((new, ids[after[i]])):
-                    heapq.heappush(heap, (*m, i, new, ids[after[i]]))
-            if (k := before[i]) >= 0 and (m := get((ids[k], new))):
-                heapq.heappush(heap, (*m, k, ids[k], new))
+                p = ids[i] << BITS | ids[after[i]]
+                if m := get(p):
+                    heapq.heappush(heap, (m, i, p))
+            if (k := before[i]) >= 0:
+                p = ids[k] << BITS | ids[i]
+                if m := get(p):
+                    heapq.heappush(heap, (m, k, p))
         return tuple(x for x, ok in zip(ids, alive, strict=True) if ok)
 
 
@@ -202,14 +210,14 @@ class Lexicon:
         self.labels = at
 
     def __getitem__(self, word: bytes) -> tuple[int, ...] | None:
-        state, number, find, labels = self.root, 0, self.map.find, self.labels
-        for i in range(len(word)):
-            arc = find(word[i : i + 1], labels + (self.first[state] >> 1), labels + (self.first[state + 1] >> 1)) - labels
+        state, number, find, first, base = self.root, 0, self.map.find, self.first, self.labels
+        for b in word:
+            arc = find(ONE[b], base + (first[state] >> 1), base + (first[state + 1] >> 1)) - base
             if arc < 0:
                 return None
             number += self.before[arc]
             state = self.target[arc]
-        if not self.first[state] & 1:
+        if not first[state] & 1:
             return None
         return tuple(self.ids[self.starts[number] : self.starts[number + 1]])
 
@@ -225,8 +233,8 @@ class Encoder:
             ids = get(b)
             return vocabulary.merge(b) if ids is None else ids
 
-        self.words = Memo(of_word)
-        self.parts = Memo(lambda chunk: tuple(i for w in self.cutter.words(chunk) for i in self.words[w]))
+        self.words = Memo(of_word, 100_000)
+        self.parts = Memo(lambda chunk: tuple(i for w in self.cutter.words(chunk) for i in self.words[w]), 300_000)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         top = max(vocabulary.bytes) + 1
         self.written = [str(i) for i in range(top)]
@@ -249,6 +257,18 @@ class Encoder:
         return b.decode("utf-8", "replace").encode() if not b.isascii() else b
 
 
+_ENCODERS: dict[bytes, Encoder] = {}
+
+
+def encoder_of(content: str, block: bytes) -> Encoder:
+    """The encoder for a tokenizer and a lexicon; a worker keeps the last one, and what it has learnt, from task to task."""
+    key = hashlib.sha256(content.encode() + block).digest()
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(Vocabulary(content), Lexicon(block))
+    return _ENCODERS[key]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): how often each run of non-space bytes stands in all texts. Tasks count first; few rows travel for a common word."""
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
@@ -276,7 +296,16 @@ def frequent_lexicon(docs: DataFrame, vocabulary: Vocabulary, most: int = 32_768
 
     `most` is the bound on what the driver holds and on the lexicon; words beyond it are merged when they are met.
     """
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(most).collect()
+    counted = cut_lineage(word_counts(docs).filter("n > 1"))
+    # from the most frequent on, as many frequencies as hold `most` words at most: only those words reach the driver
+    sizes = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).filter(F.col("words") <= most).orderBy(F.desc("n")).limit(most).collect()
+    least, held = 2, 0
+    for r in sizes:
+        held += r["words"]
+        if held > most:
+            least = r["n"] + 1
+            break
+    top = counted.filter(F.col("n") >= least).limit(most).collect()
     cut = Cutter()
     words = {w.encode() for r in top for w in cut.words(" " + bytes(r["word"]).decode("utf-8", "replace"))}
     return compile_lexicon({w: vocabulary.merge(w) for w in words})
@@ -300,7 +329,7 @@ def encoded(docs: DataFrame, path: str, most: int = 32_768, digest: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content, block = shared.value
-        encoder = Encoder(Vocabulary(content), Lexicon(block))
+        encoder = encoder_of(content, block)
         for batch in slices(batches):
             n, first, second = [], [], []
             for text in strings(batch):

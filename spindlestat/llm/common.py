@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that most operators need, under fixed names; a null text counts as empty."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -54,18 +54,22 @@ def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and starts anew when it holds too much."""
+    """A dict that computes what it lacks. trim() makes it the older of two generations when it holds `most` entries, so that common entries outlast rare ones."""
 
     def __init__(self, make, most: int = 400_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.most:
+            self.old = dict(self)
             self.clear()
 
 
