@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import Memo, raw, record, shuffle_parts, slices
 from .shingles import mix
 
-ORDER, PRIOR, BLOCK_BYTES = 2, 200.0, 8 << 20
+ORDER, PRIOR, BLOCK_BYTES = 2, 200.0, 4 << 20
 U = np.uint64
 END = b" "  # no word holds a space
 MESSAGE = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -118,6 +118,15 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, first the lowest bytes of all, then the next ones: the highest are mostly zeros, which Spark's codec removes."""
+    return np.diff(keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(U)[:, 0], dtype=U)
+
+
 def join_parts(parts: list[bytes]) -> bytes:
     return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
@@ -138,7 +147,7 @@ def requests(docs: DataFrame, order: int, n_shards: int) -> DataFrame:
         for number, block in blocks(batches):
             asked = [(block.words, block.word_counts()), *((k, c) for k, _, c in block.grams(order))]
             bounds = [shard_bounds(k, n_shards) for k, _ in asked]
-            keys = [join_parts([k[b[s] : b[s + 1]].tobytes() for (k, _), b in zip(asked, bounds, strict=True)]) for s in range(n_shards)]
+            keys = [join_parts([packed_keys(k[b[s] : b[s + 1]]) for (k, _), b in zip(asked, bounds, strict=True)]) for s in range(n_shards)]
             counts = [join_parts([packed(c[b[s] : b[s + 1]]) for (_, c), b in zip(asked, bounds, strict=True)]) for s in range(n_shards)]
             yield record(MESSAGE, block=[number] * n_shards, shard=list(range(n_shards)), keys=keys, counts=counts)
 
@@ -153,7 +162,7 @@ def answers(asked: DataFrame) -> DataFrame:
         replies: list[list[bytes]] = [[] for _ in group]
         totals = b""
         for order in range(len(asks[0][0])):
-            keys = [np.frombuffer(k[order], U) for k, _ in asks]
+            keys = [unpacked_keys(k[order]) for k, _ in asks]
             counts = np.concatenate([unpacked(c[order]) for _, c in asks])
             distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(number, weights=counts, minlength=len(distinct)).astype(np.int64)
@@ -192,7 +201,7 @@ def stored_blocks(docs: DataFrame) -> DataFrame:
             rank = np.argsort(np.argsort(-np.bincount(b.tokens, minlength=len(b.words)), kind="stable")).astype(np.uint32)
             tokens = rank[b.tokens]
             planes = [zlib.compress(np.ascontiguousarray(p), 1) for p in tokens.view(np.uint8).reshape(-1, 4).T]
-            yield record(ANSWER, block=[number], shard=[-1], ids=[sink.getvalue().to_pybytes()], body=[join_parts([b.held_out.tobytes(), b.lengths.astype(np.int32).tobytes(), b.words.tobytes(), rank.tobytes(), *planes])])
+            yield record(ANSWER, block=[number], shard=[-1], ids=[sink.getvalue().to_pybytes()], body=[join_parts([b.held_out.tobytes(), b.lengths.astype(np.int32).tobytes(), packed_keys(b.words), rank.tobytes(), *planes])])
 
     return docs.mapInArrow(run, "block long, shard int, ids binary, body binary")
 
@@ -203,7 +212,7 @@ def restored(ids: bytes, body: bytes) -> Block:
     tokens = np.stack([np.frombuffer(zlib.decompress(p), np.uint8) for p in planes], axis=1).copy().view(np.uint32)[:, 0]
     back = np.empty(len(rank), np.int32)
     back[rank] = np.arange(len(rank))
-    return Block(pa.ipc.open_stream(ids).read_all().column(0).combine_chunks(), np.frombuffer(held_out, bool), np.frombuffer(lengths, np.int32).astype(np.int64), np.frombuffer(words, U), back[tokens])
+    return Block(pa.ipc.open_stream(ids).read_all().column(0).combine_chunks(), np.frombuffer(held_out, bool), np.frombuffer(lengths, np.int32).astype(np.int64), unpacked_keys(words), back[tokens])
 
 
 class Automaton:
