@@ -20,7 +20,9 @@ import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,6 +34,8 @@ NEW_NUMBERS = "\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U
 #: Ids take so many bits in a pair of them.
 BITS = 20
 MASK, NONE = (1 << BITS) - 1, 1 << 62
+#: Words that are merged at a time.
+ROWS = 4096
 ONE = [bytes([b]) for b in range(256)]
 SPACES = "\x09-\x0d\x20\x85\xa0  -     　"
 
@@ -91,6 +95,9 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[ids[a] << BITS | ids[b]] = rank << BITS | ids[a + b]
+        self.single_array = np.array(self.single, np.int32)
+        self.pair_keys = np.array(sorted(self.merges), np.int64)
+        self.pair_values = np.array([self.merges[k] for k in self.pair_keys.tolist()], np.int64)
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """The ids of a word: the pair of lowest rank is merged first, from the left, until none is left."""
@@ -113,6 +120,56 @@ class Vocabulary:
                 pairs[i] = get(new << BITS | ids[i + 1], NONE)
         return tuple(ids)
 
+    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """merge() of many words at once: rows of a matrix, of which each step merges the first pair of lowest rank."""
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        out: list = [None] * len(words)
+        for at in range(0, len(order), ROWS):
+            part = order[at : at + ROWS]
+            longest = len(words[part[-1]])
+            if longest > 48 or longest < 2 or len(part) < 64:  # few words, or long ones, one by one
+                for i in part:
+                    out[i] = self.merge(words[i])
+                continue
+            for i, ids in zip(part, self._merge_rows([words[i] for i in part], longest), strict=True):
+                out[i] = ids
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """rank << BITS | result of each pair; NONE for pairs that don't merge and where an id is missing (-1)."""
+        key = left.astype(np.int64) << BITS | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (right >= 0), self.pair_values[at], NONE)
+
+    def _merge_rows(self, words: list[bytes], width: int) -> list[tuple[int, ...]]:
+        n = len(words)
+        sizes = np.array([len(w) for w in words])
+        ids = np.full((n, width + 1), -1, np.int32)
+        ids[np.arange(width + 1) < sizes[:, None]] = self.single_array[np.frombuffer(b"".join(words), np.uint8)]
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        done = np.zeros((n, width), np.int32)
+        rows, columns = np.arange(n), np.arange(width)
+        while len(rows):
+            first = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(rows)), first]
+            merging = best != NONE
+            if not merging.all():
+                done[rows[~merging]] = ids[~merging, :width]
+                rows, ids, ranks, first, best = rows[merging], ids[merging], ranks[merging], first[merging], best[merging]
+                if not len(rows):
+                    break
+            at = np.arange(len(rows))
+            ids[at, first] = best & MASK
+            ids[:, :width] = np.take_along_axis(ids, columns + (columns > first[:, None]), axis=1)
+            ids[:, width] = -1
+            ranks[:, : width - 1] = np.take_along_axis(ranks, columns[:-1] + (columns[:-1] >= first[:, None]), axis=1)
+            ranks[:, width - 1] = NONE
+            ranks[at, first] = self._ranks(ids[at, first], ids[at, first + 1])
+            before = np.maximum(first - 1, 0)
+            ranks[at, before] = self._ranks(ids[at, before], ids[at, before + 1])
+            sizes[rows] -= 1
+        return [tuple(r[:k]) for r, k in zip(done.tolist(), sizes.tolist(), strict=True)]
+
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same in n log n steps: a heap of pairs by rank, then place; entries of pairs that are gone are skipped."""
         n, get = len(ids), self.merges.get
@@ -208,6 +265,9 @@ class Lexicon:
             at += 4 * n
         self.first, self.target, self.before, self.starts, self.ids = parts
         self.labels = at
+        # of each arc, state << 8 | label, which ascends: states are in order, and so are the labels of each
+        owner = np.repeat(np.arange(states), np.diff(np.asarray(self.first) >> 1))
+        self.keys = owner << 8 | np.frombuffer(self.map, np.uint8, arcs, at) if arcs else np.full(1, -1)
 
     def __getitem__(self, word: bytes) -> tuple[int, ...] | None:
         state, number, find, first, base = self.root, 0, self.map.find, self.first, self.labels
@@ -222,35 +282,76 @@ class Lexicon:
         return tuple(self.ids[self.starts[number] : self.starts[number + 1]])
 
 
-class Encoder:
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
-        self.vocabulary, self.cutter = vocabulary, Cutter()
-        lexicon = lexicon if lexicon is not None else {}
-        get = lexicon.__getitem__ if isinstance(lexicon, Lexicon) else lambda w: None
+    def find_all(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
+        """The ids of many words at once: all words take their first step through the automaton together, then the second, and so on."""
+        if len(words) < 64:
+            return [self[w] for w in words]
+        first, target, before = (np.asarray(x) for x in (self.first, self.target, self.before))
+        size = np.array([len(w) for w in words])
+        start = np.cumsum(size) - size
+        text = np.frombuffer(b"".join(words), np.uint8)
+        state, number = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        on = np.arange(len(words))
+        step = 0
+        while len(on := on[size[on] > step]):
+            key = state[on] << 8 | text[start[on] + step]
+            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[arc] == key
+            state[on[~found]] = -1
+            on, arc = on[found], arc[found]
+            number[on] += before[arc]
+            state[on] = target[arc]
+            step += 1
+        known = (state >= 0) & (first[np.maximum(state, 0)] & 1 == 1)
+        starts, ids = self.starts, self.ids
+        return [tuple(ids[starts[n] : starts[n + 1]]) if k else None for n, k in zip(number.tolist(), known.tolist(), strict=True)]
 
-        def of_word(word: str) -> tuple[int, ...]:
-            b = word.encode("utf-8", "surrogatepass")
-            ids = get(b)
-            return vocabulary.merge(b) if ids is None else ids
 
-        self.words = Memo(of_word, 100_000)
-        self.parts = Memo(lambda chunk: tuple(i for w in self.cutter.words(chunk) for i in self.words[w]), 300_000)
+class Encoder:
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
+        self.vocabulary, self.lexicon, self.cutter = vocabulary, lexicon, Cutter()
+        self.words: Memo = Memo(None, 150_000)
+        self.parts: Memo = Memo(None, 300_000)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         top = max(vocabulary.bytes) + 1
         self.written = [str(i) for i in range(top)]
         self.decoded = [vocabulary.bytes.get(i, b"") for i in range(top)]
 
-    def ids(self, text: str) -> list[int]:
-        if self.special and (found := self.special.split(text))[1:]:
-            return [i for k, x in enumerate(found) for i in ([self.vocabulary.special[x]] if k % 2 else self.ids(x))]
-        out: list[int] = []
-        extend = out.extend
-        for ids in map(self.parts.__getitem__, self.cutter.chunks(text)):
-            extend(ids)
-        self.parts.trim()
+    def _learn(self, chunks: set[str]) -> None:
+        """Puts the ids of these chunks into the memo: their words come from the lexicon, or are merged, all at once."""
+        cut = {c: self.cutter.words(c) for c in chunks}
+        new = self.words.lacking({w for words in cut.values() for w in words})
+        new = list(new)
+        coded = [w.encode("utf-8", "surrogatepass") for w in new]
+        found = self.lexicon.find_all(coded) if self.lexicon else [None] * len(new)
+        self.words.update((w, ids) for w, ids in zip(new, found, strict=True) if ids is not None)
+        unseen = [k for k, ids in enumerate(found) if ids is None]
+        self.words.update(zip([new[k] for k in unseen], self.vocabulary.merge_all([coded[k] for k in unseen]), strict=True))
+        known = self.words
+        for c, words in cut.items():
+            self.parts[c] = known[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(known.__getitem__, words)))
         self.words.trim()
+
+    def batch(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        pieces = [self.special.split(t) if self.special else [t] for t in texts]
+        cut = [[self.cutter.chunks(x) for x in p[::2]] for p in pieces]
+        self._learn(self.parts.lacking({c for p in cut for chunks in p for c in chunks}))
+        out, get = [], self.parts.__getitem__
+        for p, parts in zip(pieces, cut, strict=True):
+            ids: list[int] = []
+            for k, chunks in enumerate(parts):
+                if k:
+                    ids.append(self.vocabulary.special[p[2 * k - 1]])
+                for x in map(get, chunks):
+                    ids.extend(x)
+            out.append(ids)
+        self.parts.trim()
         return out
 
+    def ids(self, text: str) -> list[int]:
+        return self.batch([text])[0]
+
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the decoded text; bytes that are no valid UTF-8 become replacement signs, as in the library."""
         b = b"".join(map(self.decoded.__getitem__, ids))
@@ -330,10 +431,9 @@ def encoded(docs: DataFrame, path: str, most: int = 32_768, digest: bool = False
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content, block = shared.value
         encoder = encoder_of(content, block)
-        for batch in slices(batches):
+        for batch in slices(batches, most=2 << 20):
             n, first, second = [], [], []
-            for text in strings(batch):
-                ids = encoder.ids(text)
+            for ids in encoder.batch(strings(batch)):
                 n.append(len(ids))
                 if digest:
                     first.append(hashlib.sha256(",".join(map(encoder.written.__getitem__, ids)).encode()).hexdigest())

@@ -67,6 +67,14 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def lacking(self, keys: set) -> set:
+        """Those of the keys that neither generation holds; the others are in the younger one then."""
+        new, old = [k for k in keys if k not in self], self.old
+        for key in new:
+            if key in old:
+                self[key] = old[key]
+        return {k for k in new if k not in old}
+
     def trim(self) -> None:
         if len(self) > self.most:
             self.old = dict(self)
