@@ -317,6 +317,17 @@ def test_lexicon_is_minimal_and_exact():
     assert all(lexicon[w] == ids for w, ids in words.items()) and lexicon[b"ta"] is None and lexicon[b"tapss"] is None
     assert len(bpe.compile_lexicon({b"a" * 9 + b"x": (1,), b"b" + b"a" * 8 + b"x": (2,)})) < len(bpe.compile_lexicon({b"a" * 9 + b"x": (1,), b"bcdefghijk": (2,)}))
     assert bpe.Lexicon(bpe.compile_lexicon({}))[b"a"] is None
+    asked = [*words, b"ta", b"tapss", b"x", b"stopsx"] * 9
+    assert lexicon.find_all(asked) == [lexicon[w] for w in asked]
+    assert bpe.Lexicon(bpe.compile_lexicon({})).find_all(asked) == [None] * len(asked)
+
+
+def test_batch_merges_equal_single_ones(encoder):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeéthin中 ") for _ in range(rng.randrange(1, 60))).encode() for _ in range(500)]
+    assert encoder.vocabulary.merge_all(words) == [encoder.vocabulary.merge(w) for w in words]
+    texts = [" ".join(rng.choice(WORDS) for _ in range(30)) for _ in range(40)] + ["", "<|endoftext|>a<|endoftext|>"]
+    assert encoder.batch(texts) == [encoder.ids(t) for t in texts]
 
 
 def test_bpe_columns(docs, nothing, library):
