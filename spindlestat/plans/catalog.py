@@ -320,6 +320,28 @@ def range_by_operator(spark, sf_dir):
     return tidy(msa.range_by_operator(gage_data(spark, sf_dir), "value", "user_id", "event_type"), ["event_type", "user_id", "range"])
 
 
+#: The three queries above read a balanced extract, as their SQL does; these read every event of every user and type.
+EVERY = "g AS (SELECT user_id, event_type, value FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL)"
+
+
+@query(ANOVA.replace(GAGE, EVERY))
+def gage_rr_anova_whole(spark, sf_dir):
+    """Cells are of unequal size: the trials are their mean number, rounded down, as in the reference."""
+    names = "ss_total ss_part ss_operator ss_interaction ss_equipment var_repeatability var_reproducibility var_part var_total percent_grr contribution_grr tolerance_grr ndc verdict".split()
+    return tidy(msa.gage_rr(events(spark, sf_dir), "value", "user_id", "event_type", tolerance=500.0), names, 4)
+
+
+@query(f"""WITH {EVERY}, c AS (SELECT avg(r) AS r_bar FROM (SELECT max(value) - min(value) AS r FROM g GROUP BY user_id, event_type HAVING count(*) > 1)), o AS (SELECT max(m) - min(m) AS r FROM (SELECT avg(value) AS m FROM g GROUP BY event_type)), p AS (SELECT max(m) - min(m) AS r FROM (SELECT avg(value) AS m FROM g GROUP BY user_id)), s AS (SELECT count(DISTINCT user_id) AS parts, count(*) // (count(DISTINCT user_id) * count(DISTINCT event_type)) AS trials FROM g), n AS (SELECT parts * trials AS pt, {k.sql_by_size(k.D2_GAGE, k.D2_GAGE_ELSE, 'trials')}::double AS d2 FROM s),
+x AS (SELECT r_bar / d2 AS ev, sqrt(greatest((o.r / d2) * (o.r / d2) - (r_bar / d2) * (r_bar / d2) / pt, 0)) AS av, p.r / d2 AS pv FROM c, o, p, n), y AS (SELECT *, sqrt(ev * ev + av * av) AS grr, sqrt(ev * ev + av * av + pv * pv) AS tv FROM x) SELECT {rounded('ev av pv grr tv')}, round(100 * grr / tv, 6) AS percent_grr FROM y""")
+def gage_rr_range_whole(spark, sf_dir):
+    return tidy(msa.gage_rr_range(events(spark, sf_dir), "value", "user_id", "event_type"), ["ev", "av", "pv", "grr", "tv", "percent_grr"])
+
+
+@query(f"WITH {EVERY} SELECT event_type, user_id, round(max(value) - min(value), 6) AS range FROM g GROUP BY ALL")
+def range_by_operator_whole(spark, sf_dir):
+    return tidy(msa.range_by_operator(events(spark, sf_dir).filter("value IS NOT NULL"), "value", "user_id", "event_type"), ["event_type", "user_id", "range"])
+
+
 PRICED = "r AS (SELECT l_returnflag, l_quantity, l_extendedprice AS x, l_quantity * p_retailprice AS ref FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 

@@ -42,3 +42,14 @@ def test_query_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_query_without_sql_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, DIR).count() > 0
+
+
+def test_gage_queries_read_every_event(spark, con):
+    """Against plain sums over all rows: no user, type or later trial is left out."""
+    e = con.sql("SELECT user_id, event_type, value FROM events").df()
+    cells = e.groupby(["event_type", "user_id"]).value
+    ranges = {(r.event_type, r.user_id): r.range for r in catalog.range_by_operator_whole(spark, DIR).collect()}
+    assert len(ranges) == len(cells) and all(math.isclose(ranges[key], x.max() - x.min(), abs_tol=1e-5) for key, x in cells)
+    anova = catalog.gage_rr_anova_whole(spark, DIR).first()
+    assert math.isclose(anova.ss_total, ((e.value - e.value.mean()) ** 2).sum(), rel_tol=1e-6)
+    assert math.isclose(catalog.gage_rr_range_whole(spark, DIR).first().pv, (m := e.groupby("user_id").value.mean()).max() / 2.326 - m.min() / 2.326, rel_tol=1e-6)
