@@ -141,20 +141,43 @@ def normality(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFram
 
 
 def box_cox(df: DataFrame, value: str, groups: Sequence[str] = (), low: float = -2.0, high: float = 2.0, rounds: int = 4, points: int = 17) -> DataFrame:
-    """box_cox_lambda of each group whose values are all positive, of the greatest likelihood: a grid over [low, high], narrowed around each group's best in further passes, one aggregate each."""
-    x = F.col(value)
-    good = grouped(df, groups).agg(F.min(x).alias("least"), F.max(x).alias("most")).filter("least > 0 and most > least").select(*groups, F.lit((low + high) / 2).alias("best"))
-    rows = df.filter(x > 0).select(*groups, x.alias("_x"), F.ln(x).alias("_l"))
-    width = (high - low) / 2
+    """box_cox_lambda of each group whose values are all positive, of the greatest likelihood: a grid, narrowed around each group's best in further passes, one aggregate each, and a parabola through the last three points.
+
+    The first grid covers [low, high], and from there goes on in steps that double until it holds every lambda that can
+    be the best: with logarithms l about their mean, a transformed group's values span at least (exp(a) - 1) / lambda
+    for a = lambda max(l), which is exp(a / 2) max(l) at least; their variance is at least that span squared over 2 n,
+    and beyond a = 2 ln(sqrt(2 n var(l)) / max(l)) greater than at lambda 0. Below 0 it is the same with min(l).
+    """
+    x, logs, width = F.col(value), F.ln(value), high - low
+    found = grouped(df, groups).agg(F.min(x).alias("_low"), F.avg(logs).alias("_mean"), F.min(logs).alias("_least"), F.max(logs).alias("_most"), F.sqrt(2 * F.count(x) * F.var_pop(logs)).alias("_s"))
+    found = found.filter("_low > 0 and _most > _mean and _least < _mean").withColumns({"_least": F.col("_least") - F.col("_mean"), "_most": F.col("_most") - F.col("_mean")})
+    farthest = lambda end: 2 * F.greatest(F.ln(F.col("_s") / F.abs(end)), F.lit(0.0)) / F.col(end)
+    doublings = lambda beyond: F.ceil(F.log2(1 + F.greatest(beyond, F.lit(0.0)) / width)).cast("int")
+    off = lambda k: width * (F.pow(F.lit(2.0), k) - 1)
+    below = F.transform(F.sequence(doublings(low - farthest("_least")), F.lit(0)), lambda k: low - off(k))
+    above = F.transform(F.sequence(F.lit(0), doublings(farthest("_most") - high)), lambda k: high + off(k))
+    inner = F.array(*[F.lit(low + width * i / (points - 1)) for i in range(1, points - 1)])
+    found = found.withColumn("_grid", F.concat(below, inner, above))
+
+    rows = df.filter(x > 0).select(*groups, logs.alias("_l"))
+    carried = ("_mean", "_least", "_most")
+    lam, t = F.col("_lam"), F.col("_lam") * (F.col("_l") - F.col("_mean"))
     for _ in range(rounds):
-        steps = F.array(*[F.lit(-width + 2 * width * i / (points - 1)) for i in range(points)])
-        tried = with_limits(rows, good, groups).select(*groups, "_x", "_l", F.explode(F.transform(steps, lambda s: F.col("best") + s)).alias("lam"))
-        y = F.when(F.abs("lam") < 1e-9, F.col("_l")).otherwise((F.pow("_x", "lam") - 1) / F.when(F.abs("lam") >= 1e-9, F.col("lam")))
-        fit = tried.groupBy(*groups, "lam").agg((F.first("lam") - 1) * F.sum("_l") - F.count(y) / 2 * F.ln(F.var_pop(y)))
-        fit = fit.toDF(*groups, "lam", "likelihood")
-        good = grouped(fit, groups).agg(F.max_by("lam", "likelihood").alias("best"))
-        width = 2 * width / (points - 1)
-    return good.withColumnRenamed("best", "box_cox_lambda")
+        tried = with_limits(rows, found, groups).select(*groups, "_l", *carried, F.explode("_grid").alias("_lam"))
+        # powers over their greatest one, so that none overflows, but differences from 1 where all are near it
+        top, near = F.greatest(lam * F.col("_most"), lam * F.col("_least")), F.abs(lam) * (F.col("_most") - F.col("_least")) < 1
+        y = F.when(lam == 0, F.col("_l") - F.col("_mean")).when(near, F.expm1(t) / F.when(lam != 0, lam)).otherwise(F.exp(t - top))
+        shift = F.when(near, 0.0).otherwise(top - F.ln(F.abs(lam)))
+        fit = tried.groupBy(*groups, "_lam").agg((-F.ln(F.var_pop(y)) / 2 - F.first(shift)).alias("_fit"), *[F.first(c).alias(c) for c in carried])
+        found = grouped(fit, groups).agg(F.sort_array(F.collect_list(F.struct("_lam", "_fit"))).alias("_tried"), F.max_by("_lam", "_fit").alias("_best"), *[F.first(c).alias(c) for c in carried])
+        found = found.withColumn("_i", F.array_position(F.col("_tried")["_lam"], F.col("_best")).cast("int"))
+        at = lambda i: F.element_at("_tried", F.least(F.greatest(i, F.lit(1)), F.size("_tried")))
+        a, b, c = at(F.col("_i") - 1), at(F.col("_i")), at(F.col("_i") + 1)
+        found = found.withColumn("_grid", F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: a["_lam"] + (c["_lam"] - a["_lam"]) * i / (points - 1)))
+    bend = a["_fit"] - 2 * b["_fit"] + c["_fit"]
+    inside = (F.col("_i") > 1) & (F.col("_i") < F.size("_tried")) & (bend < 0)
+    vertex = b["_lam"] + F.when(inside, (c["_lam"] - a["_lam"]) / 4 * (a["_fit"] - c["_fit"]) / F.when(bend < 0, bend)).otherwise(0.0)
+    return found.select(*groups, vertex.alias("box_cox_lambda"))
 
 
 def qq(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:

@@ -191,6 +191,27 @@ def test_normality(spark):
     assert abs(log.box_cox_lambda) < 0.05
 
 
+def test_box_cox_beyond_the_first_grid(spark):
+    """Normal values to the power of 1 / lambda, against a fine search of the likelihood in plain numpy."""
+    z = 10 + np.array([special.normal_quantile((i - 0.5) / 200) for i in range(1, 201)])
+    x = {lam: z ** (1 / lam) for lam in (-13, -0.5, 1, 7, 51)} | {"skewed": np.r_[np.ones(200), 0.01, 1.0001], "wide": 1e100 ** (z - 10), "big": 1e12 + 1e9 * z}
+    df = series(spark, np.concatenate(list(x.values())), g=[str(k) for k, v in x.items() for _ in v])
+    got = {r.g: r.box_cox_lambda for r in cap.box_cox(df, "value", ["g"]).collect()}
+
+    def likelihood(v, lam):
+        t = lam * (np.log(v) - np.log(v).mean())
+        return -np.log(np.var(np.exp(t - t.max()))) / 2 - t.max() + np.log(abs(lam))
+
+    assert got.keys() == {str(k) for k in x}
+    for k, v in x.items():
+        lam = got[str(k)]
+        assert isinstance(k, str) or abs(lam - k) < 0.05 + 0.03 * abs(k)
+        best = likelihood(v, lam if abs(lam) > 1e-9 else 1e-9) if k != "wide" else None
+        assert k == "wide" and abs(lam) < 0.01 or best >= max(likelihood(v, g) for g in np.r_[-np.geomspace(0.01, 5000, 4000), np.geomspace(0.01, 5000, 4000)]) - 1e-6
+    one = cap.box_cox(df.filter("g = '51'"), "value").first()
+    assert math.isclose(one.box_cox_lambda, got["51"], rel_tol=1e-3)
+
+
 def test_distribution_functions():
     assert math.isclose(special.t_two_sided(2.228, 10), 0.05, abs_tol=1e-4)  # a printed table's value
     assert math.isclose(special.ks_two_sided(0.274, 10), 1 - 0.6284796154565043)  # a published example
