@@ -1,15 +1,17 @@
 """Document fingerprints by I-Match, native: terms within a band of document frequencies, sorted and hashed by lexicon subset.
 
 Terms are the distinct lower-cased runs of non-space characters of a text. The lexicon keeps those that stand in a share
-of LOW to HIGH of all documents (and in two at least). As a document has so many distinct terms on average, at most that
+of LOW to HIGH of all documents (and in two at least), where a large group of near copies counts about as much as one
+document: each of its members as 1 / its size, which is how many documents share a smallest hash of four-word shingles
+with it (the second greatest of SKETCHES such numbers, if at least HIGH / 50 of all documents). As a document has so many distinct terms on average, at most that
 many / LOW terms can be in the lexicon: its size doesn't grow with the corpus, so it is broadcast (beyond MOST_TERMS, as
 with texts of millions of terms, it is joined by shuffle).
 
 A fingerprint has SLOTS slots. Slot 0 is for the whole lexicon, as in plain I-Match; each other slot is for a random
 subset of it that keeps a term with probability 1/16 to 1/512. A slot is the hash of the sorted terms of the text that
 are in its subset, `-` if there are none. Small subsets outlast edits, large ones tell texts apart. The likeness of two
-fingerprints is the share of equal slots among those that either fills. A text without any term of the lexicon has the
-hash of the text itself.
+fingerprints is the share of equal slots among those that either fills. A text without any term of the lexicon has slots
+over all its terms, a text without any term its hash. A copy with a term of the lexicon is unlike a copy without any.
 """
 
 from __future__ import annotations
@@ -23,11 +25,18 @@ from .common import cut_lineage
 LOW, HIGH, SLOTS, MOST_TERMS = 0.001, 0.05, 48, 2_000_000
 #: Documents of a bucket (of neighbouring ids), and buckets, which bound what the driver holds.
 BUCKET_DOCS, MOST_BUCKETS = 256, 16_384
+#: Sketches of a text; the weight of a text that stands for itself; terms by which most texts are seen to need no slots over all their terms.
+SKETCHES, UNIT, COMMONEST = 8, 1 << 20, 2000
+BLANKS = r"[\x20\x09-\x0D]+"
+
+
+#: What hashes are combined with, for as many orders of them.
+ORDERS = [(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63) for i in range(SKETCHES)]
 
 
 def terms(text: Column) -> Column:
     """The distinct terms, and first the empty string, which stands for the text itself."""
-    return F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower(text), r"[\x20\x09-\x0D]+")))
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower(text), BLANKS)))
 
 
 def slot_bits(slot: int) -> int:
@@ -41,12 +50,40 @@ def slot_bits(slot: int) -> int:
     return out - (1 << 64) if out >> 63 else out
 
 
+def let(x: Column, f) -> Column:
+    """f(x), with x computed once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def sketch(text: Column) -> Column:
+    """SKETCHES smallest hashes of the text's shingles of four words, each in another order of the hashes."""
+    joined = lambda a, k: F.zip_with(a, F.slice(a, k + 1, F.size(a)), lambda p, q: F.xxhash64(p, q))
+    least = lambda a, i: F.array_min(F.transform(a, lambda x: x.bitwiseXOR(F.lit(ORDERS[i]))))
+    hashes = F.transform(F.split(F.lower(text), BLANKS), lambda w: F.xxhash64(w))
+    return let(let(let(hashes, lambda a: joined(a, 1)), lambda a: joined(a, 2)), lambda a: F.array(*[least(a, i) for i in range(SKETCHES)]))
+
+
+def weighted(docs: DataFrame, n: int, least: float) -> tuple[DataFrame, int]:
+    """(text, w): UNIT over the size of the text's group of near copies, if that is of `least` documents or more; and the sum of w."""
+    keys = docs.select(F.posexplode(sketch(F.col("text"))).alias("i", "key")).groupBy("i", "key").count().filter(F.col("count") >= max(2, least)).collect()
+    if not keys:
+        return docs.select("text", F.lit(UNIT).cast("long").alias("w")), n * UNIT
+    rows = docs.select("text", F.explode(F.array(sketch(F.col("text")))).alias("keys"))
+    for i in range(SKETCHES):
+        large = docs.sparkSession.createDataFrame([(r["key"], r["count"]) for r in keys if r["i"] == i], f"k{i} long, c{i} long")
+        rows = rows.join(F.broadcast(large), F.col("keys")[i] == F.col(f"k{i}"), "left")
+    size = F.sort_array(F.array(*[F.coalesce(f"c{i}", F.lit(1)) for i in range(SKETCHES)]), asc=False)[1]
+    rows = rows.select("text", F.floor(UNIT / size).alias("w"))
+    return rows, rows.agg(F.sum("w")).first()[0]
+
+
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term, bits): the hashes of the terms within the band, and hashed again for the subsets; a last row for the empty string, with null bits."""
+    """(term, bits, df): the hashes of the terms within the band, and hashed again for the subsets; a last row for the empty string, with null bits."""
     n = docs.count()
-    counted = docs.select(F.explode(terms(F.col("text"))).alias("t")).filter("t != ''").groupBy(F.xxhash64("t").alias("term")).agg(F.count(F.lit(1)).alias("df"))
-    kept = counted.filter(F.col("df").between(max(2, low * n), high * n)).select("term", F.xxhash64("term", F.lit(7)).alias("bits"))
-    return kept.union(docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(None).cast("long").alias("bits")))
+    rows, n = weighted(docs, n, high / 50 * n)
+    counted = rows.select("w", F.explode(terms(F.col("text"))).alias("t")).filter("t != ''").groupBy(F.xxhash64("t").alias("term")).agg(F.sum("w").alias("df"))
+    kept = counted.filter(F.col("df").between(max(2 * UNIT, low * n), high * n)).select("term", F.xxhash64("term", F.lit(7)).alias("bits"), "df")
+    return kept.union(docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(None).cast("long").alias("bits"), F.lit(0).cast("long").alias("df")))
 
 
 def with_bucket(docs: DataFrame) -> DataFrame:
@@ -111,19 +148,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = cut_lineage(lexicon(docs, low, high))
+    common = [r["term"] for r in words.filter("bits IS NOT NULL").orderBy(F.desc("df"), "term").limit(COMMONEST).collect()]
+    words = words.drop("df")
     few = words.count() <= MOST_TERMS
     half = F.floor(F.length("text") / 2).cast("int")
     rows = in_order(docs).withColumn("edited", F.when(F.col("extra"), "").otherwise(F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("following"), F.lit(1), half))))
     info = F.struct(F.col("doc_id").alias("doc_id"), F.col("extra").alias("extra"), F.length("text").alias("n_chars"), F.when(~F.col("extra"), F.sha2(F.col("edited"), 256)).alias("edited_sha256"))
-    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.hex(F.xxhash64(c)).alias("whole"), terms(F.col(c)).alias("terms")) for side, c in ((0, "text"), (1, "edited"))])
-    rows = rows.select("bucket", "n", info.alias("info"), sides.alias("sides")).select("bucket", "n", "info", F.explode("sides").alias("s")).select("bucket", "n", "info", "s.side", "s.whole", F.posexplode("s.terms").alias("pos", "t"))
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), terms(F.col(c)).alias("terms")) for side, c in ((0, "text"), (1, "edited"))])
+    rows = rows.select("bucket", "n", info.alias("info"), sides.alias("sides")).select("bucket", "n", "info", F.explode("sides").alias("s"))
+    # all terms travel too, but not where a common term of the lexicon shows that they can't be needed
+    common = F.from_json(F.lit(json.dumps(common)), "array<bigint>")
+    whole = let(F.transform("s.terms", lambda t: F.xxhash64(t)), lambda h: F.when(~F.arrays_overlap(h, common), h))
+    rows = rows.select("bucket", "n", "info", "s.side", whole.alias("whole"), F.posexplode("s.terms").alias("pos", "t"))
     # what isn't a term travels with the first row of each text only
     only = lambda c: F.when(F.col("pos") == 0, F.col(c))
     rows = rows.select("bucket", "n", "side", only("info").alias("info"), only("whole").alias("whole"), F.xxhash64("t").alias("term"))
     rows = rows.join(F.broadcast(words) if few else words, "term")
     found = F.sort_array(F.collect_list(F.when(F.col("bits").isNotNull(), F.struct(F.col("term").alias("term"), F.col("bits").alias("bits")))))
     per = rows.groupBy("bucket", "n", "side").agg(found.alias("found"), F.max("info").alias("info"), F.max("whole").alias("whole"))
-    per = per.select("bucket", "n", "side", "info", F.when(F.size("found") == 0, F.concat(F.lit("text:"), "whole")).otherwise(slots(F.col("found"))).alias("fp"))
+    spare = F.transform(F.filter("whole", lambda h: h != F.xxhash64(F.lit(""))), lambda h: F.named_struct(F.lit("term"), h, F.lit("bits"), F.xxhash64(h, F.lit(7))))
+    shown = F.when(F.size("found") > 0, F.col("found")).otherwise(F.sort_array(spare))
+    fp = let(shown, lambda x: F.when(F.size(x) == 0, F.concat(F.lit("text:"), F.hex(F.xxhash64(F.lit(""))))).otherwise(slots(x)))
+    per = per.select("bucket", "n", "side", "info", fp.alias("fp"))
     both = per.groupBy("bucket", "n").agg(F.max("info").alias("info"), F.max(F.when(F.col("side") == 0, F.col("fp"))).alias("fingerprint"), F.max(F.when(F.col("side") == 1, F.col("fp"))).alias("edited_fingerprint"))
     both = both.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("n"))).filter(~F.col("info.extra"))
     return both.select("info.doc_id", F.col("info.n_chars").cast("long").alias("n_chars"), "info.edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"))

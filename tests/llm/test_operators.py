@@ -514,3 +514,31 @@ def test_fingerprints_over_many_buckets(spark, monkeypatch):
         half, following = len(t) // 2, rows[(k + 1) % len(rows)]
         assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + following[1][:half]).encode()).hexdigest()
         assert got[i].near_next == 1 or got[i].fingerprint != got[following[0]].fingerprint
+
+
+def test_fingerprints_where_a_third_are_near_copies(spark):
+    """Each copy has words of its own; words follow a steep law, so that some are in the band."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(2000)]
+    text = lambda n: rng.choices(words, [1 / (k + 20) for k in range(2000)], k=n)
+    base, rows = text(120), []
+    for i in range(900):
+        t = text(120)
+        if i % 3 == 0:
+            t = list(base)
+            for k in rng.sample(range(120), 4):
+                t[k] = rng.choice(words)
+        rows.append((i, " ".join(t)))
+    rows += [(1000 + i, " ".join(["w0", "w1", "w2", "w3", f"only{i // 2}", *["w4"] * (i % 2)])) for i in range(6)]
+    got = by_id(imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+
+    def like(a, b):
+        both = [p for p in zip(got[a].fingerprint.split(","), got[b].fingerprint.split(","), strict=False) if p != ("-", "-")]
+        return sum(p == q for p, q in both) / len(both)
+
+    copies = [like(a, a + 3) for a in range(0, 600, 3)]
+    others = [like(a, a + 3) for a in range(1, 600, 3)]
+    assert np.mean(copies) > 0.5 and min(copies) > 0.1 and np.mean(others) < 0.05
+    # nothing in the band: slots over all terms, so an edit doesn't change all of them
+    assert all(not r.fingerprint.startswith("text:") for r in got.values())
+    assert all(like(1000 + i, 1001 + i) > 0 for i in (0, 2, 4))
