@@ -1,45 +1,75 @@
-"""Positions and predecessors of rows, also in one series without group columns that is larger than a task can hold."""
+"""Positions and predecessors of rows in series, with or without group columns; no task has to hold a long series."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+from collections.abc import Callable, Sequence
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-#: Rows of a series without group columns that are a window of their own.
+from ..operators.errors import AnalysisError
+
+#: Rows of a series that may be a window, or a task, by themselves. Longer series are sorted by range and cut.
 STRIDE = 1 << 20
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into spark.checkpoint.dir; a folder of our own only where the session names none, as in tests."""
+    """checkpoint() into spark.checkpoint.dir; a folder of our own only where the session names none and runs in one JVM, as in tests."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spindlestat-checkpoints")
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise AnalysisError("no_checkpoint_folder", "on a cluster, spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spindlestat-"))
     return df.checkpoint(eager=True)
 
 
+def longest(df: DataFrame, group_cols: Sequence[str] = ()) -> int:
+    """The number of rows of the largest group."""
+    return df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
+
+
+def _ranged(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str], name: str) -> DataFrame:
+    """positions() of long series: one range sort by group and order, whose partitions are numbered on from the sizes of those before; a group's first number is then taken off."""
+    keys = [*group_cols, *order_cols]
+    ordered = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("_part", F.shiftright("_at", 33))
+    sizes = sorted(tuple(r) for r in ordered.groupBy("_part").count().collect())
+    starts = [(p, s) for (p, _), s in zip(sizes, accumulate((n for _, n in sizes), initial=0), strict=False)]
+    starts = df.sparkSession.createDataFrame(starts, "_part long, _start long")  # a row for each partition
+    rows = ordered.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_start")
+    if not group_cols:
+        return rows
+    first = rows.groupBy(*group_cols).agg((F.min(name) - 1).alias("_first"))
+    return rows.join(first, list(group_cols)).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
+
+
 def positions(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (), name: str = "seq") -> DataFrame:
-    """Adds the 1-based position within the group. Without groups: a range sort, and the counts of its partitions, so that no task sees all rows."""
-    if group_cols:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order_cols)).cast("long"))
-    ordered = cut_lineage(df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = sorted(ordered.groupBy(part.alias("p")).count().collect())
-    first = {p: sum(n for q, n in sizes if q < p) for p, _ in sizes}
-    start = F.lit(0)
-    if first:
-        start = F.create_map(*[F.lit(x) for p, n in first.items() for x in (p, n)])[part]
-    return ordered.withColumn(name, (start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("_at")
+    """Adds the 1-based position within the group; rows with a null group are left out."""
+    df = df.dropna(subset=list(group_cols)) if group_cols else df
+    if longest(df, group_cols) > STRIDE:
+        return _ranged(df, order_cols, group_cols, name)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order_cols)).cast("long"))
 
 
-def with_previous(df: DataFrame, value: str, order_cols: Sequence[str], group_cols: Sequence[str] = (), name: str = "previous") -> DataFrame:
-    """Adds seq and the value of the row before (null for the first row, and where that value is null)."""
-    rows = positions(df, order_cols, group_cols)
-    if group_cols:
-        return rows.withColumn(name, F.lag(value).over(Window.partitionBy(*group_cols).orderBy(*order_cols)))
-    # strides overlap by one row: the last of each is copied to the next one
+def over_strides(rows: DataFrame, group_cols: Sequence[str], back: int, columns: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
+    """Adds columns over windows that look back at most `back` rows (STRIDE at most) from a row with a position `seq`.
+
+    A window is a stride of a group, and the last rows of each stride are copied to the next one.
+    """
     stride = F.floor((F.col("seq") - 1) / STRIDE)
-    both = F.when(F.col("seq") % STRIDE == 0, F.array(stride, stride + 1)).otherwise(F.array(stride))
-    rows = rows.withColumn("_to", both).withColumn("_stride", F.explode("_to"))
-    rows = rows.withColumn(name, F.lag(value).over(Window.partitionBy("_stride").orderBy("seq")))
-    return rows.filter(F.floor((F.col("seq") - 1) / STRIDE) == F.col("_stride")).drop("_to", "_stride")
+    at_end = (F.col("seq") - 1) % STRIDE >= STRIDE - back
+    rows = rows.withColumn("_stride", F.explode(F.when(at_end, F.array(stride, stride + 1)).otherwise(F.array(stride))))
+    w = Window.partitionBy(*group_cols, "_stride").orderBy("seq")
+    return rows.withColumns({name: f(w) for name, f in columns.items()}).filter(stride == F.col("_stride")).drop("_stride")
+
+
+def with_previous(df: DataFrame, value: str, order_cols: Sequence[str], group_cols: Sequence[str] = (), name: str = "previous") -> DataFrame:
+    """Adds seq and the value of the row before (null for the first row, and where that value is null); rows with a null group are left out."""
+    df = df.dropna(subset=list(group_cols)) if group_cols else df
+    if longest(df, group_cols) > STRIDE:
+        return over_strides(_ranged(df, order_cols, group_cols, "seq"), group_cols, 1, {name: lambda w: F.lag(value).over(w)})
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    return df.withColumns({"seq": F.row_number().over(w).cast("long"), name: F.lag(value).over(w)})

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import constants as k
 from ..functions.ordering import positions
@@ -35,29 +36,38 @@ def within_sigma(df: DataFrame, value: str, subgroup: str, groups: Sequence[str]
     return out.select(*groups, (F.col("r_bar") / k.by_size(k.D2_WITHIN, k.D2_WITHIN_ELSE, F.col("size"))).alias("sigma_within"))
 
 
-def indices(sigma: Column, mean: Column, usl: float, lsl: float, target: float | None, names: Sequence[str]) -> dict[str, Column]:
-    """The five indices under the given names: width, upper, lower, the less of both, and about the target. 0 where sigma is 0."""
+def indices(sigma: Column, mean: Column, usl: float | None, lsl: float | None, target: float | None, names: Sequence[str]) -> dict[str, Column]:
+    """The five indices under the given names: width, upper, lower, the less of both, and about the target. 0 where sigma is 0; null for what a missing limit leaves open."""
     zero = lambda x: F.when(sigma > 0, x).when(sigma == 0, 0.0)
-    s = F.when(sigma > 0, sigma)
-    up, low = zero((usl - mean) / (3 * s)), zero((mean - lsl) / (3 * s))
-    off = F.sqrt(sigma * sigma + (mean - target) * (mean - target)) if target is not None else F.lit(None).cast("double")
-    return dict(zip(names, (zero((usl - lsl) / (6 * s)), up, low, F.least(up, low), ratio(F.lit(usl - lsl), 6 * off)), strict=True))
+    s, none = F.when(sigma > 0, sigma), F.lit(None).cast("double")
+    up = zero((usl - mean) / (3 * s)) if usl is not None else none
+    low = zero((mean - lsl) / (3 * s)) if lsl is not None else none
+    both = usl is not None and lsl is not None
+    off = F.sqrt(sigma * sigma + (mean - target) * (mean - target)) if target is not None else none
+    return dict(zip(names, (zero((usl - lsl) / (6 * s)) if both else none, up, low, F.least(up, low), ratio(F.lit(usl - lsl), 6 * off) if both else none), strict=True))
 
 
-def capability(df: DataFrame, value: str, usl: float, lsl: float, target: float | None = None, subgroup: str | None = None, groups: Sequence[str] = ()) -> DataFrame:
+def capability(df: DataFrame, value: str, usl: float | None, lsl: float | None, target: float | None = None, subgroup: str | None = None, groups: Sequence[str] = ()) -> DataFrame:
     """Everything about capability but normality, a row for each group, from one aggregate (two with subgroups).
 
     Without a target, the middle of the limits is it. Without subgroups, the sigma within is the overall one, so cp and
-    pp are equal. Counts, yield and dpmo are of the values that are there.
+    pp are equal. Counts, yield and dpmo are of the values that are there. One of the limits may be None: then the
+    indices, the z bench and the counts are those of the other, and what needs both is null.
     """
-    check_limits(usl, lsl)
-    target = (usl + lsl) / 2 if target is None else target
+    if usl is None and lsl is None:
+        raise AnalysisError("bad_limits", "at least one limit is needed")
+    both = usl is not None and lsl is not None
+    if both:
+        check_limits(usl, lsl)
+        target = (usl + lsl) / 2 if target is None else target
+    none = F.lit(None).cast("double")
     x = F.col(value)
-    one = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-    t = grouped(df, groups).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sigma_overall"), one(x > usl).alias("n_above"), one(x < lsl).alias("n_below"), F.min(x).alias("x_min"), F.max(x).alias("x_max"))
+    one = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    above, below = (x > usl if usl is not None else F.lit(False)), (x < lsl if lsl is not None else F.lit(False))
+    t = grouped(df, groups).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sigma_overall"), one(above).alias("n_above"), one(below).alias("n_below"), F.min(x).alias("x_min"), F.max(x).alias("x_max"))
     if subgroup:
         s = within_sigma(df, value, subgroup, groups)
-        t = t.join(s, list(groups)) if groups else t.crossJoin(F.broadcast(s))
+        t = t.join(s, list(groups)) if groups else t.crossJoin(F.broadcast(s))  # one row
     else:
         t = t.withColumn("sigma_within", F.col("sigma_overall"))
     mean = F.col("mean")
@@ -65,18 +75,17 @@ def capability(df: DataFrame, value: str, usl: float, lsl: float, target: float
     out = F.col("n_above") + F.col("n_below")
     t = t.withColumns({"n_out": out, "yield_percent": 100 * (1 - ratio(out, F.col("n"))), "dpmo": 1e6 * ratio(out, F.col("n"))})
     s = F.when(F.col("sigma_overall") > 0, F.col("sigma_overall"))
-    t = t.withColumn("z_bench", F.least((usl - mean) / s, (mean - lsl) / s))
+    t = t.withColumn("z_bench", F.least((usl - mean) / s if usl is not None else none, (mean - lsl) / s if lsl is not None else none))
     t = t.withColumn("expected_dpmo", F.when(F.col("z_bench") > 0, 1e6 * upper_tail("z_bench")))
     steps = F.when(F.col("dpmo") == 0, 6)
     for edge, level in STEPS:
         steps = steps.when(F.col("dpmo") >= edge, level)
-    middle = (usl + lsl) / 2
-    t = t.withColumns({"sigma_level": F.when(F.col("dpmo").isNotNull(), steps.otherwise(6)), "offset": mean - middle, "target_offset": mean - target})
-    t = t.withColumn("offset_percent", 100 * F.abs("offset") / ((usl - lsl) / 2))
+    t = t.withColumns({"sigma_level": F.when(F.col("dpmo").isNotNull(), steps.otherwise(6)), "offset": mean - (usl + lsl) / 2 if both else none, "target_offset": mean - target if target is not None else none})
+    t = t.withColumn("offset_percent", 100 * F.abs("offset") / ((usl - lsl) / 2) if both else none)
     t = t.withColumns({"centered": F.col("offset_percent") < CENTERED, "centered_by_gap": F.abs(F.col("cp") - F.col("cpk")) < CENTERED_GAP})
     rate = lambda c, names: F.when(c >= 1.67, names[0]).when(c >= 1.33, names[1]).when(c >= 1.0, names[2]).when(c.isNotNull(), names[3])
     t = t.withColumns({"rating": rate(F.col("cpk"), ("Excellent", "Good", "Marginal", "Poor")), "long_term_rating": rate(F.col("ppk"), ("Excellent", "Good", "Marginal", "Poor")), "tool_rating": rate(F.col("cpk"), ("World-class", "Excellent", "Adequate", "Unacceptable")), "report_rating": rate(F.col("cpk"), ("Excellent", "Excellent", "Adequate", "Poor"))})
-    parts = (F.concat(F.lit("Short-term capability: "), "rating"), F.concat(F.lit("Long-term performance: "), "long_term_rating"), F.when(F.col("yield_percent") >= 99.73, "Yield: excellent").when(F.col("yield_percent") >= 99, "Yield: good").otherwise("Yield: needs improvement"), F.when(F.col("centered"), "Process is centered").otherwise("Process is off center"))
+    parts = (F.concat(F.lit("Short-term capability: "), "rating"), F.concat(F.lit("Long-term performance: "), "long_term_rating"), F.when(F.col("yield_percent") >= 99.73, "Yield: excellent").when(F.col("yield_percent") >= 99, "Yield: good").otherwise("Yield: needs improvement"), F.when(F.col("centered"), "Process is centered").when(~F.col("centered"), "Process is off center"))
     return t.withColumn("assessment", F.concat_ws(" | ", *parts))
 
 
@@ -95,40 +104,33 @@ def normal_scores(df: DataFrame, value: str, groups: Sequence[str] = ()) -> Data
 
 
 def fit_statistics(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Anderson-Darling's a2 and Kolmogorov-Smirnov's d against the fitted normal distribution; both tails are computed as such, so that far values count."""
-    rows = normal_scores(df, value, groups).filter(F.col("z").isNotNull()).withColumn("minus_z", -F.col("z"))
+    """Anderson-Darling's a2 and Kolmogorov-Smirnov's d against the fitted normal distribution; both tails are computed as such, so that far values count. values: those of a group of 3 to MOST_SHAPIRO, for Shapiro and Wilk; null of others."""
+    rows = normal_scores(df, value, groups).withColumn("minus_z", -F.col("z"))
     rows = rows.withColumns({"above": upper_tail("z"), "below": upper_tail("minus_z")})
     i, n = F.col("i"), F.col("n")
     term = (2 * i - 1) * F.ln("below") + (2 * n + 1 - 2 * i) * F.ln("above")
     gap = F.greatest(i / n - F.col("below"), F.col("below") - (i - 1) / n)
-    return grouped(rows, groups).agg((-F.first("n") - F.sum(term) / F.first("n")).alias("a2"), F.max(gap).alias("ks_d"))
+    few = F.collect_list(F.when(n.between(3, MOST_SHAPIRO), F.col(value)))
+    out = grouped(rows, groups).agg((-F.first("n") - F.sum(term) / F.first("n")).alias("a2"), F.max(F.when(F.col("z").isNotNull(), gap)).alias("ks_d"), few.alias("values"))
+    return out.withColumn("values", F.when(F.size("values") > 0, F.col("values")))
 
 
-def shapiro(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
-    """sw_w, sw_p of each group of 3 to 5000 values; null for others, of which at most 5001 values are read."""
-    key = list(groups) or ["_all"]
-    rows = df.filter(F.col(value).isNotNull())
-    rows = rows if groups else rows.withColumn("_all", F.lit(0))
-    sizes = rows.groupBy(*key).count().filter(F.col("count").between(3, MOST_SHAPIRO)).drop("count")
-    rows = rows.join(sizes, key)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+@F.pandas_udf(StructType([StructField("sw_w", DoubleType()), StructField("sw_p", DoubleType())]))
+def shapiro_of(values: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(math.nan, math.nan) if v is None else shapiro_wilk(v) for v in values], columns=["sw_w", "sw_p"], dtype=float)
 
-    def test(part: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(part[value].to_numpy())
-        return part[key].head(1).assign(sw_w=w, sw_p=p)
 
-    out = rows.select(*key, value).groupBy(*key).applyInPandas(test, ", ".join(f"`{c}` {kinds[c]}" for c in key) + ", sw_w double, sw_p double")
-    return out if groups else out.drop("_all")
+def shapiro(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
+    """sw_w, sw_p of each group of 3 to 5000 values; null for others, whose values go nowhere."""
+    return fit_statistics(df, value, groups).select(*groups, shapiro_of("values").alias("s")).select(*groups, *[F.when(~F.isnan(f"s.{c}"), F.col(f"s.{c}")).alias(c) for c in ("sw_w", "sw_p")])
 
 
 def normality(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Five tests and their vote: normal if three or more pass. Fewer than 3 values: no verdict (null). With advice on transformations."""
-    parts = [moments(df, value, groups), fit_statistics(df, value, groups), shapiro(df, value, groups)]
-    if groups:
-        t = parts[0].join(parts[1], list(groups), "left").join(parts[2], list(groups), "left")
-    else:
-        t = parts[0].join(parts[1], F.lit(True), "left").join(parts[2], F.lit(True), "left")
-    t = t.withColumn("ks_p", ks_p_value(F.col("ks_d"), F.coalesce("n", F.lit(0)))).withColumn("ks_p", F.when(~F.isnan("ks_p"), F.col("ks_p")))
+    t, fit = moments(df, value, groups), fit_statistics(df, value, groups)
+    t = t.join(fit, list(groups), "left") if groups else t.join(fit, F.lit(True), "left")
+    tests = F.struct(ks_p_value(F.col("ks_d"), F.coalesce("n", F.lit(0))).alias("ks_p"), shapiro_of("values").alias("s"))
+    t = t.withColumn("_t", tests).withColumns({c: F.when(~F.isnan(f"_t.{p}"), F.col(f"_t.{p}")) for c, p in (("sw_w", "s.sw_w"), ("sw_p", "s.sw_p"), ("ks_p", "ks_p"))}).drop("_t", "values")
     n = F.col("n")
     critical = F.lit(AD_CRITICAL) / (1 + 0.75 / n + 2.25 / (n * n))
     passed = {"ad_pass": F.col("a2") < critical, "sw_pass": F.col("sw_p") > ALPHA, "ks_pass": F.col("ks_p") > ALPHA, "skew_pass": F.abs("skew") < 1, "kurt_pass": F.abs("kurt") < 1}
@@ -140,44 +142,50 @@ def normality(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFram
     return t.withColumns({"is_normal": F.when(n >= 3, F.col("n_passed") >= 3), "confidence": F.when(n >= 3, F.when(F.col("n_passed") >= 4, "High").when(F.col("n_passed") >= 3, "Medium").otherwise("Low")), "advice": F.when(size > 2, "Highly skewed: transform the data or use non-normal methods").when(size > 1, "Moderately skewed: consider a transformation").otherwise("No transformation is called for"), "transformation": F.when(skew > 1, "log").when(skew < -1, "square").otherwise("box-cox")})
 
 
-def box_cox(df: DataFrame, value: str, groups: Sequence[str] = (), low: float = -2.0, high: float = 2.0, rounds: int = 4, points: int = 17) -> DataFrame:
-    """box_cox_lambda of each group whose values are all positive, of the greatest likelihood: a grid, narrowed around each group's best in further passes, one aggregate each, and a parabola through the last three points.
+def box_cox(df: DataFrame, value: str, groups: Sequence[str] = (), low: float = -2.0, high: float = 2.0, rounds: int = 5, points: int = 17) -> DataFrame:
+    """box_cox_lambda of each group whose values are all positive, of the greatest likelihood: `points` lambdas at a time, then as many between the neighbours of the best, and a parabola through the last three.
 
-    The first grid covers [low, high], and from there goes on in steps that double until it holds every lambda that can
-    be the best: with logarithms l about their mean, a transformed group's values span at least (exp(a) - 1) / lambda
-    for a = lambda max(l), which is exp(a / 2) max(l) at least; their variance is at least that span squared over 2 n,
-    and beyond a = 2 ln(sqrt(2 n var(l)) / max(l)) greater than at lambda 0. Below 0 it is the same with min(l).
+    Each of the passes is one aggregate with a column for each lambda; no row is repeated. Lambdas are evenly spaced in
+    asinh(lambda). The first ones cover [low, high] and all that can be best beyond: with logarithms l about their mean, a
+    transformed group's values span at least (exp(a) - 1) / lambda for a = lambda max(l), which is exp(a / 2) max(l) at
+    least; their variance is at least that span squared over 2 n, and beyond a = 2 ln(sqrt(2 n var(l)) / max(l)) greater
+    than at lambda 0. Below 0 it is the same with min(l).
     """
-    x, logs, width = F.col(value), F.ln(value), high - low
+    x, logs = F.col(value), F.ln(value)
     found = grouped(df, groups).agg(F.min(x).alias("_low"), F.avg(logs).alias("_mean"), F.min(logs).alias("_least"), F.max(logs).alias("_most"), F.sqrt(2 * F.count(x) * F.var_pop(logs)).alias("_s"))
     found = found.filter("_low > 0 and _most > _mean and _least < _mean").withColumns({"_least": F.col("_least") - F.col("_mean"), "_most": F.col("_most") - F.col("_mean")})
     farthest = lambda end: 2 * F.greatest(F.ln(F.col("_s") / F.abs(end)), F.lit(0.0)) / F.col(end)
-    doublings = lambda beyond: F.ceil(F.log2(1 + F.greatest(beyond, F.lit(0.0)) / width)).cast("int")
-    off = lambda k: width * (F.pow(F.lit(2.0), k) - 1)
-    below = F.transform(F.sequence(doublings(low - farthest("_least")), F.lit(0)), lambda k: low - off(k))
-    above = F.transform(F.sequence(F.lit(0), doublings(farthest("_most") - high)), lambda k: high + off(k))
-    inner = F.array(*[F.lit(low + width * i / (points - 1)) for i in range(1, points - 1)])
-    found = found.withColumn("_grid", F.concat(below, inner, above))
-
+    found = found.withColumns({"_from": F.asinh(F.least(F.lit(low), farthest("_least"))), "_to": F.asinh(F.greatest(F.lit(high), farthest("_most")))})
+    carried = ("_mean", "_least", "_most", "_from", "_to")
     rows = df.filter(x > 0).select(*groups, logs.alias("_l"))
-    carried = ("_mean", "_least", "_most")
-    lam, t = F.col("_lam"), F.col("_lam") * (F.col("_l") - F.col("_mean"))
-    for _ in range(rounds):
-        tried = with_limits(rows, found, groups).select(*groups, "_l", *carried, F.explode("_grid").alias("_lam"))
-        # powers over their greatest one, so that none overflows, but differences from 1 where all are near it
+    place = lambda i: F.col("_from") + (F.col("_to") - F.col("_from")) * i / (points - 1)
+
+    def variance(lam: Column) -> tuple[Column, Column]:
+        """What the likelihood is the variance of, and the logarithm that is to be added to its own: powers over their greatest one, so that none overflows, but differences from 1 where all are near it."""
+        t = lam * (F.col("_l") - F.col("_mean"))
         top, near = F.greatest(lam * F.col("_most"), lam * F.col("_least")), F.abs(lam) * (F.col("_most") - F.col("_least")) < 1
-        y = F.when(lam == 0, F.col("_l") - F.col("_mean")).when(near, F.expm1(t) / F.when(lam != 0, lam)).otherwise(F.exp(t - top))
-        shift = F.when(near, 0.0).otherwise(top - F.ln(F.abs(lam)))
-        fit = tried.groupBy(*groups, "_lam").agg((-F.ln(F.var_pop(y)) / 2 - F.first(shift)).alias("_fit"), *[F.first(c).alias(c) for c in carried])
-        found = grouped(fit, groups).agg(F.sort_array(F.collect_list(F.struct("_lam", "_fit"))).alias("_tried"), F.max_by("_lam", "_fit").alias("_best"), *[F.first(c).alias(c) for c in carried])
-        found = found.withColumn("_i", F.array_position(F.col("_tried")["_lam"], F.col("_best")).cast("int"))
-        at = lambda i: F.element_at("_tried", F.least(F.greatest(i, F.lit(1)), F.size("_tried")))
-        a, b, c = at(F.col("_i") - 1), at(F.col("_i")), at(F.col("_i") + 1)
-        found = found.withColumn("_grid", F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: a["_lam"] + (c["_lam"] - a["_lam"]) * i / (points - 1)))
-    bend = a["_fit"] - 2 * b["_fit"] + c["_fit"]
-    inside = (F.col("_i") > 1) & (F.col("_i") < F.size("_tried")) & (bend < 0)
-    vertex = b["_lam"] + F.when(inside, (c["_lam"] - a["_lam"]) / 4 * (a["_fit"] - c["_fit"]) / F.when(bend < 0, bend)).otherwise(0.0)
-    return found.select(*groups, vertex.alias("box_cox_lambda"))
+        some = F.when(lam != 0, lam)
+        y = F.when(lam == 0, F.col("_l") - F.col("_mean")).when(near, F.expm1(t) / some).otherwise(F.exp(t - top))
+        return y, F.when(near, 0.0).otherwise(top - F.ln(F.abs(some)))
+
+    for _ in range(rounds):
+        tried = with_limits(rows, found.select(*groups, *carried), groups).withColumns({f"_lam{i}": F.sinh(place(i)) for i in range(points)})
+        fits = []
+        for i in range(points):
+            y, shift = variance(F.col(f"_lam{i}"))
+            fits += [F.var_pop(y).alias(f"_v{i}"), F.first(shift).alias(f"_shift{i}")]
+        found = grouped(tried, groups).agg(*fits, *[F.first(c).alias(c) for c in carried])
+        fit = F.array(*[F.struct((-F.ln(f"_v{i}") / 2 - F.col(f"_shift{i}")).alias("fit"), F.lit(-i).alias("i")) for i in range(points)])
+        found = found.withColumns({"_fits": fit, "_i": -F.array_max(fit)["i"]})
+        low_, high_ = (F.greatest(F.col("_i") - 1, F.lit(0)), F.least(F.col("_i") + 1, F.lit(points - 1)))
+        last = found.select(*groups, "_fits", "_i", *carried)
+        found = last.withColumns({"_from": place(low_), "_to": place(high_)})
+    f = lambda i: F.element_at("_fits", F.greatest(F.least(i + 1, F.lit(points)), F.lit(1)))["fit"]
+    i = F.col("_i")
+    bend = f(i - 1) - 2 * f(i) + f(i + 1)
+    inside = (i > 0) & (i < points - 1) & (bend < 0)
+    vertex = i + F.when(inside, (f(i - 1) - f(i + 1)) / (2 * F.when(bend < 0, bend))).otherwise(0.0)
+    return last.select(*groups, F.sinh(place(vertex)).alias("box_cox_lambda"))
 
 
 def qq(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:

@@ -8,10 +8,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as k
-from ..functions.ordering import with_previous
+from ..functions.ordering import over_strides, with_previous
 from .common import beyond, clip, grouped, ratio, with_limits
 from .errors import AnalysisError
 from .roles import Roles
@@ -21,7 +21,6 @@ CHARTS = ("I-MR", "Xbar-R", "Xbar-S", "P", "NP", "C", "U")
 
 def moving_range(df: DataFrame, value: str, order_cols: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
     """The rows with seq and mr, the distance to the row before; null where either value is."""
-    df = df.dropna(subset=list(groups)) if groups else df
     return with_previous(df, value, order_cols, groups).withColumn("mr", F.abs(F.col(value) - F.col("previous"))).drop("previous")
 
 
@@ -115,16 +114,17 @@ def summary(points: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFr
     return out.withColumns({"status": F.when(fine, "IN CONTROL").otherwise("OUT OF CONTROL"), "recommendation": F.when(fine, "Process is stable; continue monitoring").otherwise("Investigate the special causes of the points beyond the limits")})
 
 
-def run_rules(points: DataFrame, value: str, order: str = "seq", groups: Sequence[str] = ()) -> DataFrame:
-    """Extension: Western Electric's zone rules on I-MR points, as columns rule_2of3, rule_4of5, rule_8run. Without groups the window is one task."""
-    w = Window.partitionBy(*groups).orderBy(order)
+def run_rules(points: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Extension: Western Electric's zone rules on I-MR points (which have their position, seq), as columns rule_2of3, rule_4of5, rule_8run."""
     sigma = (F.col("ucl") - F.col("cl")) / 3
     z = (F.col(value) - F.col("cl")) / F.when(sigma != 0, sigma)
-    out = points.withColumn("_z", z)
-    seen = lambda test, n: F.sum(F.coalesce(test, F.lit(False)).cast("int")).over(w.rowsBetween(1 - n, 0))
-    z = F.col("_z")
-    rules = {"rule_2of3": (seen(z > 2, 3) >= 2) | (seen(z < -2, 3) >= 2), "rule_4of5": (seen(z > 1, 5) >= 4) | (seen(z < -1, 5) >= 4), "rule_8run": (seen(z > 0, 8) >= 8) | (seen(z < 0, 8) >= 8)}
-    return out.withColumns(rules).drop("_z")
+    seen = lambda w, test, n: F.sum(F.coalesce(test, F.lit(False)).cast("int")).over(w.rowsBetween(1 - n, 0))
+
+    def rule(edge: int, least: int, n: int):
+        return lambda w: (seen(w, F.col("_z") > edge, n) >= least) | (seen(w, F.col("_z") < -edge, n) >= least)
+
+    rules = {"rule_2of3": rule(2, 2, 3), "rule_4of5": rule(1, 4, 5), "rule_8run": rule(0, 8, 8)}
+    return over_strides(points.withColumn("_z", z), groups, 7, rules).drop("_z")
 
 
 @dataclass

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from .common import grouped, ratio
@@ -25,13 +25,10 @@ def number(value: str) -> Column:
 def profile(df: DataFrame, value: str, groups: Sequence[str] = (), usl: float | None = None, lsl: float | None = None) -> DataFrame:
     """All counts and moments that checks and the chart choice need, of each group."""
     x = number(value)
-    raw = F.col(value)
-    one = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-    nan = F.isnan(raw.try_cast(DoubleType()))
-    missing = raw.isNull() | F.coalesce(nan, F.lit(False))
-    outside = (x > usl) | (x < lsl) if usl is not None and lsl is not None else F.lit(False)
+    tests = row_tests(value, usl, lsl)
+    one = lambda code: F.count_if(tests.get(code, F.lit(False)))
     return grouped(df, groups).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("n"), one(missing).alias("n_missing"), one(~missing & x.isNull()).alias("n_text"), one(x.isin(*ERROR_CODES)).alias("n_codes"), one(x < 0).alias("n_negative"), one(outside).alias("n_outside"),
+        F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("n"), one("missing_values").alias("n_missing"), one("non_numeric").alias("n_text"), one("error_codes").alias("n_codes"), one("negative_values").alias("n_negative"), one("mostly_outside").alias("n_outside"),
         F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.avg(x).alias("x_mean"), F.stddev_samp(x).alias("x_sd"), F.count_distinct(x).alias("n_distinct"), F.bool_and(x.isin(0.0, 1.0)).alias("binary"), F.bool_and(x == F.floor(x)).alias("whole"),
     )
 
@@ -53,32 +50,43 @@ def issues(df: DataFrame, value: str, kind: str = "chart", groups: Sequence[str]
     return p.select(*groups, rows.alias("r")).select(*groups, F.explode("r").alias("i")).filter("i.holds").select(*groups, "i.severity", "i.code", "i.n")
 
 
-def first_rows(df: DataFrame, value: str, test: Column, order_cols: Sequence[str], most: int = 10) -> DataFrame:
-    """The first rows for which the test holds: what an issue shows of its rows."""
-    return df.filter(test).orderBy(*order_cols).limit(most)
+def row_tests(value: str, usl: float | None = None, lsl: float | None = None) -> dict[str, Column]:
+    """For each code that single rows can be blamed for, whether a row is one of them."""
+    x, raw = number(value), F.col(value)
+    missing = raw.isNull() | F.coalesce(F.isnan(raw.try_cast(DoubleType())), F.lit(False))
+    tests = {"missing_values": missing, "non_numeric": ~missing & x.isNull(), "error_codes": x.isin(*ERROR_CODES), "negative_values": x < 0}
+    return tests | ({"mostly_outside": (x > usl) | (x < lsl)} if usl is not None and lsl is not None else {})
 
 
-def gage_issues(df: DataFrame, part: str | None, operator: str | None) -> DataFrame:
-    """Checks of a gage study's design: unequal cells, few parts, few operators."""
+def first_rows(df: DataFrame, tests: dict[str, Column], order_cols: Sequence[str], groups: Sequence[str] = (), most: int = 10) -> DataFrame:
+    """code, place (1 to `most`) and the columns of the first rows, in each group, for which each test holds: what a finding shows of its rows. This limit is the feature; Spark cuts each task's rows to it before the shuffle."""
+    holds = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(c)) for c, t in tests.items()]))
+    rows = df.select(F.explode(holds).alias("code"), *df.columns)
+    w = Window.partitionBy("code", *groups).orderBy(*order_cols)
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+
+
+def gage_issues(df: DataFrame, part: str | None, operator: str | None, groups: Sequence[str] = ()) -> DataFrame:
+    """Checks of a gage study's design, by group: unequal cells, few parts, few operators."""
     if not part or not operator:
         raise AnalysisError("missing_columns", "a gage study needs a part and an operator")
-    cells = grouped(df, [part, operator]).count()
-    shape = cells.groupBy().agg(F.min("count").alias("least"), F.max("count").alias("most"), F.count_distinct(part).alias("parts"), F.count_distinct(operator).alias("operators"))
+    cells = grouped(df, [*groups, part, operator]).count()
+    shape = grouped(cells, groups).agg(F.min("count").alias("least"), F.max("count").alias("most"), F.count_distinct(part).alias("parts"), F.count_distinct(operator).alias("operators"))
     found = [("unbalanced", F.col("most"), F.col("least") != F.col("most")), ("few_parts", F.col("parts"), F.col("parts") < LEAST_PARTS), ("few_operators", F.col("operators"), F.col("operators") < LEAST_OPERATORS)]
     rows = F.array(*[F.struct(F.lit("WARNING").alias("severity"), F.lit(c).alias("code"), n.cast("long").alias("n"), F.coalesce(t, F.lit(False)).alias("holds")) for c, n, t in found])
-    return shape.select(F.explode(rows).alias("i")).filter("i.holds").select("i.severity", "i.code", "i.n")
+    return shape.select(*groups, F.explode(rows).alias("i")).filter("i.holds").select(*groups, "i.severity", "i.code", "i.n")
 
 
-def missing_references(df: DataFrame, reference: str) -> DataFrame:
-    n = df.agg(F.sum(F.col(reference).isNull().cast("long")).alias("n")).filter("n > 0")
-    return n.select(F.lit("ERROR").alias("severity"), F.lit("missing_references").alias("code"), "n")
+def missing_references(df: DataFrame, reference: str, groups: Sequence[str] = ()) -> DataFrame:
+    n = grouped(df, groups).agg(F.sum(F.col(reference).isNull().cast("long")).alias("n")).filter("n > 0")
+    return n.select(*groups, F.lit("ERROR").alias("severity"), F.lit("missing_references").alias("code"), "n")
 
 
-def gate(found: DataFrame, most: int = 100) -> None:
-    """Raises if any finding is an error."""
-    errors = found.filter("severity = 'ERROR'").limit(most).collect()
+def gate(found: DataFrame) -> None:
+    """Raises if any finding is an error, with a line for each code: how many groups have it, and how many rows in all."""
+    errors = found.filter("severity = 'ERROR'").groupBy("code").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n")).orderBy("code").collect()
     if errors:
-        raise AnalysisError("data_quality_error", "the data have errors", [f"{r['code']}: {r['n']}" for r in errors])
+        raise AnalysisError("data_quality_error", "the data have errors", [f"{r['code']}: {r['n']}" + (f" in {r['groups']} groups" if r["groups"] > 1 else "") for r in errors])
 
 
 def chart_choice(df: DataFrame, roles: Roles, groups: Sequence[str] = ()) -> DataFrame:
