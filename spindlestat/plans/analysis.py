@@ -1,20 +1,51 @@
-"""Whole analyses of one data set, from a file or a DataFrame: detect roles, check the data, choose, compute, and report as JSON or HTML."""
+"""Whole analyses of one data set, from a file or a DataFrame: detect roles, check the data, choose, compute, and report.
+
+Each has two forms. chart_analysis, msa_analysis and capability_analysis return an Analysis, whose tables are lazy
+DataFrames with every row, to be written or worked on. run_... are the same as plain objects for JSON: at most `most` rows
+of a table, with `totals` of how many each has and `truncated`, the names of those that are not whole (most=None: all).
+"""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, replace
+from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import capability as cap, charts, msa as gauge, quality
 from ..operators.errors import AnalysisError
 from ..operators.roles import Roles, capability_value, chart_value, msa_roles, msa_value
-from ..sources.files import ORDER, html_report, measured, read_csv, to_dict
+from ..sources.files import ORDER, html_report, measured, read_csv, shown
+
+MOST = 10_000
+#: What each kind of chart takes besides roles and order.
+OPTIONS = {"P": ("parity",), "U": ("parity",), "Xbar-R": ("clip_lcl",), "Xbar-S": ("clip_lcl",)}
+
+
+@dataclass
+class Analysis:
+    kind: str
+    roles: Roles
+    tables: dict[str, DataFrame]
+    facts: dict = field(default_factory=dict)
+
+    def as_dict(self, most: int | None = MOST) -> dict:
+        got = {name: shown(df, most) for name, df in self.tables.items()}
+        rows = {name: r for name, (r, _) in got.items()}
+        return {"success": True, **self.facts, "roles": asdict(self.roles), **rows, "totals": {name: n for name, (_, n) in got.items()}, "truncated": [name for name, (r, n) in got.items() if len(r) < n]}
+
+    def report(self, path: str, most: int | None = 200) -> str:
+        """Writes an HTML page of the tables to `path` and returns it. Local: the page is small."""
+        page = html_report(f"{self.kind} analysis", self.tables, most)
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(page)
+        return page
 
 
 def _loaded(spark: SparkSession, data: str | DataFrame) -> DataFrame:
+    """With `_row`, the order of rows. A DataFrame that lacks it is taken in the order of its partitions; give a date role where that means nothing."""
     if isinstance(data, str):
         return read_csv(spark, data)
     if data.isEmpty():
@@ -27,50 +58,107 @@ def _value(df: DataFrame, given: str | None, find) -> str:
     return given or find(schema)
 
 
-def _found(issues: DataFrame) -> list[dict]:
-    return to_dict(issues)
+def _tests(df: DataFrame, roles: Roles, kind: str, groups: Sequence[str], usl: float | None = None, lsl: float | None = None) -> dict[str, DataFrame]:
+    """issues, and issue_rows: the first rows of each; raises if there is an error among them."""
+    issues = quality.issues(df, roles.value, kind, groups, usl, lsl)
+    if kind == "msa":
+        columns = [*groups, "severity", "code", "n"]
+        if roles.part and roles.operator:
+            issues = issues.select(columns).unionByName(quality.gage_issues(df, roles.part, roles.operator, groups).select(columns))
+        if roles.reference:
+            issues = issues.select(columns).unionByName(quality.missing_references(df, roles.reference, groups).select(columns))
+    quality.gate(issues)
+    tests = quality.row_tests(roles.value, usl, lsl)
+    rows = quality.first_rows(df.select(*groups, ORDER, roles.value), tests, [ORDER], groups)
+    return {"issues": issues, "issue_rows": rows.join(issues.select(*groups, "code"), [*groups, "code"], "left_semi")}
 
 
-def run_control_chart_analysis(spark: SparkSession, data: str | DataFrame, roles: Roles = Roles(), chart: str | None = None, group_cols: Sequence[str] = (), **options) -> dict:
-    """Limits, summary, points beyond the limits and issues. With group columns and no chart given, the first group's choice holds for all."""
+def _limits(result: charts.ChartResult, roles: Roles, groups: Sequence[str]) -> DataFrame:
+    """The lines of a chart. P and U charts have others for each sample size or number of units."""
+    lines = [c for c in ("ucl", "cl", "lcl", "mr_ucl", "mr_cl", "mr_lcl", "spread_ucl", "spread_cl", "spread_lcl") if c in result.points.columns]
+    by = {"P": roles.sample_size, "U": roles.opportunity}.get(result.chart)
+    if by:
+        return result.points.select(*groups, F.col(by).alias("size"), *lines).distinct()
+    return result.points.groupBy(*groups).agg(*[F.first(c, True).alias(c) for c in lines])
+
+
+def _together(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def chart_analysis(spark: SparkSession, data: str | DataFrame, roles: Roles = Roles(), chart: str | None = None, group_cols: Sequence[str] = (), **options) -> Analysis:
+    """limits, summary, violations (points, and spread_violations: ranges or deviations), choice and issues. Without a chart given, each group has its own choice; there is a plan for each kind of chart that is chosen, over the groups that chose it."""
     df = _loaded(spark, data)
+    groups = list(group_cols)
     roles = replace(roles, value=_value(df, roles.value, chart_value)).check(df.schema)
-    issues = quality.issues(df, roles.value, "chart", group_cols)
-    quality.gate(issues)
+    found = _tests(df, roles, "chart", groups)
     df = measured(df, roles.value)
-    choice = quality.chart_choice(df, roles, group_cols).first()
-    result = charts.control_chart(df, roles, chart or choice["chart"], [roles.date] if roles.date else [ORDER], group_cols, **options)
-    limits = [c for c in ("ucl", "cl", "lcl", "mr_ucl", "mr_cl", "mr_lcl", "spread_ucl", "spread_cl", "spread_lcl") if c in result.points.columns]
-    varying = result.chart in ("P", "U")
-    first = result.points.groupBy(*group_cols).agg(*[(F.max(c) if varying else F.first(c, True)).alias(c) for c in limits])
-    return {"success": True, "chart": result.chart, "data_type": choice["data_type"], "roles": asdict(roles), "limits": to_dict(first), "summary": to_dict(result.summary), "violations": to_dict(result.violations), "issues": _found(issues)}
-
-
-def run_msa_analysis(spark: SparkSession, data: str | DataFrame, roles: Roles = Roles(), study: str | None = None, method: str = "anova", tolerance: float | None = None, group_cols: Sequence[str] = ()) -> dict:
+    choice = quality.chart_choice(df, roles, groups)
+    if chart:
+        choice = choice.withColumn("chart", F.lit(chart))
+    kinds = sorted(r["chart"] for r in choice.select("chart").distinct().collect())
+    if unknown := set(options) - set().union(*OPTIONS.values()):
+        raise TypeError(f"no option {', '.join(sorted(unknown))}")
+    tables: dict[str, list[DataFrame]] = {}
+    order = [roles.date] if roles.date else [ORDER]
+    for kind in kinds:
+        rows = df.join(choice.filter(F.col("chart") == kind).select(*groups), groups, "left_semi") if groups and len(kinds) > 1 else df
+        result = charts.control_chart(rows, roles, kind, order, groups, **{k: v for k, v in options.items() if k in OPTIONS.get(kind, ())})
+        spread = next((c for c in ("mr_reason", "spread_reason") if c in result.points.columns), None)
+        frames = {"limits": _limits(result, roles, groups), "summary": result.summary, "violations": result.violations} | ({"spread_violations": result.points.filter(F.col(spread).isNotNull())} if spread else {})
+        for name, frame in frames.items():
+            tables.setdefault(name, []).append(frame.withColumn("chart", F.lit(kind)))
+    facts = {"chart": kinds[0] if len(kinds) == 1 else None, "charts": kinds}
+    return Analysis("Control chart", roles, {**{name: _together(f) for name, f in tables.items()}, "choice": choice, **found}, facts)
+
+
+def msa_analysis(spark: SparkSession, data: str | DataFrame, roles: Roles = Roles(), study: str | None = None, method: str = "anova", tolerance: float | None = None, group_cols: Sequence[str] = ()) -> Analysis:
+    """result, what its plots show (points, or components and means) and issues."""
     df = _loaded(spark, data)
+    groups = list(group_cols)
     roles = replace(msa_roles(df.drop(ORDER).schema, roles), value=_value(df, roles.value, msa_value)).check(df.schema)
     if roles.reference == roles.value:
         roles = replace(roles, reference=None)
-    issues = quality.issues(df, roles.value, "msa", group_cols)
-    if roles.part and roles.operator:
-        issues = issues.select("severity", "code", "n").unionByName(quality.gage_issues(df, roles.part, roles.operator))
-    if roles.reference:
-        issues = issues.select("severity", "code", "n").unionByName(quality.missing_references(df, roles.reference))
-    quality.gate(issues)
+    found = _tests(df, roles, "msa", groups)
     df = measured(df, *[c for c in (roles.value, roles.reference) if c])
-    chosen, result = gauge.msa(df, roles, study, method, tolerance, group_cols)
-    return {"success": True, "study": chosen, "method": method, "roles": asdict(roles), "result": to_dict(result), "issues": _found(issues)}
-
-
-def run_capability_analysis(spark: SparkSession, data: str | DataFrame, usl: float, lsl: float, target: float | None = None, roles: Roles = Roles(), group_cols: Sequence[str] = ()) -> dict:
+    chosen, result = gauge.msa(df, roles, study, method, tolerance, groups)
+    plots: dict[str, DataFrame] = {}
+    if chosen == "gage_rr":
+        plots = {"by_part": gauge.means_by(df, roles.value, [roles.part], groups), "by_operator": gauge.means_by(df, roles.value, [roles.operator], groups), "interaction": gauge.means_by(df, roles.value, [roles.part, roles.operator], groups)}
+        if method == "anova":
+            plots["components"] = gauge.gage_components(result, groups)
+    elif chosen == "stability":
+        plots = {"points": gauge.stability_points(df, roles.value, [roles.date], groups)}
+    else:
+        plots = {"points": gauge.bias_points(df, roles.value, roles.reference, groups)}
+        if chosen == "linearity":
+            plots["by_reference"] = gauge.bias_by_reference(df, roles.value, roles.reference, groups)
+    return Analysis("Measurement system", roles, {"result": result, **plots, **found}, {"study": chosen, "method": method})
+
+
+def capability_analysis(spark: SparkSession, data: str | DataFrame, usl: float, lsl: float, target: float | None = None, roles: Roles = Roles(), group_cols: Sequence[str] = ()) -> Analysis:
+    """capability, normality, the frames of the plots, and issues."""
     cap.check_limits(usl, lsl)
     df = _loaded(spark, data)
+    groups = list(group_cols)
     roles = replace(roles, value=_value(df, roles.value, capability_value)).check(df.schema)
-    issues = quality.issues(df, roles.value, "capability", group_cols, usl, lsl)
-    quality.gate(issues)
+    found = _tests(df, roles, "capability", groups, usl, lsl)
     df = measured(df, roles.value)
-    result = cap.capability(df, roles.value, usl, lsl, target, roles.subgroup, group_cols)
-    return {"success": True, "roles": asdict(roles), "capability": to_dict(result), "normality": to_dict(cap.normality(df, roles.value, group_cols)), "issues": _found(issues)}
+    value = roles.value
+    plots = {"histogram": cap.histogram(df, value, groups), "normal_curve": cap.normal_curve(df, value, groups), "box_plot": cap.box_plot(df, value, groups), "quantiles": cap.qq(df, value, groups)}
+    return Analysis("Capability", roles, {"capability": cap.capability(df, value, usl, lsl, target, roles.subgroup, groups), "normality": cap.normality(df, value, groups), **plots, **found}, {"usl": usl, "lsl": lsl})
+
+
+def run_control_chart_analysis(spark: SparkSession, data: str | DataFrame, roles: Roles = Roles(), chart: str | None = None, group_cols: Sequence[str] = (), most: int | None = MOST, **options) -> dict:
+    return chart_analysis(spark, data, roles, chart, group_cols, **options).as_dict(most)
+
+
+def run_msa_analysis(spark: SparkSession, data: str | DataFrame, roles: Roles = Roles(), study: str | None = None, method: str = "anova", tolerance: float | None = None, group_cols: Sequence[str] = (), most: int | None = MOST) -> dict:
+    return msa_analysis(spark, data, roles, study, method, tolerance, group_cols).as_dict(most)
+
+
+def run_capability_analysis(spark: SparkSession, data: str | DataFrame, usl: float, lsl: float, target: float | None = None, roles: Roles = Roles(), group_cols: Sequence[str] = (), most: int | None = MOST) -> dict:
+    return capability_analysis(spark, data, usl, lsl, target, roles, group_cols).as_dict(most)
 
 
 def attempt(analysis, *args, **options) -> str:
@@ -79,11 +167,3 @@ def attempt(analysis, *args, **options) -> str:
         return json.dumps(analysis(*args, **options))
     except AnalysisError as e:
         return json.dumps(e.as_dict())
-
-
-def chart_report(result: charts.ChartResult, path: str) -> str:
-    """Writes an HTML page of a chart's summary and violations to `path` and returns it."""
-    page = html_report(f"{result.chart} chart", {"Summary": result.summary, "Points beyond the limits": result.violations})
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(page)
-    return page

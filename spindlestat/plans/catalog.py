@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import constants as k
 from ..functions.special import quantile_sql, upper_tail_sql
+from ..functions.ordering import positions
 from ..operators import capability as cap, charts, msa, quality, roles
 from ..operators.roles import Roles
 from ..sources.files import as_json
+from . import analysis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,21 +91,19 @@ def _zone(pairs, back, least):
 
 @query(f"WITH {IMR}, z AS (SELECT event_type, seq, (value - cl) / ((ucl - cl) / 3) AS z FROM ranged JOIN lines USING (event_type)), r AS (SELECT event_type, {_zone(('> 2', '< -2'), 2, 2)} AS a, {_zone(('> 1', '< -1'), 4, 4)} AS b, {_zone(('> 0', '< 0'), 7, 8)} AS c FROM z) SELECT event_type, count(*) FILTER (WHERE a) AS n_2of3, count(*) FILTER (WHERE b) AS n_4of5, count(*) FILTER (WHERE c) AS n_8run FROM r GROUP BY event_type")
 def run_rules(spark, sf_dir):
-    out = charts.run_rules(charts.imr_points(events(spark, sf_dir), "value", ["event_id"], TYPE), "value", "seq", TYPE)
+    out = charts.run_rules(charts.imr_points(events(spark, sf_dir), "value", ["event_id"], TYPE), "value", TYPE)
     return out.groupBy("event_type").agg(F.count_if("rule_2of3").alias("n_2of3"), F.count_if("rule_4of5").alias("n_4of5"), F.count_if("rule_8run").alias("n_8run"))
 
 
 def fives(spark: SparkSession, sf_dir: str, size: int = 5) -> DataFrame:
-    """Events in complete subgroups of `size`, by type and time."""
-    rows = charts.with_previous(events(spark, sf_dir), "value", ["event_id"], TYPE)
-    rows = rows.select("event_type", "value", F.floor((F.col("seq") - 1) / size).alias("block"))
-    full = rows.groupBy("event_type", "block").count().filter(F.col("count") == size).drop("count")
-    return rows.join(full, ["event_type", "block"])
+    """Events in subgroups of `size`, by type and time; the last one of a type may be smaller."""
+    rows = positions(events(spark, sf_dir).select("event_type", "event_id", "value"), ["event_id"], TYPE)
+    return rows.select("event_type", "value", F.floor((F.col("seq") - 1) / size).alias("block"))
 
 
 def fives_sql(size: int = 5) -> str:
-    return f"""rows_ AS (SELECT event_type, value, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // {size} AS block FROM events),
-subs AS (SELECT event_type, block, avg(value) AS mean, max(value) - min(value) AS spread_r, stddev_samp(value) AS spread_s, count(*) AS size FROM rows_ GROUP BY ALL HAVING count(*) = {size})"""
+    return f"""rows_ AS (SELECT event_type, value, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // {size} AS block FROM events WHERE event_type IS NOT NULL),
+subs AS (SELECT event_type, block, avg(value) AS mean, max(value) - min(value) AS spread_r, stddev_samp(value) AS spread_s, count(*) AS size FROM rows_ GROUP BY ALL)"""
 
 
 def _xbar_sql(kind: str, size: int) -> str:
@@ -238,7 +238,7 @@ def missing_references(spark, sf_dir):
 
 @query("SELECT event_id, value FROM events WHERE value > 250 ORDER BY event_id LIMIT 10")
 def first_rows(spark, sf_dir):
-    return quality.first_rows(events(spark, sf_dir).select("event_id", "value"), "value", F.col("value") > 250, ["event_id"])
+    return quality.first_rows(events(spark, sf_dir).select("event_id", "value"), {"large": F.col("value") > 250}, ["event_id"]).select("event_id", "value")
 
 
 @query(f"WITH {MONTHLY}, {HUNDREDS.replace('m AS', 'h AS')} SELECT 'month' AS rows, CASE WHEN min(n) <> max(n) THEN 'P' ELSE 'NP' END AS chart FROM m UNION ALL SELECT 'hundreds', CASE WHEN min(n) <> max(n) THEN 'U' ELSE 'C' END FROM h")
@@ -248,7 +248,7 @@ def chart_choice_sizes(spark, sf_dir):
     return a.union(quality.chart_choice(hundreds(spark, sf_dir), Roles(value="defectives", opportunity="n")).select(F.lit("hundreds"), "chart"))
 
 
-@query(f"WITH {fives_sql()} SELECT event_type, 5::bigint AS subgroup_size, false AS variable_subgroups, 'Xbar-R' AS chart FROM subs GROUP BY 1")
+@query(f"WITH {fives_sql()} SELECT event_type, min_by(size, block) AS subgroup_size, min(size) <> max(size) AS variable_subgroups, 'Xbar-R' AS chart FROM subs GROUP BY 1")
 def chart_choice_subgroups(spark, sf_dir):
     return quality.chart_choice(fives(spark, sf_dir), Roles(value="value", subgroup="block"), TYPE).select("event_type", "subgroup_size", "variable_subgroups", "chart")
 
@@ -282,15 +282,14 @@ def gage_design(spark, sf_dir):
 
 # Measurement systems
 
-GAGE = "g AS (SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS trial FROM events WHERE user_id IN (SELECT DISTINCT user_id FROM events ORDER BY 1 LIMIT 10)) WHERE trial <= 2)"
+#: Suppliers are parts, return flags operators, and every line of a pair a trial.
+GAGE = "g AS (SELECT l_suppkey AS user_id, l_returnflag AS event_type, l_quantity AS value FROM lineitem WHERE l_suppkey IS NOT NULL AND l_returnflag IS NOT NULL AND l_quantity IS NOT NULL)"
+#: Users are parts, event types operators, and every event of a pair a trial.
+EVERY = "g AS (SELECT user_id, event_type, value FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL)"
 
 
 def gage_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A balanced study: the first ten users are parts, event types operators, the first two events of each pair trials."""
-    e = events(spark, sf_dir)
-    users = e.select("user_id").distinct().orderBy("user_id").limit(10)
-    rows = charts.with_previous(e.join(F.broadcast(users), "user_id"), "value", ["event_id"], ["user_id", "event_type"])
-    return rows.filter("seq <= 2").select("user_id", "event_type", "value")
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_quantity").dropna()
 
 
 ANOVA = f"""WITH {GAGE}, n AS (SELECT count(DISTINCT user_id)::double AS p, count(DISTINCT event_type)::double AS o, count(*) // (count(DISTINCT user_id) * count(DISTINCT event_type)) AS t, avg(value) AS m, var_pop(value) * count(*) AS ss_total FROM g),
@@ -300,41 +299,41 @@ ms AS (SELECT *, ss_part / (p - 1) AS mp, ss_operator / (o - 1) AS mo, ss_intera
 v AS (SELECT *, me AS var_repeatability, greatest((mo - mi) / (p * t), 0) + greatest((mi - me) / t, 0) AS var_reproducibility, greatest((mp - mi) / (o * t), 0) AS var_part FROM ms),
 w AS (SELECT *, var_repeatability + var_reproducibility AS var_grr, var_repeatability + var_reproducibility + var_part AS var_total FROM v),
 z AS (SELECT *, 100 * sqrt(var_grr / var_total) AS percent_grr, 100 * var_grr / var_total AS contribution_grr, 600 * sqrt(var_grr) / 500 AS tolerance_grr, CASE WHEN var_grr = 0 THEN 0 ELSE floor(sqrt(2) * sqrt(var_part / var_grr)) END::bigint AS ndc FROM w)
-SELECT {rounded('ss_total ss_part ss_operator ss_interaction ss_equipment var_repeatability var_reproducibility var_part var_total percent_grr contribution_grr tolerance_grr', 4)}, ndc, CASE WHEN percent_grr < 10 THEN 'Excellent' WHEN percent_grr < 30 THEN 'Acceptable' ELSE 'Unacceptable' END AS verdict FROM z"""
+SELECT {rounded('ss_total ss_part ss_operator ss_interaction ss_equipment var_repeatability var_reproducibility var_part var_total percent_grr contribution_grr tolerance_grr', 2)}, ndc, CASE WHEN percent_grr < 10 THEN 'Excellent' WHEN percent_grr < 30 THEN 'Acceptable' ELSE 'Unacceptable' END AS verdict FROM z"""
+
+
+GAGE_COLUMNS = "ss_total ss_part ss_operator ss_interaction ss_equipment var_repeatability var_reproducibility var_part var_total percent_grr contribution_grr tolerance_grr ndc verdict".split()
 
 
 @query(ANOVA)
 def gage_rr_anova(spark, sf_dir):
-    names = "ss_total ss_part ss_operator ss_interaction ss_equipment var_repeatability var_reproducibility var_part var_total percent_grr contribution_grr tolerance_grr ndc verdict".split()
-    return tidy(msa.gage_rr(gage_data(spark, sf_dir), "value", "user_id", "event_type", tolerance=500.0), names, 4)
+    """Cells are of unequal size: the trials are their mean number, rounded down."""
+    return tidy(msa.gage_rr(gage_data(spark, sf_dir), "l_quantity", "l_suppkey", "l_returnflag", tolerance=500.0), GAGE_COLUMNS, 2)
 
 
-@query(f"""WITH {GAGE}, c AS (SELECT avg(r) AS r_bar FROM (SELECT max(value) - min(value) AS r FROM g GROUP BY user_id, event_type HAVING count(*) > 1)), o AS (SELECT max(m) - min(m) AS r FROM (SELECT avg(value) AS m FROM g GROUP BY event_type)), p AS (SELECT max(m) - min(m) AS r FROM (SELECT avg(value) AS m FROM g GROUP BY user_id)), n AS (SELECT count(DISTINCT user_id) * 2 AS pt FROM g),
-x AS (SELECT r_bar / 1.128 AS ev, sqrt(greatest((o.r / 1.128) * (o.r / 1.128) - (r_bar / 1.128) * (r_bar / 1.128) / pt, 0)) AS av, p.r / 1.128 AS pv FROM c, o, p, n), y AS (SELECT *, sqrt(ev * ev + av * av) AS grr, sqrt(ev * ev + av * av + pv * pv) AS tv FROM x) SELECT {rounded('ev av pv grr tv')}, round(100 * grr / tv, 6) AS percent_grr FROM y""")
-def gage_rr_range(spark, sf_dir):
-    return tidy(msa.gage_rr_range(gage_data(spark, sf_dir), "value", "user_id", "event_type"), ["ev", "av", "pv", "grr", "tv", "percent_grr"])
+RANGE = f"""WITH {GAGE}, c AS (SELECT avg(r) AS r_bar FROM (SELECT max(value) - min(value) AS r FROM g GROUP BY user_id, event_type HAVING count(*) > 1)), o AS (SELECT max(m) - min(m) AS r FROM (SELECT avg(value) AS m FROM g GROUP BY event_type)), p AS (SELECT max(m) - min(m) AS r FROM (SELECT avg(value) AS m FROM g GROUP BY user_id)), s AS (SELECT count(DISTINCT user_id) AS parts, count(*) // (count(DISTINCT user_id) * count(DISTINCT event_type)) AS trials FROM g), n AS (SELECT parts * trials AS pt, {k.sql_by_size(k.D2_GAGE, k.D2_GAGE_ELSE, 'trials')}::double AS d2 FROM s),
+x AS (SELECT r_bar / d2 AS ev, sqrt(greatest((o.r / d2) * (o.r / d2) - (r_bar / d2) * (r_bar / d2) / pt, 0)) AS av, p.r / d2 AS pv FROM c, o, p, n), y AS (SELECT *, sqrt(ev * ev + av * av) AS grr, sqrt(ev * ev + av * av + pv * pv) AS tv FROM x) SELECT {rounded('ev av pv grr tv')}, round(100 * grr / tv, 6) AS percent_grr FROM y"""
+RANGE_COLUMNS = ["ev", "av", "pv", "grr", "tv", "percent_grr"]
 
 
-@query(f"WITH {GAGE} SELECT event_type, user_id, round(max(value) - min(value), 6) AS range FROM g GROUP BY ALL")
-def range_by_operator(spark, sf_dir):
-    return tidy(msa.range_by_operator(gage_data(spark, sf_dir), "value", "user_id", "event_type"), ["event_type", "user_id", "range"])
+@query(RANGE)
+def gage_rr_range(spark, sf_dir):
+    return tidy(msa.gage_rr_range(gage_data(spark, sf_dir), "l_quantity", "l_suppkey", "l_returnflag"), RANGE_COLUMNS)
 
 
-#: The three queries above read a balanced extract, as their SQL does; these read every event of every user and type.
-EVERY = "g AS (SELECT user_id, event_type, value FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL)"
+@query("SELECT l_returnflag, l_suppkey, round(max(l_quantity) - min(l_quantity), 6) AS range FROM lineitem WHERE l_suppkey IS NOT NULL AND l_returnflag IS NOT NULL AND l_quantity IS NOT NULL GROUP BY ALL")
+def range_by_operator(spark, sf_dir):
+    return tidy(msa.range_by_operator(gage_data(spark, sf_dir), "l_quantity", "l_suppkey", "l_returnflag"), ["l_returnflag", "l_suppkey", "range"])
 
 
 @query(ANOVA.replace(GAGE, EVERY))
 def gage_rr_anova_whole(spark, sf_dir):
-    """Cells are of unequal size: the trials are their mean number, rounded down, as in the reference."""
-    names = "ss_total ss_part ss_operator ss_interaction ss_equipment var_repeatability var_reproducibility var_part var_total percent_grr contribution_grr tolerance_grr ndc verdict".split()
-    return tidy(msa.gage_rr(events(spark, sf_dir), "value", "user_id", "event_type", tolerance=500.0), names, 4)
+    return tidy(msa.gage_rr(events(spark, sf_dir), "value", "user_id", "event_type", tolerance=500.0), GAGE_COLUMNS, 2)
 
 
-@query(f"""WITH {EVERY}, c AS (SELECT avg(r) AS r_bar FROM (SELECT max(value) - min(value) AS r FROM g GROUP BY user_id, event_type HAVING count(*) > 1)), o AS (SELECT max(m) - min(m) AS r FROM (SELECT avg(value) AS m FROM g GROUP BY event_type)), p AS (SELECT max(m) - min(m) AS r FROM (SELECT avg(value) AS m FROM g GROUP BY user_id)), s AS (SELECT count(DISTINCT user_id) AS parts, count(*) // (count(DISTINCT user_id) * count(DISTINCT event_type)) AS trials FROM g), n AS (SELECT parts * trials AS pt, {k.sql_by_size(k.D2_GAGE, k.D2_GAGE_ELSE, 'trials')}::double AS d2 FROM s),
-x AS (SELECT r_bar / d2 AS ev, sqrt(greatest((o.r / d2) * (o.r / d2) - (r_bar / d2) * (r_bar / d2) / pt, 0)) AS av, p.r / d2 AS pv FROM c, o, p, n), y AS (SELECT *, sqrt(ev * ev + av * av) AS grr, sqrt(ev * ev + av * av + pv * pv) AS tv FROM x) SELECT {rounded('ev av pv grr tv')}, round(100 * grr / tv, 6) AS percent_grr FROM y""")
+@query(RANGE.replace(GAGE, EVERY))
 def gage_rr_range_whole(spark, sf_dir):
-    return tidy(msa.gage_rr_range(events(spark, sf_dir), "value", "user_id", "event_type"), ["ev", "av", "pv", "grr", "tv", "percent_grr"])
+    return tidy(msa.gage_rr_range(events(spark, sf_dir), "value", "user_id", "event_type"), RANGE_COLUMNS)
 
 
 @query(f"WITH {EVERY} SELECT event_type, user_id, round(max(value) - min(value), 6) AS range FROM g GROUP BY ALL")
@@ -392,7 +391,8 @@ def stability_study(spark, sf_dir):
 
 @query(f"WITH {PRICES}, {TREND} SELECT s FROM s")
 def trend_pairs(spark, sf_dir):
-    return msa.trend_pairs(prices(spark, sf_dir), "price", "month")
+    """The SQL compares all pairs, the query counts them in n log n steps."""
+    return msa.trend(prices(spark, sf_dir), "price", ["month"]).select("s")
 
 
 # Capability
@@ -417,16 +417,28 @@ def capability(spark, sf_dir):
     return tidy(cap.capability(table(spark, sf_dir, "lineitem"), "l_quantity", USL, LSL, TARGET, groups=["l_returnflag"]), ["l_returnflag", *CAP])
 
 
-@query("WITH " + cap_sql(f"{fives_sql()}, w AS (SELECT event_type, avg(spread_r) / 2.326 AS sw FROM subs GROUP BY 1), base AS (SELECT event_type, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS so, any_value(sw) AS sw, {SIDES} FROM (SELECT event_type, block, value AS x FROM rows_) JOIN subs USING (event_type, block) JOIN w USING (event_type) GROUP BY 1)", "event_type"))
+@query("WITH " + cap_sql(f"{fives_sql()}, w AS (SELECT event_type, avg(spread_r) / {k.sql_by_size(k.D2_WITHIN, k.D2_WITHIN_ELSE, 'floor(avg(size))')}::double AS sw FROM subs GROUP BY 1), base AS (SELECT event_type, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS so, any_value(sw) AS sw, {SIDES} FROM (SELECT event_type, block, value AS x FROM rows_) JOIN subs USING (event_type, block) JOIN w USING (event_type) GROUP BY 1)", "event_type"))
 def capability_subgroups(spark, sf_dir):
     return tidy(cap.capability(fives(spark, sf_dir), "value", USL, LSL, TARGET, "block", TYPE), ["event_type", *CAP])
 
 
-@query()
+RATED = "CASE WHEN {c} >= 1.67 THEN 'Excellent' WHEN {c} >= 1.33 THEN 'Good' WHEN {c} >= 1.0 THEN 'Marginal' ELSE 'Poor' END"
+ASSESSED = f"""b AS (SELECT l_returnflag, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS s, {SIDES} FROM (SELECT l_returnflag, l_quantity AS x FROM lineitem) GROUP BY 1),
+i AS (SELECT *, least({USL} - mean, mean - {LSL}) / (3 * s) AS cpk, 100 * (1 - (n_above + n_below)::double / n) AS y, 100 * abs(mean - ({USL} + {LSL}) / 2) / (({USL} - {LSL}) / 2) < 25 AS centered FROM b)
+SELECT l_returnflag, {RATED.format(c='cpk')} AS rating, {RATED.format(c='cpk')} AS long_term_rating, concat_ws(' | ', 'Short-term capability: ' || {RATED.format(c='cpk')}, 'Long-term performance: ' || {RATED.format(c='cpk')}, CASE WHEN y >= 99.73 THEN 'Yield: excellent' WHEN y >= 99 THEN 'Yield: good' ELSE 'Yield: needs improvement' END, CASE WHEN centered THEN 'Process is centered' ELSE 'Process is off center' END) AS assessment FROM i"""
+
+
+@query(f"WITH {ASSESSED}")
 def capability_assessment(spark, sf_dir):
     return cap.capability(table(spark, sf_dir, "lineitem"), "l_quantity", USL, LSL, groups=["l_returnflag"]).select("l_returnflag", "rating", "long_term_rating", "assessment")
 
 
+@query(f"WITH b AS (SELECT event_type, avg(value) AS mean, stddev_samp(value) AS s, count(*) FILTER (WHERE value > {USL}) AS n_above FROM events GROUP BY 1) SELECT event_type, round(({USL} - mean) / (3 * s), 6) AS cpk, round(({USL} - mean) / s, 6) AS z_bench, n_above, 0::bigint AS n_below FROM b")
+def capability_one_limit(spark, sf_dir):
+    """Only an upper limit."""
+    return tidy(cap.capability(events(spark, sf_dir), "value", USL, None, groups=TYPE), ["event_type", "cpk", "z_bench", "n_above", "n_below"])
+
+
 @query("WITH m AS (SELECT event_type, avg(value) AS mean FROM events GROUP BY 1), d AS (SELECT event_type, value - mean AS d, mean FROM events JOIN m USING (event_type)) SELECT event_type, count(*) AS n, round(any_value(mean), 6) AS mean, round(sqrt(sum(d * d) / (count(*) - 1)), 6) AS sd, round(avg(d * d * d) / pow(avg(d * d), 1.5), 6) AS skew, round(avg(d * d * d * d) / (avg(d * d) * avg(d * d)) - 3, 6) AS kurt FROM d GROUP BY 1")
 def moments(spark, sf_dir):
     return tidy(cap.moments(events(spark, sf_dir), "value", TYPE), ["event_type", "n", "mean", "sd", "skew", "kurt"])
@@ -446,6 +458,12 @@ def qq_points(spark, sf_dir):
     return tidy(cap.qq(events(spark, sf_dir), "value", TYPE), ["event_type", "i", "quantile", "value", "line"])
 
 
+@query(f"WITH {SCORES}, d AS (SELECT event_type, n, value - mean AS d, value, i, z FROM z), k AS (SELECT event_type, avg(d * d * d) / pow(avg(d * d), 1.5) AS skew, avg(d * d * d * d) / (avg(d * d) * avg(d * d)) - 3 AS kurt FROM d GROUP BY 1), t AS (SELECT event_type, n, i, z, -z AS minus_z FROM z), u AS (SELECT *, {upper_tail_sql('z')} AS above, {upper_tail_sql('minus_z')} AS below FROM t), a AS (SELECT event_type, any_value(n) AS n, -any_value(n) - sum((2 * i - 1) * ln(below) + (2 * n + 1 - 2 * i) * ln(above)) / any_value(n) AS a2 FROM u GROUP BY 1) SELECT event_type, round({cap.AD_CRITICAL} / (1 + 0.75 / n + 2.25 / (n::double * n)), 6) AS ad_critical, a2 < {cap.AD_CRITICAL} / (1 + 0.75 / n + 2.25 / (n::double * n)) AS ad_pass, abs(skew) < 1 AS skew_pass, abs(kurt) < 1 AS kurt_pass, CASE WHEN abs(skew) > 2 THEN 'Highly skewed: transform the data or use non-normal methods' WHEN abs(skew) > 1 THEN 'Moderately skewed: consider a transformation' ELSE 'No transformation is called for' END AS advice, CASE WHEN skew > 1 THEN 'log' WHEN skew < -1 THEN 'square' ELSE 'box-cox' END AS transformation FROM k JOIN a USING (event_type)")
+def normality_votes(spark, sf_dir):
+    """The votes and the advice that SQL can give too."""
+    return tidy(cap.normality(events(spark, sf_dir), "value", TYPE), ["event_type", "ad_critical", "ad_pass", "skew_pass", "kurt_pass", "advice", "transformation"])
+
+
 @query()
 def normality(spark, sf_dir):
     """The vote of five tests, of which Shapiro-Wilk's and the p-value of Kolmogorov and Smirnov aren't in SQL."""
@@ -470,3 +488,51 @@ def normal_curve(spark, sf_dir):
 @query("SELECT event_type, min(value) AS least, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS most, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM events GROUP BY 1")
 def box_plot(spark, sf_dir):
     return tidy(cap.box_plot(events(spark, sf_dir), "value", TYPE), ["event_type", "least", "q1", "median", "q3", "most", "mean", "sd"])
+
+
+# Whole analyses
+
+SERIES = "SELECT event_type AS series, event_id AS place, value FROM events UNION ALL SELECT 'lines', l_orderkey, l_linenumber::double FROM lineitem"
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of different kinds: measurements by event type, and small counts."""
+    e = events(spark, sf_dir).select(F.col("event_type").alias("series"), F.col("event_id").alias("place"), "value")
+    return e.union(table(spark, sf_dir, "lineitem").select(F.lit("lines"), "l_orderkey", F.col("l_linenumber").cast("double")))
+
+
+@query(f"WITH s AS ({SERIES}), r AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY series ORDER BY place)) AS mr FROM s WHERE series <> 'lines'), l AS (SELECT series, 'I-MR' AS chart, avg(value) AS cl, {k.INDIVIDUALS} * avg(mr) AS half, false AS counts FROM r GROUP BY 1 UNION ALL SELECT series, 'C', avg(value), 3 * sqrt(avg(value)), true FROM s WHERE series = 'lines' GROUP BY 1) SELECT series, chart, round(cl, 6) AS cl, round(cl + half, 6) AS ucl, round(CASE WHEN counts THEN greatest(cl - half, 0) ELSE cl - half END, 6) AS lcl FROM l")
+def analysis_chart_limits(spark, sf_dir):
+    """Each series gets the chart that fits it."""
+    found = analysis.chart_analysis(spark, series(spark, sf_dir), Roles(value="value", date="place"), group_cols=["series"])
+    return tidy(found.tables["limits"], ["series", "chart", "cl", "ucl", "lcl"])
+
+
+@query("WITH s AS (SELECT event_type AS series, event_id AS place, value FROM events UNION ALL SELECT 'refunds', o_orderkey, -o_totalprice FROM orders), t AS (SELECT series, 'error_codes' AS code, place, value FROM s WHERE value IN (999, 9999, -999, -9999) UNION ALL SELECT series, 'negative_values', place, value FROM s WHERE value < 0) SELECT series, code, row_number() OVER (PARTITION BY series, code ORDER BY place) AS row_number, value FROM t QUALIFY row_number <= 10")
+def analysis_issue_rows(spark, sf_dir):
+    """The first rows of each finding."""
+    refunds = table(spark, sf_dir, "orders").select(F.lit("refunds"), "o_orderkey", -F.col("o_totalprice"))
+    rows = events(spark, sf_dir).select(F.col("event_type").alias("series"), F.col("event_id").alias("_row"), "value").union(refunds)
+    found = analysis.chart_analysis(spark, rows, Roles(value="value", date="_row"), group_cols=["series"])
+    return found.tables["issue_rows"].select("series", "code", F.col("place").cast("long").alias("row_number"), "value")
+
+
+@query(ANOVA)
+def analysis_gage_rr(spark, sf_dir):
+    found = analysis.msa_analysis(spark, gage_data(spark, sf_dir), Roles(value="l_quantity", part="l_suppkey", operator="l_returnflag"), "gage_rr", tolerance=500.0)
+    return tidy(found.tables["result"], GAGE_COLUMNS, 2)
+
+
+@query(f"WITH {PRICED} SELECT round(ref, 4) AS reference, round(x - ref, 4) AS bias, round(avg(x - ref) OVER (), 3) AS mean_bias FROM r")
+def analysis_bias_points(spark, sf_dir):
+    """What a plot of bias is made of: every measurement."""
+    rows = priced(spark, sf_dir).select("x", "ref")
+    found = analysis.msa_analysis(spark, rows, Roles(value="x", reference="ref"), "bias")
+    return found.tables["points"].select(F.round("reference", 4).alias("reference"), F.round("bias", 4).alias("bias"), F.round("mean_bias", 3).alias("mean_bias"))
+
+
+@query("WITH " + cap_sql(f"base AS (SELECT l_returnflag, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS so, stddev_samp(x) AS sw, {SIDES} FROM (SELECT l_returnflag, l_quantity AS x FROM lineitem) GROUP BY 1)", "l_returnflag"))
+def analysis_capability(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity")
+    found = analysis.capability_analysis(spark, rows, USL, LSL, TARGET, Roles(value="l_quantity"), ["l_returnflag"])
+    return tidy(found.tables["capability"], ["l_returnflag", *CAP])

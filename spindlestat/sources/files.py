@@ -6,6 +6,7 @@ import html
 import json
 from collections.abc import Iterable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
@@ -16,20 +17,24 @@ ORDER = "_row"
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None, with_order: bool = True) -> DataFrame:
-    """A CSV file with a header. Without a schema, types are inferred, which reads the file twice.
+    """CSV files with a header. Without a schema, types are inferred, which reads the files twice.
 
-    with_order adds `_row`, which ascends in the file's order (by file, then place in it), for charts over time.
+    with_order adds `_row`, which ascends in the order of the files: by path, by the place in it where the part begins
+    that one task reads, and by the row within. Parts are packed into tasks by size, so the task alone tells nothing.
     """
     try:
         reader = spark.read.option("header", True)
         df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     except AnalysisException as e:
         raise AnalysisError("file_not_found" if "PATH_NOT_FOUND" in str(e) else "read_error", str(e).splitlines()[0]) from e
+    except Py4JJavaError as e:  # what the file system itself refuses
+        raise AnalysisError("read_error", str(e.java_exception)) from e
     if not df.columns:
         raise AnalysisError("empty_file", f"{path} is empty")
     if df.isEmpty():
         raise AnalysisError("no_data", f"{path} has no rows")
-    return df.withColumn(ORDER, F.monotonically_increasing_id()) if with_order else df
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return df.withColumn(ORDER, place) if with_order else df
 
 
 def from_rows(spark: SparkSession, rows: Iterable, columns: Sequence[str] | StructType) -> DataFrame:
@@ -54,17 +59,25 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def html_report(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
-    """A small HTML page of result tables, at most `most` rows of each. The caller says where it goes; no input file is touched."""
+def shown(df: DataFrame, most: int | None) -> tuple[list[dict], int]:
+    """The rows as plain objects, at most `most` of them (None: all), and how many there are."""
+    rows = as_json(df)
+    got = [json.loads(r.json) for r in (rows if most is None else rows.limit(most + 1)).collect()]
+    return got[:most], len(got) if most is None or len(got) <= most else df.count()
+
+
+def html_report(title: str, tables: dict[str, DataFrame], most: int | None = 200) -> str:
+    """A small HTML page of result tables. Where a table has more than `most` rows (None: all are shown), the page says how many it has and that they are not all here; the frames have them."""
     out = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]
     for name, df in tables.items():
-        rows = df.limit(most).collect()
+        rows, n = shown(df, most)
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows)
-        out.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
+        body = "".join("<tr>" + "".join(f"<td>{html.escape('' if r.get(c) is None else str(r[c]))}</td>" for c in df.columns) + "</tr>" for r in rows)
+        note = f"<p>{len(rows)} of {n} rows</p>" if len(rows) < n else ""
+        out.append(f"<h2>{html.escape(name)}</h2>{note}<table><tr>{head}</tr>{body}</table>")
     return "".join([*out, "</body></html>"])
 
 
-def to_dict(df: DataFrame, most: int = 10_000) -> list[dict]:
-    """At most `most` rows of a result as plain objects."""
-    return [json.loads(r.json) for r in as_json(df).limit(most).collect()]
+def to_dict(df: DataFrame) -> list[dict]:
+    """All rows of a result as plain objects; for results that are known to be few. shown() says when it leaves rows out."""
+    return shown(df, None)[0]
