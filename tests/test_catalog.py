@@ -52,4 +52,6 @@ def test_gage_queries_read_every_event(spark, con):
     assert len(ranges) == len(cells) and all(math.isclose(ranges[key], x.max() - x.min(), abs_tol=1e-5) for key, x in cells)
     anova = catalog.gage_rr_anova_whole(spark, DIR).first()
     assert math.isclose(anova.ss_total, ((e.value - e.value.mean()) ** 2).sum(), rel_tol=1e-6)
+    li = con.sql("SELECT l_quantity AS q FROM lineitem").df().q
+    assert math.isclose(catalog.gage_rr_anova(spark, DIR).first().ss_total, ((li - li.mean()) ** 2).sum(), rel_tol=1e-6)
     assert math.isclose(catalog.gage_rr_range_whole(spark, DIR).first().pv, (m := e.groupby("user_id").value.mean()).max() / 2.326 - m.min() / 2.326, rel_tol=1e-6)

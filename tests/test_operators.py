@@ -155,10 +155,29 @@ def test_trend_and_stability(spark):
     df = series(spark, list(range(20)), day=[f"2024-01-{i + 1:02d}" for i in range(20)])
     got = msa.stability(df, "value", ["day"]).first()
     assert got.s == 190 and got.has_trend and not got.stable
-    assert msa.trend_pairs(df, "value", "o").first().s == 190
+    assert msa.trend(df, "value", ["o"]).first().s == 190
     assert msa.study_for(df, roles.Roles(date="day")) == "stability"
 
 
+def test_long_series_equal_short_ones(spark, monkeypatch):
+    """The same rows with strides of 7 rows: positions, ranges, run rules and trends come out alike, with ties, nulls and groups of any size."""
+    n = [100, 3, 41, 1]
+    x = np.concatenate([RNG.integers(0, k // 3 + 1, k) for k in n]).astype(float)
+    x[5] = np.nan
+    df = series(spark, [None if np.isnan(v) else v for v in x], g=[f"g{i}" for i, k in enumerate(n) for _ in range(k)]).orderBy(F.rand(2)).repartition(5)
+
+    def results(groups):
+        points = charts.imr_points(df, "value", ["o"], groups)
+        frames = charts.run_rules(points, "value", groups), msa.trend(df, "value", ["o"], groups), cap.fit_statistics(df, "value", groups).drop("values")
+        return [sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in f.select(sorted(f.columns)).collect()), key=str) for f in frames]
+
+    want = results(["g"]), results([])
+    monkeypatch.setattr(ordering, "STRIDE", 7)
+    assert (results(["g"]), results([])) == want
+    pairs = {g: sum(np.sign(b - a) for i, a in enumerate(v) for b in v[i + 1 :]) for g, v in ((f"g{i}", p[~np.isnan(p)]) for i, p in enumerate(np.split(x, np.cumsum(n)[:-1])))}
+    assert {r.g: r.s for r in msa.trend(df, "value", ["o"], ["g"]).collect()} == pairs
+
+
 def test_kendall_equals_the_double_loop():
     for n in (0, 1, 2, 7, 64, 101):
         x = RNG.integers(0, 12, n).astype(float)
@@ -178,6 +197,11 @@ def test_capability_and_affine_invariance(spark):
     assert zero.cpm is not None and zero.target_offset == zero.mean
     with pytest.raises(AnalysisError):
         cap.check_limits(1, 1)
+    with pytest.raises(AnalysisError):
+        cap.capability(series(spark, x), "value", None, None)
+    up = cap.capability(series(spark, x), "value", 10.1, None).first()
+    assert math.isclose(up.z_bench, (10.1 - x.mean()) / x.std(ddof=1)) and math.isclose(up.cpu, up.z_bench / 3) and up.cpk == up.cpu and up.cp is up.cpm is up.centered is None
+    assert up.n_out == (x > 10.1).sum() and cap.capability(series(spark, x), "value", None, 9.9).first().n_below == (x < 9.9).sum()
 
 
 def test_normality(spark):
