@@ -29,9 +29,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near-duplicates."""
-    found = minhash.near_duplicates(docs)
-    return minhash.without(docs, found.filter(~F.col("kept")).select("doc_id")).select(docs.columns)
+    """Keeps one document of each group of near-duplicates: that of the smallest id."""
+    return minhash.deduplicated(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

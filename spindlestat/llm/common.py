@@ -8,6 +8,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.ordering import cut_lineage  # noqa: F401  the operators take it from here
+
 #: Bytes of text that a Python worker turns into Python objects at a time.
 SLICE_BYTES = 4 << 20
 
@@ -81,13 +83,13 @@ class Memo(dict):
             self.clear()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into spark.checkpoint.dir; a folder of our own only where the session names none, as in tests."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spindlestat-checkpoints")
-    return df.checkpoint(eager=True)
+#: So many rows of a few numbers each are broadcast at most, after their number has been counted; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A materialised table, marked for broadcast if its rows are counted to be few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def shuffle_parts(spark: SparkSession) -> int:

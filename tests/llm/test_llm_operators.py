@@ -434,6 +434,17 @@ def test_components_equal_union_find(spark):
     assert got == {x: forest.root(x) for a, b in links if a is not None and a != b for x in (a, b)}
 
 
+def test_a_hub_is_no_task_of_its_own(spark):
+    """One node with 100,000 links: no task of the joins gets more than a few of them."""
+    hub = spark.range(1, 100_001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    rows = components._with_least(hub.union(hub.select("b", "a")), 200_000)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 200_000 and rows.filter("a = 0").select("m").distinct().collect()[0].m == 1
+    assert len(sizes) > 4 and max(r["count"] for r in rows.filter("a = 0").groupBy(F.spark_partition_id()).count().collect()) <= 100_000 // spark.sparkContext.defaultParallelism + 1
+    got = components.components(hub)
+    assert got.count() == 100_001 and got.filter("component <> 0").isEmpty()
+
+
 # 8 near-duplicates
 
 
@@ -468,9 +479,37 @@ def test_near_duplicates_equal_brute_force(spark, docs, nothing, monkeypatch):
         assert got == brute_components(rows, words, 80)
     messy = minhash.near_duplicates(docs).collect()
     assert len(messy) == len(ROWS) and all(r.kept for r in messy if r.doc_id in (None, 2, 3, 7))
-    assert minhash.near_duplicates(nothing).count() == 0
-    kept = minhash.without(docs, minhash.near_duplicates(docs).filter("not kept"))
-    assert sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None) == sorted(r.doc_id for r in messy if r.kept and r.doc_id is not None)
+    assert minhash.near_duplicates(nothing).count() == 0 and minhash.deduplicated(nothing).count() == 0
+    kept = minhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    ids = collections.Counter(r.doc_id for r in kept.collect())
+    assert ids == collections.Counter({r.doc_id: 1 for r in messy if r.kept})
+
+
+def test_rows_that_repeat_an_id_lose_no_text(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(rng.choice(WORDS) for _ in range(40)) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (5, b), (9, b + " more"), (None, c), (None, c), (None, a), (7, ""), (7, None), (8, c + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == collections.Counter({(3, 3, True): 1, (5, 3, False): 1, (5, 5, True): 2, (9, 5, False): 1, (None, 8, False): 2, (None, 3, False): 1, (7, 7, True): 2, (8, 8, True): 1})
+    assert collections.Counter((r.doc_id, r.text) for r in minhash.deduplicated(df).collect()) == collections.Counter([(3, a), (5, b), (7, ""), (7, None), (8, c + " end")])
+    nameless = minhash.near_duplicates(df.filter("doc_id is null and text <> 'x'"))
+    assert all(r.component_id is None and r.kept for r in nameless.collect()) and minhash.deduplicated(df.filter("doc_id is null")).count() == 2
+
+
+def test_clusters_of_several_blocks_are_refined_without_losing_links(spark, monkeypatch):
+    """Texts from one template, similar by 0.3 to 0.9: bands chain them together, estimates take them apart again."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 6)
+    rng = random.Random(12)
+    template = [rng.choice(WORDS) for _ in range(150)]
+    rows = []
+    for i in range(240):
+        text, share = list(template), rng.choice([0.002, 0.01, 0.05, 0.15])
+        rows.append((i, " ".join(rng.choice(WORDS) if rng.random() < share else w for w in text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, 4).collect()}
+    assert got == brute_components(rows, 4, 80)
 
 
 def test_estimates_are_near_the_truth():
