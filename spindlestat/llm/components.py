@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut_lineage
+from .common import BROADCAST_ROWS, cut_lineage
 
 #: A node is heavy from so many links on, and if it has this share of all. So there are few heavy nodes, whatever the table.
 HEAVY_LINKS, HEAVY_SHARE = 256, 1e-4
@@ -17,16 +17,15 @@ def with_heavy(rows: DataFrame, key: str, found: DataFrame, n_rows: int, degree:
     broadcast, and their rows stay where they are. The rows of all other keys are joined by shuffle.
     """
     least = max(HEAVY_LINKS, int(n_rows * HEAVY_SHARE))
-    if n_rows <= least:
-        return rows.join(found.drop(degree), key)
     heavy = F.broadcast(found.filter(F.col(degree) > least).drop(degree))
     light = found.filter(F.col(degree) <= least).drop(degree)
     return rows.join(heavy, key).unionByName(rows.join(heavy, key, "left_anti").join(light, key))
 
 
 def _with_least(rows: DataFrame, n_rows: int) -> DataFrame:
-    """(a, b, m): m is the smallest b of each a."""
-    return with_heavy(rows, "a", rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), n_rows)
+    """(a, b, m): m is the smallest b of each a. Up to BROADCAST_ROWS rows have so many a at most, and these are broadcast."""
+    found = rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    return rows.join(F.broadcast(found.drop("n")), "a") if n_rows <= BROADCAST_ROWS else with_heavy(rows, "a", found, n_rows)
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:

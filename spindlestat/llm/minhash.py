@@ -4,8 +4,8 @@
 2. Nodes that share a band (6 registers, all equal and not all empty; 40 bands) are candidates. At a similarity of 0.8 a
    pair shares no band with a probability of 5e-6. Buckets, however large, give a link from each member to the smallest;
    the components of these links are clusters, which hold every candidate pair.
-3. Bands also collide by chance, and in a large corpus such chains could join all of it. So clusters of more than one block
-   are refined by estimates (see refined()), and only what is still together is compared.
+3. Bands also collide by chance, and in a large corpus such chains could join all of it. So clusters of more than WHOLE
+   blocks are refined by estimates (see refined()), and only what is still together is compared.
 4. Clusters are compared block against block: a block has about BLOCK_DOCS sets and BLOCK_SHINGLES shingles, so that a
    task's memory is bounded, whatever the size of a cluster; no pair becomes a row. Within two blocks, pairs whose
    collision-corrected estimate is below the threshold by more than SLACK standard errors are left, as are pairs that are
@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import shingles as sh
-from .common import cut_lineage, few, raw, record, slices
+from .common import BROADCAST_ROWS, cut_lineage, few, raw, record, slices
 from .components import components, with_heavy
 
 BLOCK_DOCS, BLOCK_SHINGLES, SLACK = 384, 150_000, 5.0
 #: Estimates from which two nodes stay in one cluster, and from which one stands for the other, and the rounds of refining.
-LOOSE, TIGHT, ROUNDS = 0.47, 0.9, 3
+LOOSE, TIGHT, ROUNDS = 0.47, 0.9, 2
+#: Clusters of more blocks are refined; up to there, all blocks of a cluster are compared, 36 pairs of them.
+WHOLE = 8
 NO_ID = (1 << 63) - 1
 
 
@@ -57,16 +59,16 @@ def band_rows(sets: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("band.i", "band.part").alias("bucket"), "node")
 
 
-def leaders(rows: DataFrame) -> DataFrame:
-    """(bucket, leader, n) of the buckets with several nodes."""
+def led(rows: DataFrame, n_rows: int) -> DataFrame:
+    """(bucket, node, leader): the nodes of buckets with several, and the smallest of each bucket."""
     found = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("_most"), F.count(F.lit(1)).alias("n"))
-    return found.filter(F.col("leader") < F.col("_most")).drop("_most")
+    found = cut_lineage(found.filter(F.col("leader") < F.col("_most")).drop("_most"))
+    return rows.join(F.broadcast(found.drop("n")), "bucket") if found.count() <= BROADCAST_ROWS else with_heavy(rows, "bucket", found, n_rows)
 
 
 def candidate_links(rows: DataFrame, n_rows: int) -> DataFrame:
     """(a, b): each node of a bucket with the bucket's smallest."""
-    out = with_heavy(rows, "bucket", leaders(rows), n_rows)
-    return out.filter("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    return led(rows, n_rows).filter("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
 
 
 def estimated(pairs: DataFrame, sets: DataFrame, n_pairs: int) -> DataFrame:
@@ -94,27 +96,26 @@ def refined(sets: DataFrame) -> DataFrame:
     that left (similarity 0.8) is similar to its leader by 0.6 at least, as distances add up, and LOOSE is four standard
     errors below that, so it stays with the same leader. Nodes left in a bucket after ROUNDS rounds stay together.
     """
-    rows = cut_lineage(band_rows(sets))
-    links = []
+    rows = band_rows(sets)
+    n, links = sh.BANDS * sets.count(), []
     for _ in range(ROUNDS):
-        n = rows.count()
-        if not n:
-            break
-        led = cut_lineage(with_heavy(rows, "bucket", leaders(rows), n).filter("node != leader"))
-        n = led.count()
+        following = cut_lineage(led(rows, n).filter("node != leader"))
+        pairs = following.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        n = following.count()
         if not n:
-            break
-        pairs = led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+            return components(_union(links)).withColumnRenamed("component", "cluster")
         known = cut_lineage(estimated(pairs, sets, n).filter(F.col("guess") >= LOOSE))
         links.append(known.select("a", "b"))
         tight = known.filter(F.col("guess") >= TIGHT).select(F.col("a").alias("node"), F.col("b").alias("leader"))
-        rows = cut_lineage(led.join(tight, ["node", "leader"], "left_anti").select("bucket", "node"))
-    n = rows.count()
-    links.append(candidate_links(rows, n) if n else rows.selectExpr("node as a", "bucket as b").limit(0))
-    out = links[0]
-    for more in links[1:]:
-        out = out.union(more)
-    return components(out).withColumnRenamed("component", "cluster")
+        rows = following.join(few(tight), ["node", "leader"], "left_anti").select("bucket", "node")
+    return components(_union([*links, candidate_links(rows, n)])).withColumnRenamed("component", "cluster")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
 
 
 class Forest:
@@ -242,10 +243,10 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rows = band_rows(sets)
     member = components(candidate_links(rows, sh.BANDS * sets.count())).withColumnRenamed("component", "cluster")
     placed = _in_blocks(member, sets)
-    large = placed.filter("n_blocks > 1").select("node")
+    large = placed.filter(F.col("n_blocks") > WHOLE).select("node")
     if not large.isEmpty():
-        finer = refined(sets.join(large, "node"))
-        placed = placed.filter("n_blocks = 1").unionByName(_in_blocks(finer, sets))
+        finer = refined(cut_lineage(sets.join(few(large), "node")))
+        placed = placed.filter(F.col("n_blocks") <= WHOLE).unionByName(_in_blocks(finer, sets))
     # the texts of these nodes once more: the row that represents each, and one only where it is repeated
     wanted = few(cut_lineage(placed.join(sets.select("node", "rep"), "node").select("rep.id", "rep.key", "node", "cluster", "n_blocks", "block")))
     texts = docs.withColumn("id", oid).join(wanted, ["id", "key"])
