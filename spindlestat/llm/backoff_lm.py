@@ -8,14 +8,20 @@ corpus. With c the counts, N all training tokens and V the distinct ones, the pr
 
 so each order is a proper distribution. As an automaton: a state for each context that occurs in training, an arc for
 each n-gram that does, weighted with its probability, to the state of the longest known context; and from each state a
-failure arc to the state of the shorter context, weighted with PRIOR / (c(h) + PRIOR). A text is scored in one
-traversal from left to right; where a state lacks an arc, its failure arc is taken.
+failure arc to the state of the shorter context, weighted with PRIOR / (c(h) + PRIOR). Texts are scored in one traversal
+from left to right, many at a time in step; where a state lacks an arc, its failure arc is taken.
 
-The model isn't held by any one machine: it grows with the corpus. Texts are taken in blocks of about BLOCK_BYTES; a
-block asks for the n-grams that it contains, each once, in one message for each shard of the model; a shard adds up the
-training counts that come with the requests, and answers each block in the order of its request. The block builds the
-part of the automaton that its texts can reach. So a word that fills a third of the corpus is one number in each
-block's message, and shards get equally many n-grams whatever their frequency.
+The model isn't held by any one machine: it grows with the corpus. Texts are cut into words once, and written as blocks.
+A block asks for the n-grams that it contains, each once, in one message for each shard of the model that holds any; a
+shard adds up the training counts that come with the requests, and answers each block in the order of its request. The
+block builds the part of the automaton that its texts can reach. So a word that fills a third of the corpus is one number
+in each block's message, and shards get equally many n-grams whatever their frequency. An answer repeats a digest of the
+keys it was asked for; a block that finds another digest, or another number of counts, fails.
+
+Sizes follow the corpus of T bytes. A block and a shard stand for 4 and 16 MB of text, and for ROOT * sqrt(T) where that
+is more, so that there is no more than a message for each ROOT^2 bytes: work is linear in T, and memory of a task grows
+with its root (200 MB of text at 100 TB). N-grams are known by hashes of as many bits as make a false match one in a
+million; words by 64 bits.
 
 A null text is empty (one token, the end). Rows are scored one by one, so repeated rows and null ids are no special
 case; without training texts N and V are 0.
@@ -24,38 +30,65 @@ case; without training texts N and V are 0.
 from __future__ import annotations
 
 import hashlib
-import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Memo, raw, record, shuffle_parts, slices
+from .common import Memo, cut_lineage, raw, record, slices
 from .shingles import mix
 
-ORDER, PRIOR, BLOCK_BYTES = 2, 200.0, 4 << 20
+#: The order, and the prior of each order from 2 on.
+ORDER, PRIORS = 3, (200.0, 100.0)
+BLOCK_BYTES, SHARD_BYTES, ROOT = 4 << 20, 16 << 20, 20
+#: Partitions of a shuffle at most.
+MOST_PARTS = 20_000
 U = np.uint64
 END = b" "  # no word holds a space
+BLOCKS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("ids", pa.binary()), ("body", pa.binary())])
 MESSAGE = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("ids", pa.binary()), ("body", pa.binary())])
+TOTALS = pa.schema([("tokens", pa.int64()), ("words", pa.int64())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
+class ModelError(RuntimeError):
+    pass
+
+
 def _of_word(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
+def distinct(x: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct values, and the place of each element among them."""
+    if not len(x):
+        return x, np.zeros(0, np.int64)
+    order = np.argsort(x, kind=kind)
+    ascending = x[order]
+    first = np.concatenate([[True], ascending[1:] != ascending[:-1]])
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(first) - 1
+    return ascending[first], number
+
+
 class Block:
     """Some rows: ids, whether each is held out, and their tokens as numbers into `words`, the sorted hashes of the block's words."""
 
     def __init__(self, ids: pa.Array, held_out: np.ndarray, lengths: np.ndarray, words: np.ndarray, tokens: np.ndarray):
         self.ids, self.held_out, self.lengths, self.words, self.tokens = ids, held_out, lengths, words, tokens
+        self.known: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+
+    def grams(self, order: int, bits: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """What _grams() gives, found once."""
+        if (order, bits) not in self.known:
+            self.known[order, bits] = list(self._grams(order, bits))
+        return self.known[order, bits]
 
-    def grams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each order from 2: the keys of the block's distinct n-grams in order, the n-gram that ends at each token (-1 where the text is too short), and the training count of each."""
+    def _grams(self, order: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each order from 2: the keys (of so many bits) of the block's distinct n-grams in order, the n-gram that ends at each token (-1 where the text is too short), and the training count of each."""
         hashes, place = self.words[self.tokens], np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         trained = np.repeat(~self.held_out, self.lengths)
         key = hashes
@@ -64,70 +97,67 @@ class Block:
             grown = np.zeros(len(key), U)
             grown[inside] = mix(key[inside - 1] * U(0x9E3779B97F4A7C15) + hashes[inside] + U(n))
             key = grown
-            distinct, number = np.unique(key[inside], return_inverse=True)
+            keys, number = distinct(key[inside] >> U(64 - bits))
             at = np.full(len(key), -1)
             at[inside] = number
-            yield distinct, at, np.bincount(number[trained[inside]], minlength=len(distinct))
+            yield keys, at, np.bincount(number[trained[inside]], minlength=len(keys))
 
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.tokens[np.repeat(~self.held_out, self.lengths)], minlength=len(self.words))
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
-    """The blocks of a partition (doc_id, held_out, text), numbered by partition and place: the same each time the partition is read."""
-    memo = Memo(_of_word)
-    part, number, size, held = TaskContext.get().partitionId(), 0, 0, []
-
-    def close() -> tuple[int, Block]:
-        nonlocal number, size, held
-        ids = pa.concat_arrays([h[0] for h in held])
-        words, tokens = np.unique(np.concatenate([h[3] for h in held]), return_inverse=True)
-        out = part << 32 | number, Block(ids, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), words, tokens.astype(np.int32))
-        number, size, held = number + 1, 0, []
-        return out
-
-    for batch in slices(batches, most=2 << 20):
-        texts = raw(batch)
-        split = [t.lower().split() for t in texts]
-        for words in split:
-            words.append(END)
-        lengths = np.array([len(w) for w in split])
-        hashes = np.fromiter((memo[w] for words in split for w in words), U, int(lengths.sum()))
-        memo.trim()
-        held.append((batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), lengths, hashes))
-        size += sum(map(len, texts))
-        if size >= BLOCK_BYTES:
-            yield close()
-    if held:
-        yield close()
+def stored_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, shard -1, ids, body): texts (doc_id, held_out, text) cut into words, in blocks numbered by partition and place."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(_of_word)
+        part, number, size, held = TaskContext.get().partitionId(), 0, 0, []
+
+        def close() -> pa.RecordBatch:
+            ids = pa.concat_arrays([h[0] for h in held])
+            words, tokens = distinct(np.concatenate([h[3] for h in held]))
+            return record(BLOCKS, block=[part << 32 | number], shard=[-1], **packed_block(Block(ids, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), words, tokens)))
+
+        for batch in slices(batches, most=2 << 20):
+            texts = raw(batch)
+            split = [t.lower().split() for t in texts]
+            for words in split:
+                words.append(END)
+            lengths = np.array([len(w) for w in split])
+            hashes = np.fromiter((memo[w] for words in split for w in words), U, int(lengths.sum()))
+            memo.trim()
+            held.append((batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), lengths, hashes))
+            size += sum(map(len, texts))
+            if size >= block_bytes:
+                yield close()
+                number, size, held = number + 1, 0, []
+        if held:
+            yield close()
 
-def shard_bounds(keys: np.ndarray, n_shards: int) -> np.ndarray:
-    """Where each shard's keys begin among sorted keys: shards are equal ranges of hashes."""
-    edges = np.array([(k << 64) // n_shards for k in range(1, n_shards)], U)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+    return docs.mapInArrow(run, "block long, shard int, ids binary, body binary")
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """Counts in the narrowest integers that hold them: a byte for the width, then the numbers."""
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(counts) or int(counts.max()) <= np.iinfo(k).max)
-    return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
+    """Counts in the narrowest integers that hold them: a byte for the width, then the lowest bytes of all, then the next ones. Spark's codec removes what is zero."""
+    width = next(w for w in (1, 2, 4, 8) if not len(counts) or int(counts.max()) < 1 << 8 * w)
+    return bytes([width]) + counts.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    width = data[0]
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T).view(f"<u{width}")[:, 0].astype(np.int64)
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences, first the lowest bytes of all, then the next ones: the highest are mostly zeros, which Spark's codec removes."""
-    return np.diff(keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Ascending keys as differences, in planes of bytes like counts."""
+    return packed(np.diff(keys, prepend=U(0)))
 
 
 def unpacked_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(U)[:, 0], dtype=U)
+    return np.cumsum(unpacked(data).view(U), dtype=U)
 
 
-def join_parts(parts: list[bytes]) -> bytes:
+def join_parts(parts: Sequence[bytes]) -> bytes:
     return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
 
@@ -140,184 +170,235 @@ def split_parts(data: bytes) -> list[bytes]:
     return out
 
 
-def requests(docs: DataFrame, order: int, n_shards: int) -> DataFrame:
-    """(block, shard, keys, counts): for each order the keys that a block asks a shard for, and their training counts in the block."""
+def packed_block(b: Block) -> dict[str, list[bytes]]:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("id", b.ids.type)])) as w:
+        w.write_batch(pa.record_batch([b.ids], ["id"]))
+    # common words have low numbers, so that the tokens take little room
+    rank = np.argsort(np.argsort(-np.bincount(b.tokens, minlength=len(b.words)), kind="stable"))
+    parts = [b.held_out.tobytes(), packed(b.lengths), packed_keys(b.words), packed(rank), packed(rank[b.tokens])]
+    return {"ids": [sink.getvalue().to_pybytes()], "body": [join_parts([zlib.compress(p, 1) for p in parts])]}
+
+
+def restored(ids: bytes, body: bytes) -> Block:
+    held_out, lengths, words, rank, tokens = map(zlib.decompress, split_parts(body))
+    rank = unpacked(rank)
+    back = np.empty(len(rank), np.int32)
+    back[rank] = np.arange(len(rank))
+    return Block(pa.ipc.open_stream(ids).read_all().column(0).combine_chunks(), np.frombuffer(held_out, bool), unpacked(lengths), unpacked_keys(words), back[unpacked(tokens)])
+
+
+def shard_bounds(keys: np.ndarray, n_shards: int, bits: int) -> np.ndarray:
+    """Where each shard's keys begin among sorted keys: shards are equal ranges of hashes."""
+    edges = np.array([(k << bits) // n_shards for k in range(1, n_shards)], U)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in blocks(batches):
-            asked = [(block.words, block.word_counts()), *((k, c) for k, _, c in block.grams(order))]
-            bounds = [shard_bounds(k, n_shards) for k, _ in asked]
-            keys = [join_parts([packed_keys(k[b[s] : b[s + 1]]) for (k, _), b in zip(asked, bounds, strict=True)]) for s in range(n_shards)]
-            counts = [join_parts([packed(c[b[s] : b[s + 1]]) for (_, c), b in zip(asked, bounds, strict=True)]) for s in range(n_shards)]
-            yield record(MESSAGE, block=[number] * n_shards, shard=list(range(n_shards)), keys=keys, counts=counts)
-
-    return docs.mapInArrow(run, "block long, shard int, keys binary, counts binary")
-
-
-def answers(asked: DataFrame) -> DataFrame:
-    """(block, shard, ids, body): the corpus counts in the order of each request, after the shard's tokens and distinct tokens."""
-
-    def of_shard(shard: int, group: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        asks = [(split_parts(k), split_parts(c)) for _, k, c in group]
-        replies: list[list[bytes]] = [[] for _ in group]
-        totals = b""
-        for order in range(len(asks[0][0])):
-            keys = [unpacked_keys(k[order]) for k, _ in asks]
-            counts = np.concatenate([unpacked(c[order]) for _, c in asks])
-            distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(number, weights=counts, minlength=len(distinct)).astype(np.int64)
-            if order == 0:
-                totals = np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()
-            at = 0
-            for reply, k in zip(replies, keys, strict=True):
-                reply.append(packed(total[number[at : at + len(k)]]))
-                at += len(k)
-        return record(ANSWER, block=[b for b, *_ in group], shard=[shard] * len(group), ids=[totals] * len(group), body=[join_parts(r) for r in replies])
+
+def asked_of(block: Block, order: int, bits: int, n_shards: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+    """What a block asks for, keys and training counts of each order, and where each shard's part begins."""
+    asked = [(block.words, block.word_counts()), *((k, c) for k, _, c in block.grams(order, bits))]
+    return asked, [shard_bounds(k, n_shards, bits if n else 64) for n, (k, _) in enumerate(asked)]
+
+
+def requests(blocks: DataFrame, order: int, bits: int, n_shards: int) -> DataFrame:
+    """(block, shard, keys, counts): for each order the keys that a block asks a shard for, and their training counts in the block. Nothing is sent to a shard that holds none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, group = None, []
         for batch in batches:
-            for b, s, k, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if group and s != shard:
-                    yield of_shard(shard, group)
-                    group = []
-                shard = s
-                group.append((b, k, c))
-        if group:
-            yield of_shard(shard, group)
+            for number, ids, body in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "body")), strict=True):
+                asked, bounds = asked_of(restored(ids, body), order, bits, n_shards)
+                shards = np.flatnonzero(sum(np.diff(b) for b in bounds)).tolist()
+                keys = [join_parts([packed_keys(k[b[s] : b[s + 1]]) for (k, _), b in zip(asked, bounds, strict=True)]) for s in shards]
+                counts = [join_parts([packed(c[b[s] : b[s + 1]]) for (_, c), b in zip(asked, bounds, strict=True)]) for s in shards]
+                yield record(MESSAGE, block=[number] * len(shards), shard=shards, keys=keys, counts=counts)
+
+    return blocks.mapInArrow(run, "block long, shard int, keys binary, counts binary")
+
+
+def by_shard(asked: DataFrame, n_shards: int) -> DataFrame:
+    return asked.repartition(min(MOST_PARTS, 2 * n_shards), "shard").sortWithinPartitions("shard", "block")
 
-    return asked.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, "block long, shard int, ids binary, body binary")
 
+def runs(batches: Iterator[pa.RecordBatch], key: str, values: Sequence[str]) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of each run of equal keys."""
+    last, group = None, []
+    for batch in batches:
+        for k, *row in zip(batch.column(key).to_pylist(), *(batch.column(v).to_pylist() for v in values), strict=True):
+            if group and k != last:
+                yield last, group
+                group = []
+            last = k
+            group.append(tuple(row))
+    if group:
+        yield last, group
 
-def stored_blocks(docs: DataFrame) -> DataFrame:
-    """(block, shard -1, ids, body): the rows of each block, to be joined with its answers."""
+
+def summed(asks: list[tuple[list[bytes], list[bytes]]], order: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Of one order: how many keys each request has, the place of each among the distinct ones, and their summed counts."""
+    keys = [unpacked_keys(k[order]) for k, _ in asks]
+    values, number = distinct(np.concatenate(keys), "stable")  # ascending runs are merged
+    counts = np.concatenate([unpacked(c[order]) for _, c in asks])
+    return [len(k) for k in keys], number, np.bincount(number, weights=counts, minlength=len(values)).astype(np.int64)
+
+
+def totals(blocks: DataFrame, n_shards: int) -> tuple[int, int]:
+    """N and V: training tokens, and the distinct ones; a pair of numbers for each shard of words is added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, b in blocks(batches):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pa.schema([("id", b.ids.type)])) as w:
-                w.write_batch(pa.record_batch([b.ids], ["id"]))
-            # common words have low numbers, so that the tokens take little room
-            rank = np.argsort(np.argsort(-np.bincount(b.tokens, minlength=len(b.words)), kind="stable")).astype(np.uint32)
-            tokens = rank[b.tokens]
-            planes = [zlib.compress(np.ascontiguousarray(p), 1) for p in tokens.view(np.uint8).reshape(-1, 4).T]
-            yield record(ANSWER, block=[number], shard=[-1], ids=[sink.getvalue().to_pybytes()], body=[join_parts([b.held_out.tobytes(), b.lengths.astype(np.int32).tobytes(), packed_keys(b.words), rank.tobytes(), *planes])])
+        for _, group in runs(batches, "shard", ("keys", "counts")):
+            _, _, total = summed([(split_parts(k), split_parts(c)) for k, c in group], 0)
+            yield record(TOTALS, tokens=[int(total.sum())], words=[int((total > 0).sum())])
 
-    return docs.mapInArrow(run, "block long, shard int, ids binary, body binary")
+    found = by_shard(requests(blocks, 1, 64, n_shards), n_shards).mapInArrow(run, "tokens long, words long").agg(F.sum("tokens"), F.sum("words")).first()
+    return found[0] or 0, found[1] or 0
 
 
-def restored(ids: bytes, body: bytes) -> Block:
-    held_out, lengths, words, rank, *planes = split_parts(body)
-    rank = np.frombuffer(rank, np.uint32)
-    tokens = np.stack([np.frombuffer(zlib.decompress(p), np.uint8) for p in planes], axis=1).copy().view(np.uint32)[:, 0]
-    back = np.empty(len(rank), np.int32)
-    back[rank] = np.arange(len(rank))
-    return Block(pa.ipc.open_stream(ids).read_all().column(0).combine_chunks(), np.frombuffer(held_out, bool), np.frombuffer(lengths, np.int32).astype(np.int64), unpacked_keys(words), back[tokens])
+def answers(asked: DataFrame, n_shards: int) -> DataFrame:
+    """(block, shard, ids, body): a digest of each request's keys, and the corpus counts in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, group in runs(batches, "shard", ("block", "keys", "counts")):
+            asks = [(split_parts(k), split_parts(c)) for _, k, c in group]
+            replies: list[list[bytes]] = [[] for _ in group]
+            for order in range(len(asks[0][0])):
+                sizes, number, total = summed(asks, order)
+                found, at = total[number], 0
+                for reply, n in zip(replies, sizes, strict=True):
+                    reply.append(packed(found[at : at + n]))
+                    at += n
+            yield record(BLOCKS, block=[b for b, *_ in group], shard=[shard] * len(group), ids=[zlib.crc32(k).to_bytes(4, "little") for _, k, _ in group], body=[join_parts(r) for r in replies])
+
+    return by_shard(asked, n_shards).mapInArrow(run, "block long, shard int, ids binary, body binary")
 
 
 class Automaton:
-    """States are numbers from 0, the root; an arc's key is state * n_symbols + symbol. arcs: key -> number of the arc; its weight and target; failure arcs."""
-
-    def __init__(self, n_symbols: int):
-        self.n = n_symbols
-        self.arcs: dict[int, int] = {}
-        self.weight: list[float] = []
-        self.target: list[int] = []
-        self.fail, self.fail_weight = [0], [0.0]
-
-    def score(self, symbols: list[int]) -> float:
-        """The summed weights of the path that the symbols take from the root, which has an arc for each of them."""
-        n, get, weight, target, fail, fail_weight = self.n, self.arcs.get, self.weight, self.target, self.fail, self.fail_weight
-        state, total = 0, 0.0
-        for x in symbols:
-            arc = get(state * n + x)
-            while arc is None:
-                total += fail_weight[state]
-                state = fail[state]
-                arc = get(state * n + x)
-            total += weight[arc]
-            state = target[arc]
-        return total
-
-
-def build(block: Block, counts: list[np.ndarray], n_tokens: int, n_distinct: int, order: int, prior: float) -> Automaton:
+    """States are numbers from 0, the root. An arc's key is state * n_symbols + symbol, and keys ascend, so that the root's arcs are the symbols themselves."""
+
+    #: Texts are traversed in parts of so many tokens; a part starts some tokens earlier, in the state that these lead to.
+    PART = 64
+
+    def __init__(self, n_symbols: int, order: int, keys: np.ndarray, weight: np.ndarray, target: np.ndarray, fail: np.ndarray, fail_weight: np.ndarray):
+        self.n, self.order, self.keys, self.weight, self.target, self.fail, self.fail_weight = n_symbols, order, keys, weight, target, fail, fail_weight
+
+    def traverse(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The summed weights of the path that each text takes from the root, from left to right; parts of texts go in step. A state depends on the last order - 1 symbols, so as many lead up to a part."""
+        n_parts = -(-lengths // self.PART)
+        text = np.repeat(np.arange(len(lengths)), n_parts)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
+        start = (np.cumsum(lengths) - lengths)[text]
+        own = start + number * self.PART
+        stop = np.minimum(own + self.PART, start + lengths[text])
+        begin = np.maximum(own - (self.order - 1), start)
+        longest_first = np.argsort(begin - stop, kind="stable")
+        begin, own, stop, text = (x[longest_first] for x in (begin, own, stop, text))
+        state, total = np.zeros(len(text), np.int64), np.zeros(len(text))
+        sizes = stop - begin
+        for step in range(int(sizes.max(initial=0))):
+            on = int(np.searchsorted(-sizes, -step))  # the parts that are longer
+            place = begin[:on] + step
+            x, s = symbols[place].astype(np.int64), state[:on]
+            arc, weight = x.copy(), np.zeros(on)
+            open_ = np.flatnonzero(s)
+            now = s[open_]
+            while len(open_):
+                key = now * self.n + x[open_]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[at] == key
+                arc[open_[hit]] = at[hit]
+                open_, now = open_[~hit], now[~hit]
+                weight[open_] += self.fail_weight[now]
+                now = self.fail[now]
+                open_, now = open_[now > 0], now[now > 0]
+            total[:on] += np.where(place >= own[:on], weight + self.weight[arc], 0.0)
+            state[:on] = self.target[arc]
+        return np.bincount(text, weights=total, minlength=len(lengths))
+
+
+def build(block: Block, counts: list[np.ndarray], n_tokens: int, n_distinct: int, order: int, priors: Sequence[float], bits: int) -> Automaton:
     """The part of the automaton that the block's texts can reach. counts: for each order, the corpus counts of the block's n-grams."""
     words = len(block.words)
-    a = Automaton(words)
     probability = (counts[0] + 1) / (n_tokens + n_distinct + 1)
     end = np.searchsorted(block.words, U(_of_word(END)))
     # states of one word: those that were seen in training, but the end, which no token follows
-    is_state = counts[0] > 0
-    if order > 1:
-        is_state[end] = False
-    else:
-        is_state[:] = False
-    state_of = np.where(is_state, np.cumsum(is_state), 0)
+    is_state = (counts[0] > 0) & (order > 1)
+    is_state[end] = False
+    state = np.where(is_state, np.cumsum(is_state), 0)
+    keys, weight, target = [np.arange(words)], [np.log10(probability)], [state]
     seen = counts[0][is_state]
-    a.fail += [0] * len(seen)
-    a.fail_weight += np.log10(prior / (seen + prior)).tolist()
-    a.arcs = dict(zip(range(words), range(words), strict=True))
-    a.weight, a.target = np.log10(probability).tolist(), state_of.tolist()
+    fail, fail_weight = [np.zeros(len(seen) + 1, np.int64)], [np.array([0.0])]
+    if order > 1:
+        fail_weight.append(np.log10(priors[0] / (seen + priors[0])))
+    n_states = len(seen) + 1
     # of the n-gram that ends at a token, one order lower: its state (by n-gram), the n-gram at each token, its probability
-    state, number, chance, context_count = state_of, block.tokens, probability, counts[0]
-    for n, (_, at, _) in enumerate(block.grams(order), 2):
-        total = counts[n - 1]
-        first = np.full(len(total), -1)
+    number, chance, context_count = block.tokens, probability, counts[0]
+    for n, (_, at, _) in enumerate(block.grams(order, bits), 2):
+        total, prior = counts[n - 1], priors[n - 2]
         inside = np.flatnonzero(at >= 0)
+        first = np.zeros(len(total), np.int64)
         first[at[inside]] = inside  # a token at which each n-gram ends
         context, lower = number[first - 1], number[first]
         p = (total + prior * chance[lower]) / (context_count[context] + prior)
         known = total > 0
         is_state = known & (block.tokens[first] != end) if n < order else np.zeros(len(total), bool)
-        new_state = np.where(is_state, len(a.fail) - 1 + np.cumsum(is_state), state[lower])
-        a.fail += state[lower][is_state].tolist()
-        a.fail_weight += np.log10(prior / (total[is_state] + prior)).tolist()
-        keys = state[context[known]].astype(np.int64) * words + block.tokens[first[known]]
-        a.arcs.update(zip(keys.tolist(), range(len(a.weight), len(a.weight) + len(keys)), strict=True))
-        a.weight += np.log10(p[known]).tolist()
-        a.target += new_state[known].tolist()
+        new_state = np.where(is_state, n_states - 1 + np.cumsum(is_state), state[lower])
+        n_states += int(is_state.sum())
+        fail.append(state[lower][is_state])
+        if n < order:
+            fail_weight.append(np.log10(priors[n - 1] / (total[is_state] + priors[n - 1])))
+        keys.append(state[context[known]] * words + block.tokens[first[known]])
+        weight.append(np.log10(p[known]))
+        target.append(new_state[known])
         state, number, chance, context_count = new_state, at, p, total
-    return a
+    keys, weight, target = np.concatenate(keys), np.concatenate(weight), np.concatenate(target)
+    ascending = np.argsort(keys)
+    return Automaton(words, order, keys[ascending], weight[ascending], target[ascending], np.concatenate(fail), np.concatenate(fail_weight))
 
 
-def scored(block: Block, counts: list[np.ndarray], n_tokens: int, n_distinct: int, order: int, prior: float) -> pa.RecordBatch:
-    automaton = build(block, counts, n_tokens, n_distinct, order, prior)
+def scored(block: Block, counts: list[np.ndarray], n_tokens: int, n_distinct: int, order: int, priors: Sequence[float], bits: int) -> pa.RecordBatch:
+    automaton = build(block, counts, n_tokens, n_distinct, order, priors, bits)
     base = np.log10((counts[0] + 1) / (n_tokens + n_distinct + 1))
-    ends = np.cumsum(block.lengths)
-    add = lambda x: np.add.reduceat(x[block.tokens], ends - block.lengths)  # noqa: E731  every row has a token
-    tokens = block.tokens.tolist()
-    scores = [automaton.score(tokens[e - n : e]) for e, n in zip(ends.tolist(), block.lengths.tolist(), strict=True)]
-    return record(SCORES, doc_id=block.ids.cast(pa.int64()), held_out=block.held_out, n_tokens=block.lengths, n_known=add((counts[0] > 0).astype(np.int64)), train_tokens=np.full(len(ends), n_tokens), base_score=add(base), score=scores)
+    add = lambda x: np.add.reduceat(x[block.tokens], np.cumsum(block.lengths) - block.lengths)  # noqa: E731  every row has a token
+    return record(SCORES, doc_id=block.ids.cast(pa.int64()), held_out=block.held_out, n_tokens=block.lengths, n_known=add((counts[0] > 0).astype(np.int64)), train_tokens=np.full(len(block.lengths), n_tokens), base_score=add(base), score=automaton.traverse(block.tokens, block.lengths))
+
+
+def told(block: Block, parts: list[tuple[int, bytes, bytes]], order: int, bits: int, n_shards: int) -> list[np.ndarray]:
+    """The counts of a block's n-grams from the answers to it (shard, digest, body), by shard; raises if they aren't what it asked for."""
+    asked, bounds = asked_of(block, order, bits, n_shards)
+    counts = [[] for _ in range(order)]
+    for shard, digest, body in parts:
+        keys = join_parts([packed_keys(k[b[shard] : b[shard + 1]]) for (k, _), b in zip(asked, bounds, strict=True)])
+        if zlib.crc32(keys).to_bytes(4, "little") != digest:
+            raise ModelError(f"shard {shard} answered another request")
+        for k, part in enumerate(split_parts(body)):
+            counts[k].append(unpacked(part))
+    out = [np.concatenate(c) for c in counts]
+    if any(len(c) != len(k) for c, (k, _) in zip(out, asked, strict=True)):
+        raise ModelError(f"{[len(c) for c in out]} counts for {[len(k) for k, _ in asked]} n-grams")
+    return out
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prior: float = PRIOR, n_shards: int | None = None) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prior: float | Sequence[float] = PRIORS, n_shards: int | None = None, block_bytes: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows where held_out holds don't train.
 
-    n_shards: parts of the model; a task holds one at a time, so it should grow with the corpus. As many as the session
-    has shuffle partitions, unless given.
+    prior: of all orders, or of each from 2 on. n_shards, block_bytes: by the size of the corpus, unless given.
     """
-    n_shards = n_shards or max(16, shuffle_parts(docs.sparkSession))
+    priors = [float(prior)] * (order - 1) if isinstance(prior, (int, float)) else [float(p) for p in prior][: order - 1]
+    if len(priors) < order - 1:
+        raise ValueError(f"{order - 1} priors are needed")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-
-    def of_block(group: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        block = restored(*group[0][1:])
-        told = [(np.frombuffer(ids, np.int64), split_parts(body)) for _, ids, body in group[1:]]
-        n_tokens, n_distinct = (int(sum(t[k] for t, _ in told)) for k in range(2))
-        counts = [np.concatenate([unpacked(parts[k]) for _, parts in told]) for k in range(order)]
-        return scored(block, counts, n_tokens, n_distinct, order, prior)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    root = int(ROOT * size**0.5)
+    n_shards = n_shards or -(-size // max(SHARD_BYTES, root))
+    bits = min(64, size.bit_length() + 20)
+    blocks = cut_lineage(stored_blocks(rows, block_bytes or max(BLOCK_BYTES, root)))
+    n_blocks = blocks.count()
+    n_tokens, n_distinct = totals(blocks, n_shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, group = None, []
-        for batch in batches:
-            for b, s, ids, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if group and b != block:
-                    yield of_block(group)
-                    group = []
-                block = b
-                group.append((s, ids, body))
-        if group:
-            yield of_block(group)
-
-    parts = stored_blocks(rows).union(answers(requests(rows, order, n_shards)))
-    placed = parts.repartition("block").sortWithinPartitions("block", "shard")
+        for _, group in runs(batches, "block", ("shard", "ids", "body")):
+            block = restored(*group[0][1:])
+            yield scored(block, told(block, group[1:], order, bits, n_shards), n_tokens, n_distinct, order, priors, bits)
+
+    parts = blocks.union(answers(requests(blocks, order, bits, n_shards), n_shards))
+    placed = parts.repartition(max(1, min(MOST_PARTS, 2 * n_blocks)), "block").sortWithinPartitions("block", "shard")
     return placed.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
