@@ -23,7 +23,7 @@ def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = id_and_text(table(spark, sf_dir, "documents"))
-    return docs.select("doc_id", secrets.spans_column(F.col("text")).alias("s")).select("doc_id", "s.*")
+    return docs.select("doc_id", secrets.spans_column(F.col("text"), secrets.fit(docs)).alias("s")).select("doc_id", "s.*")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +49,8 @@ def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = id_and_text(table(spark, sf_dir, "documents"))
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", model.column(F.col("text")).alias("s")).select("doc_id", "s.*")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=crc_mod("doc_id", 5) != 0)
+    scored = docs.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), model.column(F.col("text")).alias("s")).select("doc_id", "held_out", "s.*")
     return scored.withColumn("toxic", (F.col("p_toxic") >= model.cut).cast("int"))
 
 
