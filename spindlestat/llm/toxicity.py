@@ -4,8 +4,10 @@ P(grade > k) = sigmoid(w.x - theta_k) with one weight vector for all ordered thr
 severity of a text is its expected grade, the sum of these probabilities. Features are 0/1: the words of a text and
 their first 3 to 8 letters, hashed, so that inflected forms share evidence. An L1 penalty keeps the weights few.
 
-Labels say only toxic or not. The grades of toxic training rows come from the evidence in them: 1 for at most one
-feature that is far more frequent in toxic rows, 2 for up to GRADE_EDGES[1] of them, 3 beyond.
+Labels say only toxic or not, so the grades of toxic training rows are inferred, and not from what the model reads of the
+same rows: training rows are dealt into two folds, each fold finds the features that are far more frequent in its own
+toxic rows, and a toxic row of the other fold is of grade 1 with up to GRADE_EDGES[0] of these, of grade 2 with up to
+GRADE_EDGES[1], of grade 3 beyond. So a grade says how much independent evidence a row holds.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Memo
+from .common import Memo, cut_lineage
 from .labelled import sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -112,10 +114,10 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: f
     return {int(f): float(v) for f, v in zip(names, w0, strict=True) if v}, tuple(map(float, thresholds(p0)))
 
 
-def evidence(counts: DataFrame, n: int, m: int, least: int = 3, odds: float = 1.5, most: int = 20_000) -> list[int]:
-    """Features (of `counts`: feature, bad, fine) of at least `least` of n toxic rows whose rate there is exp(odds) times that in the m others; the `most` frequent ones, ties by feature."""
-    lift = F.log(F.col("bad") / n) - F.log((F.col("fine") + 0.5) / m)
-    return [r[0] for r in counts.filter((F.col("bad") >= least) & (lift > odds)).orderBy(F.desc("bad"), "feature").limit(most).select("feature").collect()]
+def evidence(counts: DataFrame, bad: Column, fine: Column, n: int, m: int, least: int = 3, odds: float = 1.5, most: int = 20_000) -> frozenset[int]:
+    """Features of at least `least` (bad) of n toxic rows whose rate there is exp(odds) times that in the m others (fine); the `most` frequent ones, ties by feature: a bound on what the driver holds."""
+    lift = F.log(bad / max(1, n)) - F.log((fine + 0.5) / max(1, m))
+    return frozenset(r[0] for r in counts.filter((bad >= least) & (lift > odds)).orderBy(bad.desc(), "feature").limit(most).select("feature").collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 8000, keep: Column | None = None, bits: int = 22) -> ToxicityModel:
@@ -136,16 +138,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 80
 
         return hashed_features("text")
 
-    rows = sample(docs, labels, label, most, keep)
-    per = rows.select(F.col("label"), F.explode(hashed(None)).alias("feature")).groupBy("feature").agg(F.sum((F.col("label") > 0).cast("int")).alias("bad"), F.sum((F.col("label") <= 0).cast("int")).alias("fine"))
-    n, m = (x or 0 for x in rows.agg(F.sum((F.col("label") > 0).cast("int")), F.sum((F.col("label") <= 0).cast("int"))).first())
-    if not n:
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2)).cast("int")
+    rows = sample(docs, labels, label, most, keep).withColumn("fold", fold)
+    one = lambda test: F.count_if(test)
+    sides = {f"{name}{f}": (F.col("label") > 0 if name == "bad" else F.col("label") <= 0) & (F.col("fold") == f) for name in ("bad", "fine") for f in (0, 1)}
+    sizes = rows.agg(*[one(t).alias(c) for c, t in sides.items()]).first().asDict()
+    if not sizes["bad0"] + sizes["bad1"]:
         return ToxicityModel(bits, {}, (35.0,) * 3)
-    kept = frozenset(evidence(per, n, max(1, m)))
-    got = rows.select("doc_id", "label", hashed(kept).alias("idx")).toPandas()
+    per = cut_lineage(rows.select("label", "fold", F.explode(hashed(None)).alias("feature")).groupBy("feature").agg(*[one(t).alias(c) for c, t in sides.items()]))
+    kept = evidence(per, F.col("bad0") + F.col("bad1"), F.col("fine0") + F.col("fine1"), sizes["bad0"] + sizes["bad1"], sizes["fine0"] + sizes["fine1"])
+    by_fold = [evidence(per, F.col(f"bad{f}"), F.col(f"fine{f}"), sizes[f"bad{f}"], sizes[f"fine{f}"], least=2) for f in (0, 1)]
+    got = rows.select("doc_id", "label", "fold", hashed(kept | by_fold[0] | by_fold[1]).alias("idx")).toPandas()
     got = got.assign(size=got.idx.map(len)).sort_values(["doc_id", "size"], kind="stable")
-    toxic, rows = got.label.to_numpy(np.int64) > 0, [np.asarray(r, np.int64) for r in got.idx]
-    grades = np.where(toxic, 1 + np.searchsorted(GRADE_EDGES, [len(r) for r in rows], side="left"), 0)
+    toxic, found = got.label.to_numpy(np.int64) > 0, [r.tolist() for r in got.idx]
+    independent = [sum(f in by_fold[1 - fold] for f in r) for r, fold in zip(found, got.fold, strict=True)]
+    grades = np.where(toxic, 1 + np.searchsorted(GRADE_EDGES, independent, side="left"), 0)
+    rows = [np.array([f for f in r if f in kept], np.int64) for r in found]
     weights, thresholds = fit_ordinal(rows, grades, 2 + len(GRADE_EDGES))
     model = ToxicityModel(bits, weights, thresholds)
     clean = model.probabilities(np.array([sum(weights.get(f, 0.0) for f in r.tolist()) for r, t in zip(rows, toxic, strict=True) if not t] or [0.0]))[:, 0]
