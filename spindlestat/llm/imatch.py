@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import cut_lineage
 
 LOW, HIGH, SLOTS, MOST_TERMS = 0.001, 0.05, 48, 2_000_000
-#: Documents of a bucket (of neighbouring ids), and buckets, which bound what the driver holds.
-BUCKET_DOCS, MOST_BUCKETS = 256, 16_384
+#: Documents of a bucket (of neighbouring ids). Bounds of buckets are found in two steps of STEP each, so there are STEP^2 at
+#: most, eight megabytes of broadcast; from there on (300 million documents) buckets grow, to 100 MB at 100 TB.
+BUCKET_DOCS, STEP = 256, 1024
 #: Sketches of a text; the weight of a text that stands for itself; terms by which most texts are seen to need no slots over all their terms.
 SKETCHES, UNIT, COMMONEST = 8, 1 << 20, 2000
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -77,32 +78,59 @@ def weighted(docs: DataFrame, n: int, least: float) -> tuple[DataFrame, int]:
     return rows, rows.agg(F.sum("w")).first()[0]
 
 
+def mask_of(bits: Column) -> Column:
+    """The slots that a term is in, as the bits of a number."""
+    out = F.lit(0).cast("long")
+    for slot in range(SLOTS):
+        out = out.bitwiseOR(F.when(bits.bitwiseAND(F.lit(slot_bits(slot))) == 0, F.lit(1 << slot).cast("long")).otherwise(F.lit(0).cast("long")))
+    return out
+
+
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term, bits, df): the hashes of the terms within the band, and hashed again for the subsets; a last row for the empty string, with null bits."""
+    """(term, mask, df): the hashes of the terms within the band, and the slots that each is in; a last row for the empty string, with a null mask."""
     n = docs.count()
     rows, n = weighted(docs, n, high / 50 * n)
     counted = rows.select("w", F.explode(terms(F.col("text"))).alias("t")).filter("t != ''").groupBy(F.xxhash64("t").alias("term")).agg(F.sum("w").alias("df"))
-    kept = counted.filter(F.col("df").between(max(2 * UNIT, low * n), high * n)).select("term", F.xxhash64("term", F.lit(7)).alias("bits"), "df")
-    return kept.union(docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(None).cast("long").alias("bits"), F.lit(0).cast("long").alias("df")))
+    kept = counted.filter(F.col("df").between(max(2 * UNIT, low * n), high * n)).select("term", mask_of(F.xxhash64("term", F.lit(7))).alias("mask"), "df")
+    return kept.union(docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(None).cast("long").alias("mask"), F.lit(0).cast("long").alias("df")))
+
+
+def _up_to(bounds: Column, x: Column) -> Column:
+    return F.size(F.filter(bounds, lambda b: b <= x))
+
+
+def _bounds(rows: DataFrame, n: int, groups: list[str]) -> DataFrame:
+    """groups, bounds: n quantiles of the ids, or fewer, ascending."""
+    shares = F.array(*[F.lit((k + 1) / (n + 1)) for k in range(n)])
+    return rows.groupBy(*groups).agg(F.array_sort(F.array_distinct(F.percentile_approx("id", shares, 10 * n))).alias("bounds"))
 
 
 def with_bucket(docs: DataFrame) -> DataFrame:
-    """Adds `place` (descending with the id, nulls last) and `bucket`, which ascends with the id: quantiles of the ids, so that buckets are about equally large."""
+    """Adds `place` (descending with the id, nulls last), `tie` (a hash of the text) and `bucket`, a triple of numbers that ascend with the id, and descend with the tie.
+
+    The first two are quantiles of the ids, and of those within such a part: buckets are about equally large. Where one
+    id, or rows without one, fill more than a bucket, that id has buckets of its own, which the third number deals by ties.
+    """
     place = F.coalesce(F.bitwise_not(F.col("doc_id")), F.lit((1 << 63) - 1))
-    n = docs.count()
-    n_buckets = min(MOST_BUCKETS, n // BUCKET_DOCS + 1)
-    shares = [k / n_buckets for k in range(1, n_buckets)]
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 100 * n_buckets)).first()[0] or [])) if shares else []
-    if not bounds:
-        return docs.withColumns({"place": place, "bucket": F.lit(0)})
-    width = max(1, round(len(bounds) ** 0.5))
-    groups = [bounds[k : k + width] for k in range(0, len(bounds), width)]
-    array = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
-    up_to = lambda bounds, x: F.size(F.filter(bounds, lambda b: b <= x))
-    i = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    rows = docs.withColumn("place", place).withColumn("group", up_to(array([g[-1] for g in groups], "array<bigint>"), i))
-    within = up_to(F.coalesce(F.get(array(groups, "array<array<bigint>>"), F.col("group")), F.array().cast("array<bigint>")), i)
-    return rows.withColumn("bucket", F.col("group") * width + within).drop("group")
+    docs = docs.withColumns({"place": place, "id": F.coalesce("doc_id", F.lit(-(1 << 63))), "tie": F.xxhash64("text")})
+    ids = docs.select("id")
+    n = ids.count()
+    wanted = min(STEP * STEP, n // BUCKET_DOCS + 1)
+    if wanted == 1:
+        return docs.withColumn("bucket", F.struct(*[F.lit(0).alias(c) for c in ("part", "within", "piece")])).drop("id")
+    first = min(STEP, round(wanted**0.5))
+    tops = F.from_json(F.lit(json.dumps(_bounds(ids, first, []).first()["bounds"])), "array<bigint>")
+    part = _up_to(tops, F.col("id")).alias("part")
+    # ids that fill more than a bucket, STEP^2 at most
+    large = ids.groupBy("id").count().filter(F.col("count") > max(BUCKET_DOCS, n // (STEP * STEP)))
+    large = cut_lineage(large.select(part, "id", F.ceil(F.col("count") / BUCKET_DOCS).alias("_pieces")))
+    edges = large.select("part", F.explode(F.array("id", F.when(F.col("id") < (1 << 63) - 1, F.col("id") + 1))).alias("id")).groupBy("part").agg(F.collect_set("id").alias("more"))
+    second = _bounds(ids.select(part, "id"), -(-wanted // first), ["part"]).join(edges, "part", "left")
+    second = cut_lineage(second.select("part", F.array_sort(F.array_union("bounds", F.coalesce("more", F.array().cast("array<bigint>")))).alias("bounds")))
+    rows = docs.withColumn("part", part).join(F.broadcast(second), "part").withColumn("within", _up_to(F.col("bounds"), F.col("id"))).drop("bounds")
+    share = (F.col("tie") / F.lit(2.0**64) + 0.5) * F.col("_pieces")
+    rows = rows.join(F.broadcast(large.drop("part")), "id", "left").withColumn("piece", -F.coalesce(F.floor(share), F.lit(0)).cast("int"))
+    return rows.withColumn("bucket", F.struct("part", "within", "piece")).drop("id", "part", "within", "piece", "_pieces")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -112,24 +140,34 @@ def in_order(docs: DataFrame) -> DataFrame:
     lower bucket; so no window holds all rows. Rows that share an id are in the order of a hash of their texts.
     """
     rows = with_bucket(docs)
-    heads = sorted(rows.groupBy("bucket").agg(F.min("place").alias("place")).collect(), key=lambda r: -r["bucket"])
-    to = [(h["bucket"], h["place"], heads[k - 1]["bucket"]) for k, h in enumerate(heads)]
-    copies = docs.sparkSession.createDataFrame(to, "bucket int, place long, to_bucket int")
-    sent = rows.join(F.broadcast(copies), ["bucket", "place"], "left")
+    # a row for each bucket, STEP^2 and a few at most: in one window, and broadcast
+    heads = rows.groupBy("bucket").agg(F.min(F.struct("place", "tie")).alias("head"))
+    w = Window.orderBy(F.desc("bucket"))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = cut_lineage(heads.select("bucket", "head", F.coalesce(F.lag("bucket").over(w), F.last("bucket").over(whole)).alias("to_bucket")))
+    copies = heads.select("bucket", F.col("head.place").alias("place"), F.col("head.tie").alias("tie"), "to_bucket")
+    sent = rows.join(F.broadcast(copies), ["bucket", "place", "tie"], "left")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("extra"))
     copy = F.struct(F.col("to_bucket").alias("bucket"), F.lit(True).alias("extra"))
-    sent = sent.select("doc_id", "text", "place", F.when(F.col("to_bucket").isNull(), F.array(own)).otherwise(F.array(own, copy)).alias("at"))
-    sent = sent.select("doc_id", "text", "place", F.explode("at").alias("at"))
-    sent = sent.select("at.bucket", "at.extra", "place", F.xxhash64("text").alias("tie"), "doc_id", "text")
+    sent = sent.select("doc_id", "text", "place", "tie", F.when(F.col("to_bucket").isNull(), F.array(own)).otherwise(F.array(own, copy)).alias("at"))
+    sent = sent.select("doc_id", "text", "place", "tie", F.explode("at").alias("at"))
+    sent = sent.select("at.bucket", "at.extra", "place", "tie", "doc_id", "text")
     w = Window.partitionBy("bucket").orderBy("extra", "place", "tie")
     return sent.select("bucket", F.row_number().over(w).alias("n"), "extra", "doc_id", "text", F.lead("text").over(w).alias("following"))
 
 
 def slots(found: Column) -> Column:
-    """The hash of each slot, from the sorted array of (term, bits) of a text."""
-    one = lambda slot: F.filter(found, lambda x: x["bits"].bitwiseAND(F.lit(slot_bits(slot))) == 0)
-    shown = lambda x: F.when(F.size(x) == 0, "-").otherwise(F.lpad(F.hex(F.xxhash64(F.transform(x, lambda y: y["term"])).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
-    return F.concat_ws(",", *[shown(one(s)) for s in range(SLOTS)])
+    """The hash of each slot, from the sorted array of (term, mask) of a text. Most slots are empty, which the masks of all terms together tell at once."""
+    shown = lambda x: F.lpad(F.hex(F.xxhash64(F.transform(x, lambda y: y["term"])).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
+
+    def all_of(f: Column) -> Column:
+        x, filled = f["x"], f["filled"]
+        bit = lambda mask, slot: mask.bitwiseAND(F.lit(1 << slot).cast("long")) != 0
+        one = lambda slot: F.filter(x, lambda y: bit(y["mask"], slot))
+        return F.concat_ws(",", shown(x), *[F.when(bit(filled, s), shown(one(s))).otherwise("-") for s in range(1, SLOTS)])
+
+    union = F.aggregate(found, F.lit(0).cast("long"), lambda acc, y: acc.bitwiseOR(y["mask"]))
+    return let(F.struct(found.alias("x"), union.alias("filled")), all_of)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -148,7 +186,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = cut_lineage(lexicon(docs, low, high))
-    common = [r["term"] for r in words.filter("bits IS NOT NULL").orderBy(F.desc("df"), "term").limit(COMMONEST).collect()]
+    common = [r["term"] for r in words.filter("mask IS NOT NULL").orderBy(F.desc("df"), "term").limit(COMMONEST).collect()]
     words = words.drop("df")
     few = words.count() <= MOST_TERMS
     half = F.floor(F.length("text") / 2).cast("int")
@@ -164,9 +202,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     only = lambda c: F.when(F.col("pos") == 0, F.col(c))
     rows = rows.select("bucket", "n", "side", only("info").alias("info"), only("whole").alias("whole"), F.xxhash64("t").alias("term"))
     rows = rows.join(F.broadcast(words) if few else words, "term")
-    found = F.sort_array(F.collect_list(F.when(F.col("bits").isNotNull(), F.struct(F.col("term").alias("term"), F.col("bits").alias("bits")))))
+    found = F.sort_array(F.collect_list(F.when(F.col("mask").isNotNull(), F.struct(F.col("term").alias("term"), F.col("mask").alias("mask")))))
     per = rows.groupBy("bucket", "n", "side").agg(found.alias("found"), F.max("info").alias("info"), F.max("whole").alias("whole"))
-    spare = F.transform(F.filter("whole", lambda h: h != F.xxhash64(F.lit(""))), lambda h: F.named_struct(F.lit("term"), h, F.lit("bits"), F.xxhash64(h, F.lit(7))))
+    spare = F.transform(F.filter("whole", lambda h: h != F.xxhash64(F.lit(""))), lambda h: F.named_struct(F.lit("term"), h, F.lit("mask"), mask_of(F.xxhash64(h, F.lit(7)))))
     shown = F.when(F.size("found") > 0, F.col("found")).otherwise(F.sort_array(spare))
     fp = let(shown, lambda x: F.when(F.size(x) == 0, F.concat(F.lit("text:"), F.hex(F.xxhash64(F.lit(""))))).otherwise(slots(x)))
     per = per.select("bucket", "n", "side", "info", fp.alias("fp"))
