@@ -6,12 +6,13 @@ the successor of the document's length and goes on to the tightest bin with whic
 bin carries a bitmap of its sources and one of its duplicate clusters: a bin takes at most `per_source` documents of one
 source, and no two of one cluster. Where no open bin fits, a new one is opened; so every row is placed.
 
-Documents are dealt to shards by a hash of their id and their place among equal ids. A shard holds about `per_shard`
-documents, whatever the corpus, and is packed by one task; a source or cluster that holds much of the corpus is spread
-over all shards like any other.
+Documents are dealt to shards by a hash of their id and of their number among rows of the same id. A shard holds about
+`per_shard` documents, whatever the corpus, and is packed by one task; an id, source or cluster that holds much of the
+corpus is spread over all shards like any other.
 
 Null lengths, and lengths below 1, take no room (they still get a bin); a null source or cluster conflicts with nothing;
-ties in length go by id, then by piece; repeated rows are documents of their own.
+ties in length go by id, then by copy; rows that repeat an id, or lack one, are documents of their own, numbered by length,
+source and cluster. (doc_id, copy, piece) is unique.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-SCHEMA = "doc_id long, copy int, piece int, n_pieces int, shard long, bin_id string, position int, start int, length int"
+from ..functions.ordering import positions
+from .common import cut_lineage, few
+
+SCHEMA = "doc_id long, copy long, piece int, n_pieces int, shard long, bin_id string, position int, start int, length int"
 
 
 def conflict_masks(keys: Sequence, limit: int) -> list[list[int]]:
@@ -67,15 +71,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length_col: str = "length", so
     doc_id, copy (0, 1, ... among rows of one id), piece, n_pieces, shard, bin_id, position, start, length.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0)).cast("long").alias("length"), F.col(source_col).cast("string").alias("source"), F.col(cluster_col).cast("string").alias("cluster"))
+    # written once, so that numbers of rows hold
+    rows = cut_lineage(rows.withColumns({"_key": F.coalesce("doc_id", F.lit(-(1 << 63))), "_row": F.monotonically_increasing_id()}))
     n_shards = max(1, -(-rows.count() // per_shard))
-    # equal ids, null ids included, are spread by what else the row has; copies are numbered within their shard
-    shard = F.pmod(F.xxhash64("doc_id", "length", "source", "cluster"), F.lit(n_shards))
-    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(n_shards))).otherwise(0)
-    rows = rows.withColumn("shard", F.pmod(shard + salt, F.lit(n_shards)))
+    repeated = rows.groupBy("_key").count().filter("count > 1").select("_key")
+    numbered = rows.withColumn("copy", F.lit(0).cast("long"))
+    if not repeated.isEmpty():
+        repeated = few(cut_lineage(repeated))
+        copies = positions(rows.join(repeated, "_key", "left_semi"), ["length", "source", "cluster", "_row"], ["_key"], "copy")
+        numbered = numbered.join(repeated, "_key", "left_anti").unionByName(copies.withColumn("copy", F.col("copy") - 1))
+    rows = numbered.drop("_key", "_row").withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(n_shards)))
 
     def packed(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "length", "source", "cluster"], kind="stable")
-        part["copy"] = part.groupby("doc_id", dropna=False).cumcount()
+        part = part.sort_values(["doc_id", "copy"], kind="stable")
         whole, rest = part.length // capacity, part.length % capacity
         n = (whole + ((rest > 0) | (whole == 0))).astype(int)
         full = part.loc[part.index.repeat(whole)]
@@ -96,6 +104,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length_col: str = "length", so
 
 
 def with_clusters(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds `cluster`, which copies of a text share whatever their white space and ASCII case, and `length`, the words plus one for the end."""
+    """Adds `cluster`, which copies of a text share whatever their white space and ASCII case (near copies don't: their clusters are the components of minhash.near_duplicates, which pack() takes as well), and `length`, the words plus one for the end."""
     words = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+", " "))
     return docs.withColumn("_words", words).withColumn("cluster", F.when(F.col("_words") != "", F.xxhash64("_words"))).withColumn("length", F.when(F.col("_words") == "", 1).otherwise(F.length("_words") - F.length(F.replace(F.col("_words"), F.lit(" "), F.lit(""))) + 2)).drop("_words")
