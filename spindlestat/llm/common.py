@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.ordering import cut_lineage  # noqa: F401  the operators take it from here
+from ..functions.ordering import checkpoint_folder, cut_lineage  # noqa: F401  the operators take them from here
 
 #: Bytes of text that a Python worker turns into Python objects at a time.
 SLICE_BYTES = 4 << 20

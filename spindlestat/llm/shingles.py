@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
+import xxhash
 
 from .common import Memo
 
@@ -28,15 +27,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def _of_word(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-
 class Shingler:
     """Texts (UTF-8) to sorted arrays of distinct shingle hashes: words are runs of non-space bytes, A-Z lower-cased."""
 
     def __init__(self, words: int):
-        self.words, self.ids = words, Memo(_of_word)
+        self.words, self.ids = words, Memo(xxhash.xxh3_64_intdigest)
         self.factors = mix(np.arange(1, words + 1, dtype=U)) | U(1)
 
     def __call__(self, text: bytes) -> np.ndarray:
