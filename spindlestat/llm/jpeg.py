@@ -201,7 +201,7 @@ def parse(data: bytes) -> Image:
             break
         elif marker == 0xD9:
             raise JpegError("no scan")
-    if frame is None:
+    if frame is None or not frame[0] or not frame[1]:
         raise JpegError("no frame")
     height, width, comps = frame
     chosen = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
@@ -248,13 +248,16 @@ def _lut(table: tuple, dc: bool) -> np.ndarray:
 
 
 def decode(files: list[bytes]) -> list[Image]:
-    """Images with their coefficients."""
-    images = [parse(f) for f in files]
-    by: dict[Layout, list[Image]] = {}
-    for im in images:
-        by.setdefault(im.layout, []).append(im)
-    for layout, group in by.items():
-        _decode_group(layout, group)
+    """Images with their coefficients. A file that is damaged, or no baseline JPEG, raises JpegError."""
+    try:
+        images = [parse(f) for f in files]
+        by: dict[Layout, list[Image]] = {}
+        for im in images:
+            by.setdefault(im.layout, []).append(im)
+        for layout, group in by.items():
+            _decode_group(layout, group)
+    except (IndexError, KeyError, struct.error) as e:  # a scan, table or segment that ends too early
+        raise JpegError(f"damaged file: {e!r}") from e
     return images
 
 

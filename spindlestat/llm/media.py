@@ -1,6 +1,7 @@
 """Media columns on DataFrames: texts stored as JPEG files in a binary column, and features read back from such a column.
 
-A null text counts as empty. Rows are worked on in slices of about half a megabyte, so memory doesn't grow with a partition;
+A null text counts as empty. A row whose media is null or can't be decoded stays, with null features and the reason in
+`error`. Rows are worked on in slices of about half a megabyte, so memory doesn't grow with a partition;
 a longer text is a slice by itself.
 """
 
@@ -17,8 +18,8 @@ from . import jpeg
 from .common import raw, record, slices
 
 SLICE = 1 << 19
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("thumbnail_sha256", pa.string()), ("feature", pa.string())])
-DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, thumbnail_sha256 string, feature string"
+FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("thumbnail_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())])
+DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, thumbnail_sha256 string, feature string, error string"
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,23 +46,29 @@ def features_of(media: list[bytes]) -> dict[str, list]:
     }
 
 
-def features(rows: DataFrame, media_col: str = "media") -> DataFrame:
-    """Reads a column of JPEG files (with doc_id and n_bytes) back into features; a file that is no baseline JPEG raises JpegError."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "media", SLICE):
-            yield record(FEATURES, doc_id=batch.column(0), n_bytes=batch.column(1), **features_of(batch.column(2).to_pylist()))
-
-    return rows.filter(F.col(media_col).isNotNull()).select("doc_id", "n_bytes", F.col(media_col).alias("media")).mapInArrow(run, DDL)
+def features_or_errors(media: list[bytes | None]) -> dict[str, list]:
+    """features_of() with `error`; files are decoded together, and one by one only where that fails."""
+    names = FEATURES.names[2:-1]
+    whole = [m for m in media if m is not None]
+    try:
+        found = features_of(whole) if whole else {}
+        each = iter(zip(*(found[n] for n in names), strict=True)) if whole else iter(())
+        rows = [(*next(each), None) if m is not None else (*[None] * len(names), "no media") for m in media]
+    except jpeg.JpegError:
+        rows = []
+        for m in media:
+            try:
+                rows.append((*(x[0] for x in features_of([m]).values()), None) if m is not None else (*[None] * len(names), "no media"))
+            except jpeg.JpegError as e:
+                rows.append((*[None] * len(names), str(e)))
+    return {n: [r[k] for r in rows] for k, n in enumerate([*names, "error"])}
 
 
-def stored_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """features(encoded(docs)) in one pass through Python: the files are made, and read back from their bytes alone."""
+def features(rows: DataFrame, media_col: str = "media") -> DataFrame:
+    """Reads a column of JPEG files (with doc_id and n_bytes) back into features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=SLICE):
-            texts = raw(batch)
-            media = jpeg.encode([jpeg.padded(t) for t in texts])
-            yield record(FEATURES, doc_id=batch.column(0), n_bytes=[len(t) for t in texts], **features_of(media))
+        for batch in slices(batches, "media", SLICE):
+            yield record(FEATURES, doc_id=batch.column(0), n_bytes=batch.column(1), **features_or_errors(batch.column(2).to_pylist()))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DDL)
+    return rows.select("doc_id", "n_bytes", F.col(media_col).alias("media")).mapInArrow(run, DDL)

@@ -18,7 +18,7 @@ def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.stored_and_read(table(spark, sf_dir, "documents"))
+    return media.features(media.encoded(table(spark, sf_dir, "documents")))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
