@@ -2,7 +2,7 @@
 
 The most frequent words of the corpus are compiled into a minimal acyclic automaton over bytes whose states share
 suffixes; each arc tells how many words come before it, so a path adds up to the word's number, which points to its ids.
-The automaton is one block of bytes, written to a file on each worker and memory-mapped from there. Words that it lacks
+The automaton is one block of bytes in a file that Spark ships to each executor, whose workers all map it into memory. Words that it lacks
 are merged exactly, by rank. Words are cut from texts as the library's byte-level pre-tokeniser does.
 
 A null text counts as empty and has no ids. The text of the special token is that token, as in the library.
@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import json
 import mmap
+import os
 import re
 import struct
 import tempfile
@@ -24,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext, SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Memo, cut_lineage, id_and_text, raw, record, slices, strings
@@ -200,7 +202,7 @@ def compile_lexicon(words: dict[bytes, tuple[int, ...]]) -> bytes:
     Words are added in order; as soon as no later word can pass through a state, it is replaced by an equal one already
     kept, so that the automaton is minimal at any time. Layout: the numbers of states, arcs, words and ids, then 4-byte
     arrays (first arc of each state with its final flag in the lowest bit; target and words-before of each arc; first id
-    of each word; ids), then the arcs' labels, a byte each.
+    of each word; ids; the key of each arc, state << 8 | label, which ascends), then the arcs' labels, a byte each.
     """
     kept: dict[tuple, int] = {}
     arcs_of: list[tuple[tuple[int, int], ...]] = []
@@ -232,12 +234,13 @@ def compile_lexicon(words: dict[bytes, tuple[int, ...]]) -> bytes:
         node = path.pop()
         path[-1][1].append((last[len(path) - 1], freeze(node)))
     root = freeze(path[0])
-    first, target, before, labels = [], [], [], bytearray()
-    for arcs, is_final in zip(arcs_of, final, strict=True):
+    first, target, before, keys, labels = [], [], [], [], bytearray()
+    for state, (arcs, is_final) in enumerate(zip(arcs_of, final, strict=True)):
         first.append(len(labels) << 1 | is_final)
         passed = int(is_final)
         for label, to in arcs:
             labels.append(label)
+            keys.append(state << 8 | label)
             target.append(to)
             before.append(passed)
             passed += count[to]
@@ -247,27 +250,25 @@ def compile_lexicon(words: dict[bytes, tuple[int, ...]]) -> bytes:
         ids += words[w]
         starts.append(len(ids))
     head = struct.pack("<6I", len(arcs_of), len(labels), len(ordered), len(ids), root, 0)
-    return head + b"".join(struct.pack(f"<{len(x)}I", *x) for x in (first, target, before, starts, ids)) + bytes(labels)
+    return head + b"".join(struct.pack(f"<{len(x)}I", *x) for x in (first, target, before, starts, ids, keys)) + bytes(labels)
 
 
 class Lexicon:
-    """A compiled lexicon, mapped from a file that is gone as soon as it is mapped."""
+    """A compiled lexicon, mapped from its file, or from a temporary one that holds the given bytes. Every array is a view of the map."""
 
-    def __init__(self, block: bytes):
-        with tempfile.TemporaryFile() as f:
-            f.write(block)
-            f.flush()
+    def __init__(self, source: bytes | str):
+        with open(source, "rb") if isinstance(source, str) else tempfile.TemporaryFile() as f:
+            if not isinstance(source, str):
+                f.write(source)
+                f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         states, arcs, words, ids, self.root, _ = struct.unpack_from("<6I", self.map)
         view, at, parts = memoryview(self.map), 24, []
-        for n in (states + 1, arcs, arcs, words + 1, ids):
+        for n in (states + 1, arcs, arcs, words + 1, ids, arcs):
             parts.append(view[at : at + 4 * n].cast("I"))
             at += 4 * n
-        self.first, self.target, self.before, self.starts, self.ids = parts
+        self.first, self.target, self.before, self.starts, self.ids, self.keys = parts
         self.labels = at
-        # of each arc, state << 8 | label, which ascends: states are in order, and so are the labels of each
-        owner = np.repeat(np.arange(states), np.diff(np.asarray(self.first) >> 1))
-        self.keys = owner << 8 | np.frombuffer(self.map, np.uint8, arcs, at) if arcs else np.full(1, -1)
 
     def __getitem__(self, word: bytes) -> tuple[int, ...] | None:
         state, number, find, first, base = self.root, 0, self.map.find, self.first, self.labels
@@ -286,7 +287,9 @@ class Lexicon:
         """The ids of many words at once: all words take their first step through the automaton together, then the second, and so on."""
         if len(words) < 64:
             return [self[w] for w in words]
-        first, target, before = (np.asarray(x) for x in (self.first, self.target, self.before))
+        first, target, before, keys = (np.asarray(x) for x in (self.first, self.target, self.before, self.keys))
+        if not len(keys):
+            return [self[w] for w in words]
         size = np.array([len(w) for w in words])
         start = np.cumsum(size) - size
         text = np.frombuffer(b"".join(words), np.uint8)
@@ -294,9 +297,9 @@ class Lexicon:
         on = np.arange(len(words))
         step = 0
         while len(on := on[size[on] > step]):
-            key = state[on] << 8 | text[start[on] + step]
-            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            found = self.keys[arc] == key
+            key = (state[on] << 8 | text[start[on] + step]).astype(np.uint32)
+            arc = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            found = keys[arc] == key
             state[on[~found]] = -1
             on, arc = on[found], arc[found]
             number[on] += before[arc]
@@ -358,18 +361,28 @@ class Encoder:
         return b.decode("utf-8", "replace").encode() if not b.isascii() else b
 
 
-_ENCODERS: dict[bytes, Encoder] = {}
+_ENCODERS: dict[tuple[bytes, str], Encoder] = {}
 
 
-def encoder_of(content: str, block: bytes) -> Encoder:
-    """The encoder for a tokenizer and a lexicon; a worker keeps the last one, and what it has learnt, from task to task."""
-    key = hashlib.sha256(content.encode() + block).digest()
+def encoder_of(content: str, lexicon: str) -> Encoder:
+    """The encoder for a tokenizer and the lexicon in a file that was shipped; a worker keeps the last one, and what it has learnt, from task to task."""
+    key = hashlib.sha256(content.encode()).digest(), lexicon
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Vocabulary(content), Lexicon(block))
+        _ENCODERS[key] = Encoder(Vocabulary(content), Lexicon(SparkFiles.get(lexicon)))
     return _ENCODERS[key]
 
 
+def shipped(sc: SparkContext, block: bytes) -> str:
+    """The name under which executors find a file with this content."""
+    name = f"spindlestat-lexicon-{hashlib.sha256(block).hexdigest()[:32]}"
+    path = os.path.join(tempfile.mkdtemp(prefix="spindlestat-"), name)
+    with open(path, "wb") as f:
+        f.write(block)
+    sc.addFile(path)
+    return name
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): how often each run of non-space bytes stands in all texts. Tasks count first; few rows travel for a common word."""
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
@@ -419,18 +432,17 @@ DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha2
 def encoded(docs: DataFrame, path: str, most: int = 32_768, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, and ids with the text decoded from them, or (digest) the SHA-256 of both.
 
-    path: the tokenizer's file, which the driver reads; executors get its content and the lexicon as broadcasts, whose
-    sizes the vocabulary and `most` bound.
+    path: the tokenizer's file, which the driver reads; executors get its content as a broadcast and the lexicon as a file,
+    whose sizes the vocabulary and `most` bound.
     """
     docs = id_and_text(docs, id_col, text_col)
     with open(path, encoding="utf-8") as f:
         content = f.read()
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((content, frequent_lexicon(docs, Vocabulary(content), most)))
+    shared, lexicon = sc.broadcast(content), shipped(sc, frequent_lexicon(docs, Vocabulary(content), most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        content, block = shared.value
-        encoder = encoder_of(content, block)
+        encoder = encoder_of(shared.value, lexicon)
         for batch in slices(batches, most=2 << 20):
             n, first, second = [], [], []
             for ids in encoder.batch(strings(batch)):
