@@ -17,8 +17,14 @@ def _path(rest: str) -> str:
     return f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
 
 
+def _without_dots(path: str) -> str:
+    parts = f"list_transform(string_split({path}, '/'), lambda s: [s])"
+    kept = f"list_reduce({parts}, lambda acc, x: CASE WHEN x[1] = '.' THEN acc WHEN x[1] = '..' THEN acc[1:greatest(len(acc) - 1, 1)] ELSE list_concat(acc, x) END)"
+    return f"array_to_string({kept}, '/') || CASE WHEN ends_with({path}, '/.') OR ends_with({path}, '/..') THEN '/' ELSE '' END"
+
+
 def _node(rest: str) -> str:
-    return f"CASE WHEN {_host(rest)} <> '' THEN {_host(rest)} || CASE WHEN {_path(rest)} = '' THEN '/' ELSE {_path(rest)} END || regexp_extract({rest}, '^[^?#]*(\\?[^#]*)', 1) END"
+    return f"CASE WHEN {_host(rest)} <> '' THEN {_host(rest)} || CASE WHEN {_path(rest)} = '' THEN '/' WHEN contains({_path(rest)}, '/.') THEN {_without_dots(_path(rest))} ELSE {_path(rest)} END || regexp_extract({rest}, '^[^?#]*(\\?[^#]*)', 1) END"
 
 
 def _rule(host: str, path: str, what: int) -> str:
@@ -30,7 +36,7 @@ def _rule(host: str, path: str, what: int) -> str:
 
 
 def _attribute(tag: str, name: str) -> str:
-    found = f"regexp_extract({tag}, '(?is)\\b{name}\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s>\"'']+)', 1)"
+    found = f"regexp_extract({tag}, '(?is)[\\s\"''/]{name}\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s>\"'']+)', 1)"
     return f"regexp_replace({found}, '^[\"'']|[\"'']$', '', 'g')"
 
 
@@ -38,7 +44,7 @@ URL_FILTER = f"""
 WITH RECURSIVE p AS (SELECT page_id, url, coalesce(html, '') AS html, {_rest('url')} AS rest FROM pages),
 h AS (SELECT page_id, html, {_host('rest')} AS host, {_path('rest')} AS path, {_node('rest')} AS node FROM p),
 tags AS (SELECT host, path, node, 'link' AS kind, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*>')) AS tag FROM h UNION ALL SELECT host, path, node, 'meta', unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*>')) FROM h),
-hrefs AS (SELECT host, path, node, replace({_attribute('tag', 'href')}, '&amp;', '&') AS href FROM tags WHERE kind = 'link' AND lower({_attribute('tag', 'rel')}) = 'canonical'
+hrefs AS (SELECT host, path, node, replace({_attribute('tag', 'href')}, '&amp;', '&') AS href FROM tags WHERE kind = 'link' AND list_contains(regexp_split_to_array(lower({_attribute('tag', 'rel')}), '\\s+'), 'canonical')
 UNION ALL SELECT host, path, node, replace(regexp_extract({_attribute('tag', 'content')}, '(?is)url\\s*=\\s*[''"]?([^''"]*)', 1), '&amp;', '&') FROM tags WHERE kind = 'meta' AND lower({_attribute('tag', 'http-equiv')}) = 'refresh'),
 targets AS (SELECT node, CASE WHEN regexp_matches(x, '^(?i)https?://') THEN x WHEN starts_with(x, '//') THEN 'http:' || x WHEN x = '' OR regexp_matches(x, '^(?i)[a-z][a-z0-9+.-]*:') THEN NULL WHEN starts_with(x, '/') THEN 'http://' || host || x WHEN starts_with(x, '?') THEN 'http://' || host || path || x
 ELSE 'http://' || host || CASE WHEN regexp_extract(path, '^(.*/)[^/]*$', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*/)[^/]*$', 1) END || x END AS target FROM (SELECT *, trim(href) AS x FROM hrefs)),

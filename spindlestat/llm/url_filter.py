@@ -31,13 +31,21 @@ def after_scheme(url: Column) -> Column:
 def with_node(rows: DataFrame, url: str, name: str) -> DataFrame:
     """Adds columns `name` and, for it, `name`_host and `name`_path.
 
-    A node is the url's host, path (at least /) and query, without scheme and fragment; null without a host. Steps are
+    A node is the url's host, path (at least /, its dot segments removed) and query, without scheme and fragment; null without a host. Steps are
     columns of their own, so that the plan doesn't repeat one inside the other.
     """
     rows = rows.withColumn("_rest", after_scheme(F.col(url)))
     rows = rows.withColumns({f"{name}_host": F.translate(F.regexp_extract("_rest", "^[^/?#]*", 0), UPPER, LOWER), f"{name}_path": F.regexp_extract("_rest", "^[^/?#]*([^?#]*)", 1), "_query": F.regexp_extract("_rest", r"^[^?#]*(\?[^#]*)", 1)})
     h, p = F.col(f"{name}_host"), F.col(f"{name}_path")
-    return rows.withColumn(name, F.when(h != "", F.concat(h, F.when(p == "", "/").otherwise(p), "_query"))).drop("_rest", "_query")
+    return rows.withColumn(name, F.when(h != "", F.concat(h, F.when(p == "", "/").when(p.contains("/."), without_dots(p)).otherwise(p), "_query"))).drop("_rest", "_query")
+
+
+def without_dots(path: Column) -> Column:
+    """The path without its segments `.` and `..`, which remove nothing and the segment before."""
+    parts = F.split(path, "/")
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
 
 
 def resolved(href: Column, base_host: Column, base_path: Column) -> Column:
@@ -72,9 +80,9 @@ def rule_of(host_col: Column, path_col: Column, rules: Sequence[tuple[str, str,
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(a, b): nodes of pages and of the targets of their canonical links and refreshes."""
     url, html = F.col(url_col), F.col(html_col)
-    attr = lambda tag, name: F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", 1)
+    attr = lambda tag, name: F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", 1)
     bare = lambda x: F.regexp_replace(x, "^[\"']|[\"']$", "")
-    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), 0), lambda t: F.lower(bare(attr(t, "rel"))) == "canonical")
+    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), 0), lambda t: F.array_contains(F.split(F.lower(bare(attr(t, "rel"))), r"\s+"), "canonical"))
     metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), 0), lambda t: F.lower(bare(attr(t, "http-equiv"))) == "refresh")
     targets = F.concat(
         F.transform(links, lambda t: bare(attr(t, "href"))),
