@@ -140,13 +140,14 @@ def in_order(docs: DataFrame) -> DataFrame:
     lower bucket; so no window holds all rows. Rows that share an id are in the order of a hash of their texts.
     """
     rows = with_bucket(docs)
-    # a row for each bucket, STEP^2 and a few at most: in one window, and broadcast
+    # a row for each bucket, STEP^2 and a few at most: in one window, numbered, and broadcast
     heads = rows.groupBy("bucket").agg(F.min(F.struct("place", "tie")).alias("head"))
     w = Window.orderBy(F.desc("bucket"))
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = cut_lineage(heads.select("bucket", "head", F.coalesce(F.lag("bucket").over(w), F.last("bucket").over(whole)).alias("to_bucket")))
-    copies = heads.select("bucket", F.col("head.place").alias("place"), F.col("head.tie").alias("tie"), "to_bucket")
-    sent = rows.join(F.broadcast(copies), ["bucket", "place", "tie"], "left")
+    heads = cut_lineage(heads.select("bucket", "head", F.row_number().over(w).alias("number")))
+    last = heads.agg(F.max("number")).first()[0] or 1
+    heads = heads.withColumn("to_number", F.when(F.col("number") == 1, last).otherwise(F.col("number") - 1))
+    sent = rows.join(F.broadcast(heads), "bucket").withColumn("to_bucket", F.when((F.col("place") == F.col("head.place")) & (F.col("tie") == F.col("head.tie")), F.col("to_number")))
+    sent = sent.drop("bucket").withColumnRenamed("number", "bucket")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("extra"))
     copy = F.struct(F.col("to_bucket").alias("bucket"), F.lit(True).alias("extra"))
     sent = sent.select("doc_id", "text", "place", "tie", F.when(F.col("to_bucket").isNull(), F.array(own)).otherwise(F.array(own, copy)).alias("at"))
