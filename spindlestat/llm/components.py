@@ -10,7 +10,7 @@ from .common import BROADCAST_ROWS, cut_lineage
 HEAVY_LINKS, HEAVY_SHARE = 256, 1e-4
 
 
-def with_heavy(rows: DataFrame, key: str, found: DataFrame, n_rows: int, degree: str = "n") -> DataFrame:
+def with_heavy(rows: DataFrame, key: str | list[str], found: DataFrame, n_rows: int, degree: str = "n") -> DataFrame:
     """rows joined with `found`, which has each key once and the number of its rows in `degree`; no task gets all rows of a heavy key.
 
     Heavy keys have more than HEAVY_SHARE of the n_rows rows each, so there are at most 1 / HEAVY_SHARE of them: they are
@@ -22,6 +22,12 @@ def with_heavy(rows: DataFrame, key: str, found: DataFrame, n_rows: int, degree:
     return rows.join(heavy, key).unionByName(rows.join(heavy, key, "left_anti").join(light, key))
 
 
+def with_found(rows: DataFrame, key: str | list[str], found: DataFrame, n_rows: int, degree: str = "n") -> DataFrame:
+    """with_heavy(), of a table that is written first and broadcast as a whole if it has few rows."""
+    found = cut_lineage(found)
+    return rows.join(F.broadcast(found.drop(degree)), key) if found.count() <= BROADCAST_ROWS else with_heavy(rows, key, found, n_rows, degree)
+
+
 def _with_least(rows: DataFrame, n_rows: int) -> DataFrame:
     """(a, b, m): m is the smallest b of each a. Up to BROADCAST_ROWS rows have so many a at most, and these are broadcast."""
     found = rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import shingles as sh
-from .common import BROADCAST_ROWS, cut_lineage, few, raw, record, slices
-from .components import components, with_heavy
+from .common import cut_lineage, few, raw, record, slices
+from .components import components, with_found, with_heavy
 
 BLOCK_DOCS, BLOCK_SHINGLES, SLACK = 384, 150_000, 5.0
 #: Estimates from which two nodes stay in one cluster, and from which one stands for the other, and the rounds of refining.
@@ -62,8 +62,7 @@ def band_rows(sets: DataFrame) -> DataFrame:
 def led(rows: DataFrame, n_rows: int) -> DataFrame:
     """(bucket, node, leader): the nodes of buckets with several, and the smallest of each bucket."""
     found = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("_most"), F.count(F.lit(1)).alias("n"))
-    found = cut_lineage(found.filter(F.col("leader") < F.col("_most")).drop("_most"))
-    return rows.join(F.broadcast(found.drop("n")), "bucket") if found.count() <= BROADCAST_ROWS else with_heavy(rows, "bucket", found, n_rows)
+    return with_found(rows, "bucket", found.filter(F.col("leader") < F.col("_most")).drop("_most"), n_rows)
 
 
 def candidate_links(rows: DataFrame, n_rows: int) -> DataFrame:
@@ -238,10 +237,10 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, key, n_shingles, component (a number), first (the smallest struct(id, key) in it) of every row of _rows(); the last two are null for texts without words."""
     signed = cut_lineage(signatures(docs, words))
     oid = F.coalesce("doc_id", F.lit(NO_ID))
-    sets = signed.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(oid.alias("id"), F.col("key").alias("key"))).alias("rep"), F.max("n").alias("n"), F.first("registers").alias("registers"))
+    sets = signed.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(oid.alias("id"), F.col("key").alias("key"))).alias("rep"), F.max("n").alias("n"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("copies"))
     sets = cut_lineage(sets.withColumn("node", F.monotonically_increasing_id()))  # numbers hold, as the table is written
-    rows = band_rows(sets)
-    member = components(candidate_links(rows, sh.BANDS * sets.count())).withColumnRenamed("component", "cluster")
+    n_sets = sets.count()
+    member = components(candidate_links(band_rows(sets), sh.BANDS * n_sets)).withColumnRenamed("component", "cluster")
     placed = _in_blocks(member, sets)
     large = placed.filter(F.col("n_blocks") > WHOLE).select("node")
     if not large.isEmpty():
@@ -264,11 +263,16 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     rows = texts.select("cluster", "n_blocks", "node", "block", "text").mapInArrow(shingled, "cluster long, n_blocks int, node long, block int, shingles binary, registers binary")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    links = components(block_links(rows, percent))
-    named = sets.join(links, "node", "left").select("h1", "h2", "rep", F.coalesce("component", "node").alias("component"))
-    first = named.groupBy("component").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n_sets")).filter("n_sets > 1").drop("n_sets")
-    named = named.join(first, "component", "left").select("h1", "h2", "component", F.coalesce("first", "rep").alias("first"))
-    return signed.join(named, ["h1", "h2"], "left").select("doc_id", "key", F.col("n").alias("n_shingles"), "component", "first")
+    links = few(cut_lineage(components(block_links(rows, percent))))
+    nodes = sets.select("node", "h1", "h2", "rep", "copies")
+    linked = nodes.join(links, "node")
+    first = linked.groupBy("component").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n"))
+    named = with_found(linked, "component", first, n_sets).select("h1", "h2", "component", "first", "copies")
+    alone = nodes.join(links, "node", "left_anti").select("h1", "h2", F.col("node").alias("component"), F.col("rep").alias("first"), "copies")
+    out = with_found(signed.filter("n > 0"), ["h1", "h2"], named.unionByName(alone), signed.count(), "copies")
+    columns = ["doc_id", "key", F.col("n").alias("n_shingles"), "component", "first"]
+    empty = signed.filter("n = 0").withColumns({"component": F.lit(None).cast("long"), "first": F.lit(None).cast("struct<id:bigint,key:bigint>")})
+    return out.select(*columns).unionByName(empty.select(*columns))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from spindlestat.llm import backoff_lm, bpe, components, imatch, jpeg, media, minhash, packing, quality, secrets, shingles, sql, toxicity, url_filter
+from spindlestat.llm import backoff_lm, bpe, common, components, imatch, jpeg, media, minhash, packing, quality, secrets, shingles, sql, toxicity, url_filter
 from spindlestat.llm.labelled import crc_mod
 
 random.seed(11)
@@ -621,7 +621,9 @@ def test_clusters_of_several_blocks_are_refined_without_losing_links(spark, monk
     """Texts from one template, similar by 0.3 to 0.9: bands chain them together, estimates take them apart again."""
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 6)
     monkeypatch.setattr(minhash, "WHOLE", 1)
-    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(components, "HEAVY_LINKS", 2)
     rng = random.Random(12)
     template = [rng.choice(WORDS) for _ in range(150)]
     rows = []
