@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 80
     by_fold = [evidence(per, F.col(f"bad{f}"), F.col(f"fine{f}"), sizes[f"bad{f}"], sizes[f"fine{f}"], least=2) for f in (0, 1)]
     got = rows.select("doc_id", "label", "fold", hashed(kept | by_fold[0] | by_fold[1]).alias("idx")).toPandas()
     got = got.assign(size=got.idx.map(len)).sort_values(["doc_id", "size"], kind="stable")
-    toxic, found = got.label.to_numpy(np.int64) > 0, [r.tolist() for r in got.idx]
+    toxic, found = got.label.to_numpy(np.int64) > 0, [np.asarray(r, np.int64).tolist() for r in got.idx]
     independent = [sum(f in by_fold[1 - fold] for f in r) for r, fold in zip(found, got.fold, strict=True)]
     grades = np.where(toxic, 1 + np.searchsorted(GRADE_EDGES, independent, side="left"), 0)
     rows = [np.array([f for f in r if f in kept], np.int64) for r in found]
