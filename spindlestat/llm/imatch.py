@@ -195,13 +195,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     info = F.struct(F.col("doc_id").alias("doc_id"), F.col("extra").alias("extra"), F.length("text").alias("n_chars"), F.when(~F.col("extra"), F.sha2(F.col("edited"), 256)).alias("edited_sha256"))
     sides = F.array(*[F.struct(F.lit(side).alias("side"), terms(F.col(c)).alias("terms")) for side, c in ((0, "text"), (1, "edited"))])
     rows = rows.select("bucket", "n", info.alias("info"), sides.alias("sides")).select("bucket", "n", "info", F.explode("sides").alias("s"))
-    # all terms travel too, but not where a common term of the lexicon shows that they can't be needed
     common = F.from_json(F.lit(json.dumps(common)), "array<bigint>")
-    whole = let(F.transform("s.terms", lambda t: F.xxhash64(t)), lambda h: F.when(~F.arrays_overlap(h, common), h))
-    rows = rows.select("bucket", "n", "info", "s.side", whole.alias("whole"), F.posexplode("s.terms").alias("pos", "t"))
-    # what isn't a term travels with the first row of each text only
-    only = lambda c: F.when(F.col("pos") == 0, F.col(c))
-    rows = rows.select("bucket", "n", "side", only("info").alias("info"), only("whole").alias("whole"), F.xxhash64("t").alias("term"))
+
+    def items(hashes: Column) -> Column:
+        """A struct for each term. Only the first holds what isn't a term, so that exploded rows stay narrow: about the document, and all terms, but not where a common term of the lexicon shows that they can't be needed."""
+        first = F.struct(hashes[0].alias("term"), F.col("info").alias("info"), F.when(~F.arrays_overlap(hashes, common), hashes).alias("whole"))
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+        others = F.transform(F.slice(hashes, 2, F.size(hashes)), lambda h: F.struct(h.alias("term"), F.lit(None).cast(kinds["info"]).alias("info"), F.lit(None).cast("array<bigint>").alias("whole")))
+        return F.concat(F.array(first), others)
+
+    rows = rows.select("bucket", "n", "s.side", F.explode(let(F.transform("s.terms", lambda t: F.xxhash64(t)), items)).alias("x"))
+    rows = rows.select("bucket", "n", "side", "x.info", "x.whole", "x.term")
     rows = rows.join(F.broadcast(words) if few else words, "term")
     found = F.sort_array(F.collect_list(F.when(F.col("mask").isNotNull(), F.struct(F.col("term").alias("term"), F.col("mask").alias("mask")))))
     per = rows.groupBy("bucket", "n", "side").agg(found.alias("found"), F.max("info").alias("info"), F.max("whole").alias("whole"))
