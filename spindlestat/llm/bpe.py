@@ -22,6 +22,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -310,6 +311,14 @@ class Lexicon:
         return [tuple(ids[starts[n] : starts[n + 1]]) if k else None for n, k in zip(number.tolist(), known.tolist(), strict=True)]
 
 
+IDS, WRITTEN, DECODED, LENGTH = map(itemgetter, range(4))
+
+
+def readable(b: bytes) -> bytes:
+    """UTF-8 of the decoded text; bytes that are no valid UTF-8 become replacement signs, as in the library."""
+    return b if b.isascii() else b.decode("utf-8", "replace").encode()
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.vocabulary, self.lexicon, self.cutter = vocabulary, lexicon, Cutter()
@@ -319,6 +328,11 @@ class Encoder:
         top = max(vocabulary.bytes) + 1
         self.written = [str(i) for i in range(top)]
         self.decoded = [vocabulary.bytes.get(i, b"") for i in range(top)]
+        self.special_parts = {s: self._part((i,)) for s, i in vocabulary.special.items()}
+
+    def _part(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str, bytes, int]:
+        """Ids, as written with commas, as decoded, and how many they are."""
+        return ids, ",".join(map(self.written.__getitem__, ids)), b"".join(map(self.decoded.__getitem__, ids)), len(ids)
 
     def _learn(self, chunks: set[str]) -> None:
         """Puts the ids of these chunks into the memo: their words come from the lexicon, or are merged, all at once."""
@@ -332,33 +346,33 @@ class Encoder:
         self.words.update(zip([new[k] for k in unseen], self.vocabulary.merge_all([coded[k] for k in unseen]), strict=True))
         known = self.words
         for c, words in cut.items():
-            self.parts[c] = known[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(known.__getitem__, words)))
+            self.parts[c] = self._part(known[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(known.__getitem__, words))))
         self.words.trim()
 
-    def batch(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text."""
+    def parts_of(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str, bytes, int]]]:
+        """What _part() gives for each chunk of each text."""
         pieces = [self.special.split(t) if self.special else [t] for t in texts]
         cut = [[self.cutter.chunks(x) for x in p[::2]] for p in pieces]
         self._learn(self.parts.lacking({c for p in cut for chunks in p for c in chunks}))
         out, get = [], self.parts.__getitem__
-        for p, parts in zip(pieces, cut, strict=True):
-            ids: list[int] = []
-            for k, chunks in enumerate(parts):
-                if k:
-                    ids.append(self.vocabulary.special[p[2 * k - 1]])
-                for x in map(get, chunks):
-                    ids.extend(x)
-            out.append(ids)
+        for p, chunks in zip(pieces, cut, strict=True):
+            found = list(map(get, chunks[0]))
+            for k in range(1, len(chunks)):
+                found.append(self.special_parts[p[2 * k - 1]])
+                found.extend(map(get, chunks[k]))
+            out.append(found)
         self.parts.trim()
         return out
 
+    def batch(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        return [list(chain.from_iterable(map(IDS, parts))) for parts in self.parts_of(texts)]
+
     def ids(self, text: str) -> list[int]:
         return self.batch([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
-        """UTF-8 of the decoded text; bytes that are no valid UTF-8 become replacement signs, as in the library."""
-        b = b"".join(map(self.decoded.__getitem__, ids))
-        return b.decode("utf-8", "replace").encode() if not b.isascii() else b
+        return readable(b"".join(map(self.decoded.__getitem__, ids)))
 
 
 _ENCODERS: dict[tuple[bytes, str], Encoder] = {}
@@ -373,13 +387,18 @@ def encoder_of(content: str, lexicon: str) -> Encoder:
     return _ENCODERS[key]
 
 
+_SHIPPED: set[tuple[str, str]] = set()
+
+
 def shipped(sc: SparkContext, block: bytes) -> str:
-    """The name under which executors find a file with this content."""
+    """The name under which executors find a file with this content; an application ships it once."""
     name = f"spindlestat-lexicon-{hashlib.sha256(block).hexdigest()[:32]}"
-    path = os.path.join(tempfile.mkdtemp(prefix="spindlestat-"), name)
-    with open(path, "wb") as f:
-        f.write(block)
-    sc.addFile(path)
+    if (sc.applicationId, name) not in _SHIPPED:
+        path = os.path.join(tempfile.mkdtemp(prefix="spindlestat-"), name)
+        with open(path, "wb") as f:
+            f.write(block)
+        sc.addFile(path)
+        _SHIPPED.add((sc.applicationId, name))
     return name
 
 
@@ -445,14 +464,15 @@ def encoded(docs: DataFrame, path: str, most: int = 32_768, digest: bool = False
         encoder = encoder_of(shared.value, lexicon)
         for batch in slices(batches, most=2 << 20):
             n, first, second = [], [], []
-            for ids in encoder.batch(strings(batch)):
-                n.append(len(ids))
+            for parts in encoder.parts_of(strings(batch)):
+                n.append(sum(map(LENGTH, parts)))
+                text = readable(b"".join(map(DECODED, parts)))
                 if digest:
-                    first.append(hashlib.sha256(",".join(map(encoder.written.__getitem__, ids)).encode()).hexdigest())
-                    second.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
+                    first.append(hashlib.sha256(",".join(map(WRITTEN, parts)).encode()).hexdigest())
+                    second.append(hashlib.sha256(text).hexdigest())
                 else:
-                    first.append(ids)
-                    second.append(encoder.decode(ids))
+                    first.append(list(chain.from_iterable(map(IDS, parts))))
+                    second.append(text)
             if digest:
                 yield record(DIGEST, doc_id=batch.column(0), n_tokens=n, ids_sha256=first, decoded_sha256=second)
             else:
