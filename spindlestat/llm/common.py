@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -92,5 +93,20 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as compressed Parquet into the folder of checkpoints, and read back: for tables too wide for a checkpoint. The files go when the application ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    gone_at_end(spark, path)
+    return spark.read.parquet(path)
+
+
+def gone_at_end(spark: SparkSession, path: str) -> None:
+    """Hadoop deletes the path when the driver's JVM ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

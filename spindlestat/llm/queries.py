@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import backoff_lm, bpe, imatch, media, minhash, packing, quality, secrets, sql, toxicity, url_filter
+from . import alignment, backoff_lm, bpe, imatch, media, minhash, packing, quality, secrets, sql, toxicity, url_filter, whitening, winnowing
 from .common import id_and_text, table
 from .labelled import crc_mod
 
@@ -58,5 +58,20 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_backoff_lm, op3_jpeg_media, op4_secret_scan, op5_bpe, op6_quality_classifier, op7_url_filter, op8_minhash_neardup, op9_toxicity, op10_imatch_fingerprints)}
-ORACLE_SQL: dict[str, str] = {"op7_url_filter": sql.URL_FILTER}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), digest=True)
+    return found.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_backoff_lm, op3_jpeg_media, op4_secret_scan, op5_bpe, op6_quality_classifier, op7_url_filter, op8_minhash_neardup, op9_toxicity, op10_imatch_fingerprints, op11_token_alignment, op12_decontamination, op13_whitening)}
+ORACLE_SQL: dict[str, str] = {"op7_url_filter": sql.URL_FILTER, "op12_decontamination": sql.DECONTAMINATION}

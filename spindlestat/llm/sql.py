@@ -1,4 +1,4 @@
-"""SQL (DuckDB) for the queries of this subpackage that SQL can express: the URL filter, with its components by recursion."""
+"""SQL (DuckDB) for the queries of this subpackage that SQL can express: the URL filter, with its components by recursion, and decontamination, by comparing all windows."""
 
 from __future__ import annotations
 
@@ -55,3 +55,24 @@ others AS (SELECT node, {_rule("split_part(split_part(other, '/', 1), '?', 1)",
 carried AS (SELECT node, CASE WHEN bool_or(coalesce(own = 'allow', false)) THEN 'allow' WHEN bool_or(coalesce(own = 'block', false)) THEN 'block' ELSE 'allow' END AS verdict FROM others GROUP BY 1)
 SELECT page_id, host, path, {_rule('host', 'path', 0)} AS rule, coalesce({_rule('host', 'path', 1)}, carried.verdict, 'allow') AS verdict FROM h LEFT JOIN carried USING (node)
 """
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words("text")} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_words("text")} AS w FROM benchmark),
+of_items AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS passage
+  FROM b, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS t(i) WHERE len(w) > 0),
+of_docs AS (
+  SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS passage
+  FROM d, (SELECT DISTINCT n FROM of_items) AS lengths, unnest(generate_series(1, len(w) - n + 1)) AS t(i)),
+hits AS (SELECT r, i, n, item FROM of_docs JOIN of_items USING (n, passage)),
+hit_words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT r, i, n FROM hits)) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (r) LEFT JOIN items USING (r)
+"""
