@@ -114,7 +114,7 @@ def joined(rs: DataFrame, width: int) -> np.ndarray:
 
     rs = cut_lineage(rs)
     while rs.count() > 1:
-        rs = cut_lineage(rs.groupBy(F.floor(F.col("part") / FAN).alias("part")).applyInArrow(run, "part long, r array<double>"))
+        rs = cut_lineage(rs.groupBy(F.floor(F.col("part") / FAN).alias("team")).applyInArrow(run, "part long, r array<double>"))
     return np.array(rs.first()["r"]).reshape(-1, width)
 
 

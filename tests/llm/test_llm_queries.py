@@ -58,7 +58,10 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame(full, DOCUMENTS).repartition(3).write.parquet(f"{folder}/documents.parquet")
     labels = [(i, q, x) for i, (q, x) in marks.items()] + [(None, 1, 1), (7, None, None)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    items = spark.createDataFrame([(1, " ".join(rows[3][1].split()[:15])), (2, None)], "item_id long, text string")
+    items.write.parquet(f"{folder}/benchmark.parquet")
     empty = str(tmp_path_factory.mktemp("empty"))
+    items.limit(0).write.parquet(f"{empty}/benchmark.parquet")
     spark.createDataFrame([], DOCUMENTS).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
     return rows, marks, folder, empty
@@ -79,8 +82,8 @@ def ids(rows):
 def test_every_query_keeps_every_row(spark, tables):
     rows, _, folder, empty = tables
     for name, query in queries.QUERIES.items():
-        if name == "op7_url_filter":
-            continue
+        if name in ("op7_url_filter", "op13_whitening"):
+            continue  # they read other tables
         got = query(spark, folder)
         found = collections.Counter(r.doc_id for r in (got.filter("piece = 0") if name.startswith("op1_") else got).select("doc_id").collect())
         assert found == ids(rows), name
@@ -305,7 +308,6 @@ def test_packing_of_many_equal_rows_fills_many_shards(spark):
     assert len(shards) == 20 and max(map(len, shards.values())) < 200
     info = {i: (s, c) for i, _, s, c in rows}
     for part in shards.values():
-        items = sorted(part, key=lambda r: (-r.length, -1 if r.doc_id is None else r.doc_id, r["copy"]))
         items = sorted(part, key=lambda r: (-r.length, math.inf if r.doc_id is None else r.doc_id, r["copy"]))
         placed = packing.best_fit([r.length for r in items], [info[r.doc_id][0] for r in items], [info[r.doc_id][1] for r in items], 64, 2)
         assert [(int(r.bin_id.split("-")[1]), r.position, r.start) for r in items] == placed
