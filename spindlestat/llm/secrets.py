@@ -4,20 +4,27 @@ Base spans are the matches of ASSIGN, ACCESS and HEX, leftmost and not overlappi
 
 The method adds spans of kind `random`. Candidates are runs of base-64 signs and, where a run as a whole is none, its parts
 between `/ + - _`, of LEAST characters or more. The narrowest alphabet that holds a candidate is its inferred encoding.
-Three tests ask whether it is compatible with uniform random draws from that alphabet: chi-squared for the shares of
-vowels, common and rare consonants of either case, digits and other signs; a runs test for how often such kinds follow
-each other; and the serial correlation of neighbours. Fisher's rule combines their p-values into one score, which is even
-between 0 and 1 for random tokens and near 0 for words.
-
-How near depends on the length, so the score that a candidate must reach is learnt from the corpus for each class of
-lengths, under control of the false discovery rate: each document gives one decoy of each length, cut from its own words
-without the spaces between them. The share of decoys that reach a score, times the number of candidates, over the number
-of candidates that reach it, estimates the share of false discoveries; the least score at which that is RATE or below is
-the threshold of the class (Benjamini and Hochberg's rule on p-values from decoys). fit() counts scores over all texts;
-only these counts, a few hundred numbers, reach the driver.
+Four tests ask whether it is compatible with uniform random draws from that alphabet. The chi-squared test of the whole
+alphabet is split into two independent ones, for the shares of its kinds of signs (vowels, common and rare consonants of
+either case, digits, other signs), and for the shares of signs within each kind; a runs test counts how often kinds follow
+each other; and neighbours are tested for serial correlation. Fisher's rule combines the p-values into one score, which is
+even between 0 and 1 for random tokens and near 0 for words.
+
+How near depends on the length, and on whether there are digits, which words rarely have, or signs that join words. So
+candidates fall into classes by length and by that, and the score that one must reach is learnt from the corpus for each
+class, under control of the false discovery rate. Each document gives decoys of each length, cut from its own words: with
+nothing between them, joined by one of the signs, and again from about a word with a digit on, if it has any. The share of decoys that reach a score, times the number of
+candidates, over the number of candidates that reach it, estimates the share of false discoveries; the least score at which
+that is RATE or below is the cut of the class (Benjamini and Hochberg's rule on p-values from decoys). fit() counts scores
+over all texts; only these counts, some hundred numbers, reach the driver.
+
+A class with fewer than ENOUGH decoys can't prove anything, whatever the size of the corpus; its cut is that of DEFAULT. A
+class with enough decoys in which no score keeps the rate has no discoveries. Both are told: fit() returns, by class, the
+cut, the number of decoys and of candidates, and which case it is. Cuts depend on the corpus; where the same text must have
+the same spans in every load, fit once and pass the result on. DEFAULT can be passed as well.
 
 A null text is empty and has no spans. Positions are code points, ends exclusive. Equal texts have equal spans. Without
-any text the thresholds are those of DEFAULT.
+any text all cuts are those of DEFAULT. Repeated rows count as often as they occur.
 """
 
 from __future__ import annotations
@@ -28,7 +35,8 @@ import re
 import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -57,13 +65,27 @@ ALPHABETS = {
     "base64": UPPER + LOWER + DIGITS + "+/",
     "base64url": UPPER + LOWER + DIGITS + "-_",
 }
-#: Lengths from which each class of lengths goes on, the steps of scores, and scores to reach where nothing was learnt.
-CLASSES = (16, 20, 24, 32, 48, 96)
-STEPS = 100
-DEFAULT = (0.5, 0.3, 0.2, 0.1, 0.05, 0.05)
+#: Lengths from which each class of lengths goes on; steps of scores, which are finer near 0; decoys that a class must have to learn from.
+LENGTHS = (16, 20, 24, 32, 48, 96)
+STEPS, ENOUGH = 100, 300
+CLASSES = 3 * len(LENGTHS)  # of letters alone; with digits; with other signs
 NEVER = 2.0
 
 
+@dataclass(frozen=True)
+class Thresholds:
+    """By class: the score to reach, the numbers of decoys and candidates it was learnt from, and how: `learnt`, `default` (too few decoys), or `none` (no score keeps the rate)."""
+
+    cuts: tuple[float, ...]
+    decoys: tuple[int, ...] = (0,) * CLASSES
+    candidates: tuple[int, ...] = (0,) * CLASSES
+    sources: tuple[str, ...] = ("default",) * CLASSES
+
+
+#: Scores that few words reach: 1 or 2 in 100 of each class in prose, fewer of long ones.
+DEFAULT = Thresholds((0.3, 0.15, 0.05, 0.01, 0.003, 0.001, 0.2, 0.1, 0.03, 0.01, 0.003, 0.001, 0.2, 0.1, 0.03, 0.01, 0.003, 0.001))
+
+
 def kind_of(c: str) -> str:
     """v, c and r: vowels, common and rare consonants; capitals as V and C; digits d; other signs o."""
     if c.isdigit():
@@ -79,7 +101,8 @@ class Alphabet:
     def __init__(self, signs: str):
         self.signs, self.index = frozenset(signs), {c: i for i, c in enumerate(signs)}
         self.kinds = {c: kind_of(c) for c in signs}
-        self.share = {k: n / len(signs) for k, n in Counter(self.kinds.values()).items()}
+        self.size = Counter(self.kinds.values())
+        self.share = {k: n / len(signs) for k, n in self.size.items()}
 
 
 SETS = {name: Alphabet(signs) for name, signs in ALPHABETS.items()}
@@ -103,16 +126,18 @@ def two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def battery(run: str, name: str) -> tuple[float, float, float]:
-    """p-values of the chi-squared, runs and serial-correlation tests for uniform draws from the alphabet."""
+def battery(run: str, name: str) -> tuple[float, float, float, float]:
+    """p-values of the chi-squared tests of kinds and within kinds, the runs and the serial-correlation test, for uniform draws from the alphabet."""
     a, n = SETS[name], len(run)
     kinds = [a.kinds[c] for c in run]
     counts = Counter(kinds)
-    if len(a.share) > 1:
-        p_chi = chi2_tail(sum((counts[k] - n * p) ** 2 / (n * p) for k, p in a.share.items()), len(a.share) - 1)
-    else:
-        cells = Counter(run)
-        p_chi = chi2_tail(sum((cells[c] - n / len(a.signs)) ** 2 for c in a.signs) * len(a.signs) / n, len(a.signs) - 1)
+    p_kinds = chi2_tail(sum((counts[k] - n * p) ** 2 / (n * p) for k, p in a.share.items()), len(a.share) - 1)
+    # within a kind, signs are even: squares over the expected number, less that number for each sign
+    of_kind: Counter = Counter()
+    for c, m in Counter(run).items():
+        of_kind[a.kinds[c]] += m * m
+    within = sum(of_kind[k] * a.size[k] / m - m for k, m in counts.items())
+    p_within = chi2_tail(within, sum(a.size[k] - 1 for k in counts))
     squares, cubes = sum(k**2 for k in counts.values()), sum(k**3 for k in counts.values())
     mean = (n * (n + 1) - squares) / n
     var = (squares * (squares + n * (n + 1)) - 2 * n * cubes - n**3) / (n * n * (n - 1)) if n > 1 else 0.0
@@ -122,20 +147,25 @@ def battery(run: str, name: str) -> tuple[float, float, float]:
     m = sum(values) / n
     spread = sum((v - m) ** 2 for v in values)
     r = sum((x - m) * (y - m) for x, y in zip(values, values[1:], strict=False)) / spread if spread else 1.0
-    return p_chi, p_runs, two_sided((r + 1 / n) * math.sqrt(n))
+    return p_kinds, p_within, p_runs, two_sided((r + 1 / n) * math.sqrt(n))
 
 
 def score(run: str) -> float | None:
-    """Fisher's combination of the three p-values; None for what is no candidate."""
+    """Fisher's combination of the four p-values; None for what is no candidate."""
     name = encoding(run)
     if name is None or len(run) < (LEAST_DECIMAL if name == "decimal" else LEAST):
         return None
     x = -sum(math.log(max(p, 1e-300)) for p in battery(run, name))
-    return math.exp(-x) * (1 + x + x * x / 2)
+    return math.exp(-x) * (1 + x + x * x / 2 + x**3 / 6)
 
 
-def length_class(n: int) -> int:
-    return bisect_right(CLASSES, n) - 1
+def class_of(run: str) -> int:
+    """The class of a run by its length, and whether it has digits or other signs."""
+    return bisect_right(LENGTHS, len(run)) - 1 + len(LENGTHS) * (0 if run.isalpha() else 1 if run.isalnum() else 2)
+
+
+def step_of(x: float) -> int:
+    return min(STEPS - 1, int(STEPS * x**0.25))
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, float, bool]]:
@@ -150,51 +180,52 @@ def candidates(text: str) -> Iterator[tuple[int, int, float, bool]]:
                     yield start + part.start(), start + part.end(), s, False
 
 
-def random_spans(text: str, thresholds: Sequence[float] = DEFAULT) -> list[tuple[int, int]]:
-    """The candidates that reach the threshold of their length; parts only of runs that don't."""
+def random_spans(text: str, thresholds: Thresholds = DEFAULT) -> list[tuple[int, int]]:
+    """The candidates that reach the cut of their class; parts only of runs that don't."""
     out: list[tuple[int, int]] = []
     for start, end, s, _ in candidates(text):
-        if s >= thresholds[length_class(end - start)] and not (out and start < out[-1][1]):
+        if s >= thresholds.cuts[class_of(text[start:end])] and not (out and start < out[-1][1]):
             out.append((start, end))
     return out
 
 
-def decoys(text: str) -> Iterator[tuple[int, float]]:
-    """(class of lengths, score) of a decoy for each class, cut from the text's words at a place that its hash tells."""
+def decoys(text: str) -> Iterator[str]:
+    """Decoys for each class of lengths, cut from the text's words at a place that its hash tells: plain and with a sign between words; and the same from shortly before, or at, a word that has a digit."""
     words = [w for w in WORDS.findall(text) if len(w) < LEAST]
-    size = sum(map(len, words))
-    if size < CLASSES[0]:
-        return
     place = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-    longest = CLASSES[-1] + CLASSES[-1] // 2
+    longest = LENGTHS[-1] + LENGTHS[-1] // 2
+    digits = [i for i, w in enumerate(words) if not w.isalpha()]
     # enough words from a place on; short texts whole
-    first = place % max(1, len(words) - longest // 3)
-    joined = "".join(words[first : first + longest])[:longest] if len(words) > longest else "".join(words)
-    for k, low in enumerate(CLASSES):
-        high = CLASSES[k + 1] if k + 1 < len(CLASSES) else longest
-        n = low + place % (high - low)
-        if len(joined) >= n and (s := score(joined[:n])) is not None:
-            yield k, s
-
-
-def learnt(counts: dict[tuple[int, bool, int], int]) -> tuple[float, ...]:
+    places = [place % max(1, len(words) - longest // 3)] + ([max(0, digits[place % len(digits)] - place // 7 % 4)] if digits else [])
+    for first in places:
+        for sign in ("", "_-/+"[place % 4]):
+            joined = sign.join(words[first : first + longest])
+            for k, low in enumerate(LENGTHS):
+                high = LENGTHS[k + 1] if k + 1 < len(LENGTHS) else longest
+                n = low + place % (high - low)
+                if len(joined) >= n:
+                    yield joined[:n]
+
+
+def learnt(counts: dict[tuple[int, bool, int], int]) -> Thresholds:
     """The thresholds from numbers of (class, is a decoy, step of the score)."""
-    out = []
-    for k in range(len(CLASSES)):
+    cuts, sources, sizes = [], [], []
+    for k in range(CLASSES):
         found, false = ([counts.get((k, d, step), 0) for step in range(STEPS)] for d in (False, True))
         all_found, all_false = sum(found), sum(false)
-        least = DEFAULT[k] if not all_false else NEVER
-        if all_false:
-            above, wrong = 0, 0
-            for step in range(STEPS - 1, 0, -1):
-                above, wrong = above + found[step], wrong + false[step]
-                if above and (wrong + 1) / (all_false + 1) * all_found / above <= RATE:
-                    least = step / STEPS
-        out.append(least)
-    return tuple(out)
-
-
-def fit(docs: DataFrame, text_col: str = "text") -> tuple[float, ...]:
+        sizes.append((all_false, all_found))
+        least, above, wrong = NEVER, 0, 0
+        for step in range(STEPS - 1, 0, -1):
+            above, wrong = above + found[step], wrong + false[step]
+            if above and (wrong + 1) / (all_false + 1) * all_found / above <= RATE:
+                least = (step / STEPS) ** 4
+        source = "default" if all_false < ENOUGH else "none" if least == NEVER else "learnt"
+        cuts.append(DEFAULT.cuts[k] if source == "default" else least)
+        sources.append(source)
+    return Thresholds(tuple(cuts), tuple(d for d, _ in sizes), tuple(c for _, c in sizes), tuple(sources))
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Thresholds:
     """The thresholds for these texts, from the scores of all candidates and decoys."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,15 +233,15 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[float, ...]:
         for part in parts:
             for text in part["text"]:
                 if text:
-                    seen.update((length_class(e - s), False, min(STEPS - 1, int(x * STEPS))) for s, e, x, _ in candidates(text))
-                    seen.update((k, True, min(STEPS - 1, int(x * STEPS))) for k, x in decoys(text))
+                    seen.update((class_of(text[s:e]), False, step_of(x)) for s, e, x, _ in candidates(text))
+                    seen.update((class_of(d), True, step_of(x)) for d in decoys(text) if (x := score(d)) is not None)
         yield pd.DataFrame([(*key, n) for key, n in seen.items()], columns=["class", "decoy", "step", "n"])
 
     rows = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "class int, decoy boolean, step int, n long")
     return learnt({(r["class"], r["decoy"], r["step"]): r["n"] for r in rows.groupBy("class", "decoy", "step").agg(F.sum("n").alias("n")).collect()})
 
 
-def scan(text: str, thresholds: Sequence[float] = DEFAULT) -> list[tuple[int, int, str]]:
+def scan(text: str, thresholds: Thresholds = DEFAULT) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans by start, then by kind in the order of KINDS. A random span that meets a base one is none."""
     base = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6] if "=" in text or ":" in text else []
     base += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
@@ -229,7 +260,7 @@ def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def spans_column(text: Column, thresholds: Sequence[float] = DEFAULT) -> Column:
+def spans_column(text: Column, thresholds: Thresholds = DEFAULT) -> Column:
     """struct(n_assign, n_access, n_hex, n_random, base_sha256, spans) of a text column."""
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
@@ -246,7 +277,7 @@ def spans_column(text: Column, thresholds: Sequence[float] = DEFAULT) -> Column:
     return secret_spans(text)
 
 
-def redact(text: str, thresholds: Sequence[float] = DEFAULT) -> str:
+def redact(text: str, thresholds: Thresholds = DEFAULT) -> str:
     """The text with every span replaced by its kind in brackets; overlapping spans count as one, of the first one's kind."""
     out, at = [], 0
     for s, e, kind in scan(text, thresholds):
@@ -256,7 +287,7 @@ def redact(text: str, thresholds: Sequence[float] = DEFAULT) -> str:
     return "".join([*out, text[at:]])
 
 
-def redacted_column(text: Column, thresholds: Sequence[float] = DEFAULT) -> Column:
+def redacted_column(text: Column, thresholds: Thresholds = DEFAULT) -> Column:
     """The redacted text; a null text stays null."""
 
     @F.pandas_udf("string")
