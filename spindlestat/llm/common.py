@@ -93,6 +93,15 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows written as compressed Parquet into the folder of checkpoints, and read back: for tables too wide for a checkpoint. The files go when the application ends."""
     spark = df.sparkSession

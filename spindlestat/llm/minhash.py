@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import shingles as sh
-from .common import cut_lineage, few, raw, record, slices
+from .common import cut_lineage, few, raw, record, slices, unused
 from .components import components, with_found, with_heavy
 
 BLOCK_DOCS, BLOCK_SHINGLES, SLACK = 384, 150_000, 5.0
@@ -223,7 +223,7 @@ def _in_blocks(member: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, cluster, n_blocks, block) of clustered nodes, materialised."""
     sizes = member.join(sets.select("node", "n"), "node").groupBy("cluster").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_shingles"))
     n_blocks = F.greatest(F.ceil(F.col("n_docs") / BLOCK_DOCS), F.ceil(F.col("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = member.join(sizes, "cluster").select("node", "cluster", n_blocks.alias("n_blocks"))
+    placed = with_found(member, "cluster", sizes.select("cluster", "n_docs", n_blocks.alias("n_blocks")), member.count(), "n_docs").select("node", "cluster", "n_blocks")
     return cut_lineage(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")))
 
 
@@ -284,13 +284,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, but one of each component: that of the smallest id (null ids last, ties by a hash of the text), and one of rows that repeat its id and text. Rows without words stay."""
-    found = cut_lineage(grouped(_rows(docs, id_col, text_col), words, percent).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("key").alias("_key"), "first"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    on = ["_id", "_key"]
-    gone = found.filter((F.col("first.id") != F.col("_id")) | (F.col("first.key") != F.col("_key"))).select(*on).distinct()
+    oid, key = unused(docs, "id"), unused(docs, "key")  # names that no column of docs has
+    found = cut_lineage(grouped(_rows(docs, id_col, text_col), words, percent).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(oid), F.col("key").alias(key), F.col("first.id").alias("_first_id"), F.col("first.key").alias("_first_key")))
+    keyed = docs.withColumns({oid: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), key: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    on = [oid, key]
+    gone = found.filter((F.col("_first_id") != F.col(oid)) | (F.col("_first_key") != F.col(key))).select(*on).distinct()
     out = keyed.join(few(cut_lineage(gone)), on, "left_anti")
-    repeated = found.filter(F.col("first").isNotNull()).groupBy(*on).count().filter("count > 1").select(*on)
+    repeated = found.filter(F.col("_first_id").isNotNull()).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select(*on)
     if not repeated.isEmpty():
         repeated = few(cut_lineage(repeated))
         out = out.join(repeated, on, "left_anti").unionByName(out.join(repeated, on, "left_semi").dropDuplicates(on))
-    return out.select(docs.columns)
+    return out.drop(*on)

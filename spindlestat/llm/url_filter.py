@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut_lineage
-from .components import components
+from .components import components, with_found
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path) of the query's contract.
@@ -110,6 +110,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redir
     # a component's targets count too, whether or not they are pages here
     named = with_node(members.withColumn("url", F.concat(F.lit("x://"), "node")), "url", "n")
     ruled = named.select("component", rule_of(F.col("n_host"), F.col("n_path"), rules).alias("own"))
-    decided = ruled.groupBy("component").agg(F.max(F.col("own.verdict") == "allow").alias("allowed"), F.max(F.col("own.verdict") == "block").alias("blocked"))
-    carried = members.join(decided, "component").select("node", F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow").alias("carried"))
-    return rows.join(carried, "node", "left").select("page_id", "host", "path", "own.rule", F.coalesce("own.verdict", "carried", F.lit("allow")).alias("verdict"))
+    decided = ruled.groupBy("component").agg(F.max(F.col("own.verdict") == "allow").alias("allowed"), F.max(F.col("own.verdict") == "block").alias("blocked"), F.count(F.lit(1)).alias("n"))
+    # no task gets all members of a large component, nor all pages of a url that is often repeated
+    decided = with_found(members, "component", decided, members.count())
+    carried = decided.select("node", F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow").alias("carried"))
+    named_rows = rows.filter("node IS NOT NULL")
+    of_node = named_rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(carried, "node", "left")
+    rows = with_found(named_rows, "node", of_node, rows.count()).unionByName(rows.filter("node IS NULL").withColumn("carried", F.lit(None).cast("string")))
+    return rows.select("page_id", "host", "path", "own.rule", F.coalesce("own.verdict", "carried", F.lit("allow")).alias("verdict"))

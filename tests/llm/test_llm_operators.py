@@ -571,6 +571,26 @@ def test_url_filter(spark):
     assert by_page(url_filter.judge(pages, redirects=more))[10].verdict == "block"
 
 
+def test_url_filter_of_a_giant_component_and_a_repeated_url(spark, monkeypatch):
+    """Neither the members of one component nor the pages of one url come to one task; verdicts are those of the broadcast form."""
+    links = "http://b{i}.org/x <link rel=canonical href='http://a.example.com/de/hub'>"
+    rows = [(i, *links.format(i=i).split(" ", 1)) for i in range(3000)] + [(i, "http://b7.org/x", "") for i in range(3000, 5000)] + [(5000, "http://free.org/", ""), (5001, None, ""), (5002, "http://c.org/", "<link rel=canonical href='/d'>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    want = {(r.page_id, r.verdict) for r in url_filter.judge(pages).collect()}
+    assert want == {(i, "block" if i < 5000 else "allow") for i in range(5003)}
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 10)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be joined to one
+    seen = []
+    whole = url_filter.with_found
+    monkeypatch.setattr(url_filter, "with_found", lambda *a: seen.append(whole(*a)) or seen[-1])
+    assert {(r.page_id, r.verdict) for r in url_filter.judge(pages).collect()} == want
+    for df, hot in zip(seen, ("component", "node"), strict=True):
+        top = df.groupBy(hot).count().orderBy(F.desc("count")).first()
+        assert top["count"] >= 2000
+        assert max(r["count"] for r in df.filter(F.col(hot) == top[hot]).groupBy(F.spark_partition_id()).count().collect()) < 0.7 * top["count"]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def by_page(df):
     return {r.page_id: r for r in df.collect()}
 
@@ -615,6 +635,15 @@ def brute_components(rows, words, percent):
     return {i: (len(sets[i]), forest.root(i), forest.root(i) == i) for i in ids}
 
 
+def test_columns_that_clash_come_back_as_they_were(spark):
+    """Whole rows, whatever their columns are called."""
+    names = ["_id", "_key", "__id", "_first_id", "first", "component", "n", "id", "key", "KEY_", "_rows", "a.b", "node"]
+    rows = [(1, "one two three four five six", *(f"{n} of 1" for n in names)), (2, "one two three four five six", *(f"{n} of 2" for n in names)), (3, "others", *(None for _ in names)), (None, "none", *("x" for _ in names)), (4, "twice here", *("y" for _ in names)), (4, "twice here", *("y" for _ in names))]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{n}` string" for n in names)]))
+    got = minhash.deduplicated(df)
+    assert got.schema == df.schema and collections.Counter(map(tuple, got.collect())) == collections.Counter([rows[0], rows[2], rows[3], rows[4]])
+
+
 def test_near_duplicates_equal_brute_force(spark, docs, nothing, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 8)
     rng = random.Random(4)
