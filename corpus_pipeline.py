@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by their kind; n_chars follows."""
-    return docs.withColumn("text", secrets.redacted_column(F.col("text"), secrets.fit(docs))).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return docs.withColumn("text", secrets.redacted_column(F.col("text"), secrets.fit(docs))).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
