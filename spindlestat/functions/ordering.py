@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from ..operators.errors import AnalysisError
+from .joins import with_group
+from .lineage import checkpoint_folder, cut_lineage  # noqa: F401
 
 #: Rows of a series that may be a window, or a task, by themselves. Longer series are sorted by range and cut.
 STRIDE = 1 << 20
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where the session names none and runs in one JVM, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise AnalysisError("no_checkpoint_folder", "on a cluster, spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spindlestat-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into checkpoint_folder()."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def longest(df: DataFrame, group_cols: Sequence[str] = ()) -> int:
     """The number of rows of the largest group."""
     return df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
@@ -48,13 +31,13 @@ def _ranged(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str],
     if not group_cols:
         return rows
     first = rows.groupBy(*group_cols).agg((F.min(name) - 1).alias("_first"))
-    return rows.join(first, list(group_cols)).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
+    return with_group(rows, first, group_cols).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
 
 
-def positions(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (), name: str = "seq") -> DataFrame:
-    """Adds the 1-based position within the group; rows with a null group are left out."""
+def positions(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (), name: str = "seq", size: int | None = None) -> DataFrame:
+    """Adds the 1-based position within the group; rows with a null group are left out. size: rows of the largest group, counted here unless given."""
     df = df.dropna(subset=list(group_cols)) if group_cols else df
-    if longest(df, group_cols) > STRIDE:
+    if (longest(df, group_cols) if size is None else size) > STRIDE:
         return _ranged(df, order_cols, group_cols, name)
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order_cols)).cast("long"))
 

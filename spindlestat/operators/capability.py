@@ -8,18 +8,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import constants as k
+from ..functions.joins import settled
 from ..functions.ordering import positions
-from ..functions.special import ks_p_value, quantile_sql, shapiro_wilk, upper_tail
+from ..functions.selection import percentiles
+from ..functions.special import SW_MOST, ks_sql, quantile_sql, shapiro_scores_sql, shapiro_steps, upper_tail
 from .common import grouped, ratio, with_limits
 from .errors import AnalysisError
 
 # Fixed values.
-AD_CRITICAL, ALPHA, MOST_SHAPIRO = 0.752, 0.05, 5000
+AD_CRITICAL, ALPHA = 0.752, 0.05
 CENTERED, CENTERED_GAP = 25.0, 0.1
 STEPS = ((691462, 1), (308538, 2), (66807, 3), (6210, 4), (233, 5))
 
@@ -95,42 +95,41 @@ def moments(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     return grouped(df, groups).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"))
 
 
-def normal_scores(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Values that are there, with i (their rank), n, mean, sd and z."""
-    rows = df.filter(F.col(value).isNotNull())
-    ranked = positions(rows, [value], groups, "i")
-    out = with_limits(ranked, moments(rows, value, groups), groups)
-    return out.withColumn("z", (F.col(value) - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")))
+def normal_scores(df: DataFrame, value: str, groups: Sequence[str] = (), known: DataFrame | None = None) -> DataFrame:
+    """Values that are there, with i (their rank), the moments of their group (known, unless they are to be computed), and z."""
+    known = settled(moments(df, value, groups)) if known is None else known
+    longest = known.agg(F.max("n")).first()[0] or 0
+    ranked = positions(df.filter(F.col(value).isNotNull()), [value], groups, "i", longest)
+    return with_limits(ranked, known, groups).withColumn("z", (F.col(value) - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")))
 
 
-def fit_statistics(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Anderson-Darling's a2 and Kolmogorov-Smirnov's d against the fitted normal distribution; both tails are computed as such, so that far values count. values: those of a group of 3 to MOST_SHAPIRO, for Shapiro and Wilk; null of others."""
-    rows = normal_scores(df, value, groups).withColumn("minus_z", -F.col("z"))
-    rows = rows.withColumns({"above": upper_tail("z"), "below": upper_tail("minus_z")})
-    i, n = F.col("i"), F.col("n")
+def fit_statistics(df: DataFrame, value: str, groups: Sequence[str] = (), known: DataFrame | None = None) -> DataFrame:
+    """Anderson-Darling's a2 and Kolmogorov-Smirnov's d against the fitted normal distribution, and sw_w and sw_p of Shapiro and Wilk for 3 to 5000 values (else null). Both tails are computed as such, so that far values count."""
+    rows = normal_scores(df, value, groups, known).withColumn("minus_z", -F.col("z"))
+    rows = rows.withColumns({"above": upper_tail("z"), "below": upper_tail("minus_z"), "score": F.when(F.col("n").between(3, SW_MOST), F.expr(shapiro_scores_sql("i", "n")))})
+    i, n, x, m = F.col("i"), F.col("n"), F.col(value), F.col("score")
     term = (2 * i - 1) * F.ln("below") + (2 * n + 1 - 2 * i) * F.ln("above")
     gap = F.greatest(i / n - F.col("below"), F.col("below") - (i - 1) / n)
-    few = F.collect_list(F.when(n.between(3, MOST_SHAPIRO), F.col(value)))
-    out = grouped(rows, groups).agg((-F.first("n") - F.sum(term) / F.first("n")).alias("a2"), F.max(F.when(F.col("z").isNotNull(), gap)).alias("ks_d"), few.alias("values"))
-    return out.withColumn("values", F.when(F.size("values") > 0, F.col("values")))
-
-
-@F.pandas_udf(StructType([StructField("sw_w", DoubleType()), StructField("sw_p", DoubleType())]))
-def shapiro_of(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(math.nan, math.nan) if v is None else shapiro_wilk(v) for v in values], columns=["sw_w", "sw_p"], dtype=float)
+    at = lambda where: F.max(F.when(where, x))
+    of_shapiro = {"total": F.sum(m * m), "inner_": F.sum(m * x), "x1": at(i == 1), "x2": at(i == 2), "xm": at(i == n - 1), "xn": at(i == n), "ss": F.first(F.col("sd") * F.col("sd") * (n - 1))}
+    out = grouped(rows, groups).agg((-F.first("n") - F.sum(term) / F.first("n")).alias("a2"), F.max(F.when(F.col("z").isNotNull(), gap)).alias("ks_d"), F.first("n").cast("double").alias("n"), *[c.alias(name) for name, c in of_shapiro.items()])
+    for step in shapiro_steps():
+        out = out.withColumns({name: F.expr(sql) for name, sql in step.items()})
+    return out.select(*groups, "a2", "ks_d", "sw_w", "sw_p")
 
 
 def shapiro(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
-    """sw_w, sw_p of each group of 3 to 5000 values; null for others, whose values go nowhere."""
-    return fit_statistics(df, value, groups).select(*groups, shapiro_of("values").alias("s")).select(*groups, *[F.when(~F.isnan(f"s.{c}"), F.col(f"s.{c}")).alias(c) for c in ("sw_w", "sw_p")])
+    """sw_w, sw_p of each group of 3 to 5000 values; null for others."""
+    return fit_statistics(df, value, groups).select(*groups, "sw_w", "sw_p")
 
 
 def normality(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Five tests and their vote: normal if three or more pass. Fewer than 3 values: no verdict (null). With advice on transformations."""
-    t, fit = moments(df, value, groups), fit_statistics(df, value, groups)
-    t = t.join(fit, list(groups), "left") if groups else t.join(fit, F.lit(True), "left")
-    tests = F.struct(ks_p_value(F.col("ks_d"), F.coalesce("n", F.lit(0))).alias("ks_p"), shapiro_of("values").alias("s"))
-    t = t.withColumn("_t", tests).withColumns({c: F.when(~F.isnan(f"_t.{p}"), F.col(f"_t.{p}")) for c, p in (("sw_w", "s.sw_w"), ("sw_p", "s.sw_p"), ("ks_p", "ks_p"))}).drop("_t", "values")
+    t = settled(moments(df, value, groups))
+    fit = fit_statistics(df, value, groups, t).withColumnsRenamed({g: f"_of_{g}" for g in groups})
+    same = [t[g] == fit[f"_of_{g}"] for g in groups]
+    t = t.join(fit, same or F.lit(True), "left").drop(*[f"_of_{g}" for g in groups])  # a row for each group on either side
+    t = t.withColumn("_n", F.col("n").cast("double")).withColumn("ks_p", F.expr(ks_sql("ks_d", "_n"))).drop("_n")
     n = F.col("n")
     critical = F.lit(AD_CRITICAL) / (1 + 0.75 / n + 2.25 / (n * n))
     passed = {"ad_pass": F.col("a2") < critical, "sw_pass": F.col("sw_p") > ALPHA, "ks_pass": F.col("ks_p") > ALPHA, "skew_pass": F.abs("skew") < 1, "kurt_pass": F.abs("kurt") < 1}
@@ -142,50 +141,72 @@ def normality(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFram
     return t.withColumns({"is_normal": F.when(n >= 3, F.col("n_passed") >= 3), "confidence": F.when(n >= 3, F.when(F.col("n_passed") >= 4, "High").when(F.col("n_passed") >= 3, "Medium").otherwise("Low")), "advice": F.when(size > 2, "Highly skewed: transform the data or use non-normal methods").when(size > 1, "Moderately skewed: consider a transformation").otherwise("No transformation is called for"), "transformation": F.when(skew > 1, "log").when(skew < -1, "square").otherwise("box-cox")})
 
 
-def box_cox(df: DataFrame, value: str, groups: Sequence[str] = (), low: float = -2.0, high: float = 2.0, rounds: int = 5, points: int = 17) -> DataFrame:
-    """box_cox_lambda of each group whose values are all positive, of the greatest likelihood: `points` lambdas at a time, then as many between the neighbours of the best, and a parabola through the last three.
+def _power(u: Column, t: Column, shift: Column) -> tuple[Column, Column, Column]:
+    """(exp(lambda t) - 1) / lambda with its first and second derivative by lambda, u = lambda t; all times exp(-shift). Power series where u is small."""
+    e, c = F.exp(u - shift), F.exp(-shift)
+    near = F.abs(u) < 0.3
+
+    def series(k: int) -> Column:
+        out = F.lit(0.0)
+        for j in range(k + 12, k - 1, -1):  # Horner's scheme over j (j - 1) .. (j - k + 1) u^(j - k) / (j + 1)!
+            out = out * u + math.perm(j, k) / math.factorial(j + 1)
+        return out * c
+
+    some = F.when(~near, u)
+    first = F.when(near, series(0)).otherwise((e - c) / some)
+    second = F.when(near, series(1)).otherwise((u * e - (e - c)) / (some * some))
+    third = F.when(near, series(2)).otherwise((u * u * e - 2 * u * e + 2 * (e - c)) / (some * some * some))
+    return t * first, t * t * second, t * t * t * third
+
+
+def _slopes(v: Column, cov: Column, var1: Column, cov2: Column) -> tuple[Column, Column]:
+    """First and second derivative of -ln(variance) / 2, from the variance of y, its covariance with y', the variance of y', and the covariance of y and y''."""
+    r = cov / v
+    return -r, -(var1 + cov2) / v + 2 * r * r
 
-    Each of the passes is one aggregate with a column for each lambda; no row is repeated. Lambdas are evenly spaced in
-    asinh(lambda). The first ones cover [low, high] and all that can be best beyond: with logarithms l about their mean, a
+
+def box_cox(df: DataFrame, value: str, groups: Sequence[str] = (), low: float = -2.0, high: float = 2.0, rounds: int = 60) -> DataFrame:
+    """box_cox_lambda of each group whose values are all positive and not all equal, of the greatest likelihood.
+
+    The likelihood is concave in lambda, so Newton's steps on its derivative lead to the one maximum. The first step, from
+    lambda 0, needs only the moments of the logarithms. Each further one is a pass with four sums, which give the first and
+    second derivative. A step that leaves the bracket, whose ends the signs of the derivative move, halves it instead.
+
+    The bracket covers [low, high] and all that can be best beyond: with logarithms l about their mean, a
     transformed group's values span at least (exp(a) - 1) / lambda for a = lambda max(l), which is exp(a / 2) max(l) at
     least; their variance is at least that span squared over 2 n, and beyond a = 2 ln(sqrt(2 n var(l)) / max(l)) greater
     than at lambda 0. Below 0 it is the same with min(l).
     """
     x, logs = F.col(value), F.ln(value)
-    found = grouped(df, groups).agg(F.min(x).alias("_low"), F.avg(logs).alias("_mean"), F.min(logs).alias("_least"), F.max(logs).alias("_most"), F.sqrt(2 * F.count(x) * F.var_pop(logs)).alias("_s"))
-    found = found.filter("_low > 0 and _most > _mean and _least < _mean").withColumns({"_least": F.col("_least") - F.col("_mean"), "_most": F.col("_most") - F.col("_mean")})
-    farthest = lambda end: 2 * F.greatest(F.ln(F.col("_s") / F.abs(end)), F.lit(0.0)) / F.col(end)
-    found = found.withColumns({"_from": F.asinh(F.least(F.lit(low), farthest("_least"))), "_to": F.asinh(F.greatest(F.lit(high), farthest("_most")))})
-    carried = ("_mean", "_least", "_most", "_from", "_to")
+    moments_ = [F.min(x).alias("_low"), F.avg(logs).alias("_mean"), F.min(logs).alias("_least"), F.max(logs).alias("_most"), F.var_pop(logs).alias("_v"), F.skewness(logs).alias("_skew"), F.kurtosis(logs).alias("_kurt"), F.count(x).alias("_n")]
+    found = grouped(df, groups).agg(*moments_).filter("_low > 0 and _most > _mean and _least < _mean")
+    found = found.withColumns({"_least": F.col("_least") - F.col("_mean"), "_most": F.col("_most") - F.col("_mean")})
+    farthest = lambda end: 2 * F.greatest(F.ln(F.sqrt(2 * F.col("_n") * F.col("_v")) / F.abs(end)), F.lit(0.0)) / F.col(end)
+    found = found.withColumns({"_from": F.least(F.lit(low), farthest("_least")), "_to": F.greatest(F.lit(high), farthest("_most"))})
+    v, m3 = F.col("_v"), F.col("_skew") * F.pow("_v", F.lit(1.5))
+    m4 = (F.col("_kurt") + 3) * v * v
+    slope, bend = _slopes(v, m3 / 2, (m4 - v * v) / 4, m4 / 3)  # at 0, y' is l^2 / 2 and y'' is l^3 / 3
+
+    def stepped(lam: Column, slope: Column, bend: Column) -> dict[str, Column]:
+        a, b = F.when(slope >= 0, lam).otherwise(F.col("_from")), F.when(slope <= 0, lam).otherwise(F.col("_to"))
+        newton = lam - slope / F.when(bend < 0, bend)
+        middle = F.sinh((F.asinh(a) + F.asinh(b)) / 2)
+        new = F.when(slope == 0, lam).when((newton > a) & (newton < b), newton).otherwise(middle)
+        return {"_lam": new, "_step": F.abs(new - lam) / (1 + F.abs(lam)), "_from": a, "_to": b}
+
+    found = found.withColumns(stepped(F.lit(0.0), slope, bend))
+    state = ["_mean", "_least", "_most", "_lam", "_step", "_from", "_to"]
+    found = settled(found.select(*groups, *state))
     rows = df.filter(x > 0).select(*groups, logs.alias("_l"))
-    place = lambda i: F.col("_from") + (F.col("_to") - F.col("_from")) * i / (points - 1)
-
-    def variance(lam: Column) -> tuple[Column, Column]:
-        """What the likelihood is the variance of, and the logarithm that is to be added to its own: powers over their greatest one, so that none overflows, but differences from 1 where all are near it."""
-        t = lam * (F.col("_l") - F.col("_mean"))
-        top, near = F.greatest(lam * F.col("_most"), lam * F.col("_least")), F.abs(lam) * (F.col("_most") - F.col("_least")) < 1
-        some = F.when(lam != 0, lam)
-        y = F.when(lam == 0, F.col("_l") - F.col("_mean")).when(near, F.expm1(t) / some).otherwise(F.exp(t - top))
-        return y, F.when(near, 0.0).otherwise(top - F.ln(F.abs(some)))
-
     for _ in range(rounds):
-        tried = with_limits(rows, found.select(*groups, *carried), groups).withColumns({f"_lam{i}": F.sinh(place(i)) for i in range(points)})
-        fits = []
-        for i in range(points):
-            y, shift = variance(F.col(f"_lam{i}"))
-            fits += [F.var_pop(y).alias(f"_v{i}"), F.first(shift).alias(f"_shift{i}")]
-        found = grouped(tried, groups).agg(*fits, *[F.first(c).alias(c) for c in carried])
-        fit = F.array(*[F.struct((-F.ln(f"_v{i}") / 2 - F.col(f"_shift{i}")).alias("fit"), F.lit(-i).alias("i")) for i in range(points)])
-        found = found.withColumns({"_fits": fit, "_i": -F.array_max(fit)["i"]})
-        low_, high_ = (F.greatest(F.col("_i") - 1, F.lit(0)), F.least(F.col("_i") + 1, F.lit(points - 1)))
-        last = found.select(*groups, "_fits", "_i", *carried)
-        found = last.withColumns({"_from": place(low_), "_to": place(high_)})
-    f = lambda i: F.element_at("_fits", F.greatest(F.least(i + 1, F.lit(points)), F.lit(1)))["fit"]
-    i = F.col("_i")
-    bend = f(i - 1) - 2 * f(i) + f(i + 1)
-    inside = (i > 0) & (i < points - 1) & (bend < 0)
-    vertex = i + F.when(inside, (f(i - 1) - f(i + 1)) / (2 * F.when(bend < 0, bend))).otherwise(0.0)
-    return last.select(*groups, F.sinh(place(vertex)).alias("box_cox_lambda"))
+        if found.filter("_step > 1e-9").isEmpty():
+            break
+        lam, t = F.col("_lam"), F.col("_l") - F.col("_mean")
+        y, y1, y2 = _power(lam * t, t, F.greatest(lam * F.col("_most"), lam * F.col("_least")))
+        tried = with_limits(rows, found, groups).select(*groups, *state, y.alias("_y"), y1.alias("_y1"), y2.alias("_y2"))
+        sums = grouped(tried, groups).agg(F.var_pop("_y").alias("_v"), F.covar_pop("_y", "_y1").alias("_c1"), F.var_pop("_y1").alias("_v1"), F.covar_pop("_y", "_y2").alias("_c2"), *[F.first(c).alias(c) for c in state])
+        found = settled(sums.withColumns(stepped(F.col("_lam"), *_slopes(*(F.col(c) for c in ("_v", "_c1", "_v1", "_c2"))))).select(*groups, *state))
+    return found.select(*groups, F.col("_lam").alias("box_cox_lambda"))
 
 
 def qq(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -214,6 +235,8 @@ def normal_curve(df: DataFrame, value: str, groups: Sequence[str] = (), points:
 
 
 def box_plot(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = grouped(df, groups).agg(F.min(value).alias("least"), q.alias("q"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    """least, q1, median, q3, most, mean, sd; quartiles are exact, and no task sorts a large group."""
+    q = percentiles(df, value, (0.25, 0.5, 0.75), groups)
+    out = grouped(df, groups).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    out = out.join(q, list(groups), "left") if groups else out.join(F.broadcast(q), F.lit(True), "left")  # a row for each group on either side
     return out.select(*groups, "least", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "most", "mean", "sd")

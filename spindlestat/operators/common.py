@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.joins import with_group
+
 
 def ratio(a: Column, b: Column, other: float | None = None) -> Column:
     """a / b; `other` where b is 0."""
@@ -18,8 +20,8 @@ def grouped(df: DataFrame, groups: Sequence[str]):
 
 
 def with_limits(rows: DataFrame, limits: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Each row with the limits of its group; limits of the only group, one row, are broadcast."""
-    return rows.join(limits, list(groups)) if groups else rows.crossJoin(F.broadcast(limits))
+    """Each row with the limits of its group."""
+    return with_group(rows, limits, groups)
 
 
 def clip(x: Column) -> Column:

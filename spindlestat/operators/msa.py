@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as k, ordering
 from ..functions.ordering import cut_lineage, longest, positions
-from ..functions.special import kendall_s, t_p_value
+from ..functions.special import kendall_s, with_t_p_value
 from .charts import imr_points
 from .common import grouped, ratio, with_limits
 from .errors import AnalysisError
@@ -99,7 +99,7 @@ def range_by_operator(df: DataFrame, value: str, part: str, operator: str, group
 
 def _t(out: DataFrame, t: Column, df: Column) -> DataFrame:
     out = out.withColumns({"t": t, "df": df})
-    return out.withColumn("p_value", t_p_value(F.col("t").cast("double"), F.col("df").cast("double"))).withColumn("significant", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
+    return with_t_p_value(out, "t", "df").withColumn("significant", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
 
 
 def bias(df: DataFrame, value: str, reference: str, groups: Sequence[str] = (), p_values: bool = True) -> DataFrame:

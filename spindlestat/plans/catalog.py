@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import constants as k
-from ..functions.special import quantile_sql, upper_tail_sql
+from ..functions.special import KS_ONE_SIDED_DUCKDB, ks_sql, quantile_sql, shapiro_scores_sql, shapiro_steps, t_normal_sql, t_two_sided_sql, upper_tail_sql
 from ..functions.ordering import positions
 from ..operators import capability as cap, charts, msa, quality, roles
 from ..operators.roles import Roles
@@ -360,12 +361,31 @@ def linearity_study(spark, sf_dir):
     return tidy(msa.linearity(priced(spark, sf_dir), "x", "ref", ["l_returnflag"], p_values=False), ["l_returnflag", "n", "slope", "intercept", "r2", "std_error", "small_slope"], 4)
 
 
-@query()
+def p_sql(base: str, keys: str) -> str:
+    """Over base AS (keys, t, df): t, p_value and significant."""
+    return f"""WITH {base}, z AS (SELECT *, {t_normal_sql('t', 'df')} AS z FROM base), p AS (SELECT *, {t_two_sided_sql('t', 'df', 'z')} AS p FROM z)
+SELECT {keys}, round(t, 4) AS t, round(p, 6) AS p_value, p < 0.05 AS significant FROM p"""
+
+
+def with_p(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.select(*keys, F.round("t", 4).alias("t"), F.round("p_value", 6).alias("p_value"), "significant")
+
+
+LINE = "SELECT l_returnflag, regr_count(x - ref, ref) AS n, regr_slope(x - ref, ref) AS slope, sqrt((1 - regr_r2(x - ref, ref)) * regr_syy(x - ref, ref) / regr_sxx(x - ref, ref) / (regr_count(x - ref, ref) - 2)) AS se FROM r GROUP BY 1"
+
+
+@query(p_sql(f"{PRICED}, base AS (SELECT l_returnflag, 'bias' AS study, avg(x - ref) / (stddev_samp(x - ref) / sqrt(count(x - ref))) AS t, (count(x - ref) - 1)::double AS df FROM r GROUP BY 1 UNION ALL SELECT l_returnflag, 'linearity', slope / se, (n - 2)::double FROM ({LINE}))", "l_returnflag, study"))
 def study_p_values(spark, sf_dir):
-    """p-values of bias and linearity: Student's t isn't in SQL."""
     rows = priced(spark, sf_dir)
     a = msa.bias(rows, "x", "ref", ["l_returnflag"]).select("l_returnflag", F.lit("bias").alias("study"), "t", "p_value", "significant")
-    return a.union(msa.linearity(rows, "x", "ref", ["l_returnflag"]).select("l_returnflag", F.lit("linearity"), "t", "p_value", "significant"))
+    return with_p(a.union(msa.linearity(rows, "x", "ref", ["l_returnflag"]).select("l_returnflag", F.lit("linearity"), "t", "p_value", "significant")), ["l_returnflag", "study"])
+
+
+@query(p_sql("base AS (SELECT l_partkey, avg(l_quantity - 25) / (stddev_samp(l_quantity - 25) / sqrt(count(l_quantity))) AS t, (count(l_quantity) - 1)::double AS df FROM lineitem GROUP BY 1)", "l_partkey"))
+def bias_by_part(spark, sf_dir):
+    """Whether the mean quantity of each part is 25: about 30 lines for each of many parts, so p-values are by finite sums and by expansion."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", F.lit(25.0).alias("ref"))
+    return with_p(msa.bias(rows, "l_quantity", "ref", ["l_partkey"]), ["l_partkey"])
 
 
 @query("SELECT l_linenumber::double AS l_linenumber, round(avg(l_quantity - l_linenumber), 6) AS bias, count(l_quantity) AS n FROM lineitem GROUP BY 1")
@@ -464,15 +484,52 @@ def normality_votes(spark, sf_dir):
     return tidy(cap.normality(events(spark, sf_dir), "value", TYPE), ["event_type", "ad_critical", "ad_pass", "skew_pass", "kurt_pass", "advice", "transformation"])
 
 
-@query()
+def normality_sql() -> str:
+    """All five tests and their vote; Shapiro and Wilk's comes in steps."""
+    steps = shapiro_steps()
+    chain = ", ".join(f"s{k} AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in step.items())} FROM s{k - 1})" for k, step in enumerate(steps, 1))
+    critical = f"({cap.AD_CRITICAL} / (1 + 0.75 / n + 2.25 / (n * n)))"
+    return f"""WITH {SCORES}, d AS (SELECT event_type, value - mean AS d FROM z), k AS (SELECT event_type, avg(d * d * d) / pow(avg(d * d), 1.5) AS skew, avg(d * d * d * d) / (avg(d * d) * avg(d * d)) - 3 AS kurt FROM d GROUP BY 1),
+t AS (SELECT *, -z AS minus_z, {shapiro_scores_sql('i', 'n')} AS m FROM z), u AS (SELECT *, {upper_tail_sql('z')} AS above, {upper_tail_sql('minus_z')} AS below FROM t),
+s0 AS (SELECT event_type, any_value(n)::double AS n, any_value(mean) AS mean, any_value(sd) AS sd, -any_value(n) - sum((2 * i - 1) * ln(below) + (2 * n + 1 - 2 * i) * ln(above)) / any_value(n) AS a2, max(greatest(i::double / n - below, below - (i - 1)::double / n)) AS ks_d, sum(m * m) AS total, sum(m * value) AS inner_,
+  max(value) FILTER (i = 1) AS x1, max(value) FILTER (i = 2) AS x2, max(value) FILTER (i = n - 1) AS xm, max(value) FILTER (i = n) AS xn, any_value(sd * sd * (n - 1)) AS ss FROM u GROUP BY 1),
+{chain}, p AS (SELECT *, {ks_sql('ks_d', 'n', KS_ONE_SIDED_DUCKDB)} AS ks_p, {critical} AS ad_critical FROM s{len(steps)} JOIN k USING (event_type)),
+v AS (SELECT *, a2 < ad_critical AS ad_pass, coalesce(sw_p > {cap.ALPHA}, false) AS sw_pass, ks_p > {cap.ALPHA} AS ks_pass, abs(skew) < 1 AS skew_pass, abs(kurt) < 1 AS kurt_pass FROM p), w AS (SELECT *, ad_pass::int + sw_pass::int + ks_pass::int + skew_pass::int + kurt_pass::int AS n_passed FROM v)
+SELECT event_type, n::bigint AS n, {rounded('mean sd skew kurt a2', 4)}, {rounded('ks_d sw_w sw_p ks_p ad_critical')}, ad_pass, sw_pass, ks_pass, skew_pass, kurt_pass, n_passed, n_passed >= 3 AS is_normal, CASE WHEN n_passed >= 4 THEN 'High' WHEN n_passed >= 3 THEN 'Medium' ELSE 'Low' END AS confidence FROM w"""
+
+
+NORMALITY = ["ks_d", "sw_w", "sw_p", "ks_p", "ad_critical", "ad_pass", "sw_pass", "ks_pass", "skew_pass", "kurt_pass", "n_passed", "is_normal", "confidence"]
+
+
+@query(normality_sql())
 def normality(spark, sf_dir):
-    """The vote of five tests, of which Shapiro-Wilk's and the p-value of Kolmogorov and Smirnov aren't in SQL."""
-    return cap.normality(events(spark, sf_dir), "value", TYPE)
+    """The vote of five tests."""
+    out = cap.normality(events(spark, sf_dir), "value", TYPE)
+    rest = tidy(out, ["event_type", *NORMALITY])
+    return tidy(out, ["event_type", "n", "mean", "sd", "skew", "kurt", "a2"], 4).join(rest, "event_type")
+
+
+@query(normality_sql().replace("FROM events", "FROM (SELECT o_custkey AS event_type, o_totalprice AS value FROM orders)") + " WHERE n >= 3")
+def normality_of_customers(spark, sf_dir):
+    """The same for the orders of each customer: many groups of a few values."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("event_type"), F.col("o_totalprice").alias("value"))
+    out = cap.normality(rows, "value", TYPE).filter("n >= 3")
+    return tidy(out, ["event_type", "n", "mean", "sd", "skew", "kurt", "a2"], 4).join(tidy(out, ["event_type", *NORMALITY]), "event_type")
+
+
+def power_sql() -> str:
+    """y, y1, y2 as in Box and Cox's likelihood: power series where u is small."""
+    series = lambda k: "(" + " + ".join(f"{math.perm(j, k)}e0 / {math.factorial(j + 1)}e0 * pow(u, {j - k})" for j in range(k, k + 12)) + ")"
+    return f"t * CASE WHEN abs(u) < 0.3 THEN {series(0)} ELSE (exp(u) - 1) / u END AS y, t * t * CASE WHEN abs(u) < 0.3 THEN {series(1)} ELSE (u * exp(u) - exp(u) + 1) / (u * u) END AS y1, t * t * t * CASE WHEN abs(u) < 0.3 THEN {series(2)} ELSE (u * u * exp(u) - 2 * u * exp(u) + 2 * exp(u) - 2) / (u * u * u) END AS y2"
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS (SELECT event_type, ln(value) - avg(ln(value)) OVER (PARTITION BY event_type) AS t FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 HAVING min(value) > 0 AND max(value) > min(value))),
+newton(k, event_type, lam) AS (SELECT 0, event_type, 0e0 FROM l GROUP BY 2 UNION ALL
+  SELECT any_value(k) + 1, event_type, any_value(lam) + (covar_pop(y, y1) / var_pop(y)) / (-(var_pop(y1) + covar_pop(y, y2)) / var_pop(y) + 2 * pow(covar_pop(y, y1) / var_pop(y), 2))
+  FROM (SELECT k, event_type, lam, {power_sql()} FROM (SELECT k, event_type, lam, t, lam * t AS u FROM newton JOIN l USING (event_type) WHERE k < 15)) GROUP BY event_type)
+SELECT event_type, round(lam, 6) AS box_cox_lambda FROM newton WHERE k = 15""")
 def box_cox(spark, sf_dir):
-    return cap.box_cox(events(spark, sf_dir), "value", TYPE)
+    return tidy(cap.box_cox(events(spark, sf_dir), "value", TYPE), ["event_type", "box_cox_lambda"])
 
 
 @query("WITH e AS (SELECT event_type, min(value) AS a, max(value) AS b FROM events GROUP BY 1), h AS (SELECT event_type, a, b, least(floor((value - a) / ((b - a) / 30)), 29)::int AS bin FROM events JOIN e USING (event_type)) SELECT event_type, bin, round(any_value(a) + bin * (any_value(b) - any_value(a)) / 30, 6) AS low, round(any_value(a) + (bin + 1) * (any_value(b) - any_value(a)) / 30, 6) AS high, count(*) AS n FROM h GROUP BY event_type, bin")
