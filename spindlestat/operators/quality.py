@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.joins import gathered, settled, with_group
+from ..functions.lineage import cut_lineage
 from .common import grouped, ratio
 from .errors import AnalysisError
 from .roles import Roles
@@ -29,7 +31,7 @@ def profile(df: DataFrame, value: str, groups: Sequence[str] = (), usl: float |
     one = lambda code: F.count_if(tests.get(code, F.lit(False)))
     return grouped(df, groups).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("n"), one("missing_values").alias("n_missing"), one("non_numeric").alias("n_text"), one("error_codes").alias("n_codes"), one("negative_values").alias("n_negative"), one("mostly_outside").alias("n_outside"),
-        F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.avg(x).alias("x_mean"), F.stddev_samp(x).alias("x_sd"), F.count_distinct(x).alias("n_distinct"), F.bool_and(x.isin(0.0, 1.0)).alias("binary"), F.bool_and(x == F.floor(x)).alias("whole"),
+        F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.avg(x).alias("x_mean"), F.stddev_samp(x).alias("x_sd"), F.bool_and(x.isin(0.0, 1.0)).alias("binary"), F.bool_and(x == F.floor(x)).alias("whole"),
     )
 
 
@@ -89,13 +91,47 @@ def gate(found: DataFrame) -> None:
         raise AnalysisError("data_quality_error", "the data have errors", [f"{r['code']}: {r['n']}" + (f" in {r['groups']} groups" if r["groups"] > 1 else "") for r in errors])
 
 
+def route(df: DataFrame, found: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(good, quarantine): the rows of groups without an error among their findings, and those of the others with `codes`, the errors. Rows with a null group are in neither."""
+    codes = found.filter("severity = 'ERROR'").groupBy(*groups).agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    near = gathered(codes)
+    bad = cut_lineage(codes) if near is None else F.broadcast(near)
+    df = df.dropna(subset=list(groups))
+    return df.join(bad, list(groups), "left_anti"), df.join(bad, list(groups))
+
+
+def many_distinct(df: DataFrame, value: str, profiled: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, many: whether more than DISTINCT_SHARE of the rows are distinct values, for groups of whole numbers that depend on it.
+
+    Whole numbers can't have more distinct values than their range is wide, which decides most groups from the profile
+    alone. For the others a mergeable sketch of the values is taken, and only where that comes within a fifth of the
+    share (ten times its standard error) are the distinct values of the group counted, which shuffles them.
+    """
+    share = lambda n: ratio(n, F.col("n_rows"), 0.0)
+    whole = profiled.filter(F.col("whole")).select(*groups, "n_rows", (F.col("x_max") - F.col("x_min") + 1).alias("width"))
+    open_ = settled(whole.filter(share(F.col("width")) > DISTINCT_SHARE).select(*groups, "n_rows"))
+    sure = whole.filter(share(F.col("width")) <= DISTINCT_SHARE).select(*groups, F.lit(False).alias("many"))
+    if open_.isEmpty():
+        return sure
+    rows = with_group(df.select(*groups, number(value).alias("_x")), open_, groups)
+    guessed = settled(grouped(rows, groups).agg(F.approx_count_distinct("_x", 0.02).alias("n"), F.first("n_rows").alias("n_rows")).withColumn("s", share(F.col("n"))))
+    near = guessed.filter(F.abs(F.col("s") - DISTINCT_SHARE) <= 0.2 * DISTINCT_SHARE)
+    out = sure.unionByName(guessed.filter(F.abs(F.col("s") - DISTINCT_SHARE) > 0.2 * DISTINCT_SHARE).select(*groups, (F.col("s") > DISTINCT_SHARE).alias("many")))
+    if near.isEmpty():
+        return out
+    exact = grouped(with_group(rows, near.select(*groups, F.lit(True).alias("_near")), groups), groups).agg(F.count_distinct("_x").alias("n"), F.first("n_rows").alias("n_rows"))
+    return out.unionByName(exact.select(*groups, (share(F.col("n")) > DISTINCT_SHARE).alias("many")))
+
+
 def chart_choice(df: DataFrame, roles: Roles, groups: Sequence[str] = ()) -> DataFrame:
-    """data_type, attribute_type, subgroup_size and chart of each group, from one pass (two with subgroups)."""
-    p = profile(df, roles.value, groups)
+    """data_type, attribute_type, subgroup_size and chart of each group, from one pass (more with subgroups, and where many_distinct() needs them)."""
+    p = settled(profile(df, roles.value, groups))
+    many = many_distinct(df, roles.value, p, groups)
+    p = p.join(many, list(groups), "left") if groups else p.join(F.broadcast(many), F.lit(True), "left")  # a row for each group on either side
     counted = roles.sample_size is not None or roles.opportunity is not None
     attribute = F.lit(counted) | F.coalesce("binary", F.lit(False))
     small_counts = F.col("whole") & (F.col("x_min") >= 0) & (F.col("x_max") < MOST_COUNT)
-    data_type = F.when(attribute | small_counts, "attribute").when(~F.col("whole"), "continuous").when(ratio(F.col("n_distinct"), F.col("n_rows"), 0.0) > DISTINCT_SHARE, "continuous").otherwise("attribute")
+    data_type = F.when(attribute | small_counts, "attribute").when(~F.col("whole"), "continuous").when(F.col("many"), "continuous").otherwise("attribute")
     p = p.withColumn("data_type", data_type).withColumn("attribute_type", F.when(F.col("data_type") == "attribute", F.when(F.coalesce("binary", F.lit(False)) | F.lit(roles.sample_size is not None), "defectives").otherwise("defects")))
     extra = {}
     if roles.subgroup:

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import constants as k
 from ..functions.special import KS_ONE_SIDED_DUCKDB, ks_sql, quantile_sql, shapiro_scores_sql, shapiro_steps, t_normal_sql, t_two_sided_sql, upper_tail_sql
+from ..functions.lineage import checkpoint_folder
 from ..functions.ordering import positions
 from ..operators import capability as cap, charts, msa, quality, roles
 from ..operators.roles import Roles
-from ..sources.files import as_json
+from ..sources.files import as_json, split_csv
 from . import analysis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,21 +258,100 @@ def chart_choice_subgroups(spark, sf_dir):
     return quality.chart_choice(fives(spark, sf_dir), Roles(value="value", subgroup="block"), TYPE).select("event_type", "subgroup_size", "variable_subgroups", "chart")
 
 
-@query("SELECT * FROM (VALUES ('chart', 'value'), ('msa', 'value'), ('capability', 'value'), ('msa_first', 'event_id')) AS t(analysis, chosen)")
-def value_columns(spark, sf_dir):
-    """The value column that each analysis picks by name, from the schema of events."""
-    schema = table(spark, sf_dir, "events").schema
-    found = [("chart", roles.chart_value(schema)), ("msa", roles.msa_value(schema)), ("capability", roles.capability_value(schema)), ("msa_first", roles.msa_value(schema, parity=True))]
-    return spark.createDataFrame(found, "analysis string, chosen string")
+#: What each analysis picks as its value column, by name, in each table; fixed values that detection must find.
+PICKED = {
+    "events": {"chart": "value", "msa": "value", "capability": "value", "msa_first": "event_id"},
+    "lineitem": {"chart": "l_discount", "msa": "l_orderkey", "capability": "l_orderkey", "msa_first": "l_orderkey"},
+    "orders": {"chart": "o_orderkey", "msa": "o_orderkey", "capability": "o_orderkey", "msa_first": "o_orderkey"},
+    "part": {"chart": "p_partkey", "msa": "p_size", "capability": "p_partkey", "msa_first": "p_partkey"},
+}
 
 
-@query("SELECT * FROM (VALUES ('part', 'p_partkey'), ('operator', NULL), ('trial', NULL), ('reference', NULL), ('date', NULL), ('study', 'gage_rr')) AS t(role, chosen)")
-def role_columns(spark, sf_dir):
-    """Roles of a measurement study by name, from the schema of part, and the study that they call for."""
-    df = table(spark, sf_dir, "part")
-    found = roles.msa_roles(df.schema)
-    chosen = [(r, getattr(found, r)) for r in roles.MSA_ROLES] + [("study", msa.study_for(df, found))]
-    return spark.createDataFrame(chosen, "role string, chosen string")
+@query(" UNION ALL ".join(f"SELECT '{t}' AS source, '{a}' AS analysis, '{c}' AS chosen, count({c}) AS n, round(avg({c}), 6) AS mean FROM {t}" for t, picks in PICKED.items() for a, c in picks.items()))
+def value_columns(spark, sf_dir):
+    """The value column that each analysis picks in each table, and its mean."""
+    parts = []
+    for name in PICKED:
+        df = table(spark, sf_dir, name)
+        found = {"chart": roles.chart_value(df.schema), "msa": roles.msa_value(df.schema), "capability": roles.capability_value(df.schema), "msa_first": roles.msa_value(df.schema, parity=True)}
+        sums = df.agg(*[F.struct(F.lit(a).alias("analysis"), F.lit(c).alias("chosen"), F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean")).alias(a) for a, c in found.items()])
+        parts.append(sums.select(F.lit(name).alias("source"), F.explode(F.array(*found)).alias("x")).select("source", "x.*"))
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+#: Lines of lineitem as measurements, under names that say what plays which role in a study.
+STUDY_COLUMNS = {
+    "gage_rr": {"l_suppkey": "Part", "l_returnflag": "Appraiser", "l_linenumber": "repeat_no", "l_quantity": "Reading"},
+    "bias": {"fixed": "master", "l_quantity": "Measure"},
+    "linearity": {"l_linenumber": "Standard", "l_quantity": "measured_value"},
+    "stability": {"month": "ship_date", "quantity": "result"},
+}
+BY_MONTH = "SELECT date_trunc('month', l_shipdate) AS month, avg(l_quantity) AS quantity FROM lineitem GROUP BY 1"
+
+
+@query(f"""SELECT 'gage_rr' AS study, 'Part,Appraiser,repeat_no,,' AS roles, 'Reading' AS value, count(*) AS n, round(var_pop(l_quantity) * count(*), 2) AS statistic FROM lineitem
+UNION ALL SELECT 'bias', ',,,master,', 'Measure', count(*), round(avg(l_quantity - 25), 2) FROM lineitem
+UNION ALL SELECT 'linearity', ',,,Standard,', 'measured_value', count(*), round(regr_slope(l_quantity - l_linenumber, l_linenumber), 2) FROM lineitem
+UNION ALL SELECT 'stability', ',,,,ship_date', 'result', count(*), round(avg(quantity), 2) FROM ({BY_MONTH})""")
+def study_choice(spark, sf_dir):
+    """Roles found by name, the study that they call for, and its result, for each of the four studies."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("fixed", F.lit(25.0))
+    monthly_mean = lines.groupBy(F.date_trunc("month", "l_shipdate").alias("month")).agg(F.avg("l_quantity").alias("quantity"))
+    shown = {"gage_rr": ("n_rows", "ss_total"), "bias": ("n", "bias"), "linearity": ("n", "slope"), "stability": ("n", "mean")}
+    parts = []
+    for wanted, names in STUDY_COLUMNS.items():
+        df = (monthly_mean if wanted == "stability" else lines).select(*[F.col(c).alias(name) for c, name in names.items()])
+        value = roles.msa_value(df.schema)
+        found = roles.msa_roles(df.schema, Roles(value=value))
+        if found.reference == value:
+            found = replace(found, reference=None)
+        study, result = msa.msa(df.withColumn(value, F.col(value).cast("double")), found)
+        n, statistic = shown[study]
+        parts.append(result.select(F.lit(study).alias("study"), F.lit(",".join(getattr(found, r) or "" for r in roles.MSA_ROLES)).alias("roles"), F.lit(value).alias("value"), F.col(n).cast("long").alias("n"), F.round(statistic, 2).alias("statistic")))
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query("SELECT 'C' AS chart, count(*) AS n_points, round(avg(l_quantity), 6) AS cl, round(avg(l_quantity) + 3 * sqrt(avg(l_quantity)), 6) AS ucl, round(greatest(avg(l_quantity) - 3 * sqrt(avg(l_quantity)), 0), 6) AS lcl FROM lineitem")
+def chart_override(spark, sf_dir):
+    """A C chart of quantities, which would be given another chart by default."""
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", F.lit(0).alias("_row"))
+    found = analysis.chart_analysis(spark, rows, Roles(value="l_quantity"), chart="C")
+    return tidy(found.tables["limits"].join(F.broadcast(found.tables["summary"].select("n_points", "chart")), "chart"), ["chart", "n_points", "cl", "ucl", "lcl"])
+
+
+@query(f"SELECT l_returnflag, round(({USL} - {LSL}) / (6 * sqrt(var_samp(l_quantity) + pow(avg(l_quantity) - 25, 2))), 6) AS cpm, round(avg(l_quantity) - 25, 6) AS target_offset FROM lineitem GROUP BY 1")
+def capability_default_target(spark, sf_dir):
+    """Without a target, the middle of the limits is it."""
+    return tidy(cap.capability(table(spark, sf_dir, "lineitem"), "l_quantity", USL, LSL, groups=["l_returnflag"]), ["l_returnflag", "cpm", "target_offset"])
+
+
+#: Orders as lines of CSV: every 97th has a field too many, every 89th one too few, every 83rd a word for a price.
+ORDER_LINES = "CASE WHEN o_orderkey % 97 = 0 THEN {full} || ',more' WHEN o_orderkey % 89 = 0 THEN {two} WHEN o_orderkey % 83 = 0 THEN {two} || ',dear' ELSE {full} END"
+
+
+@query(f"WITH l AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderkey % 97 = 0 OR o_orderkey % 89 = 0 OR o_orderkey % 83 = 0 AS corrupt, {ORDER_LINES.format(two='o_orderkey || $$,$$ || o_custkey', full='o_orderkey || $$,$$ || o_custkey || $$,1$$')} AS line FROM orders) SELECT 'rows' AS part, count(*) AS n, sum(o_orderkey)::bigint AS keys, NULL AS first_record FROM l WHERE NOT corrupt UNION ALL SELECT 'corrupt', count(*), sum(o_orderkey)::bigint, min(line) FROM l WHERE corrupt")
+def csv_quarantine(spark, sf_dir):
+    """Orders written as CSV, some lines of which are corrupt, and read back in two parts."""
+    two, full = (f"concat_ws(',', {x})" for x in ("o_orderkey, o_custkey", "o_orderkey, o_custkey, 1"))
+    path = f"{checkpoint_folder(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "orders").select(F.expr(ORDER_LINES.format(two=two, full=full)).alias("line")).write.text(path)
+    rows, corrupt = split_csv(spark, path, StructType().add("key", "long").add("customer", "long").add("price", "double"), header=False)
+    good = rows.agg(F.lit("rows").alias("part"), F.count("price").alias("n"), F.sum("key").alias("keys"), F.lit(None).cast("string").alias("first_record"))
+    return good.union(corrupt.agg(F.lit("corrupt"), F.count(F.lit(1)), F.sum(F.split("record", ",")[0].cast("long")), F.min("record")))
+
+
+MIXED = "SELECT l_returnflag AS series, CAST(l_quantity AS VARCHAR) AS value FROM lineitem UNION ALL SELECT 'words', CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE CAST(c_custkey AS VARCHAR) END FROM customer UNION ALL SELECT 'still', '7' FROM nation"
+
+
+@query(f"WITH m AS ({MIXED}), x AS (SELECT series, value, TRY_CAST(value AS DOUBLE) AS x FROM m), g AS (SELECT series, count(*) AS n, count(x) AS n_numbers, count(*) FILTER (x IS NULL) AS n_text, min(x) = max(x) AS still, avg(x) AS mean FROM x GROUP BY 1) SELECT series, 'analysed' AS part, n_numbers AS n, round(mean, 6) AS mean, '' AS codes FROM g WHERE n_text = 0 AND NOT still UNION ALL SELECT series, 'quarantine', n, NULL, CASE WHEN n_text > 0 AND still THEN 'no_variation,non_numeric' WHEN still THEN 'no_variation' ELSE 'non_numeric' END FROM g WHERE n_text > 0 OR still")
+def quarantined_groups(spark, sf_dir):
+    """Capability of the series whose data are sound; the rows of the others are set aside with their errors."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("series"), F.col("l_quantity").cast("string").alias("value"))
+    words = table(spark, sf_dir, "customer").select(F.lit("words"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.col("c_custkey").cast("string")))
+    rows = lines.union(words).union(table(spark, sf_dir, "nation").select(F.lit("still"), F.lit("7")))
+    found = analysis.capability_analysis(spark, rows.withColumn("_row", F.lit(0)), USL, LSL, TARGET, Roles(value="value"), ["series"], quarantine=True)
+    good = found.tables["capability"].select("series", F.lit("analysed").alias("part"), "n", F.round("mean", 6).alias("mean"), F.lit("").alias("codes"))
+    return good.union(found.tables["quarantine"].groupBy("series").agg(F.lit("quarantine"), F.count(F.lit(1)), F.lit(None).cast("double"), F.array_join(F.first("codes"), ",")))
 
 
 @query("SELECT to_json({n_nationkey: n_nationkey, n_name: n_name})::VARCHAR AS json FROM nation")
@@ -509,12 +592,12 @@ def normality(spark, sf_dir):
     return tidy(out, ["event_type", "n", "mean", "sd", "skew", "kurt", "a2"], 4).join(rest, "event_type")
 
 
-@query(normality_sql().replace("FROM events", "FROM (SELECT o_custkey AS event_type, o_totalprice AS value FROM orders)") + " WHERE n >= 3")
+@query(normality_sql().replace("FROM events", "FROM (SELECT o_custkey AS event_type, o_totalprice AS value FROM orders)").replace(rounded("mean sd skew kurt a2", 4), rounded("skew kurt a2", 4)) + " WHERE n >= 3")
 def normality_of_customers(spark, sf_dir):
     """The same for the orders of each customer: many groups of a few values."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("event_type"), F.col("o_totalprice").alias("value"))
     out = cap.normality(rows, "value", TYPE).filter("n >= 3")
-    return tidy(out, ["event_type", "n", "mean", "sd", "skew", "kurt", "a2"], 4).join(tidy(out, ["event_type", *NORMALITY]), "event_type")
+    return tidy(out, ["event_type", "n", "skew", "kurt", "a2"], 4).join(tidy(out, ["event_type", *NORMALITY]), "event_type")
 
 
 def power_sql() -> str:
