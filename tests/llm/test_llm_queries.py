@@ -2,16 +2,19 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
+import struct
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spindlestat.llm import jpeg, minhash, packing, quality, queries, secrets, toxicity
+from spindlestat.llm import imatch, jpeg, minhash, packing, quality, queries, secrets, toxicity
 
 PATH = "/opt/tokenizers/byte_bpe_50k.json"
 RNG = random.Random(31)
@@ -230,6 +233,80 @@ def test_fingerprint_query(spark, tables):
     assert all(len(f) == 1 for f in by_text.values())
 
 
+def plain_fingerprints(rows):
+    """I-Match in plain Python: (n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) by id; ids are distinct."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of_bytes = lambda b, seed=42: signed(xxhash.xxh64_intdigest(b, seed % (1 << 64)))
+    of_long = lambda x, seed=42: of_bytes(struct.pack("<q", x), seed)
+    words = lambda t: re.split(r"[\x20\x09-\x0D]+", t.lower())
+    terms = lambda t: {of_bytes(w.encode()) for w in words(t) if w}
+
+    def sketch(t):
+        a = [of_bytes(w.encode()) for w in words(t)]
+        for k in (1, 2):
+            a = [of_long(a[i + k], of_long(a[i])) if i + k < len(a) else of_long(a[i]) for i in range(len(a))]
+        return [min(x ^ order for x in a) for order in imatch.ORDERS]
+
+    n = len(rows)
+    sketches = {i: sketch(t) for i, t in rows}
+    common = collections.Counter((k, key) for s in sketches.values() for k, key in enumerate(s))
+    large = {x: c for x, c in common.items() if c >= max(2, imatch.HIGH / 50 * n)}
+    weight = {i: imatch.UNIT // sorted((large.get((k, key), 1) for k, key in enumerate(s)), reverse=True)[1] for i, s in sketches.items()}
+    total, df = sum(weight.values()), collections.Counter()
+    for i, t in rows:
+        for x in terms(t):
+            df[x] += weight[i]
+    lexicon = {x for x, w in df.items() if max(2 * imatch.UNIT, imatch.LOW * total) <= w <= imatch.HIGH * total}
+    in_slot = lambda x, s: of_bytes(struct.pack("<i", 7), of_long(x)) & imatch.slot_bits(s) == 0
+
+    def shown(xs):
+        h = 42
+        for x in xs:
+            h = of_long(x, h)
+        return f"{h & 0xFFFFFFFF:08X}"
+
+    def fingerprint(t):
+        found = sorted(terms(t) & lexicon) or sorted(terms(t))
+        if not found:
+            return f"text:{of_bytes(b'') % (1 << 64):X}"
+        parts = [[x for x in found if in_slot(x, s)] for s in range(imatch.SLOTS)]
+        return ",".join([shown(found)] + [shown(p) if p else "-" for p in parts[1:]])
+
+    def likeness(a, b):
+        if a == b:
+            return 1.0
+        both = list(itertools.zip_longest(a.split(","), b.split(","), fillvalue="-"))
+        filled = [(p, q) for p, q in both if (p, q) != ("-", "-")]
+        return sum(p == q for p, q in filled) / max(len(filled), 1)
+
+    order, out = sorted(rows, reverse=True), {}
+    own = {i: fingerprint(t) for i, t in rows}
+    for k, (i, t) in enumerate(order):
+        j, following = order[(k + 1) % n]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        e = fingerprint(edited)
+        out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), own[i], e, likeness(own[i], e), likeness(own[i], own[j]))
+    return out, len(lexicon), sum(w < imatch.UNIT for w in weight.values())
+
+
+def test_fingerprints_equal_brute_force(spark, monkeypatch):
+    """The lexicon, every slot and every likeness; with a group of near copies, texts without a term of the lexicon, and texts without any."""
+    prose = lambda n: " ".join(RNG.choice(WORDS) for _ in range(n))
+    base = prose(60).split()
+    rows = [(i, prose(RNG.randrange(1, 60))) for i in range(150)] + [(1000 + i, " ".join([*base[: i % 50], "new", *base[i % 50 :]])) for i in range(30)]
+    rows += [(2000, ""), (2001, " \n "), (2002, "words that nobody else has"), (2003, "Überall GROSSE Wörter"), (2004, prose(2000)), (-5, prose(7)), (2005, " " + rows[0][1])]
+    want, n_lexicon, n_light = plain_fingerprints(rows)
+    assert n_lexicon > 20 and n_light >= 30
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, place int, info string").repartition(3)
+    for most in (imatch.BROADCAST_ROWS, 0):  # weights by the hash of the text, or from the text again
+        monkeypatch.setattr(imatch, "BROADCAST_ROWS", most)
+        got = {r.doc_id: tuple(r)[1:] for r in imatch.fingerprints(df).collect()}
+        assert got.keys() == want.keys()
+        for i, w in want.items():
+            assert got[i][:4] == w[:4] and math.isclose(got[i][4], w[4]) and math.isclose(got[i][5], w[5]), i
+
+
 # Stages of the pipeline
 
 
