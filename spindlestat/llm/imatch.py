@@ -20,14 +20,14 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut_lineage
+from .common import BROADCAST_ROWS, cut_lineage
 
 LOW, HIGH, SLOTS, MOST_TERMS = 0.001, 0.05, 48, 2_000_000
 #: Documents of a bucket (of neighbouring ids). Bounds of buckets are found in two steps of STEP each, so there are STEP^2 at
 #: most, eight megabytes of broadcast; from there on (300 million documents) buckets grow, to 100 MB at 100 TB.
 BUCKET_DOCS, STEP = 256, 1024
-#: Sketches of a text; the weight of a text that stands for itself; terms by which most texts are seen to need no slots over all their terms.
-SKETCHES, UNIT, COMMONEST = 8, 1 << 20, 2000
+#: Sketches of a text; the weight of a text that stands for itself.
+SKETCHES, UNIT = 8, 1 << 20
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -65,17 +65,30 @@ def sketch(text: Column) -> Column:
 
 
 def weighted(docs: DataFrame, n: int, least: float) -> tuple[DataFrame, int]:
-    """(text, w): UNIT over the size of the text's group of near copies, if that is of `least` documents or more; and the sum of w."""
-    keys = docs.select(F.posexplode(sketch(F.col("text"))).alias("i", "key")).groupBy("i", "key").count().filter(F.col("count") >= max(2, least)).collect()
+    """(text, w): UNIT over the size of the text's group of near copies, if that is of `least` documents or more; and the sum of w.
+
+    Sketches are made once and written. The weights of texts in large groups are then found by the hash of the text, if
+    few texts have one; else they are worked out from the text once more, so that no text ever travels.
+    """
+    sketched = cut_lineage(docs.select(F.xxhash64("text").alias("h"), sketch(F.col("text")).alias("keys")))
+    keys = sketched.select(F.posexplode("keys").alias("i", "key")).groupBy("i", "key").count().filter(F.col("count") >= max(2, least)).collect()
     if not keys:
         return docs.select("text", F.lit(UNIT).cast("long").alias("w")), n * UNIT
-    rows = docs.select("text", F.explode(F.array(sketch(F.col("text")))).alias("keys"))
-    for i in range(SKETCHES):
-        large = docs.sparkSession.createDataFrame([(r["key"], r["count"]) for r in keys if r["i"] == i], f"k{i} long, c{i} long")
-        rows = rows.join(F.broadcast(large), F.col("keys")[i] == F.col(f"k{i}"), "left")
-    size = F.sort_array(F.array(*[F.coalesce(f"c{i}", F.lit(1)) for i in range(SKETCHES)]), asc=False)[1]
-    rows = rows.select("text", F.floor(UNIT / size).alias("w"))
-    return rows, rows.agg(F.sum("w")).first()[0]
+
+    def with_weight(rows: DataFrame) -> DataFrame:
+        for i in range(SKETCHES):
+            large = docs.sparkSession.createDataFrame([(r["key"], r["count"]) for r in keys if r["i"] == i], f"k{i} long, c{i} long")
+            rows = rows.join(F.broadcast(large), F.col("keys")[i] == F.col(f"k{i}"), "left")
+        size = F.sort_array(F.array(*[F.coalesce(f"c{i}", F.lit(1)) for i in range(SKETCHES)]), asc=False)[1]
+        return rows.withColumn("w", F.floor(UNIT / size)).drop("keys", *[f"{c}{i}" for c in "kc" for i in range(SKETCHES)])
+
+    weights = cut_lineage(with_weight(sketched))
+    total = weights.agg(F.sum("w")).first()[0]
+    light = cut_lineage(weights.filter(F.col("w") < UNIT).distinct())
+    if light.count() > BROADCAST_ROWS:
+        return with_weight(docs.select("text", sketch(F.col("text")).alias("keys"))), total
+    rows = docs.select("text", F.xxhash64("text").alias("h")).join(F.broadcast(light), "h", "left")
+    return rows.select("text", F.coalesce("w", F.lit(UNIT).cast("long")).alias("w")), total
 
 
 def mask_of(bits: Column) -> Column:
@@ -87,12 +100,12 @@ def mask_of(bits: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term, mask, df): the hashes of the terms within the band, and the slots that each is in; a last row for the empty string, with a null mask."""
+    """(term, mask): the hashes of the terms within the band, and the slots that each is in; a last row for the empty string, with a null mask."""
     n = docs.count()
     rows, n = weighted(docs, n, high / 50 * n)
-    counted = rows.select("w", F.explode(terms(F.col("text"))).alias("t")).filter("t != ''").groupBy(F.xxhash64("t").alias("term")).agg(F.sum("w").alias("df"))
+    counted = rows.select("w", terms(F.col("text")).alias("terms")).select("w", F.explode_outer("terms").alias("t")).filter("t != ''").groupBy(F.xxhash64("t").alias("term")).agg(F.sum("w").alias("df"))
     kept = counted.filter(F.col("df").between(max(2 * UNIT, low * n), high * n)).select("term", mask_of(F.xxhash64("term", F.lit(7))).alias("mask"), "df")
-    return kept.union(docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(None).cast("long").alias("mask"), F.lit(0).cast("long").alias("df")))
+    return kept.drop("df").union(docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("term"), F.lit(None).cast("long").alias("mask")))
 
 
 def _up_to(bounds: Column, x: Column) -> Column:
@@ -187,29 +200,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = cut_lineage(lexicon(docs, low, high))
-    common = [r["term"] for r in words.filter("mask IS NOT NULL").orderBy(F.desc("df"), "term").limit(COMMONEST).collect()]
-    words = words.drop("df")
     few = words.count() <= MOST_TERMS
     half = F.floor(F.length("text") / 2).cast("int")
     rows = in_order(docs).withColumn("edited", F.when(F.col("extra"), "").otherwise(F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("following"), F.lit(1), half))))
     info = F.struct(F.col("doc_id").alias("doc_id"), F.col("extra").alias("extra"), F.length("text").alias("n_chars"), F.when(~F.col("extra"), F.sha2(F.col("edited"), 256)).alias("edited_sha256"))
-    sides = F.array(*[F.struct(F.lit(side).alias("side"), terms(F.col(c)).alias("terms")) for side, c in ((0, "text"), (1, "edited"))])
-    rows = rows.select("bucket", "n", info.alias("info"), sides.alias("sides")).select("bucket", "n", "info", F.explode("sides").alias("s"))
-    common = F.from_json(F.lit(json.dumps(common)), "array<bigint>")
-
-    def items(hashes: Column) -> Column:
-        """A struct for each term. Only the first holds what isn't a term, so that exploded rows stay narrow: about the document, and all terms, but not where a common term of the lexicon shows that they can't be needed."""
-        first = F.struct(hashes[0].alias("term"), F.col("info").alias("info"), F.when(~F.arrays_overlap(hashes, common), hashes).alias("whole"))
-        kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-        others = F.transform(F.slice(hashes, 2, F.size(hashes)), lambda h: F.struct(h.alias("term"), F.lit(None).cast(kinds["info"]).alias("info"), F.lit(None).cast("array<bigint>").alias("whole")))
-        return F.concat(F.array(first), others)
-
-    rows = rows.select("bucket", "n", "s.side", F.explode(let(F.transform("s.terms", lambda t: F.xxhash64(t)), items)).alias("x"))
-    rows = rows.select("bucket", "n", "side", "x.info", "x.whole", "x.term")
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(c).alias("text")) for side, c in ((0, "text"), (1, "edited"))])).alias("s")
+    rows = rows.select("bucket", "n", info.alias("info"), "text", "edited").select("bucket", "n", "info", sides).select("bucket", "n", "s.side", "info", "s.text", terms(F.col("s.text")).alias("terms"))
+    # each term is a row; the first, which stands for the text itself, carries what is needed of it. There is always one, and
+    # by an outer explode Spark doesn't cut the text a second time to test that
+    rows = rows.select("bucket", "n", "side", "info", "text", F.posexplode_outer("terms").alias("place", "t"))
+    first = F.col("place") == 0
+    rows = rows.select("bucket", "n", "side", F.when(first, F.col("info")).alias("info"), F.when(first, F.col("text")).alias("text"), F.xxhash64("t").alias("term"))
     rows = rows.join(F.broadcast(words) if few else words, "term")
     found = F.sort_array(F.collect_list(F.when(F.col("mask").isNotNull(), F.struct(F.col("term").alias("term"), F.col("mask").alias("mask")))))
-    per = rows.groupBy("bucket", "n", "side").agg(found.alias("found"), F.max("info").alias("info"), F.max("whole").alias("whole"))
-    spare = F.transform(F.filter("whole", lambda h: h != F.xxhash64(F.lit(""))), lambda h: F.named_struct(F.lit("term"), h, F.lit("mask"), mask_of(F.xxhash64(h, F.lit(7)))))
+    per = rows.groupBy("bucket", "n", "side").agg(found.alias("found"), F.max("info").alias("info"), F.max("text").alias("text"))
+    # a text without any term of the lexicon: all its terms
+    of_term = lambda t: let(F.xxhash64(t), lambda h: F.named_struct(F.lit("term"), h, F.lit("mask"), let(F.xxhash64(h, F.lit(7)), mask_of)))
+    spare = F.transform(F.filter(terms(F.col("text")), lambda t: t != ""), of_term)
     shown = F.when(F.size("found") > 0, F.col("found")).otherwise(F.sort_array(spare))
     fp = let(shown, lambda x: F.when(F.size(x) == 0, F.concat(F.lit("text:"), F.hex(F.xxhash64(F.lit(""))))).otherwise(slots(x)))
     per = per.select("bucket", "n", "side", "info", fp.alias("fp"))
