@@ -41,7 +41,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Memo, checkpoint_folder, raw, record, slices
+from .common import Memo, checkpoint_folder, gone_at_end, raw, record, slices
 from .shingles import mix
 
 #: The order, and the prior of each order from 2 on.
@@ -379,10 +379,15 @@ def told(block: Block, parts: list[tuple[int, bytes, bytes]], order: int, bits:
 
 
 def written(blocks: DataFrame, n_buckets: int) -> DataFrame:
-    """The blocks as a table in the folder of checkpoints, bucketed by block: a join by block finds them in place. A task writes a file for each of its blocks."""
+    """The blocks as a table in the folder of checkpoints, bucketed by block: a join by block finds them in place. A task writes a file for each of its blocks.
+
+    The result of score() is lazy and reads the table, so it stays until the application ends; then the table is dropped and its files are deleted.
+    """
     spark = blocks.sparkSession
     name = f"spindlestat_blocks_{uuid.uuid4().hex}"
-    blocks.write.bucketBy(n_buckets, "block").option("path", f"{checkpoint_folder(spark)}/{name}").saveAsTable(name)
+    path = f"{checkpoint_folder(spark)}/{name}"
+    blocks.write.bucketBy(n_buckets, "block").option("path", path).saveAsTable(name)
+    gone_at_end(spark, path, name)
     return spark.table(name)
 
 

@@ -5,7 +5,9 @@ suffixes; each arc tells how many words come before it, so a path adds up to the
 The automaton is one block of bytes in a file that Spark ships to each executor, whose workers all map it into memory. Words that it lacks
 are merged exactly, by rank. Words are cut from texts as the library's byte-level pre-tokeniser does.
 
-A null text counts as empty and has no ids. The text of the special token is that token, as in the library.
+A null text counts as empty and has no ids. The text of the special token is that token, as in the library. Rows that repeat
+an id, or have none, stay, each with the ids of its own text; words that are equally frequent at the lexicon's edge are all
+left out. An empty table gives an empty result. Long texts are encoded whole. Other columns aren't looked at.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.ordering import checkpoint_folder, cut_lineage  # noqa: F401  the operators take them from here
+from ..functions.lineage import checkpoint_folder, cut_lineage  # noqa: F401  the operators take them from here
 
 #: Bytes of text that a Python worker turns into Python objects at a time.
 SLICE_BYTES = 4 << 20
@@ -111,10 +112,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def gone_at_end(spark: SparkSession, path: str) -> None:
-    """Hadoop deletes the path when the driver's JVM ends."""
+def gone_at_end(spark: SparkSession, path: str, table_name: str | None = None) -> None:
+    """Hadoop deletes the path when the driver's JVM ends; a table of that name is dropped before, if the session still runs when Python ends."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    if table_name:
+        atexit.register(lambda: spark.sparkContext._jsc and spark.sql(f"DROP TABLE IF EXISTS {table_name}"))
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -3,6 +3,10 @@
 A text becomes the shares that its word n-grams (n = 1, 2) have in all its n-grams, each n-gram hashed to one of
 2**bits buckets; a word followed by itself is one common n-gram, whatever the word, so that repetition shows in any
 vocabulary. Words are runs of letters and digits, and runs of one other sign. A score is a sparse dot product.
+
+A null text is empty, has no n-grams, and gets the score of the bias alone. Rows that repeat an id are scored each by its own
+text; of a labelled id that they share, each is a row of the fit. Equal texts have equal scores. Long texts are scored
+whole. Other columns aren't looked at.
 """
 
 from __future__ import annotations

@@ -8,6 +8,10 @@ Labels say only toxic or not, so the grades of toxic training rows are inferred,
 same rows: training rows are dealt into two folds, each fold finds the features that are far more frequent in its own
 toxic rows, and a toxic row of the other fold is of grade 1 with up to GRADE_EDGES[0] of these, of grade 2 with up to
 GRADE_EDGES[1], of grade 3 beyond. So a grade says how much independent evidence a row holds.
+
+A null text is empty, has no features, and gets the scores of the thresholds alone. Rows that repeat an id are scored each by
+its own text; of a labelled id that they share, each is a row of the fit. Equal texts have equal scores. Without labels of
+both kinds nothing is toxic. Long texts are scored whole. Other columns aren't looked at.
 """
 
 from __future__ import annotations

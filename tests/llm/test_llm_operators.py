@@ -532,6 +532,29 @@ def test_toxicity_on_held_out_rows(labelled, docs):
     assert all(r.s.p_toxic < 0.5 for r in docs.select(model.column(F.col("text")).alias("s")).collect())
 
 
+def test_severity_follows_the_number_of_toxic_words(spark):
+    """Labels say only toxic or not; held-out texts with more toxic words have a greater expected grade."""
+    rng = random.Random(13)
+    vile = [f"vile{''.join(rng.choice('abcdefghij') for _ in range(4))}" for _ in range(30)]
+    rows, marks, truth = [], [], {}
+    for i in range(900):
+        words = [rng.choice(WORDS) for _ in range(60)]
+        k = rng.randrange(1, 16) if i % 3 == 0 else 0
+        for w in rng.sample(vile, k):
+            words.insert(rng.randrange(len(words)), w)
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(k > 0)))
+        truth[i] = k
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, keep=crc_mod("doc_id", 5) != 0)
+    got = [(truth[r.doc_id], r.s.severity) for r in docs.filter((crc_mod("doc_id", 5) == 0) & (F.col("doc_id") % 3 == 0)).select("doc_id", model.column(F.col("text")).alias("s")).collect()]
+    assert len(got) > 40
+    order = lambda v: np.argsort(np.argsort(v, kind="stable"), kind="stable")
+    assert np.corrcoef(order([k for k, _ in got]), order([s for _, s in got]))[0, 1] > 0.7
+    mean = lambda low, high: np.mean([s for k, s in got if low <= k <= high])
+    assert mean(1, 3) < mean(5, 8) < mean(11, 15)
+
+
 def test_ordinal_fit_finds_the_weights_and_thresholds():
     rng = np.random.default_rng(1)
     rows = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(3000)]
