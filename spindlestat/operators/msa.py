@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as k, ordering
-from ..functions.ordering import cut_lineage, longest, positions
+from ..functions.lineage import cut_lineage
+from ..functions.ordering import longest, positions
 from ..functions.special import kendall_s, with_t_p_value
 from .charts import imr_points
 from .common import grouped, ratio, with_limits
