@@ -199,7 +199,7 @@ def box_cox(df: DataFrame, value: str, groups: Sequence[str] = (), low: float =
     found = settled(found.select(*groups, *state))
     rows = df.filter(x > 0).select(*groups, logs.alias("_l"))
     for _ in range(rounds):
-        if found.filter("_step > 1e-9").isEmpty():
+        if found.filter("_step > 1e-6").isEmpty():  # what such a step leaves is about its square
             break
         lam, t = F.col("_lam"), F.col("_l") - F.col("_mean")
         y, y1, y2 = _power(lam * t, t, F.greatest(lam * F.col("_most"), lam * F.col("_least")))

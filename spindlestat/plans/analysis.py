@@ -10,9 +10,9 @@ of a table, with `totals` of how many each has and `truncated`, the names of tho
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,11 +28,29 @@ MOST = 10_000
 OPTIONS = {"P": ("parity",), "U": ("parity",), "Xbar-R": ("clip_lcl",), "Xbar-S": ("clip_lcl",)}
 
 
+class Tables(Mapping):
+    """Tables by name. One that is given as a function is made when it is first asked for, with what it needs to be computed for it."""
+
+    def __init__(self, made: dict[str, DataFrame | Callable[[], DataFrame]]):
+        self._made = dict(made)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if not isinstance(self._made[name], DataFrame):
+            self._made[name] = self._made[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._made)
+
+    def __len__(self) -> int:
+        return len(self._made)
+
+
 @dataclass
 class Analysis:
     kind: str
     roles: Roles
-    tables: dict[str, DataFrame]
+    tables: Tables
     facts: dict = field(default_factory=dict)
     kept: DataFrame | None = None
 
@@ -146,7 +164,7 @@ def chart_analysis(spark: SparkSession, data: str | DataFrame, roles: Roles = Ro
         for name, frame in frames.items():
             tables.setdefault(name, []).append(frame.withColumn("chart", F.lit(kind)))
     facts = {"chart": kinds[0] if len(kinds) == 1 else None, "charts": kinds}
-    return Analysis("Control chart", roles, {**{name: _together(f) for name, f in tables.items()}, "choice": choice, **found}, facts, kept)
+    return Analysis("Control chart", roles, Tables({**{name: _together(f) for name, f in tables.items()}, "choice": choice, **found}), facts, kept)
 
 
 def msa_analysis(spark: SparkSession, data: str | DataFrame, roles: Roles = Roles(), study: str | None = None, method: str = "anova", tolerance: float | None = None, group_cols: Sequence[str] = (), quarantine: bool = False) -> Analysis:
@@ -160,18 +178,19 @@ def msa_analysis(spark: SparkSession, data: str | DataFrame, roles: Roles = Role
     df, found = _tests(kept, roles, "msa", groups, quarantine)
     df = measured(df, *[c for c in (roles.value, roles.reference) if c])
     chosen, result = gauge.msa(df, roles, study, method, tolerance, groups)
-    plots: dict[str, DataFrame] = {}
+    plots: dict[str, Callable[[], DataFrame]] = {}
     if chosen == "gage_rr":
-        plots = {"by_part": gauge.means_by(df, roles.value, [roles.part], groups), "by_operator": gauge.means_by(df, roles.value, [roles.operator], groups), "interaction": gauge.means_by(df, roles.value, [roles.part, roles.operator], groups)}
+        for name, keys in (("by_part", [roles.part]), ("by_operator", [roles.operator]), ("interaction", [roles.part, roles.operator])):
+            plots[name] = partial(gauge.means_by, df, roles.value, keys, groups)
         if method == "anova":
-            plots["components"] = gauge.gage_components(result, groups)
+            plots["components"] = partial(gauge.gage_components, result, groups)
     elif chosen == "stability":
-        plots = {"points": gauge.stability_points(df, roles.value, [roles.date], groups)}
+        plots["points"] = partial(gauge.stability_points, df, roles.value, [roles.date], groups)
     else:
-        plots = {"points": gauge.bias_points(df, roles.value, roles.reference, groups)}
+        plots["points"] = partial(gauge.bias_points, df, roles.value, roles.reference, groups)
         if chosen == "linearity":
-            plots["by_reference"] = gauge.bias_by_reference(df, roles.value, roles.reference, groups)
-    return Analysis("Measurement system", roles, {"result": result, **plots, **found}, {"study": chosen, "method": method}, kept)
+            plots["by_reference"] = partial(gauge.bias_by_reference, df, roles.value, roles.reference, groups)
+    return Analysis("Measurement system", roles, Tables({"result": result, **plots, **found}), {"study": chosen, "method": method}, kept)
 
 
 def capability_analysis(spark: SparkSession, data: str | DataFrame, usl: float, lsl: float, target: float | None = None, roles: Roles = Roles(), group_cols: Sequence[str] = (), quarantine: bool = False) -> Analysis:
@@ -184,8 +203,9 @@ def capability_analysis(spark: SparkSession, data: str | DataFrame, usl: float,
     df, found = _tests(kept, roles, "capability", groups, quarantine, usl, lsl)
     df = measured(df, roles.value)
     value = roles.value
-    plots = {"histogram": cap.histogram(df, value, groups), "normal_curve": cap.normal_curve(df, value, groups), "box_plot": cap.box_plot(df, value, groups), "quantiles": cap.qq(df, value, groups)}
-    return Analysis("Capability", roles, {"capability": cap.capability(df, value, usl, lsl, target, roles.subgroup, groups), "normality": cap.normality(df, value, groups), **plots, **found}, {"usl": usl, "lsl": lsl}, kept)
+    plots = {name: partial(frame, df, value, groups) for name, frame in (("normality", cap.normality), ("histogram", cap.histogram), ("normal_curve", cap.normal_curve), ("box_plot", cap.box_plot), ("quantiles", cap.qq))}
+    result = cap.capability(df, value, usl, lsl, target, roles.subgroup, groups)
+    return Analysis("Capability", roles, Tables({"capability": result, **plots, **found}), {"usl": usl, "lsl": lsl}, kept)
 
 
 def run_control_chart_analysis(spark: SparkSession, data: str | DataFrame, roles: Roles = Roles(), chart: str | None = None, group_cols: Sequence[str] = (), most: int | None = MOST, **options) -> dict:

@@ -584,12 +584,16 @@ SELECT event_type, n::bigint AS n, {rounded('mean sd skew kurt a2', 4)}, {rounde
 NORMALITY = ["ks_d", "sw_w", "sw_p", "ks_p", "ad_critical", "ad_pass", "sw_pass", "ks_pass", "skew_pass", "kurt_pass", "n_passed", "is_normal", "confidence"]
 
 
+def four(df: DataFrame, *columns: str) -> DataFrame:
+    """These columns to four digits."""
+    return df.withColumns({c: F.round(c, 4) for c in columns})
+
+
 @query(normality_sql())
 def normality(spark, sf_dir):
     """The vote of five tests."""
     out = cap.normality(events(spark, sf_dir), "value", TYPE)
-    rest = tidy(out, ["event_type", *NORMALITY])
-    return tidy(out, ["event_type", "n", "mean", "sd", "skew", "kurt", "a2"], 4).join(rest, "event_type")
+    return tidy(four(out, "mean", "sd", "skew", "kurt", "a2"), ["event_type", "n", "mean", "sd", "skew", "kurt", "a2", *NORMALITY])
 
 
 @query(normality_sql().replace("FROM events", "FROM (SELECT o_custkey AS event_type, o_totalprice AS value FROM orders)").replace(rounded("mean sd skew kurt a2", 4), rounded("skew kurt a2", 4)) + " WHERE n >= 3")
@@ -597,7 +601,7 @@ def normality_of_customers(spark, sf_dir):
     """The same for the orders of each customer: many groups of a few values."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("event_type"), F.col("o_totalprice").alias("value"))
     out = cap.normality(rows, "value", TYPE).filter("n >= 3")
-    return tidy(out, ["event_type", "n", "skew", "kurt", "a2"], 4).join(tidy(out, ["event_type", *NORMALITY]), "event_type")
+    return tidy(four(out, "skew", "kurt", "a2"), ["event_type", "n", "skew", "kurt", "a2", *NORMALITY])
 
 
 def power_sql() -> str:
