@@ -12,6 +12,7 @@ left out. An empty table gives an empty result. Long texts are encoded whole. Ot
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -64,13 +65,13 @@ class Cutter:
     def __init__(self):
         letters, numbers = _category("L") + NEW_LETTERS, _category("N") + NEW_NUMBERS
         self.words = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{numbers}]+| ?[^{SPACES}{letters}{numbers}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+").findall
-        self.tangled = re.compile(f"[{SPACES}][{SPACES}]|^[{SPACES}]|[{SPACES}]$").search
+        self.space, self.meeting = re.compile(f"[{SPACES}]").match, re.compile(f"[{SPACES}](?![^{SPACES}])").search
 
     def chunks(self, text: str) -> list[str]:
         """Parts whose words are those of the text: cut before single spaces, or the whole text where spaces meet."""
         if not text:
             return []
-        if self.tangled(text):
+        if self.space(text) or self.meeting(text):
             return self.words(text)
         first, *rest = text.split(" ")
         return [first, *[f" {x}" for x in rest]]
@@ -339,8 +340,7 @@ class Encoder:
     def _learn(self, chunks: set[str]) -> None:
         """Puts the ids of these chunks into the memo: their words come from the lexicon, or are merged, all at once."""
         cut = {c: self.cutter.words(c) for c in chunks}
-        new = self.words.lacking({w for words in cut.values() for w in words})
-        new = list(new)
+        new = list(self.words.lacking({w for words in cut.values() for w in words}))
         coded = [w.encode("utf-8", "surrogatepass") for w in new]
         found = self.lexicon.find_all(coded) if self.lexicon else [None] * len(new)
         self.words.update((w, ids) for w, ids in zip(new, found, strict=True) if ids is not None)
@@ -464,6 +464,15 @@ def encoded(docs: DataFrame, path: str, most: int = 32_768, digest: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared.value, lexicon)
+        collecting = gc.isenabled()
+        gc.disable()  # the memos make millions of tuples and no cycles; each full collection would walk them all
+        try:
+            yield from coded(encoder, batches)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def coded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=2 << 20):
             n, first, second = [], [], []
             for parts in encoder.parts_of(strings(batch)):
