@@ -198,14 +198,17 @@ def box_cox(df: DataFrame, value: str, groups: Sequence[str] = (), low: float =
     state = ["_mean", "_least", "_most", "_lam", "_step", "_from", "_to"]
     found = settled(found.select(*groups, *state))
     rows = df.filter(x > 0).select(*groups, logs.alias("_l"))
+    # what the passes share, made once: the columns of a trial, its sums, and the step that follows from them
+    lam, kept = F.col("_lam"), [F.first(c).alias(c) for c in state]
+    scaled = {"_t": F.col("_l") - F.col("_mean")}, {"_u": lam * F.col("_t"), "_shift": F.greatest(lam * F.col("_most"), lam * F.col("_least"))}
+    trial = [c.alias(name) for c, name in zip(_power(F.col("_u"), F.col("_t"), F.col("_shift")), ("_y", "_y1", "_y2"), strict=True)]
+    sums = [F.var_pop("_y").alias("_v"), F.covar_pop("_y", "_y1").alias("_c1"), F.var_pop("_y1").alias("_v1"), F.covar_pop("_y", "_y2").alias("_c2")]
+    step = stepped(lam, *_slopes(*(F.col(c) for c in ("_v", "_c1", "_v1", "_c2"))))
     for _ in range(rounds):
         if found.filter("_step > 1e-6").isEmpty():  # what such a step leaves is about its square
             break
-        lam, t = F.col("_lam"), F.col("_l") - F.col("_mean")
-        y, y1, y2 = _power(lam * t, t, F.greatest(lam * F.col("_most"), lam * F.col("_least")))
-        tried = with_limits(rows, found, groups).select(*groups, *state, y.alias("_y"), y1.alias("_y1"), y2.alias("_y2"))
-        sums = grouped(tried, groups).agg(F.var_pop("_y").alias("_v"), F.covar_pop("_y", "_y1").alias("_c1"), F.var_pop("_y1").alias("_v1"), F.covar_pop("_y", "_y2").alias("_c2"), *[F.first(c).alias(c) for c in state])
-        found = settled(sums.withColumns(stepped(F.col("_lam"), *_slopes(*(F.col(c) for c in ("_v", "_c1", "_v1", "_c2"))))).select(*groups, *state))
+        tried = with_limits(rows, found, groups).withColumns(scaled[0]).withColumns(scaled[1]).select(*groups, *state, *trial)
+        found = settled(grouped(tried, groups).agg(*sums, *kept).withColumns(step).select(*groups, *state))
     return found.select(*groups, F.col("_lam").alias("box_cox_lambda"))
 
 
