@@ -105,7 +105,7 @@ def ks_sql(d: str, n: str, one_sided: str = KS_ONE_SIDED) -> str:
     near = lambda x: " + ".join(f"exp(-{(2 * k - 1) ** 2}e0 * 1.2337005501361697e0 / ({x} * {x}))" for k in range(1, 5))
     limit = lambda x: f"(CASE WHEN {x} < 0.75e0 THEN 1e0 - 2.5066282746310002e0 / {x} * ({near(x)}) ELSE 0e0 {terms(x, 1)} END)"
     small = f"CASE WHEN {v} < 1e0 THEN {limit(v)} ELSE 2e0 * {one_sided.format(d=d, n=n)} {terms(x, 2)} END"
-    return f"(CASE WHEN {d} IS NULL OR {n} IS NULL THEN NULL WHEN {d} <= 0.5e0 / {n} AND {n} > 0 THEN 1e0 WHEN {d} >= 1 THEN 0e0 WHEN {n} > {KS_SMALL} THEN least(1e0, greatest(0e0, {limit(x)})) WHEN {n} > 0 THEN least(1e0, greatest(0e0, {small})) END)"
+    return f"(CASE WHEN {d} IS NULL OR {n} IS NULL OR {n} <= 0 THEN NULL WHEN {d} <= 0.5e0 / {n} THEN 1e0 WHEN {d} >= 1 THEN 0e0 WHEN {n} > {KS_SMALL} THEN least(1e0, greatest(0e0, {limit(x)})) WHEN {n} > 0 THEN least(1e0, greatest(0e0, {small})) END)"
 
 
 # Fixed values of P. Royston's algorithm AS R94 for the Shapiro-Wilk test.
