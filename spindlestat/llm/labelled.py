@@ -12,7 +12,7 @@ def crc_mod(id_col: str | Column, n: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, keep: Column | None = None, text_col: str = "text") -> DataFrame:
-    """(text, label) of at most `most` labelled documents, those whose id hashes lowest.
+    """(doc_id, text, label) of the documents of at most `most` labelled ids, those that hash lowest.
 
     `most` also bounds what is broadcast: the chosen ids. Rows without an id or a label take no part; an id that is
     labelled both ways counts as 1; of an id that several documents share, each document is a row.

@@ -5,8 +5,8 @@ A text becomes the shares that its word n-grams (n = 1, 2) have in all its n-gra
 vocabulary. Words are runs of letters and digits, and runs of one other sign. A score is a sparse dot product.
 
 A null text is empty, has no n-grams, and gets the score of the bias alone. Rows that repeat an id are scored each by its own
-text; of a labelled id that they share, each is a row of the fit. Equal texts have equal scores. Long texts are scored
-whole. Other columns aren't looked at.
+text; of a labelled id that they share, each is a row of the fit, however many they are. Equal texts have equal scores. Long
+texts are scored whole. Other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .labelled import sample
 TOKEN = re.compile(r"\w+|([^\w\s])\1*")
 REPEAT = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Characters of the texts that one task fits, on average.
+PART_CHARS = 1 << 24
 
 
 def _hash_word(word: str) -> int:
@@ -99,10 +101,12 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 3000, keep: Column | None = None, bits: int = 18, scale: float = 20.0, **params) -> QualityModel:
-    """Learns from at most `most` labelled documents (a documented bound: the model doesn't need more, whatever the corpus).
+    """Learns from at most `most` labelled ids (a documented bound: the model doesn't need more, whatever the corpus), and all of their rows.
 
-    The executors hash the chosen texts; only (bucket, share) arrays reach the driver. Without any labelled row, every
-    score is 0.5.
+    Tasks hash the chosen texts and fit them. Up to `most` rows and PART_CHARS characters are one part, which is fitted row by
+    row. Ids that are repeated, or long texts, make more: these are fitted side by side, and the weights of the parts are
+    averaged by their rows (parameter mixing). Rows of the same id, label and text travel once with their number, and are dealt
+    evenly to the parts. Only weights reach the driver. Without any labelled row, every score is 0.5.
     """
 
     @F.pandas_udf("idx array<int>, share array<float>")
@@ -112,8 +116,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
             out = [np.unique(g, return_counts=True) if len(g := grams(t)) else (g, g) for t in part]
             yield pd.DataFrame({"idx": [i.astype(np.int32) for i, _ in out], "share": [(c / max(1, c.sum())).astype(np.float32) for _, c in out]})
 
-    rows = sample(docs, labels, label, most, keep).select("doc_id", "label", shares("text").alias("x")).select("doc_id", "label", "x.idx", "x.share").toPandas()
-    if not len(rows):
+    def fitted(part: pd.DataFrame) -> pd.DataFrame:
+        """The weights of a part and, as bucket -1, its bias, times its rows."""
+        part = part.assign(order=pd.util.hash_array(part.doc_id.to_numpy().astype(np.int64)), size=part.idx.map(len)).sort_values(["order", "size", "key"], kind="stable")
+        rows = [(np.asarray(i, np.int64), np.asarray(s, np.float64)) for i, s in zip(part.idx, part.share, strict=True)]
+        each = np.repeat(np.arange(len(part)), part.copies)
+        model = ftrl([rows[i] for i in each], part.label.to_numpy(np.float64)[each], bits, scale, **params)
+        found = np.flatnonzero(model.weights)
+        return pd.DataFrame({"bucket": np.append(found, -1).astype(np.int32), "weight": np.append(model.weights[found].astype(np.float64), model.bias) * len(each)})
+
+    rows = sample(docs, labels, label, most, keep)
+    n, chars = rows.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    if not n:
         return QualityModel(bits, np.zeros(1 << bits, np.float32), 0.0, scale)
-    rows = rows.assign(order=pd.util.hash_array(rows.doc_id.to_numpy().astype(np.int64)), size=rows.idx.map(len)).sort_values(["order", "size"], kind="stable")
-    return ftrl([(np.asarray(i, np.int64), np.asarray(s, np.float64)) for i, s in zip(rows.idx, rows.share, strict=True)], rows.label.to_numpy(np.float64), bits, scale, **params)
+    n_parts = max(-(-n // most), -(-chars // PART_CHARS))
+    hashed = rows.select("doc_id", "label", F.xxhash64("text").alias("key"), shares("text").alias("x"))
+    hashed = hashed.groupBy("doc_id", "label", "key").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    dealt = hashed.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", F.lit(n_parts)) - 1)))
+    part = F.pmod(F.xxhash64("doc_id", "key") % n_parts + F.col("turn"), F.lit(n_parts)).alias("part")
+    copies = (F.floor(F.col("n") / n_parts) + (F.col("turn") < F.col("n") % n_parts).cast("long")).alias("copies")
+    weights = dealt.select("doc_id", "label", "key", "x.idx", "x.share", part, copies).groupBy("part").applyInPandas(fitted, "bucket int, weight double")
+    got = weights.groupBy("bucket").agg((F.sum("weight") / n).alias("weight")).toPandas()
+    mean = np.zeros(1 + (1 << bits))
+    mean[got.bucket.to_numpy()] = got.weight.to_numpy()  # -1, the bias, is the last one
+    return QualityModel(bits, mean[:-1].astype(np.float32), float(mean[-1]), scale)

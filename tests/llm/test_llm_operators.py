@@ -522,6 +522,32 @@ def test_quality_on_held_out_rows(labelled, docs):
     assert all(0 <= s <= 1 for s in scores.values()) and scores[2] == scores[3]
 
 
+def test_quality_learns_from_many_rows_of_few_ids(spark):
+    """The rows of labelled ids that are repeated outnumber `most`; the driver may take 2 MB at once."""
+    rng = random.Random(7)
+    words = {k: [f"{name}{i}" for i in range(900)] for k, name in ((1, "fine"), (0, "poor"))}
+    rows = [(i % 4, " ".join(rng.choices(words[i % 2], k=150))) for i in range(4000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "2m")
+    try:
+        model = quality.fit(docs.repartition(8), labels)
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+    grams = quality.Featuriser(model.bits)
+    scores = {k: [model.score(grams(t)) for i, t in rows[:400] if i % 2 == k] for k in (0, 1)}
+    assert max(scores[0]) < 0.5 < min(scores[1])
+
+
+def test_quality_deals_copies_of_one_row_to_parts_of_the_fit(spark):
+    docs, labels = spark.createDataFrame([(5, "one two two")] * 10, "doc_id long, text string"), spark.createDataFrame([(5, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, most=4)
+    idx, counts = np.unique(quality.Featuriser(model.bits)("one two two"), return_counts=True)
+    parts = [(n, quality.ftrl([(idx, (counts / counts.sum()).astype(np.float32).astype(np.float64))] * n, np.ones(n), model.bits, model.scale)) for n in (4, 3, 3)]
+    assert np.allclose(model.weights, sum(n * m.weights.astype(np.float64) for n, m in parts) / 10, rtol=1e-6)
+    assert math.isclose(model.bias, sum(n * m.bias for n, m in parts) / 10, rel_tol=1e-12)
+
+
 def test_toxicity_on_held_out_rows(labelled, docs):
     texts, labels, marks = labelled
     model = toxicity.fit(texts, labels, keep=crc_mod("doc_id", 5) != 0)
